@@ -234,9 +234,13 @@ def detect_language(column: Column, fallback: str = "en", min_length: int = 20)
     Ties go to the language first in alphabetical order.
     """
     words = F.split(F.lower(column), r"[^\p{L}]+")
+
+    def score(profile: tuple[str, ...]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*profile)))
+
     scores = [
-        F.struct(F.size(F.filter(words, lambda w, ws=ws: w.isin(*ws))).alias("score"), F.lit(-rank).alias("rank"), F.lit(lang).alias("lang"))
-        for rank, (lang, ws) in enumerate(sorted(LANGUAGE_WORDS.items()))
+        F.struct(score(profile).alias("score"), F.lit(-rank).alias("rank"), F.lit(lang).alias("lang"))
+        for rank, (lang, profile) in enumerate(sorted(LANGUAGE_WORDS.items()))
     ]
     best = F.array_max(F.array(*scores))
     return F.when((F.char_length(column) >= min_length) & (best["score"] > 0), best["lang"]).otherwise(F.lit(fallback))

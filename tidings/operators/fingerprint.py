@@ -20,7 +20,11 @@ def simhash(df: DataFrame, key: str, weighted: list[tuple[Column, int]], name: s
     exploded, so one row per key crosses the shuffle however long its text is. A null text gives a
     null fingerprint, a text without tokens gives 0.
     """
-    bags = [F.transform(tx.tokens(column), lambda t, w=w: F.struct(t.alias("t"), F.lit(w).cast("bigint").alias("w"))) for column, w in weighted]
+
+    def bag(column: Column, weight: int) -> Column:
+        return F.transform(tx.tokens(column), lambda t: F.struct(t.alias("t"), F.lit(weight).cast("bigint").alias("w")))
+
+    bags = [bag(column, weight) for column, weight in weighted]
     rows = df.select(key, F.explode_outer(F.concat(*bags)).alias("token"), F.concat(*[c for c, _ in weighted]).isNotNull().alias("present"))
     hashed = rows.select(key, "present", token_hash(F.col("token.t")).alias("h"), F.col("token.w").alias("w"))
 
