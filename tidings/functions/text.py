@@ -201,7 +201,7 @@ def contains_term(text: Column, term: Column) -> Column:
 def keywords_from_reason(reason: Column) -> Column:
     """Keyword list inside a match reason; empty array when there is none."""
     listed = F.regexp_extract(reason, r"keywords[^:]*:\s*(.+)$", 1)
-    words = F.transform(F.split(listed, ","), F.trim)
+    words = F.transform(F.split(listed, ","), lambda w: F.trim(w))
     return (
         F.when(listed != "", words)
         .when(reason == "keyword", F.array(F.lit("(keyword match, earlier rule)")))

@@ -1,13 +1,15 @@
 """Near-duplicate linking: within a time window, every copy points at the earliest original.
 
 An item is a duplicate only of an item that is itself an original, so the originals are the set a
-single pass in (time, id) order would keep. The same set is found here in parallel rounds:
-
-* ``peel`` rounds: the earliest undecided item of all its key buckets is an original. A bucket has
-  at most one such item, so removing its copies joins one row per bucket and no pair is ever
-  listed, however many copies a group has.
-* once the remaining buckets are small (their pair count is computed first), the remaining close
-  pairs are listed and settled on that graph.
+single pass in (time, id) order would keep. The same set is found here in parallel rounds, of three
+kinds, chosen by counting first:
+
+* ``peel``: the earliest undecided item of all its key buckets is an original. A bucket has at most
+  one such item, so removing its copies joins one row per bucket: a group of copies goes in one
+  round without a pair being compared.
+* ``verified``: when peeling no longer helps, an item without any earlier close item is an original.
+  Each item keeps only a count of its close items, so the output stays one row per item.
+* ``listed``: once there are few close pairs, they are written down and settled on that graph.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from tidings.operators import neighbours
 from tidings.session import checkpointed
 
 PAIRS_PER_ITEM = 20
+MIN_PAIRS = 1_000_000
+PATIENCE = 2
 
 
 class Nearness:
@@ -90,56 +94,64 @@ def _covered(rows: DataFrame, originals: DataFrame, rule: Nearness) -> DataFrame
     )
 
 
+def _pairs(rows: DataFrame, rule: Nearness) -> DataFrame:
+    return _covered(rows, rows, rule).select("item_id", "original_id").distinct()
+
+
 def _settle_pairs(undecided: DataFrame, rule: Nearness) -> DataFrame:
-    """Originals among ``undecided`` from the listed close pairs."""
-    ids = checkpointed(undecided.select("item_id"))
-    edges = checkpointed(_covered(undecided, undecided, rule).select("item_id", "original_id").distinct())
-    chosen = None
-    while True:
-        free = ids.join(edges.select("item_id"), "item_id", "left_anti")
-        chosen = free if chosen is None else chosen.union(free)
-        if edges.isEmpty():
-            return chosen
-        copies = edges.join(free.withColumnRenamed("item_id", "original_id"), "original_id", "left_semi").select("item_id").distinct()
-        ids = checkpointed(ids.join(free, "item_id", "left_anti").join(copies, "item_id", "left_anti"))
-        alive = edges.join(ids, "item_id", "left_semi")
-        edges = checkpointed(alive.join(ids.withColumnRenamed("item_id", "original_id"), "original_id", "left_semi").select("item_id", "original_id"))
-        chosen = checkpointed(chosen)
-
-
-def originals(prepared: DataFrame, rule: Nearness, pairs_per_item: int = PAIRS_PER_ITEM) -> DataFrame:
+    """Originals among ``undecided`` from the listed close pairs: what no original precedes."""
+    pairs = checkpointed(_pairs(undecided, rule))
+    copies = None
+    while not pairs.isEmpty():
+        roots = pairs.select("original_id").distinct().join(pairs.select(F.col("item_id").alias("original_id")), "original_id", "left_anti")
+        found = checkpointed(pairs.join(roots, "original_id", "left_semi").select("item_id").distinct())
+        copies = found if copies is None else copies.union(found)
+        pairs = checkpointed(pairs.join(found, "item_id", "left_anti").join(found.select(F.col("item_id").alias("original_id")), "original_id", "left_anti"))
+    ids = undecided.select("item_id")
+    return ids if copies is None else ids.join(copies, "item_id", "left_anti")
+
+
+def originals(prepared: DataFrame, rule: Nearness, pairs_per_item: int = PAIRS_PER_ITEM, min_pairs: int = MIN_PAIRS) -> DataFrame:
     """Item ids of the originals. ``prepared`` must be materialised.
 
-    ``pairs_per_item`` is the size check: pairs are only listed while the buckets hold at most that
-    many per item.
+    Pairs are only listed while there are at most ``pairs_per_item`` per item, or ``min_pairs``.
     """
     keyless = prepared.filter(F.size("keys") == 0).select("item_id")
     undecided = prepared.filter(F.size("keys") > 0)
-    found = [keyless]
-    while True:
+    found, idle, rows = [keyless], 0, undecided.count()
+    while rows:
+        limit = max(min_pairs, pairs_per_item * rows)
         buckets = checkpointed(_buckets(_keyed(undecided)))
-        size = buckets.agg(
-            F.sum(F.col("n") * (F.col("n") - 1) / 2 + F.col("n") * F.coalesce(F.col("earlier_n"), F.lit(0))).alias("pairs"),
-            F.sum(F.col("n") / F.col("head.n_keys")).alias("rows"),
-        ).first()
-        if size["pairs"] is None:
-            break
-        if size["pairs"] <= pairs_per_item * max(1.0, size["rows"]):
+        each = F.col("n") * (F.col("n") - 1) / 2 + F.col("n") * F.coalesce(F.col("earlier_n"), F.lit(0))
+        listed = buckets.agg(F.sum(each).alias("pairs")).first()["pairs"] <= limit
+        if not listed and idle >= PATIENCE:
+            close = checkpointed(_pairs_per_item(undecided, rule))
+            listed = (close.agg(F.sum("n").alias("n")).first()["n"] or 0) <= limit
+            free = undecided.select("item_id").join(close, "item_id", "left_anti")
+        elif not listed:
+            free = _unblocked(buckets, rule.window)
+        if listed:
             found.append(_settle_pairs(undecided, rule))
             break
-        chosen = checkpointed(undecided.join(_unblocked(buckets, rule.window), "item_id", "left_semi"))
+        chosen = checkpointed(undecided.join(free, "item_id", "left_semi"))
         found.append(chosen.select("item_id"))
         copies = _covered(undecided, chosen, rule).select("item_id").distinct()
-        undecided = checkpointed(
-            undecided.join(chosen.select("item_id"), "item_id", "left_anti").join(copies, "item_id", "left_anti")
-        )
+        undecided = checkpointed(undecided.join(chosen.select("item_id"), "item_id", "left_anti").join(copies, "item_id", "left_anti"))
+        left = undecided.count()
+        idle = idle + 1 if left > 0.9 * rows else idle
+        rows = left
     return reduce(DataFrame.union, found)
 
 
-def canonical_items(items: DataFrame, rule: Nearness, pairs_per_item: int = PAIRS_PER_ITEM) -> DataFrame:
+def _pairs_per_item(rows: DataFrame, rule: Nearness) -> DataFrame:
+    """(item_id, n) for items with close earlier items; counted per key, so n is an upper bound."""
+    return _covered(rows, rows, rule).groupBy("item_id").agg(F.count("*").alias("n"))
+
+
+def canonical_items(items: DataFrame, rule: Nearness, pairs_per_item: int = PAIRS_PER_ITEM, min_pairs: int = MIN_PAIRS) -> DataFrame:
     """(item_id, canonical_item_id): null for originals, else the earliest original it copies."""
     prepared = checkpointed(rule.prepare(items))
-    keep = checkpointed(originals(prepared, rule, pairs_per_item))
+    keep = checkpointed(originals(prepared, rule, pairs_per_item, min_pairs))
     kept = prepared.join(keep, "item_id", "left_semi")
     rest = prepared.join(keep, "item_id", "left_anti")
     links = _covered(rest, kept, rule).groupBy("item_id").agg(F.min(F.struct("original_at", "original_id"))["original_id"].alias("canonical_item_id"))

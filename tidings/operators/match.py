@@ -71,14 +71,13 @@ def _joined_hits(items: DataFrame, terms: DataFrame, width: int = 3) -> DataFram
     """The same result by an equi-join on word beginnings; used for long term lists."""
     lead = r"^[\p{L}\p{N}]*"
     keyed_terms = terms.withColumn("key", F.substring(F.regexp_extract(F.when(F.col("original"), F.col("term")).otherwise(F.col("folded")), lead, 0), 1, width))
-    sides = items.select("item_id", F.explode(F.array(F.struct(F.lit(True).alias("original"), F.col("text").alias("t")), F.struct(F.lit(False), tx.fold_text(F.col("text"))))).alias("s"))
+    sides = items.select("item_id", F.explode(F.array(F.struct(F.lit(True).alias("original"), F.col("text").alias("t")), F.struct(F.lit(False).alias("original"), tx.fold_text(F.col("text")).alias("t")))).alias("s"))
     words = F.array_distinct(F.split(F.col("s.t"), r"[^\p{L}\p{N}]+"))
     starts = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(F.lit(""), *[F.substring(w, 1, n) for n in range(1, width + 1)]))))
     keys = sides.select("item_id", "s.original", F.explode(starts).alias("key"))
     candidates = keys.join(keyed_terms, ["original", "key"]).drop("key")
-    checked = candidates.join(items.select("item_id", "text"), "item_id").filter(
-        F.when(F.col("original"), F.col("text")).otherwise(tx.fold_text(F.col("text"))).rlike(F.col("pattern"))
-    )
+    side = F.when(F.col("original"), F.col("text")).otherwise(tx.fold_text(F.col("text")))
+    checked = candidates.join(items.select("item_id", "text"), "item_id").filter(F.regexp_like(side, F.col("pattern")))
     per_topic = checked.groupBy("item_id", "topic_id").agg(
         F.max("exclude").alias("blocked"), F.array_sort(F.collect_set(F.struct("pos", "term"))).alias("found")
     )
@@ -149,7 +148,7 @@ def topic_keyword_list(topics: DataFrame) -> DataFrame:
 
     Without generated words the kept list stays, or the name alone.
     """
-    cleaned = F.filter(F.transform(F.concat(F.array("name"), F.col("generated")), F.trim), lambda k: k != "")
+    cleaned = F.filter(F.transform(F.concat(F.array("name"), F.col("generated")), lambda k: F.trim(k)), lambda k: k != "")
     kept = F.when(F.size("keywords") > 0, F.col("keywords")).otherwise(F.array("name"))
     return topics.withColumn("keywords", F.when(F.size(F.coalesce("generated", F.array().cast("array<string>"))) > 0, F.array_distinct(cleaned)).otherwise(kept))
 
@@ -157,7 +156,8 @@ def topic_keyword_list(topics: DataFrame) -> DataFrame:
 def search_queries(topics: DataFrame, sources: DataFrame) -> DataFrame:
     """(topic_id, query, source_id): the distinct queries of a topic for each search source.
 
-    ``sources`` is joined on a constant key, so its size decides the join.
+    The registry's search sources travel as one row.
     """
-    queries = topics.select("topic_id", F.explode(F.array_union("queries_a", "queries_b")).alias("query"), F.lit(1).alias("one"))
-    return queries.join(sources.select("source_id", F.lit(1).alias("one")), "one").drop("one")
+    every = sources.agg(F.array_sort(F.collect_list("source_id")).alias("source_ids"))
+    queries = topics.select("topic_id", F.explode(F.array_union("queries_a", "queries_b")).alias("query"))
+    return queries.join(F.broadcast(every)).select("topic_id", "query", F.explode("source_ids").alias("source_id"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidings.functions import scoring, vectors as vx
 from tidings.operators import neighbours
@@ -33,7 +33,7 @@ def similar_pairs(items: DataFrame, topics: DataFrame, threshold: float, inline_
     rows = small_rows(wanted, inline_vectors)
     if rows is None:
         return _cell_pairs(usable, wanted, threshold)
-    schema = usable.select("item_id").schema.add("topic_id", wanted.schema["topic_id"].dataType).add("cosine", "double")
+    schema = usable.select("item_id").schema.add("topic_id", wanted.schema["topic_id"].dataType).add("cosine", T.DoubleType())
     if not rows:
         return usable.sparkSession.createDataFrame([], schema)
     ids = np.array([r["topic_id"] for r in rows])
@@ -53,9 +53,9 @@ def _cell_pairs(items: DataFrame, topics: DataFrame, threshold: float) -> DataFr
     left = items.withColumn("unit", vx.unit_vector(F.col("embedding"))).filter(F.col("unit").isNotNull())
     right = topics.withColumn("unit_t", vx.unit_vector(F.col("embedding"))).filter(F.col("unit_t").isNotNull())
     keys = neighbours.pivot_keys(neighbours.choose_pivots(right, "topic_id", "unit_t"), threshold)
-    a = left.select("item_id", "unit", F.explode(keys(F.col("unit"))).alias("key"))
-    b = right.select("topic_id", "unit_t", F.explode(keys(F.col("unit_t"))).alias("key"))
-    close = a.join(b, "key").withColumn("cosine", vx.cosine(F.col("unit"), F.col("unit_t"))).filter(F.col("cosine") >= threshold)
+    a = left.select("item_id", "embedding", F.explode(keys(F.col("unit"))).alias("key"))
+    b = right.select("topic_id", F.col("embedding").alias("topic_vector"), F.explode(keys(F.col("unit_t"))).alias("key"))
+    close = a.join(b, "key").withColumn("cosine", vx.cosine(F.col("embedding"), F.col("topic_vector"))).filter(F.col("cosine") >= threshold)
     return close.groupBy("item_id", "topic_id").agg(F.max("cosine").alias("cosine"))
 
 
@@ -95,7 +95,7 @@ def best_stories(items: DataFrame, stories: DataFrame, high: float, low: float,
 
 
 def _best_inline(items: DataFrame, rows: list, low: float, window: int) -> DataFrame:
-    schema = items.select("item_id").schema.add("story_id", "bigint").add("cosine", "double")
+    schema = items.select("item_id").schema.add("story_id", T.LongType()).add("cosine", T.DoubleType())
     if not rows:
         return items.sparkSession.createDataFrame([], schema)
     rows = sorted(rows, key=lambda r: r["story_id"])
@@ -121,11 +121,11 @@ def _best_by_cell(items: DataFrame, stories: DataFrame, low: float, window: int)
     right = stories.withColumn("unit", vx.unit_vector(F.col("centroid"))).filter(F.col("unit").isNotNull())
     keys = neighbours.pivot_keys(neighbours.choose_pivots(right, "story_id", "unit"), low)
     slot = F.floor(F.col("at") / window).cast("bigint")
-    a = left.select("item_id", "unit", "at", slot.alias("slot"), F.explode(keys(F.col("unit"))).alias("key"))
-    b = right.select("story_id", F.col("unit").alias("story_unit"), F.col("at").alias("story_at"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"), keys(F.col("unit")).alias("ks"))
-    b = b.select("story_id", "story_unit", "story_at", "slot", F.explode("ks").alias("key"))
+    a = left.select("item_id", "embedding", "at", slot.alias("slot"), F.explode(keys(F.col("unit"))).alias("key"))
+    b = right.select("story_id", "centroid", F.col("at").alias("story_at"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"), keys(F.col("unit")).alias("ks"))
+    b = b.select("story_id", "centroid", "story_at", "slot", F.explode("ks").alias("key"))
     close = a.join(b, ["key", "slot"]).filter(F.abs(F.col("at") - F.col("story_at")) <= window)
-    scored = close.withColumn("cosine", vx.cosine(F.col("unit"), F.col("story_unit"))).filter(F.col("cosine") >= low)
+    scored = close.withColumn("cosine", vx.cosine(F.col("embedding"), F.col("centroid"))).filter(F.col("cosine") >= low)
     best = scored.groupBy("item_id").agg(F.max(F.struct("cosine", (-F.col("story_id")).alias("rank"))).alias("b"))
     return best.select("item_id", (-F.col("b.rank")).alias("story_id"), F.col("b.cosine").alias("cosine"))
 

@@ -207,20 +207,44 @@ class Views:
         )
 
     def watch_items(self) -> DataFrame:
-        at = hours_after((F.col("doc_id") * 37 + 5) % 720)
-        return self.table("documents").filter(F.col("doc_id") % 23 == 0).select(
-            (F.col("doc_id") % 4).alias("watch_id"), F.col("doc_id").alias("item_id"), at.alias("created_at")
-        )
+        """Labelled documents found by one of four watches."""
+        doc = F.col("doc_id")
+        return self.table("labels").select((doc % 4).alias("watch_id"), doc.alias("item_id"), hours_after((doc * 37 + 5) % 720).alias("created_at"))
 
     def reading_list(self) -> DataFrame:
-        at = hours_after((F.col("doc_id") * 37 + 9) % 720)
-        return self.table("documents").filter(F.col("doc_id") % 29 == 0).select(
-            F.col("doc_id").alias("entry_id"),
-            F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("item_id"),
-            F.when(F.col("doc_id") % 2 == 1, _story_of(F.col("doc_id"))).alias("story_id"),
-            (F.col("doc_id") % 3 == 0).alias("is_read"),
-            at.alias("created_at"),
+        """Documents of good quality, saved as an article or as its story."""
+        doc = F.col("doc_id")
+        return self.table("labels").filter("quality = 1").select(
+            doc.alias("entry_id"),
+            F.when(doc % 2 == 0, doc).alias("item_id"),
+            F.when(doc % 2 == 1, _story_of(doc)).alias("story_id"),
+            (doc % 3 == 0).alias("is_read"),
+            hours_after((doc * 37 + 9) % 720).alias("created_at"),
+        )
+
+    def scores(self) -> DataFrame:
+        """Item scores under one or two topics; topic 8 no longer exists."""
+        doc = F.col("doc_id")
+        pairs = self.table("documents").select(doc, "source", "lang", F.explode(F.array_distinct(F.array(doc % 8, (doc * 5 + 3) % 9))).alias("topic_id"))
+        words = F.concat_ws(", ", "source", "lang")
+        reason = (
+            F.when(doc % 4 == 0, F.concat(F.lit("ai; keywords: "), words))
+            .when(doc % 4 == 1, F.lit("ai"))
+            .when(doc % 4 == 2, F.concat(F.lit("keywords (AI unavailable): "), F.col("source")))
+            .otherwise(F.lit("keyword"))
         )
+        return pairs.select(doc.alias("item_id"), "topic_id", ((doc * 3 + F.col("topic_id")) % 11).alias("score"), reason.alias("reason"))
+
+    def statuses(self) -> DataFrame:
+        """Items with the status an earlier run left them in."""
+        status = F.element_at(F.array(F.lit("not_relevant"), F.lit("scored"), F.lit("grouped"), F.lit("new"), F.lit("embedded")), (F.col("item_id") % 5 + 1).cast("int"))
+        return self.items().withColumn("status", status)
+
+    def linked_items(self) -> DataFrame:
+        """Items with a link; every third has no registered source."""
+        kept = F.when(F.col("item_id") % 3 != 0, F.col("source_id"))
+        link = F.concat(F.lit("https://www."), "source_id", F.lit(".example.org/"), F.col("item_id").cast("string"))
+        return self.items().select("item_id", "title", link.alias("url"), kept.alias("source_id"))
 
     def pages(self) -> DataFrame:
         return self.table("pages")
@@ -268,12 +292,23 @@ VIEW_SQL = {
     "evidence": f"""SELECT conv_id AS question_id, turn, conv_id * 3 + turn AS story_id, (conv_id + turn) % 4 <> 0 AS relevant,
         CASE turn % 3 WHEN 0 THEN 'supports' WHEN 1 THEN 'complicates' ELSE 'neutral' END AS stance, text AS note,
         {_hour('(conv_id * 29 + turn * 7) % 720')} AS created_at FROM conversations WHERE role = 'assistant'""",
-    "watch_items": f"SELECT doc_id % 4 AS watch_id, doc_id AS item_id, {_hour('(doc_id * 37 + 5) % 720')} AS created_at FROM documents WHERE doc_id % 23 = 0",
+    "watch_items": f"SELECT doc_id % 4 AS watch_id, doc_id AS item_id, {_hour('(doc_id * 37 + 5) % 720')} AS created_at FROM labels",
     "reading_list": f"""SELECT doc_id AS entry_id, CASE WHEN doc_id % 2 = 0 THEN doc_id END AS item_id, CASE WHEN doc_id % 2 = 1 THEN doc_id // 3 END AS story_id,
-        doc_id % 3 = 0 AS is_read, {_hour('(doc_id * 37 + 9) % 720')} AS created_at FROM documents WHERE doc_id % 29 = 0""",
+        doc_id % 3 = 0 AS is_read, {_hour('(doc_id * 37 + 9) % 720')} AS created_at FROM labels WHERE quality = 1""",
+    "scores": """SELECT doc_id AS item_id, topic_id, (doc_id * 3 + topic_id) % 11 AS score, CASE doc_id % 4 WHEN 0 THEN 'ai; keywords: ' || source || ', ' || lang
+        WHEN 1 THEN 'ai' WHEN 2 THEN 'keywords (AI unavailable): ' || source ELSE 'keyword' END AS reason
+        FROM (SELECT *, unnest(list_distinct([doc_id % 8, (doc_id * 5 + 3) % 9])) AS topic_id FROM documents)""",
+    "statuses": "SELECT *, ['not_relevant', 'scored', 'grouped', 'new', 'embedded'][item_id % 5 + 1] AS status FROM items",
+    "linked_items": """SELECT item_id, title, 'https://www.' || source_id || '.example.org/' || item_id AS url,
+        CASE WHEN item_id % 3 <> 0 THEN source_id END AS source_id FROM items""",
 }
 
 
+def _definition(name: str, sql: str) -> str:
+    kept = sql.startswith("MATERIALIZED ")
+    return f"{name} AS {'MATERIALIZED ' if kept else ''}({sql.removeprefix('MATERIALIZED ')})"
+
+
 def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     """``body`` preceded by the views it names, directly or through other views."""
     known = {**VIEW_SQL, **(extra or {})}
@@ -287,5 +322,5 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
                     needed.append(name)
 
     visit(body)
-    prefix = ", ".join(f"{name} AS ({known[name]})" for name in needed)
+    prefix = ", ".join(_definition(name, known[name]) for name in needed)
     return f"WITH RECURSIVE {prefix} {body}" if prefix else body
