@@ -70,7 +70,7 @@ def reading_list_inserts(feedback: DataFrame, reading_list: DataFrame) -> DataFr
 def muted_sources(sources: DataFrame, feedback: DataFrame) -> DataFrame:
     """Sources with ``active`` cleared by a mute signal."""
     muted = feedback.filter((F.col("target_type") == "source") & (F.col("signal") == "mute_source")).select(F.col("target_id").alias("source_id"), F.lit(True).alias("_muted")).distinct()
-    return sources.join(muted, "source_id", "left").select(*[F.col("active") & F.col("_muted").isNull() if c == "active" else F.col(c) for c in sources.columns])
+    return sources.join(muted, "source_id", "left").select(*[(F.col("active") & F.col("_muted").isNull()).alias("active") if c == "active" else F.col(c) for c in sources.columns])
 
 
 def usage_totals(calls: DataFrame, as_of, days: int = 30) -> DataFrame:
