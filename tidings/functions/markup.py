@@ -30,7 +30,7 @@ def strip_stylesheets(html: Column) -> Column:
 
 def meta_content(html: Column, attribute: str, value: str) -> Column:
     whole = found(html, rf"(?i)<meta[^>]+{attribute}=[\"']{value}[\"'][^>]*>", 0)
-    return tx.decode_entities(found(whole, r"(?i)content=[\"']([^\"']*)[\"']"))
+    return tx.decode_entities(tx.let(whole, lambda tag: found(tag, r"(?i)content=[\"']([^\"']*)[\"']")))
 
 
 def page_title(html: Column) -> Column:
@@ -49,7 +49,7 @@ def page_published(html: Column) -> Column:
         found(html, r'"datePublished"\s*:\s*"([^"]+)"'),
         found(html, r"(?i)<time[^>]+datetime=[\"']([^\"']+)[\"']"),
     )
-    return F.when(tx.parse_date(written).isNotNull(), written)
+    return tx.let(written, lambda text: F.when(tx.parse_date(text).isNotNull(), text))
 
 
 # Elements that hold no article text, and elements that end a block of text.
@@ -66,20 +66,21 @@ def page_text(html: Column) -> Column:
     clean = F.regexp_replace(strip_stylesheets(html), r"(?s)<!--.*?-->", " ")
     for name in FURNITURE:
         clean = F.regexp_replace(clean, rf"(?is)<{name}(?:\s[^>]*)?>.*?</{name}>", " ")
-    part = F.coalesce(*[found(clean, rf"(?is)<{name}(?:\s[^>]*)?>(.*)</{name}>") for name in ("article", "main", "body")], clean)
+    part = tx.let(clean, lambda c: F.coalesce(*[found(c, rf"(?is)<{name}(?:\s[^>]*)?>(.*)</{name}>") for name in ("article", "main", "body")], c))
     blocks = F.split(F.regexp_replace(part, BLOCK_ENDS, "\u0001"), "\u0001")
 
     def plain(block: Column) -> Column:
         return tx.one_space(tx.decode_entities(strip_tags(block)))
 
-    def mostly_links(block: Column) -> Column:
-        without = F.regexp_replace(block, r"(?is)<a\s[^>]*>.*?</a>", " ")
-        return F.char_length(plain(without)) * 2 < F.char_length(plain(block))
+    def own(block: Column) -> Column:
+        """The block's plain text, empty when links make up more than half of it."""
+        without = plain(F.regexp_replace(block, r"(?is)<a\s[^>]*>.*?</a>", " "))
+        return tx.let(plain(block), lambda text: F.when(F.char_length(without) * 2 < F.char_length(text), F.lit("")).otherwise(text))
 
-    kept = F.transform(F.filter(blocks, lambda b: ~mostly_links(b)), plain)
-    text = tx.sanitize_text(F.array_join(F.filter(kept, lambda b: b != ""), "\n"))
-    usable = (F.char_length(html) <= MAX_HTML) & (F.char_length(text) <= MAX_TEXT) & (text != "")
-    return F.when(usable, text)
+    kept = F.filter(F.transform(blocks, lambda b: own(b)), lambda b: b != "")
+    whole = tx.sanitize_text(F.array_join(kept, "\n"))
+    text = tx.let(whole, lambda t: F.when((F.char_length(t) <= MAX_TEXT) & (t != ""), t))
+    return F.when(F.char_length(html) <= MAX_HTML, text)
 
 
 def link_text(inner: Column) -> Column:

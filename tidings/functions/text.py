@@ -31,6 +31,11 @@ def decomposition_tables(form: str) -> tuple[dict[str, str], dict[str, str]]:
     return single, longer
 
 
+def let(column: Column, body) -> Column:
+    """``body`` of a value computed once per row, for expressions that use it several times."""
+    return F.get(F.transform(F.array(column), lambda value: body(value)), F.lit(0))
+
+
 def _ranges(letters) -> str:
     """The letters as regular expression ranges."""
     points, spans = sorted(ord(c) for c in letters), []
@@ -99,22 +104,27 @@ def dash_clean(column: Column) -> Column:
 
 def clean_title(column: Column) -> Column:
     """Drop a trailing site name after ' | ' or ' – '."""
-    trimmed = F.trim(column)
-    head = F.regexp_extract(trimmed, r"^(.{20,}?)\s+[|–]\s+([^|–]{1,50})$", 1)
-    return F.when(head != "", F.trim(head)).otherwise(trimmed)
+
+    def cleaned(title: Column) -> Column:
+        head = F.regexp_extract(title, r"^(.{20,}?)\s+[|–]\s+([^|–]{1,50})$", 1)
+        return F.when(head != "", F.trim(head)).otherwise(title)
+
+    return let(F.trim(column), cleaned)
 
 
 def _numeric_entities(column: Column, digits: str, base: int) -> Column:
     """Replace every numeric entity by its character; ``digits`` has one group, the number."""
-    codes = F.regexp_extract_all(column, F.lit(digits), F.lit(1))
 
     def letter(code: Column) -> Column:
         as_hex = code if base == 16 else F.hex(code.cast("bigint"))
-        return F.decode(F.unhex(F.lpad(as_hex, 8, "0")), "UTF-32")
+        return F.coalesce(F.decode(F.unhex(F.lpad(as_hex, 8, "0")), "UTF-32"), F.lit(""))
 
-    pieces = F.split(column, digits, -1)
-    pairs = F.zip_with(pieces, F.transform(codes, letter), lambda p, d: F.concat(p, F.coalesce(d, F.lit(""))))
-    return F.when(F.size(codes) > 0, F.array_join(pairs, "")).otherwise(column)
+    def decoded(text: Column) -> Column:
+        codes = F.regexp_extract_all(text, F.lit(digits), F.lit(1))
+        pairs = F.zip_with(F.split(text, digits, -1), F.transform(codes, lambda c: letter(c)), lambda p, d: F.concat(p, F.coalesce(d, F.lit(""))))
+        return F.when(F.contains(text, F.lit("&#")), F.array_join(pairs, "")).otherwise(text)
+
+    return let(column, decoded)
 
 
 def decode_entities(column: Column) -> Column:
@@ -152,14 +162,18 @@ def simhash_input(title: Column, text: Column, repetitions: int = 25) -> Column:
 
 def parse_date(column: Column) -> Column:
     """Timestamp from ISO, RFC 822 or compact UTC text; null when it is not a date."""
-    day_first = F.regexp_replace(column, r"^\s*[A-Za-z]{3,9},\s*", "")
     named = r"^\d{1,2} [A-Za-z]{3} \d{4} "
-    return F.coalesce(
-        F.when(column.rlike(r"^\s*\d{4}-\d{2}"), F.try_to_timestamp(column)),
-        F.when(column.rlike(r"^\d{8}T\d{6}Z$"), F.try_to_timestamp(column, F.lit("yyyyMMdd'T'HHmmssX"))),
-        F.when(day_first.rlike(named + r"\S+ [A-Z]"), F.try_to_timestamp(day_first, F.lit("d MMM yyyy HH:mm:ss z"))),
-        F.when(day_first.rlike(named + r"\S+ [+-]"), F.try_to_timestamp(day_first, F.lit("d MMM yyyy HH:mm:ss xx"))),
-    )
+
+    def parsed(text: Column) -> Column:
+        day_first = F.regexp_replace(text, r"^\s*[A-Za-z]{3,9},\s*", "")
+        return (
+            F.when(text.rlike(r"^\s*\d{4}-\d{2}"), F.try_to_timestamp(text))
+            .when(text.rlike(r"^\d{8}T\d{6}Z$"), F.try_to_timestamp(text, F.lit("yyyyMMdd'T'HHmmssX")))
+            .when(day_first.rlike(named + r"\S+ [A-Z]"), F.try_to_timestamp(day_first, F.lit("d MMM yyyy HH:mm:ss z")))
+            .when(day_first.rlike(named + r"\S+ [+-]"), F.try_to_timestamp(day_first, F.lit("d MMM yyyy HH:mm:ss xx")))
+        )
+
+    return let(column, parsed)
 
 
 def expand_keyword(column: Column) -> Column:

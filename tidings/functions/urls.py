@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tidings.functions.text import let
+
 _URL = r"^\s*([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]\s]+)(?::(\d*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 # Query parameters that only track the visitor, matched on the lower-cased name.
@@ -134,16 +136,19 @@ def is_public_url(url: Column) -> Column:
 
 def path_date(url: Column, lastmod: Column) -> Column:
     """Publication date held in the path. A month-only path keeps a lastmod of that month."""
-    rooted = F.concat(path(url), F.lit("/"))
     pattern = r"/(20\d{2})/(0[1-9]|1[0-2])(?:/(0[1-9]|[12]\d|3[01]))?/"
-    year, month, day = (F.regexp_extract(rooted, pattern, g) for g in (1, 2, 3))
-    year_month = F.concat(year, F.lit("-"), month)
-    return (
-        F.when(F.coalesce(year, F.lit("")) == "", F.lit(None).cast("string"))
-        .when(day != "", F.concat(year_month, F.lit("-"), day))
-        .when(F.substring(lastmod, 1, 7) == year_month, lastmod)
-        .otherwise(F.concat(year_month, F.lit("-01")))
-    )
+
+    def dated(text: Column) -> Column:
+        year, month, day = (F.regexp_extract(text, pattern, g) for g in (1, 2, 3))
+        year_month = F.concat(year, F.lit("-"), month)
+        return (
+            F.when(F.coalesce(year, F.lit("")) == "", F.lit(None).cast("string"))
+            .when(day != "", F.concat(year_month, F.lit("-"), day))
+            .when(F.substring(lastmod, 1, 7) == year_month, lastmod)
+            .otherwise(F.concat(year_month, F.lit("-01")))
+        )
+
+    return let(F.concat(path(url), F.lit("/")), dated)
 
 
 def rule_pattern(rule: Column) -> Column:

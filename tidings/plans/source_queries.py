@@ -132,7 +132,7 @@ def new_sitemap_entries(v):
 
 @query(
     "page_metadata",
-    """SELECT url, replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&') AS title, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS published FROM pages""",
+    """SELECT url, trim(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&')) AS title, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS published FROM pages""",
 )
 def page_metadata(v):
     return pg.page_metadata(v.pages())

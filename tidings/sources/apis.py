@@ -41,9 +41,13 @@ def abstract_text(index: Column) -> Column:
     """Text of an inverted index (word -> positions); the last word listed keeps a position."""
     entries = F.map_entries(index)
     placed = F.flatten(F.transform(entries, lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("p"), i.alias("i"), e["key"].alias("w")))))
-    ordered = F.array_sort(placed)
-    last = F.filter(ordered, lambda x, n: F.coalesce(F.try_element_at(ordered, n + 2)["p"] != x["p"], F.lit(True)) & (x["w"] != ""))
-    return F.nullif(F.array_join(F.transform(last, lambda x: x["w"]), " "), F.lit(""))
+
+    def joined(ordered: Column) -> Column:
+        following = F.concat(F.slice(ordered, 2, F.greatest(F.size(ordered), F.lit(1))), F.array(F.lit(None)))
+        pairs = F.zip_with(ordered, following, lambda x, y: F.struct(x["w"].alias("w"), (F.coalesce(x["p"] != y["p"], F.lit(True)) & (x["w"] != "")).alias("last")))
+        return F.array_join(F.transform(F.filter(pairs, lambda x: x["last"]), lambda x: x["w"]), " ")
+
+    return F.nullif(tx.let(F.array_sort(placed), joined), F.lit(""))
 
 
 def works(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidings.functions import markup as mk, text as tx, urls
 from tidings.operators.items import first_wins, unknown_urls
 from tidings.operators.ordered import top_rows
+from tidings.session import checkpointed
 
 # Fixed value: children that list site furniture rather than publications.
 FURNITURE = r"(?i)[/_-](page|event|events|person|people|author|authors|project|center|centre|collection|category|tag|taxonomy|video|videos|podcast|landing|map|gallery)s?[-_.\d]"
@@ -38,7 +39,8 @@ def picked_children(entries: DataFrame, since, most: int = 6) -> DataFrame:
     undated = F.col("date").isNull()
     page = F.coalesce(mk.found(F.col("url"), r"(?i)(\d+)\.xml$").cast("bigint"), F.lit(0))
     usable = content.withColumn("recent", recent).filter(F.col("recent") | undated).withColumn("page", page)
-    first = top_rows(usable, most, ["sitemap"], [F.col("recent").desc(), F.col("at").desc(), F.col("page").desc(), F.col("pos")])
+    number = F.when(~F.col("recent"), F.col("page"))
+    first = top_rows(usable, most, ["sitemap"], [F.col("recent").desc(), F.col("at").desc(), number.desc(), F.col("pos")])
     has_recent = first.groupBy("sitemap").agg(F.max("recent").alias("any_recent"))
     return first.join(has_recent, "sitemap").filter(F.col("recent") | ~F.col("any_recent")).select("sitemap", "url", "rank")
 
@@ -58,7 +60,7 @@ def collected_entries(roots: DataFrame, sitemaps: DataFrame, since) -> DataFrame
 
     The source's pattern, when set, is tested on the entry's path.
     """
-    parsed = sitemap_entries(sitemaps)
+    parsed = checkpointed(sitemap_entries(sitemaps))
     is_index = parsed.filter("kind = 'child'").select("sitemap").distinct()
     leaves = parsed.filter("kind = 'entry'").join(is_index, "sitemap", "left_anti")
     nexts = picked_children(parsed, since).select("sitemap", F.col("url").alias("child"), "rank")
