@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidings.functions import text as tx
@@ -12,36 +14,38 @@ def token_hash(token: Column) -> Column:
     return F.conv(F.substring(F.sha2(token, 256), 1, 16), 16, -10).cast("bigint")
 
 
+def _bit_votes(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set, highest bit first."""
+    return np.unpackbits(hashes.astype(">i8").view("uint8").reshape(-1, 8), axis=1).sum(axis=0, dtype="int64")
+
+
 def simhash(df: DataFrame, key: str, weighted: list[tuple[Column, int]], name: str = "simhash") -> DataFrame:
     """(key, fingerprint) of each row's weighted texts.
 
-    A bit is set when the weight of the tokens whose hash has it outweighs the rest. Each of the
-    32 sums carries two bit counters, one per half of a long. Tokens are summed where they are
-    exploded, so one row per key crosses the shuffle however long its text is. A null text gives a
-    null fingerprint, a text without tokens gives 0.
+    A bit is set when the weight of the tokens whose hash has it outweighs the rest. Tokens and
+    their hashes stay in the JVM; only the bit votes of a row are counted in numpy, an Arrow batch
+    at a time. Rows never move, so no shuffle is needed however long or skewed the texts are. A
+    null text gives a null fingerprint, a text without tokens gives 0.
     """
-
-    def bag(column: Column, weight: int) -> Column:
-        return F.transform(tx.tokens(column), lambda t: F.struct(t.alias("t"), F.lit(weight).cast("bigint").alias("w")))
-
-    bags = [bag(column, weight) for column, weight in weighted]
-    rows = df.select(key, F.explode_outer(F.concat(*bags)).alias("token"), F.concat(*[c for c, _ in weighted]).isNotNull().alias("present"))
-    hashed = rows.select(key, "present", token_hash(F.col("token.t")).alias("h"), F.col("token.w").alias("w"))
-
-    def pair(bit: int) -> Column:
-        low = F.shiftright("h", bit).bitwiseAND(F.lit(1).cast("bigint"))
-        high = F.shiftright("h", bit + 32).bitwiseAND(F.lit(1).cast("bigint"))
-        return F.coalesce(F.sum(F.col("w") * (low + F.shiftleft(high, 32))), F.lit(0).cast("bigint")).alias(f"s{bit}")
-
-    sums = hashed.groupBy(key).agg(F.max("present").alias("present"), F.coalesce(F.sum("w"), F.lit(0)).alias("total"), *[pair(b) for b in range(32)])
-    low_mask = F.lit((1 << 32) - 1).cast("bigint")
-    bits = None
-    for bit in range(64):
-        packed = F.col(f"s{bit % 32}")
-        count = packed.bitwiseAND(low_mask) if bit < 32 else F.shiftrightunsigned(packed, 32)
-        piece = F.when(count * 2 > F.col("total"), F.lit(1 << bit if bit < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-        bits = piece if bits is None else bits.bitwiseOR(piece)
-    return sums.select(key, F.when(F.col("present"), bits).alias(name))
+    weights = [w for _, w in weighted]
+
+    @F.pandas_udf("bigint")
+    def vote(bags: pd.DataFrame) -> pd.Series:
+        out = []
+        for bag in bags.itertuples(index=False):
+            if any(hashes is None for hashes in bag):
+                out.append(None)
+                continue
+            votes, total = np.zeros(64, dtype="int64"), 0
+            for hashes, weight in zip(bag, weights):
+                if len(hashes):
+                    votes += weight * _bit_votes(np.asarray(hashes))
+                    total += weight * len(hashes)
+            out.append(int(np.packbits(votes * 2 > total).view(">i8")[0]))
+        return pd.Series(out, dtype="Int64")
+
+    bags = [F.transform(tx.tokens(column), lambda t: token_hash(t)).alias(f"b{n}") for n, (column, _) in enumerate(weighted)]
+    return df.select(key, F.struct(*bags).alias("bags")).select(key, vote(F.col("bags")).alias(name))
 
 
 def item_fingerprints(items: DataFrame) -> DataFrame:

@@ -67,8 +67,8 @@ def linked_stream(items: DataFrame, folder: str, rule: dedup.Nearness) -> DataFr
         hours = rule.window // 3_600_000_000
         held = read_batches(spark, f"{folder}/rows", wide, batch_id).filter(F.col("canonical_item_id").isNull() & (F.col("published_at") >= F.lit(start) - F.expr(f"interval {hours} hours")))
         matched = checkpointed(dedup.canonical_match(batch, held.select(*batch.columns), rule))
-        rest = batch.join(matched.select("item_id"), "item_id", "left_anti")
-        links = matched.unionByName(dedup.canonical_items(rest, rule))
+        rest = checkpointed(batch.join(matched.select("item_id"), "item_id", "left_anti"))
+        links = checkpointed(matched.unionByName(checkpointed(dedup.canonical_items(rest, rule))))
         write_batch(batch.join(links, "item_id"), f"{folder}/rows", batch_id)
 
     run_available(items, folder, link)
