@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from tidings.functions import text as tx
@@ -83,26 +85,26 @@ def canonical_matches(v):
 
 
 def _term_rows() -> str:
+    """One constant pattern per term; a list of what a text holds."""
     rows = []
     for topic, _, keywords, exclusions, _, active in TOPICS:
-        parts = [(k, False) for k in keywords] + [(k, True) for k in exclusions]
         pos = 0
-        for entry, exclude in parts:
+        for entry, exclude in [(k, False) for k in keywords] + [(k, True) for k in exclusions]:
             for piece in entry.split(" / "):
-                names = [piece] if "(" not in piece else [piece.split(" (")[0], piece.split("(")[1].rstrip(")")]
-                for term in names:
+                for term in [piece] if "(" not in piece else [piece.split(" (")[0], piece.split("(")[1].rstrip(")")]:
                     short = len(term) <= 4 and term.upper() == term
-                    rows.append(f"({topic}::BIGINT, {pos}, '{term}', {str(short).lower()}, {str(exclude).lower()}, {str(active).lower()})")
+                    plain = "".join(c for c in unicodedata.normalize("NFD", term.lower()) if not unicodedata.combining(c))
+                    test = f"regexp_matches(body, '(^|[^\\p{{L}}\\p{{N}}]){term}($|[^\\p{{L}}\\p{{N}}])')" if short else f"regexp_matches(folded, '(^|[^\\p{{L}}\\p{{N}}]){plain}')"
+                    if active:
+                        rows.append(f"CASE WHEN {test} THEN {{'topic_id': {topic}::BIGINT, 'pos': {pos}, 'term': '{term}', 'exclude': {str(exclude).lower()}}} END")
                     pos += 1
-    return "SELECT * FROM (VALUES " + ", ".join(rows) + ") t(topic_id, pos, term, short, exclude, active)"
+    return ", ".join(rows)
 
 
 HIT_VIEWS = {
-    "term_list": _term_rows(),
-    "term_hits": """SELECT item_id, topic_id, pos, term, exclude FROM (SELECT item_id, title || ' ' || text AS body, strip_accents(lower(title || ' ' || text)) AS folded FROM items), term_list
-        WHERE active AND CASE WHEN short THEN regexp_matches(body, '(^|[^\\p{L}\\p{N}])' || term || '($|[^\\p{L}\\p{N}])')
-        ELSE regexp_matches(folded, '(^|[^\\p{L}\\p{N}])' || strip_accents(lower(term))) END""",
-    "hits": """SELECT item_id, topic_id, string_agg(term, ', ' ORDER BY pos) AS words FROM term_hits a WHERE NOT exclude
+    "term_hits": f"""SELECT item_id, t.topic_id, t.pos, t.term, t.exclude FROM (SELECT item_id, unnest(list_filter([{_term_rows()}], lambda x: x IS NOT NULL)) AS t FROM (
+        SELECT item_id, title || ' ' || text AS body, strip_accents(lower(title || ' ' || text)) AS folded FROM items))""",
+    "hits": """MATERIALIZED SELECT item_id, topic_id, string_agg(term, ', ' ORDER BY pos) AS words FROM term_hits a WHERE NOT exclude
         AND NOT EXISTS (SELECT 1 FROM term_hits b WHERE b.exclude AND b.item_id = a.item_id AND b.topic_id = a.topic_id) GROUP BY item_id, topic_id""",
 }
 
