@@ -12,7 +12,6 @@ from tidings.session import build_session
 HEADLINE = (
     "item_simhash",
     "canonical_items",
-    "canonical_matches",
     "keyword_hits",
     "combined_matches",
     "keyword_coverage",

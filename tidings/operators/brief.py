@@ -66,8 +66,8 @@ def topic_lines(ranked: DataFrame, story_topics: DataFrame, topics: DataFrame) -
     order = named.groupBy("day", "topic").agg(F.count("*").alias("events"), F.min(rank).alias("best"))
     by_busy = Window.partitionBy("day").orderBy(F.col("events").desc(), "best", "topic")
     order = order.withColumn("line", F.row_number().over(by_busy).cast("bigint")).drop("best")
-    within = Window.partitionBy("day", "topic").orderBy("tier", F.col("source_count").desc(), "story_id")
-    numbered = named.withColumn("rank", F.row_number().over(within)).join(order, ["day", "topic"])
+    first = top_rows(named, max(1, topics.count()), ["day", "topic"], [F.col("tier"), F.col("source_count").desc(), F.col("story_id")])
+    numbered = first.join(order, ["day", "topic"])
     needed = numbered.filter(F.col("rank") <= F.col("line")).select("day", "line", "topic", "events", "rank", "story_id", "title")
 
     def pick(day: pd.DataFrame) -> pd.DataFrame:

@@ -11,6 +11,7 @@ from tidings.operators import dedup, fingerprint, handoff, match, ordered, remat
 from tidings.plans.registry import query, six, sql_stamp, stamp
 from tidings.plans.scalar_queries import SIMHASH_VIEWS
 from tidings.plans.views import AS_OF, TOPICS
+from tidings.session import checkpointed
 
 # --- near duplicates -------------------------------------------------------------------------
 
@@ -63,22 +64,16 @@ def canonical_vectors(v):
 
 @query(
     "canonical_matches",
-    """SELECT i.item_id, arg_min(p.item_id, (p.published_at, p.item_id)) AS canonical_item_id FROM prints i JOIN pool p ON i.item_id <> p.item_id
-    AND abs(epoch(i.published_at) - epoch(p.published_at)) <= 172800 AND bit_count(xor(i.simhash, p.simhash)) <= 3 GROUP BY i.item_id""",
-    {
-        **SIMHASH_VIEWS,
-        "prints": "SELECT items.item_id, published_at, text, simhash FROM items JOIN fingerprints USING (item_id)",
-        "pool": "SELECT * FROM prints QUALIFY row_number() OVER (PARTITION BY text ORDER BY published_at, item_id) = 1",
-    },
+    f"""SELECT t.item_id, arg_min(c.id, (c.tm, c.id)) AS canonical_item_id FROM timeline t JOIN originals c ON t.item_id <> c.id
+    AND abs(t.tm - c.tm) <= 172800 AND {HASH_NEAR.replace('o.sig', 't.sig')} GROUP BY t.item_id""",
+    HASH_VIEWS,
 )
 def canonical_matches(v):
-    """Every item against the first copy of each distinct text."""
-    from tidings.operators.items import first_wins
-
-    prints = v.items().join(fingerprint.item_fingerprints(v.items()), "item_id").select("item_id", "published_at", "simhash", tx.content_hash(F.col("text")).alias("text_hash"))
-    pool = first_wins(prints, ["text_hash"], F.struct("published_at", "item_id"))
-    columns = ["item_id", "published_at", "simhash"]
-    return dedup.canonical_match(prints.select(columns), pool.select(columns), dedup.Nearness(48, 3, None))
+    """Every item against the pool of originals, before and after it."""
+    rule = dedup.Nearness(48, 3, None)
+    prints = checkpointed(v.items().select("item_id", "published_at").join(fingerprint.item_fingerprints(v.items()), "item_id"))
+    copies = dedup.canonical_items(prints, rule).filter("canonical_item_id is not null").select("item_id")
+    return dedup.canonical_match(prints, prints.join(copies, "item_id", "left_anti"), rule)
 
 
 # --- topics by keywords and verdicts ---------------------------------------------------------

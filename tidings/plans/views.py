@@ -37,13 +37,9 @@ TEXT_TABLES = ("documents", "pages", "conversations")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a single-split file to all cores; larger inputs keep their own splits."""
+    """Deal the rows of an input with few splits to all cores; larger inputs keep their own splits."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < 2 and _splits(df) < cores else df
-
-
-def _splits(df: DataFrame) -> int:
-    return df.rdd.getNumPartitions()
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _story_of(doc: Column) -> Column:
