@@ -99,14 +99,21 @@ def _pairs(rows: DataFrame, rule: Nearness) -> DataFrame:
 
 
 def _settle_pairs(undecided: DataFrame, rule: Nearness) -> DataFrame:
-    """Originals among ``undecided`` from the listed close pairs: what no original precedes."""
-    pairs = checkpointed(_pairs(undecided, rule))
+    """Originals among ``undecided`` from the listed close pairs: what no original precedes.
+
+    Each round writes one table: the pairs still open, and the copies it found.
+    """
+    open_pairs = checkpointed(_pairs(undecided, rule))
     copies = None
-    while not pairs.isEmpty():
-        roots = pairs.select("original_id").distinct().join(pairs.select(F.col("item_id").alias("original_id")), "original_id", "left_anti")
-        found = checkpointed(pairs.join(roots, "original_id", "left_semi").select("item_id").distinct())
-        copies = found if copies is None else copies.union(found)
-        pairs = checkpointed(pairs.join(found, "item_id", "left_anti").join(found.select(F.col("item_id").alias("original_id")), "original_id", "left_anti"))
+    while not open_pairs.isEmpty():
+        later = open_pairs.select(F.col("item_id").alias("original_id"))
+        found = open_pairs.join(later, "original_id", "left_anti").select("item_id").distinct()
+        left = open_pairs.join(found, "item_id", "left_anti").join(found.select(F.col("item_id").alias("original_id")), "original_id", "left_anti")
+        both = left.select("item_id", "original_id", F.lit(False).alias("copy")).union(found.select("item_id", F.col("item_id").alias("original_id"), F.lit(True)))
+        state = checkpointed(both)
+        settled = state.filter("copy").select("item_id")
+        copies = settled if copies is None else copies.union(settled)
+        open_pairs = state.filter("not copy").select("item_id", "original_id")
     ids = undecided.select("item_id")
     return ids if copies is None else ids.join(copies, "item_id", "left_anti")
 
