@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from tidings.llm.decontaminate import op7_suffix_decontamination
+from tidings.llm.hmm import op10_hidden_markov
+from tidings.llm.pieces import op6_sentencepiece
 from tidings.llm.shards import op4_virtual_slots
+from tidings.llm.simhash import op1_simhash_balls
+from tidings.llm.substrings import op9_countmin_substrings
 
-QUERIES = {f.__name__: f for f in (op4_virtual_slots, op7_suffix_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_simhash_balls, op4_virtual_slots, op6_sentencepiece, op7_suffix_decontamination, op9_countmin_substrings, op10_hidden_markov)}
 ORACLES: dict[str, str] = {}
