@@ -1,6 +1,6 @@
 """Words and rolling hashes over the UTF-8 bytes of Arrow text columns, in whole-array numpy.
 
-Texts of a batch are taken in groups of a few megabytes, so memory follows the group and the longest
+Texts of a batch are taken in groups of about a megabyte, so memory follows the group and the longest
 single text, never the partition. Hashes are polynomials modulo 2**64 over mixed byte values; where
 equality decides a result, two independent ones are used together.
 """
@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
 
@@ -120,6 +120,27 @@ def repeat_ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(firsts - starts, counts)
 
 
+RUN_BITS = 20
+
+
+def packed_runs(owner: np.ndarray, places: np.ndarray):
+    """(first row, run) of every stretch of consecutive places with the same owner; rows are sorted
+    by owner and place. A run is its first place and its length less one in one number."""
+    at = np.arange(len(places))
+    begin = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (places[1:] > places[:-1] + 1)])) if len(places) else at
+    # Repeated places stay in their stretch; overlong stretches are cut.
+    length = places[np.append(begin[1:], len(places)) - 1] - places[begin] if len(places) else at
+    pieces = (length >> RUN_BITS) + 1
+    head, step = np.repeat(begin, pieces), repeat_ranges(np.zeros(len(begin), dtype=np.int64), pieces) << RUN_BITS
+    rest = np.minimum(np.repeat(length, pieces) - step, (1 << RUN_BITS) - 1)
+    return head, (places[head] + step << RUN_BITS) + rest
+
+
+def unpacked_runs(runs: np.ndarray):
+    """Starts of packed runs and how many places each holds."""
+    return runs >> RUN_BITS, (runs & (1 << RUN_BITS) - 1) + 1
+
+
 def covered(length: int, starts: np.ndarray, sizes) -> np.ndarray:
     """Flags of the ``length`` places that lie in any run."""
     edges = np.zeros(length + 1, dtype=np.int64)

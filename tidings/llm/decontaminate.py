@@ -23,7 +23,6 @@ from tidings.llm.tables import documents_of
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
-STATE = "doc_id long, text string, text_key long, hits binary, items array<string>"
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_hit long, items array<string>, text_key long"
 
 
@@ -146,7 +145,8 @@ def through_block(tests):
             sort = np.lexsort((places, owner))
             owner, places, which = owner[sort], places[sort], which[sort]
             edges = np.searchsorted(owner, np.arange(len(counts) + 1))
-            old_hits, old_items = rows.column(3).to_pylist(), rows.column(4).to_pylist()
+            kept = rows.num_columns - 2
+            old_hits, old_items = rows.column(kept).to_pylist(), rows.column(kept + 1).to_pylist()
             hits, items = [], []
             for d in range(len(counts)):
                 mine = slice(edges[d], edges[d + 1])
@@ -156,21 +156,29 @@ def through_block(tests):
                     spans = np.concatenate([spans, new])
                 hits.append(spans.tobytes())
                 items.append(sorted({*(old_items[d] or []), *(x for w in np.unique(which[mine]).tolist() for x in block.items[w])}))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "text_key", "hits", "items"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:kept], pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=rows.schema.names)
 
     return run
 
 
+def spans_hit(n_words: int, packed: bytes | None) -> np.ndarray:
+    spans = np.frombuffer(packed or b"", dtype=np.int64).reshape(-1, 2)
+    return buffers.covered(n_words, spans[:, 0], spans[:, 1]) if len(spans) else np.zeros(0, bool)
+
+
+def is_contaminated(n_hit: int, n_words: int) -> bool:
+    return n_hit > 0 and 20 * n_hit >= n_words
+
+
 def judged(batches):
-    """Counts and verdict of each document from its hits."""
+    """Counts and verdict of each document (doc_id, text, text_key, _hits, _items)."""
     separator = buffers.separators("letters")
     for rows, data, offsets in buffers.byte_groups(batches):
         counts = np.diff(buffers.word_spans(data, offsets, separator)[2]).tolist()
         hits, items = rows.column(3).to_pylist(), [x or [] for x in rows.column(4).to_pylist()]
         n_hit, longest = [], []
         for n, packed in zip(counts, hits):
-            spans = np.frombuffer(packed or b"", dtype=np.int64).reshape(-1, 2)
-            hit = buffers.covered(n, spans[:, 0], spans[:, 1]) if len(spans) else np.zeros(0, bool)
+            hit = spans_hit(n, packed)
             n_hit.append(int(hit.sum()))
             edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
             longest.append(int((edges[1::2] - edges[::2]).max()) if len(edges) else 0)
@@ -181,7 +189,7 @@ def judged(batches):
                 pa.array(n_hit, pa.int64()),
                 pa.array([len(x) for x in items], pa.int64()),
                 pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
-                pa.array([h > 0 and 20 * h >= n for h, n in zip(n_hit, counts)], pa.bool_()),
+                pa.array([is_contaminated(h, n) for h, n in zip(n_hit, counts)], pa.bool_()),
                 pa.array(longest, pa.int64()),
                 pa.array(items, pa.list_(pa.string())),
                 rows.column(2),
@@ -190,6 +198,16 @@ def judged(batches):
         )
 
 
+def clean_only(batches):
+    """The rows whose documents are clean, without the two state columns at their end."""
+    separator = buffers.separators("letters")
+    for rows, data, offsets in buffers.byte_groups(batches):
+        kept = rows.num_columns - 2
+        counts = np.diff(buffers.word_spans(data, offsets, separator)[2]).tolist()
+        clean = [not is_contaminated(int(spans_hit(n, h).sum()), n) for n, h in zip(counts, rows.column(kept).to_pylist())]
+        yield pa.RecordBatch.from_arrays(rows.columns[:kept], names=rows.schema.names[:kept]).filter(pa.array(clean, pa.bool_()))
+
+
 def blocks_of(benchmark: DataFrame, window: int, block_bytes: int):
     """The test items in blocks of about ``block_bytes``, one on the driver at a time."""
     items = benchmark.select(F.coalesce(benchmark["item_id"].cast("string"), F.lit("")).alias("item"), benchmark["text"].cast("string").alias("text")).filter("text is not null")
@@ -209,18 +227,21 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     items with null or wordless text have no window. Rows that repeat an item_id are one item. An
     empty benchmark leaves every document clean. No shuffle: a document is judged where it is read.
     """
-    state = documents_of(documents).select("*", F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
-    context = documents.sparkSession.sparkContext
+    return _through_blocks(documents_of(documents), benchmark, window, block_bytes).mapInArrow(judged, RESULT)
+
+
+def _through_blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """``docs`` with packed hit spans and items as their last two columns."""
+    state = docs.select("*", F.lit(None).cast("binary").alias("_hits"), F.lit(None).cast("array<string>").alias("_items"))
+    context = docs.sparkSession.sparkContext
     for tests in blocks_of(benchmark, window, block_bytes):
-        state = state.mapInArrow(through_block(context.broadcast(tests)), STATE)
-    return state.mapInArrow(judged, RESULT)
+        state = state.mapInArrow(through_block(context.broadcast(tests)), state.schema)
+    return state
 
 
-def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, all columns as they came, less the contaminated ones."""
-    bad = contamination(documents, benchmark).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    same = documents["doc_id"].cast("bigint").eqNullSafe(bad["_id"]) & (F.xxhash64(documents["text"].cast("string")) == bad["_key"])
-    return documents.join(bad, same, "left_anti")
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, all columns as they came, less the contaminated ones. No shuffle."""
+    return _through_blocks(documents, benchmark, window, block_bytes).mapInArrow(clean_only, documents.schema)
 
 
 def op7_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

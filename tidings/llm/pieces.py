@@ -252,22 +252,23 @@ def token_digests(documents: DataFrame, path: str) -> DataFrame:
     return docs.mapInArrow(encoded(_broadcast_model(documents, path), False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def with_token_counts(documents: DataFrame, path: str) -> DataFrame:
-    """The documents with an added column ``n_tokens``."""
+def with_tokens(documents: DataFrame, path: str) -> DataFrame:
+    """The documents with two more columns: ``ids``, the pieces of the whole text and the end id, and
+    ``decoded``, the text that these ids stand for. Columns of these names are replaced."""
     model = _broadcast_model(documents, path)
-    names = documents.columns
-    kept = [n for n in names if n != "n_tokens"]
+    docs = documents.select(*[c for c in documents.columns if c not in ("ids", "decoded")])
+    names = docs.columns
 
     def run(batches):
         encoder = Encoder(model.value)
         for rows, texts in text_groups(batches):
             cuts = [words_of(t) for t in texts]
             encoder.learn(cuts)
-            counts = [sum(len(encoder.ids[w]) for w in words) + 1 for words in cuts]
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(counts, pa.int64())], names=[*kept, "n_tokens"])
+            ids = [[*chain.from_iterable(map(encoder.ids.__getitem__, words)), model.value.end] for words in cuts]
+            decoded = [model.value.decode(own).decode("utf-8", errors="replace") for own in ids]
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=[*names, "ids", "decoded"])
 
-    docs = documents.select(*kept)
-    return docs.mapInArrow(run, docs.withColumn("n_tokens", F.lit(0).cast("bigint")).schema)
+    return docs.mapInArrow(run, docs.select("*", F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("string").alias("decoded")).schema)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

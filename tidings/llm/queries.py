@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+from tidings.llm import licences
 from tidings.llm.decontaminate import op7_suffix_decontamination
 from tidings.llm.hmm import op10_hidden_markov
+from tidings.llm.language import op2_recurrent_language
+from tidings.llm.licences import op3_licence_scan
 from tidings.llm.pieces import op6_sentencepiece
 from tidings.llm.shards import op4_virtual_slots
 from tidings.llm.simhash import op1_simhash_balls
 from tidings.llm.substrings import op9_countmin_substrings
+from tidings.llm.vectors import op5_subspace_vectors
 
-QUERIES = {f.__name__: f for f in (op1_simhash_balls, op4_virtual_slots, op6_sentencepiece, op7_suffix_decontamination, op9_countmin_substrings, op10_hidden_markov)}
-ORACLES: dict[str, str] = {}
+PLANS = (
+    op1_simhash_balls,
+    op2_recurrent_language,
+    op3_licence_scan,
+    op4_virtual_slots,
+    op5_subspace_vectors,
+    op6_sentencepiece,
+    op7_suffix_decontamination,
+    op9_countmin_substrings,
+    op10_hidden_markov,
+)
+QUERIES = {plan.__name__: plan for plan in PLANS}
+ORACLES: dict[str, str] = {"op3_licence_scan": licences.ORACLE}

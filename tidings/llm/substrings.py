@@ -22,7 +22,7 @@ from tidings.llm import buffers
 from tidings.llm.tables import documents_of
 
 WORDS = 50
-CELLS = 1 << 28
+CELLS = 1 << 29
 ROWS = 2
 SLICE_CELLS = 1 << 18
 FLUSH = 2 << 20
@@ -129,45 +129,34 @@ def merged_sketch(docs: DataFrame, words: int, cells: int, slice_cells: int) ->
 
 
 def repeated_windows(sketch, words: int, cells: int):
-    """Windows estimated as repeated. What a partition already shows to be in an earlier document
-    goes out as sure, one row a document; of the rest one row per window and document."""
+    """Windows estimated as repeated, as (one, two, doc_id, text_key, run). What a partition already
+    shows to be in an earlier document goes out as sure, in long runs marked by a negative number; of
+    the rest one row per window and place."""
     shift = np.uint64(64 - (cells.bit_length() - 1))
 
     def passes(bits, hashes):
         cell = (hashes >> shift).astype(np.int64)
         return (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
 
-    def out(one, two, ids, keys, places, sure):
-        nulls = ids == LAST
-        return pa.RecordBatch.from_arrays(
-            [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(ids, mask=nulls), pa.array(keys), pa.array(places, pa.binary()), pa.array(sure)],
-            ["one", "two", "doc_id", "text_key", "places", "sure"],
-        )
-
     def grouped(held):
         one, two, ids, keys, places = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((places, keys, ids, two, one))
-        one, two, ids, keys, places = one[order], two[order], ids[order], keys[order], places[order]
-        fresh = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
-        least = ids[np.maximum.accumulate(np.where(fresh, np.arange(len(one)), 0))]
-        known = ids > least
+        order = np.lexsort((ids, two, one))
+        fresh = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
+        least = ids[order][np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+        known = np.zeros(len(order), dtype=bool)
+        known[order] = ids[order] > least
         rest = np.flatnonzero(~known)
-        begin = np.flatnonzero(np.concatenate([[True], fresh[rest][1:] | (ids[rest][1:] != ids[rest][:-1]) | (keys[rest][1:] != keys[rest][:-1])])) if len(rest) else np.zeros(0, np.int64)
-        heads = rest[begin]
-        packed = places[rest].tobytes()
-        edges = np.append(begin, len(rest)) * 8
-        yield from chunks(one[heads], two[heads], ids[heads], keys[heads], [packed[a:b] for a, b in zip(edges[:-1], edges[1:])], False)
+        yield from chunks(one[rest].view(np.int64), two[rest].view(np.int64), ids[rest], keys[rest], places[rest] << buffers.RUN_BITS)
+        # Rows came text by text with rising places.
         sure = np.flatnonzero(known)
-        if len(sure):
-            sure = sure[np.lexsort((keys[sure], ids[sure]))]
-            begin = np.flatnonzero(np.concatenate([[True], (ids[sure][1:] != ids[sure][:-1]) | (keys[sure][1:] != keys[sure][:-1])]))
-            heads, packed, edges = sure[begin], places[sure].tobytes(), np.append(begin, len(sure)) * 8
-            yield from chunks(keys[heads].view(np.uint64), ids[heads].view(np.uint64), ids[heads], keys[heads], [packed[a:b] for a, b in zip(edges[:-1], edges[1:])], True)
+        head, run = buffers.packed_runs(np.cumsum(np.concatenate([[0], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (places[1:] < places[:-1])]))[sure], places[sure])
+        head = sure[head]
+        yield from chunks(keys[head] ^ run, ids[head], ids[head], keys[head], ~run)
 
-    def chunks(one, two, ids, keys, places, sure):
+    def chunks(one, two, ids, keys, runs):
         for a in range(0, len(one), 50_000):
-            b = a + 50_000
-            yield out(one[a:b], two[a:b], ids[a:b], keys[a:b], places[a:b], np.full(len(one[a:b]), sure))
+            s = slice(a, a + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(one[s]), pa.array(two[s]), pa.array(ids[s], mask=ids[s] == LAST), pa.array(keys[s]), pa.array(runs[s])], ["one", "two", "doc_id", "text_key", "run"])
 
     def run(batches):
         bits, windows, held, n = sketch.value, WindowHashes(words), [], 0
@@ -191,39 +180,41 @@ def repeated_windows(sketch, words: int, cells: int):
 
 
 def repeats(documents: DataFrame, words: int = WORDS, cells: int = CELLS, slice_cells: int = SLICE_CELLS) -> DataFrame:
-    """(doc_id, text_key, places): per document the packed first words of all windows that also start
-    in a document with a smaller doc_id. Documents without any are left out."""
+    """(doc_id, text_key, runs): per document the packed runs of first words of all windows that also
+    start in a document with a smaller doc_id. Documents without any are left out."""
     docs = documents_of(documents)
     context = documents.sparkSession.sparkContext
     sketch = context.broadcast(merged_sketch(docs, words, cells, slice_cells))  # of fixed size
-    found = docs.mapInArrow(repeated_windows(sketch, words, cells), "one long, two long, doc_id long, text_key long, places binary, sure boolean")
-    # A window has at most one row per document and partition flush that is not sure.
-    least = F.min(F.when(~F.col("sure"), F.col("doc_id"))).over(Window.partitionBy("one", "two"))
-    earlier = F.col("least") < F.coalesce("doc_id", F.lit(int(LAST)))
-    return found.withColumn("least", least).filter(F.col("sure") | earlier).groupBy("doc_id", "text_key").agg(F.collect_list("places").alias("places"))
+    found = docs.mapInArrow(repeated_windows(sketch, words, cells), "one long, two long, doc_id long, text_key long, run long")
+    # Of a window only the documents with the smallest doc_id of a partition are left here.
+    least = F.min(F.when(F.col("run") >= 0, F.col("doc_id"))).over(Window.partitionBy("one", "two"))
+    sure, earlier = F.col("run") < 0, F.col("least") < F.coalesce("doc_id", F.lit(int(LAST)))
+    late = found.withColumn("least", least).filter(sure | earlier).withColumn("run", F.when(sure, F.bitwise_not("run")).otherwise(F.col("run")))
+    return late.groupBy("doc_id", "text_key").agg(F.collect_list("run").alias("runs"))
 
 
-def _with_places(documents: DataFrame, columns: list, found: DataFrame) -> DataFrame:
-    """``columns`` of every row of ``documents``, then the places of its repeats (null: none)."""
-    found = found.select(F.col("doc_id").alias("_found_id"), F.col("text_key").alias("_found_key"), F.col("places").alias("_places"))
+def _with_runs(documents: DataFrame, columns: list, found: DataFrame) -> DataFrame:
+    """``columns`` of every row of ``documents``, then the runs of its repeats (null: none)."""
+    found = found.select(F.col("doc_id").alias("_found_id"), F.col("text_key").alias("_found_key"), F.col("runs").alias("_runs"))
     same = documents["doc_id"].cast("bigint").eqNullSafe(found["_found_id"]) & (F.xxhash64(documents["text"].cast("string")) == found["_found_key"])
-    return documents.join(found, same, "left").select(*columns, found["_places"])
+    return documents.join(found, same, "left").select(*columns, found["_runs"])
 
 
-def kept_words(text: bytes, places: list[bytes] | None, words: int) -> tuple[int, int, bytes]:
+def kept_words(text: bytes, runs: list[int] | None, words: int) -> tuple[int, int, bytes]:
     """(words, words removed, kept words joined by a space)."""
     own = text.split()
-    if not places:
+    if not runs:
         return len(own), 0, b" ".join(own)
-    hit = buffers.covered(len(own), np.concatenate([np.frombuffer(p, dtype=np.int64) for p in places]), words)
+    starts, counts = buffers.unpacked_runs(np.array(runs, dtype=np.int64))
+    hit = buffers.covered(len(own), starts, words + counts - 1)
     return len(own), int(hit.sum()), b" ".join(w for w, h in zip(own, hit.tolist()) if not h)
 
 
 def digests(words: int):
     def run(batches):
         for batch in batches:
-            texts, places = batch.column(1).cast(pa.binary()), batch.column(2)
-            done = [kept_words(t.as_py() or b"", p.as_py(), words) for t, p in zip(texts, places)]
+            texts, runs = batch.column(1).cast(pa.binary()), batch.column(2)
+            done = [kept_words(t.as_py() or b"", r.as_py(), words) for t, r in zip(texts, runs)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -246,7 +237,7 @@ def removal(documents: DataFrame, words: int = WORDS, cells: int = CELLS, slice_
     """
     found = repeats(documents, words, cells, slice_cells)
     columns = [documents["doc_id"].cast("bigint").alias("doc_id"), documents["text"].cast("string").alias("text")]
-    return _with_places(documents, columns, found).mapInArrow(digests(words), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_runs(documents, columns, found).mapInArrow(digests(words), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(documents: DataFrame, words: int = WORDS, cells: int = CELLS, slice_cells: int = SLICE_CELLS) -> DataFrame:
@@ -261,14 +252,14 @@ def without_repeats(documents: DataFrame, words: int = WORDS, cells: int = CELLS
     def cut(batches):
         for batch in batches:
             at = names.index("text")
-            places = batch.column(batch.num_columns - 1)
+            runs = batch.column(batch.num_columns - 1)
             columns = [batch.column(i) for i in range(len(names))]
-            changed = [i for i, p in enumerate(places) if p.is_valid]
+            changed = [i for i, r in enumerate(runs) if r.is_valid]
             keep = [True] * batch.num_rows
             if changed:
                 texts = columns[at].to_pylist()
                 for i in changed:
-                    n, gone, kept = kept_words(texts[i].encode(), places[i].as_py(), words)
+                    n, gone, kept = kept_words(texts[i].encode(), runs[i].as_py(), words)
                     if gone:
                         texts[i], keep[i] = kept.decode(), gone < n
                 columns[at] = pa.array(texts, pa.string())
@@ -279,7 +270,7 @@ def without_repeats(documents: DataFrame, words: int = WORDS, cells: int = CELLS
                     columns[names.index("n_chars")] = pa.array(chars, columns[names.index("n_chars")].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return _with_places(documents, [documents[c] for c in names], found).mapInArrow(cut, documents.schema)
+    return _with_runs(documents, [documents[c] for c in names], found).mapInArrow(cut, documents.schema)
 
 
 def op9_countmin_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
