@@ -11,6 +11,7 @@ from tidings.llm.pieces import op6_sentencepiece
 from tidings.llm.shards import op4_virtual_slots
 from tidings.llm.simhash import op1_simhash_balls
 from tidings.llm.substrings import op9_countmin_substrings
+from tidings.llm.suffixes import op8_bucket_suffixes
 from tidings.llm.vectors import op5_subspace_vectors
 
 PLANS = (
@@ -21,6 +22,7 @@ PLANS = (
     op5_subspace_vectors,
     op6_sentencepiece,
     op7_suffix_decontamination,
+    op8_bucket_suffixes,
     op9_countmin_substrings,
     op10_hidden_markov,
 )

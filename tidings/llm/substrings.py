@@ -5,8 +5,7 @@ are merged slice by slice, and only one bit a cell is kept: counted twice or mor
 are never too low, so a window without the bit in every row occurs once. Pass two: only windows
 estimated as repeated are grouped, exactly, by 128 bits of their words.
 
-The merged sketch has a fixed size (``ROWS * CELLS / 8`` bytes), whatever the input. When more
-windows than cells come in, more windows pass the first test and the second pass has more to do; the
+The merged sketch has a fixed size, whatever the input. When more windows than cells come in, more windows pass the first test and the second pass has more to do; the
 result is the same. Raise ``cells`` with the memory of the executors.
 """
 
@@ -18,13 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
-from tidings.llm import buffers
+from tidings.llm import buffers, sketch
 from tidings.llm.tables import documents_of
 
 WORDS = 50
 CELLS = 1 << 29
-ROWS = 2
-SLICE_CELLS = 1 << 18
 FLUSH = 2 << 20
 LAST = np.iinfo(np.int64).max
 
@@ -48,95 +45,18 @@ class WindowHashes:
         return one, two, text, place - first[text]
 
 
-def packed_gaps(cells: np.ndarray) -> bytes:
-    """Rising numbers as bytes: each gap, with 255 standing for 255 and more to come."""
-    gaps = np.diff(cells, prepend=0)
-    more = gaps // 255
-    out = np.full(int(len(gaps) + more.sum()), 255, dtype=np.uint8)
-    out[np.cumsum(more + 1) - 1] = gaps - 255 * more
-    return out.tobytes()
+def counted_windows(words: int):
+    def make():
+        windows = WindowHashes(words)
+        return lambda data, offsets: windows.of(data, offsets)[:2]
 
+    return make
 
-def unpacked_gaps(packed: bytes) -> np.ndarray:
-    found = np.frombuffer(packed, dtype=np.uint8)
-    return np.cumsum(found, dtype=np.int64)[found < 255]
 
-
-def partition_sketch(words: int, cells: int, slice_cells: int, flush: int):
-    """Per slice of each sketch row: cells counted once, and cells counted more often."""
-    shift = np.uint64(64 - (cells.bit_length() - 1))
-
-    def slices(hashes):
-        parts, once, often = [], [], []
-        for r in range(ROWS):
-            found, counts = np.unique((np.concatenate(hashes[r]) >> shift).astype(np.int64), return_counts=True)
-            for kind, into in ((found[counts == 1], once), (found[counts > 1], often)):
-                edges = np.searchsorted(kind, np.arange(0, cells + 1, slice_cells))
-                into.extend(packed_gaps(kind[a:b] - k * slice_cells) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])))
-            parts.extend(range(r * (cells // slice_cells), (r + 1) * (cells // slice_cells)))
-        keep = [i for i in range(len(parts)) if once[i] or often[i]]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([parts[i] for i in keep], pa.int32()), pa.array([once[i] for i in keep], pa.binary()), pa.array([often[i] for i in keep], pa.binary())],
-            ["part", "once", "often"],
-        )
-
-    def run(batches):
-        windows, held, n = WindowHashes(words), ([], []), 0
-        for _, data, offsets in buffers.byte_groups(batches):
-            one, two, _, _ = windows.of(data, offsets)
-            held[0].append(one)
-            held[1].append(two)
-            n += len(one)
-            if n >= 4 * flush:
-                yield slices(held)
-                held, n = ([], []), 0
-        if n:
-            yield slices(held)
-
-    return run
-
-
-def merged_slices(slice_cells: int):
-    """One bit a cell of each slice: counted at least twice in all partitions together."""
-
-    def run(batches):
-        part, seen, twice = None, None, None
-        for batch in batches:
-            for number, once, often in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if number != part:
-                    if part is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
-                    part, seen, twice = number, np.zeros(slice_cells, dtype=bool), np.zeros(slice_cells, dtype=bool)
-                single, many = unpacked_gaps(once), unpacked_gaps(often)
-                twice[single[seen[single]]] = True
-                seen[single] = True
-                twice[many] = True
-                seen[many] = True
-        if part is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
-
-    return run
-
-
-def merged_sketch(docs: DataFrame, words: int, cells: int, slice_cells: int) -> np.ndarray:
-    """(ROWS, cells / 8) bytes of the merged sketch; of fixed size."""
-    sketches = docs.select("text").mapInArrow(partition_sketch(words, cells, slice_cells, FLUSH), "part int, once binary, often binary")
-    merged = sketches.repartition("part").sortWithinPartitions("part").mapInArrow(merged_slices(slice_cells), "part int, bits binary")
-    bits = np.zeros((ROWS * cells // slice_cells, slice_cells // 8), dtype=np.uint8)
-    for row in merged.collect():
-        bits[row["part"]] = np.frombuffer(row["bits"], dtype=np.uint8)
-    return bits.reshape(ROWS, -1)
-
-
-def repeated_windows(sketch, words: int, cells: int):
+def repeated_windows(shared, words: int, cells: int):
     """Windows estimated as repeated, as (one, two, doc_id, text_key, run). What a partition already
     shows to be in an earlier document goes out as sure, in long runs marked by a negative number; of
     the rest one row per window and place."""
-    shift = np.uint64(64 - (cells.bit_length() - 1))
-
-    def passes(bits, hashes):
-        cell = (hashes >> shift).astype(np.int64)
-        return (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
 
     def grouped(held):
         one, two, ids, keys, places = (np.concatenate(x) for x in zip(*held))
@@ -159,11 +79,10 @@ def repeated_windows(sketch, words: int, cells: int):
             yield pa.RecordBatch.from_arrays([pa.array(one[s]), pa.array(two[s]), pa.array(ids[s], mask=ids[s] == LAST), pa.array(keys[s]), pa.array(runs[s])], ["one", "two", "doc_id", "text_key", "run"])
 
     def run(batches):
-        bits, windows, held, n = sketch.value, WindowHashes(words), [], 0
+        bits, windows, held, n = shared.value, WindowHashes(words), [], 0
         for rows, data, offsets in buffers.byte_groups(batches):
             one, two, text, place = windows.of(data, offsets)
-            keep = np.flatnonzero(passes(bits[0], one))
-            keep = keep[passes(bits[1], two[keep])]
+            keep = sketch.passing(bits, cells, one, two)
             if not len(keep):
                 continue
             ids = rows.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
@@ -179,13 +98,13 @@ def repeated_windows(sketch, words: int, cells: int):
     return run
 
 
-def repeats(documents: DataFrame, words: int = WORDS, cells: int = CELLS, slice_cells: int = SLICE_CELLS) -> DataFrame:
+def repeats(documents: DataFrame, words: int = WORDS, cells: int = CELLS) -> DataFrame:
     """(doc_id, text_key, runs): per document the packed runs of first words of all windows that also
     start in a document with a smaller doc_id. Documents without any are left out."""
     docs = documents_of(documents)
     context = documents.sparkSession.sparkContext
-    sketch = context.broadcast(merged_sketch(docs, words, cells, slice_cells))  # of fixed size
-    found = docs.mapInArrow(repeated_windows(sketch, words, cells), "one long, two long, doc_id long, text_key long, run long")
+    shared = context.broadcast(sketch.merged_sketch(docs, counted_windows(words), cells))  # of fixed size
+    found = docs.mapInArrow(repeated_windows(shared, words, cells), "one long, two long, doc_id long, text_key long, run long")
     # Of a window only the documents with the smallest doc_id of a partition are left here.
     least = F.min(F.when(F.col("run") >= 0, F.col("doc_id"))).over(Window.partitionBy("one", "two"))
     sure, earlier = F.col("run") < 0, F.col("least") < F.coalesce("doc_id", F.lit(int(LAST)))
@@ -228,25 +147,25 @@ def digests(words: int):
     return run
 
 
-def removal(documents: DataFrame, words: int = WORDS, cells: int = CELLS, slice_cells: int = SLICE_CELLS) -> DataFrame:
+def removal(documents: DataFrame, words: int = WORDS, cells: int = CELLS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row of ``documents``.
 
     Null and empty texts have no words. Rows with the same doc_id are one document: neither removes
     words of the other. A null doc_id counts as larger than all: its windows remove nothing. Texts
     with fewer than ``words`` words have no window. An empty table gives no rows.
     """
-    found = repeats(documents, words, cells, slice_cells)
+    found = repeats(documents, words, cells)
     columns = [documents["doc_id"].cast("bigint").alias("doc_id"), documents["text"].cast("string").alias("text")]
     return _with_runs(documents, columns, found).mapInArrow(digests(words), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def without_repeats(documents: DataFrame, words: int = WORDS, cells: int = CELLS, slice_cells: int = SLICE_CELLS) -> DataFrame:
+def without_repeats(documents: DataFrame, words: int = WORDS, cells: int = CELLS) -> DataFrame:
     """The documents with repeated windows cut out of their texts, all columns as they came.
 
     A text that loses words becomes its kept words joined by a space (``n_chars``, where present,
     follows); other texts stay as they are. A document that loses all its words goes.
     """
-    found = repeats(documents, words, cells, slice_cells)
+    found = repeats(documents, words, cells)
     names = documents.columns
 
     def cut(batches):
