@@ -1,12 +1,15 @@
 """Removal of repeated word windows behind a count-min prefilter.
 
-Pass one: every partition counts its window hashes in a sketch of saturating counters; the sketches
-are merged slice by slice, and only one bit a cell is kept: counted twice or more. Counts in a sketch
-are never too low, so a window without the bit in every row occurs once. Pass two: only windows
-estimated as repeated are grouped, exactly, by 128 bits of their words.
-
-The merged sketch has a fixed size, whatever the input. When more windows than cells come in, more windows pass the first test and the second pass has more to do; the
-result is the same. Raise ``cells`` with the memory of the executors.
+Pass one: every partition counts its windows in a sketch of saturating counters, each window by the
+run of ``PICK`` words that it picks (a window occurs at most as often as its run, and neighbouring
+windows mostly pick the same). The sketches are merged slice by slice; counts are never too low, so a
+window whose run lacks the bit for "twice or more" occurs once. Pass two: only windows estimated as
+repeated are grouped, exactly, by 128 bits of their words; neighbours that pick the same run first go
+together, and one by one only where they differ. The shuffles are those of ``repeats``.
+
+The merged sketch has a fixed size, whatever the input. When more runs than cells come in, more windows
+pass the first test and the second pass has more to do; the result is the same. Raise ``cells`` with
+the memory of the executors.
 """
 
 from __future__ import annotations
@@ -15,108 +18,50 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidings.llm import buffers, sketch
-from tidings.llm.tables import documents_of
+from tidings.llm import buffers, repeats
 
 WORDS = 50
-CELLS = 1 << 29
-FLUSH = 2 << 20
-LAST = np.iinfo(np.int64).max
+PICK = 25
+CELLS = 1 << 26
 
 
-class WindowHashes:
-    """Two 64-bit hashes of every window of ``words`` consecutive words of one text."""
+class Windows:
+    """Windows of consecutive words, and the stretches of them that pick the same run of words."""
 
-    def __init__(self, words: int):
-        self.words, self.separator = words, buffers.separators("space")
+    def __init__(self, words: int, pick: int):
+        self.words, self.pick, self.reach = words, pick, words - pick + 1
+        self.separator = buffers.separators("space")
         self.bytes, self.first, self.second = buffers.Rolling(1), buffers.Rolling(2), buffers.Rolling(3)
 
-    def of(self, data: np.ndarray, offsets: np.ndarray):
-        """(hash, hash, text number, first word in the text) of all windows in a group of texts."""
+    def _hashed(self, data: np.ndarray, offsets: np.ndarray):
         starts, ends, first = buffers.word_spans(data, offsets, self.separator)
         word = self.bytes.runs(self.bytes.prefix(data), starts, ends)
-        counts = np.maximum(np.diff(first) - self.words + 1, 0)
-        place = buffers.repeat_ranges(first[:-1], counts)
-        one = self.first.windows(self.first.prefix(word), self.words)[place] if len(place) else np.zeros(0, np.uint64)
-        two = self.second.windows(self.second.prefix(buffers.mix(word)), self.words)[place] if len(place) else np.zeros(0, np.uint64)
-        text = np.repeat(np.arange(len(counts)), counts)
-        return one, two, text, place - first[text]
-
-
-def counted_windows(words: int):
-    def make():
-        windows = WindowHashes(words)
-        return lambda data, offsets: windows.of(data, offsets)[:2]
-
-    return make
-
-
-def repeated_windows(shared, words: int, cells: int):
-    """Windows estimated as repeated, as (one, two, doc_id, text_key, run). What a partition already
-    shows to be in an earlier document goes out as sure, in long runs marked by a negative number; of
-    the rest one row per window and place."""
-
-    def grouped(held):
-        one, two, ids, keys, places = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((ids, two, one))
-        fresh = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
-        least = ids[order][np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
-        known = np.zeros(len(order), dtype=bool)
-        known[order] = ids[order] > least
-        rest = np.flatnonzero(~known)
-        yield from chunks(one[rest].view(np.int64), two[rest].view(np.int64), ids[rest], keys[rest], places[rest] << buffers.RUN_BITS)
-        # Rows came text by text with rising places.
-        sure = np.flatnonzero(known)
-        head, run = buffers.packed_runs(np.cumsum(np.concatenate([[0], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (places[1:] < places[:-1])]))[sure], places[sure])
-        head = sure[head]
-        yield from chunks(keys[head] ^ run, ids[head], ids[head], keys[head], ~run)
-
-    def chunks(one, two, ids, keys, runs):
-        for a in range(0, len(one), 50_000):
-            s = slice(a, a + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(one[s]), pa.array(two[s]), pa.array(ids[s], mask=ids[s] == LAST), pa.array(keys[s]), pa.array(runs[s])], ["one", "two", "doc_id", "text_key", "run"])
-
-    def run(batches):
-        bits, windows, held, n = shared.value, WindowHashes(words), [], 0
-        for rows, data, offsets in buffers.byte_groups(batches):
-            one, two, text, place = windows.of(data, offsets)
-            keep = sketch.passing(bits, cells, one, two)
-            if not len(keep):
-                continue
-            ids = rows.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
-            keys = rows.column(2).to_numpy(zero_copy_only=False)
-            held.append((one[keep], two[keep], ids[text[keep]], keys[text[keep]], place[keep]))
-            n += len(keep)
-            if n >= FLUSH:
-                yield from grouped(held)
-                held, n = [], 0
-        if n:
-            yield from grouped(held)
-
-    return run
-
+        return word, first
 
-def repeats(documents: DataFrame, words: int = WORDS, cells: int = CELLS) -> DataFrame:
-    """(doc_id, text_key, runs): per document the packed runs of first words of all windows that also
-    start in a document with a smaller doc_id. Documents without any are left out."""
-    docs = documents_of(documents)
-    context = documents.sparkSession.sparkContext
-    shared = context.broadcast(sketch.merged_sketch(docs, counted_windows(words), cells))  # of fixed size
-    found = docs.mapInArrow(repeated_windows(shared, words, cells), "one long, two long, doc_id long, text_key long, run long")
-    # Of a window only the documents with the smallest doc_id of a partition are left here.
-    least = F.min(F.when(F.col("run") >= 0, F.col("doc_id"))).over(Window.partitionBy("one", "two"))
-    sure, earlier = F.col("run") < 0, F.col("least") < F.coalesce("doc_id", F.lit(int(LAST)))
-    late = found.withColumn("least", least).filter(sure | earlier).withColumn("run", F.when(sure, F.bitwise_not("run")).otherwise(F.col("run")))
-    return late.groupBy("doc_id", "text_key").agg(F.collect_list("run").alias("runs"))
-
-
-def _with_runs(documents: DataFrame, columns: list, found: DataFrame) -> DataFrame:
-    """``columns`` of every row of ``documents``, then the runs of its repeats (null: none)."""
-    found = found.select(F.col("doc_id").alias("_found_id"), F.col("text_key").alias("_found_key"), F.col("runs").alias("_runs"))
-    same = documents["doc_id"].cast("bigint").eqNullSafe(found["_found_id"]) & (F.xxhash64(documents["text"].cast("string")) == found["_found_key"])
-    return documents.join(found, same, "left").select(*columns, found["_runs"])
+    def stretches(self, data: np.ndarray, offsets: np.ndarray):
+        """(picked run, whole stretch, text, first window, windows)."""
+        word, first = self._hashed(data, offsets)
+        counts = np.maximum(np.diff(first) - self.words + 1, 0)
+        if not counts.sum():
+            none = np.zeros(0, np.int64)
+            return none.view(np.uint64), none.view(np.uint64), none, none, none
+        ids = self.first.windows(self.first.prefix(word), self.pick)
+        at = buffers.repeat_ranges(first[:-1], counts)
+        place = repeats.picked(ids, self.reach)[at]
+        begin = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)]))
+        size = np.diff(np.append(begin, len(at)))
+        whole = self.second.runs(self.second.prefix(buffers.mix(word)), at[begin], at[begin] + size - 1 + self.words)
+        text = np.repeat(np.arange(len(counts)), counts)[begin]
+        return ids[place[begin]], whole, text, at[begin] - first[text], size
+
+    def strings(self, data: np.ndarray, offsets: np.ndarray, text: np.ndarray, start: np.ndarray):
+        """Two hashes of each window."""
+        word, first = self._hashed(data, offsets)
+        at = first[text] + start
+        one = self.first.runs(self.first.prefix(word), at, at + self.words)
+        return one, self.second.runs(self.second.prefix(buffers.mix(word)), at, at + self.words)
 
 
 def kept_words(text: bytes, runs: list[int] | None, words: int) -> tuple[int, int, bytes]:
@@ -147,27 +92,29 @@ def digests(words: int):
     return run
 
 
-def removal(documents: DataFrame, words: int = WORDS, cells: int = CELLS) -> DataFrame:
+def _found(documents: DataFrame, words: int, pick: int, cells: int) -> DataFrame:
+    return repeats.repeats(documents, lambda: Windows(words, pick), False, cells)
+
+
+def removal(documents: DataFrame, words: int = WORDS, pick: int = PICK, cells: int = CELLS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row of ``documents``.
 
     Null and empty texts have no words. Rows with the same doc_id are one document: neither removes
     words of the other. A null doc_id counts as larger than all: its windows remove nothing. Texts
     with fewer than ``words`` words have no window. An empty table gives no rows.
     """
-    found = repeats(documents, words, cells)
-    columns = [documents["doc_id"].cast("bigint").alias("doc_id"), documents["text"].cast("string").alias("text")]
-    return _with_runs(documents, columns, found).mapInArrow(digests(words), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    joined = repeats.keyed(documents).join(_found(documents, words, pick, cells), ["id", "text_key"], "left")
+    return joined.select("doc_id", "text", "runs").mapInArrow(digests(words), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def without_repeats(documents: DataFrame, words: int = WORDS, cells: int = CELLS) -> DataFrame:
+def without_repeats(documents: DataFrame, words: int = WORDS, pick: int = PICK, cells: int = CELLS) -> DataFrame:
     """The documents with repeated windows cut out of their texts, all columns as they came.
 
     A text that loses words becomes its kept words joined by a space (``n_chars``, where present,
     follows); other texts stay as they are. A document that loses all its words goes.
     """
-    found = repeats(documents, words, cells)
+    found = _found(documents, words, pick, cells).select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("runs").alias("_runs"))
     names = documents.columns
-
     def cut(batches):
         for batch in batches:
             at = names.index("text")
@@ -189,7 +136,9 @@ def without_repeats(documents: DataFrame, words: int = WORDS, cells: int = CELLS
                     columns[names.index("n_chars")] = pa.array(chars, columns[names.index("n_chars")].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return _with_runs(documents, [documents[c] for c in names], found).mapInArrow(cut, documents.schema)
+    number = F.coalesce(documents["doc_id"].cast("bigint"), F.lit(int(repeats.LAST)))
+    same = (number == found["_id"]) & (F.xxhash64(documents["text"].cast("string")) == found["_key"])
+    return documents.join(found, same, "left").select(*[documents[c] for c in names], found["_runs"]).mapInArrow(cut, documents.schema)
 
 
 def op9_countmin_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,9 +13,7 @@ bucket says enough:
    picked them. In a bucket of equal stretches all but the earliest are repeats as a whole.
 3. Only where a bucket falls apart, its earliest stretches are refined string by string.
 
-Each level is reduced inside a partition before it is shuffled: of equal members only the earliest is
-sent, and of a bucket that falls apart in the partition only two members, which is enough to show it.
-So a bucket gets at most two rows from a partition, however many copies there are.
+The levels and their shuffles are those of ``repeats``.
 """
 
 from __future__ import annotations
@@ -24,30 +22,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window
+from pyspark.sql import DataFrame, SparkSession
 
-from tidings.llm import buffers, sketch
-from tidings.llm.tables import checkpointed
+from tidings.llm import buffers, repeats
 
 LENGTH = 100
 Q = 64
-CELLS = 1 << 28
-FLUSH = 1 << 20
-LAST = np.iinfo(np.int64).max
-CLASS, SURE, OPEN = 0, 1, 2
-ROW = "one long, two long, id long, text_key long, run long, kind int"
-
-
-def picked(ids: np.ndarray, reach: int) -> np.ndarray:
-    """For every place the first of the ``reach`` places from it on that has the smallest number."""
-    value, place, width = ids, np.arange(len(ids), dtype=np.int64), 1
-    while width < reach:
-        step = min(width, reach - width)
-        left, right = value[:-step], value[step:]
-        take = left <= right
-        place, value = np.where(take, place[:-step], place[step:]), np.where(take, left, right)
-        width += step
-    return place
+CELLS = 1 << 27
 
 
 class Buckets:
@@ -68,7 +49,7 @@ class Buckets:
             return none.view(np.uint64), none.view(np.uint64), none, none, none
         ids = self.identifiers(data)
         starts = buffers.repeat_ranges(offsets[:-1], counts)
-        place = picked(ids, self.reach)[starts]
+        place = repeats.picked(ids, self.reach)[starts]
         begin = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)]))
         size = np.diff(np.append(begin, len(starts)))
         low = starts[begin]
@@ -76,202 +57,12 @@ class Buckets:
         text = np.repeat(np.arange(len(counts)), counts)[begin]
         return ids[place[begin]], whole, text, low - offsets[text], size
 
-    def strings(self, data: np.ndarray, starts: np.ndarray):
+    def strings(self, data: np.ndarray, offsets: np.ndarray, text: np.ndarray, start: np.ndarray):
         """The two bucket identifiers that name each string."""
-        ids = self.identifiers(data)
+        ids, starts = self.identifiers(data), offsets[text] + start
         return ids[starts], ids[starts + self.length - self.q]
 
 
-def counted_buckets(length: int, q: int):
-    def make():
-        buckets = Buckets(length, q)
-
-        def of(data, offsets):
-            bucket = buckets.stretches(data, offsets)[0]
-            return bucket, buffers.mix(bucket ^ np.uint64(buffers.ODD[2]))
-
-        return of
-
-    return make
-
-
-def _rows(one, two, ids, keys, runs, kind):
-    for a in range(0, len(one), 50_000):
-        s = slice(a, a + 50_000)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(one[s]), pa.array(two[s]), pa.array(ids[s]), pa.array(keys[s]), pa.array(runs[s]), pa.array(np.full(len(one[s]), kind, dtype=np.int32))],
-            ["one", "two", "id", "text_key", "run", "kind"],
-        )
-
-
-def _spread(ids, keys, runs, kind):
-    """Rows that need no bucket any more, dealt out evenly."""
-    yield from _rows(keys ^ runs, ids, ids, keys, runs, kind)
-
-
-def _earliest(one, two, ids, keys, starts):
-    """Sorted order by (one, two, id, text_key, start); whether each row begins its class; whether it
-    is later than the first of its class."""
-    order = np.lexsort((starts, keys, ids, two, one))
-    a, b, c, d, e = one[order], two[order], ids[order], keys[order], starts[order]
-    fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    head = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
-    return order, fresh, (c != c[head]) | (d != d[head]) | (e != e[head])
-
-
-def _joined(ids, keys, starts, sizes):
-    """Stretches (in any order) as rows of (id, text_key, run), neighbours in a text put together."""
-    order = np.lexsort((starts, keys, ids))
-    ids, keys, starts, sizes = ids[order], keys[order], starts[order], sizes[order]
-    if not len(ids):
-        return ids, keys, starts
-    apart = np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (starts[1:] != starts[:-1] + sizes[:-1])])
-    begin = np.flatnonzero(apart)
-    last = np.append(begin[1:], len(ids)) - 1
-    length = starts[last] + sizes[last] - starts[begin]
-    pieces = (length - 1 >> buffers.RUN_BITS) + 1
-    head, step = np.repeat(begin, pieces), buffers.repeat_ranges(np.zeros(len(begin), dtype=np.int64), pieces) << buffers.RUN_BITS
-    rest = np.minimum(np.repeat(length, pieces) - step, 1 << buffers.RUN_BITS) - 1
-    return ids[head], keys[head], (starts[head] + step << buffers.RUN_BITS) + rest
-
-
-def suffix_rows(shared, length: int, q: int, cells: int):
-    """Stretches in buckets of more than one suffix, reduced inside the partition."""
-
-    def reduced(held):
-        one, two, ids, keys, starts, sizes = (np.concatenate(x) for x in zip(*held))
-        order, fresh, late = _earliest(one, two, ids, keys, starts)
-        sure = order[late]
-        yield from _spread(*_joined(ids[sure], keys[sure], starts[sure], sizes[sure]), SURE)
-        # Of the classes of a bucket the first and the last stand for all; the others are known to
-        # be in a bucket that falls apart.
-        classes = np.flatnonzero(fresh)
-        bucket = one[order[classes]]
-        first = np.concatenate([[True], bucket[1:] != bucket[:-1]])
-        last = np.concatenate([bucket[1:] != bucket[:-1], [True]])
-        inner = order[classes[~first & ~last]]
-        yield from _spread(ids[inner], keys[inner], (starts[inner] << buffers.RUN_BITS) + sizes[inner] - 1, OPEN)
-        outer = order[classes[first | last]]
-        yield from _rows(one[outer].view(np.int64), two[outer].view(np.int64), ids[outer], keys[outer], (starts[outer] << buffers.RUN_BITS) + sizes[outer] - 1, CLASS)
-
-    def run(batches):
-        bits, buckets, held, n = shared.value, Buckets(length, q), [], 0
-        for rows, data, offsets in buffers.byte_groups(batches):
-            one, two, text, start, size = buckets.stretches(data, offsets)
-            keep = sketch.passing(bits, cells, one, buffers.mix(one ^ np.uint64(buffers.ODD[2])))
-            if not len(keep):
-                continue
-            ids, keys = rows.column(0).to_numpy(zero_copy_only=False), rows.column(1).to_numpy(zero_copy_only=False)
-            held.append((one[keep], two[keep], ids[text[keep]], keys[text[keep]], start[keep], size[keep]))
-            n += len(keep)
-            if n >= FLUSH:
-                yield from reduced(held)
-                held, n = [], 0
-        if n:
-            yield from reduced(held)
-
-    return run
-
-
-def refined_buckets(batches):
-    """Rows sorted by (one, two, id, text_key, run): which stretches are repeats as a whole (SURE), and
-    which must be refined further (OPEN). A bucket's rows may lie in several batches."""
-    held = None
-
-    def settled(one, two, ids, keys, runs):
-        fresh = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
-        head = np.maximum.accumulate(np.where(fresh, np.arange(len(one)), 0))
-        late = (ids != ids[head]) | (keys != keys[head]) | (runs != runs[head])
-        bucket = np.cumsum(np.concatenate([[True], one[1:] != one[:-1]])) - 1
-        parted = np.bincount(bucket, weights=fresh)[bucket] > 1
-        sure = np.flatnonzero(late)
-        yield from _spread(*_joined(ids[sure], keys[sure], runs[sure] >> buffers.RUN_BITS, (runs[sure] & (1 << buffers.RUN_BITS) - 1) + 1), SURE)
-        open_ = np.flatnonzero(~late & parted)
-        yield from _spread(ids[open_], keys[open_], runs[open_], OPEN)
-
-    for batch in batches:
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-        plain = columns[5] != CLASS
-        for kind in (SURE, OPEN):
-            own = columns[5] == kind
-            if own.any():
-                yield from _spread(columns[2][own], columns[3][own], columns[4][own], kind)
-        fresh = [c[~plain] for c in columns[:5]]
-        held = fresh if held is None else [np.concatenate(pair) for pair in zip(held, fresh)]
-        if not len(held[0]):
-            continue
-        # The last bucket may go on in the next batch.
-        whole = int(np.searchsorted(held[0], held[0][-1]))
-        if whole:
-            yield from settled(*(c[:whole] for c in held))
-            held = [c[whole:] for c in held]
-    if held is not None and len(held[0]):
-        yield from settled(*held)
-
-
-def string_rows(length: int, q: int):
-    """All strings of the stretches (text, id, text_key, open runs), reduced inside the partition."""
-
-    def reduced(held):
-        one, two, ids, keys, starts = (np.concatenate(x) for x in zip(*held))
-        order, fresh, late = _earliest(one, two, ids, keys, starts)
-        sure = order[late]
-        yield from _spread(*_joined(ids[sure], keys[sure], starts[sure], np.ones(len(sure), dtype=np.int64)), SURE)
-        rest = order[fresh]
-        yield from _rows(one[rest].view(np.int64), two[rest].view(np.int64), ids[rest], keys[rest], starts[rest] << buffers.RUN_BITS, CLASS)
-
-    def run(batches):
-        buckets, held, n = Buckets(length, q), [], 0
-        for rows, data, offsets in buffers.byte_groups(batches):
-            ids, keys = rows.column(1).to_numpy(zero_copy_only=False), rows.column(2).to_numpy(zero_copy_only=False)
-            runs = rows.column(3)
-            sizes = runs.value_lengths().to_numpy(zero_copy_only=False)
-            first, count = buffers.unpacked_runs(runs.flatten().to_numpy(zero_copy_only=False))
-            text = np.repeat(np.repeat(np.arange(rows.num_rows), sizes), count)
-            start = buffers.repeat_ranges(first, count)
-            if not len(start):
-                continue
-            one, two = buckets.strings(data, start + offsets[text])
-            held.append((one, two, ids[text], keys[text], start))
-            n += len(one)
-            if n >= FLUSH:
-                yield from reduced(held)
-                held, n = [], 0
-        if n:
-            yield from reduced(held)
-
-    return run
-
-
-def _keyed(documents: DataFrame) -> DataFrame:
-    """(id, text_key, text, doc_id): a null doc_id sorts after all others."""
-    text = documents["text"].cast("string")
-    number = documents["doc_id"].cast("bigint")
-    return documents.select(F.coalesce(number, F.lit(int(LAST))).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"), number.alias("doc_id"))
-
-
-def repeats(documents: DataFrame, length: int, q: int, cells: int) -> DataFrame:
-    """(id, text_key, runs): packed starts of all strings of ``length`` bytes that start earlier too."""
-    docs = _keyed(documents)
-    context = documents.sparkSession.sparkContext
-    shared = context.broadcast(sketch.merged_sketch(docs, counted_buckets(length, q), cells))  # of fixed size
-    sent = docs.select("id", "text_key", "text").mapInArrow(suffix_rows(shared, length, q, cells), ROW)
-    # By the bucket alone, so that all classes of a bucket meet; at most two rows a partition each.
-    level = sent.repartition("one").sortWithinPartitions("one", "two", "id", "text_key", "run").mapInArrow(refined_buckets, ROW)
-    runs = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("run")))
-    by_text = checkpointed(level.groupBy("id", "text_key").agg(runs(SURE).alias("sure"), runs(OPEN).alias("open")))
-    open_ = by_text.filter("size(open) > 0").select("id", "text_key", "open")
-    # A document's rows are all alike if its id and text are, so one of them is read.
-    texts = docs.join(open_, ["id", "text_key"]).select("text", "id", "text_key", "open")
-    strings = texts.mapInArrow(string_rows(length, q), ROW)
-    place = F.struct("id", "text_key", "run")
-    least = F.min(F.when(F.col("kind") == CLASS, place)).over(Window.partitionBy("one", "two"))
-    late = strings.withColumn("least", least).filter((F.col("kind") == SURE) | (place > F.col("least")))
-    fine = late.groupBy("id", "text_key").agg(F.collect_list("run").alias("fine"))
-    both = F.concat(F.coalesce("sure", F.array().cast("array<long>")), F.coalesce("fine", F.array().cast("array<long>")))
-    return by_text.select("id", "text_key", "sure").join(fine, ["id", "text_key"], "left").select("id", "text_key", both.alias("runs"))
-
-
 def digests(length: int):
     def run(batches):
         for rows, data, offsets in buffers.byte_groups(batches):
@@ -298,8 +89,8 @@ def removal(documents: DataFrame, length: int = LENGTH, q: int = Q, cells: int =
     hash of their text; rows alike in both are one document, with a result each. Texts shorter than
     ``length`` bytes lose nothing. An empty table gives no rows.
     """
-    found = repeats(documents, length, q, cells)
-    joined = _keyed(documents).join(found, ["id", "text_key"], "left").select("text", "doc_id", "runs")
+    found = repeats.repeats(documents, lambda: Buckets(length, q), True, cells)
+    joined = repeats.keyed(documents).join(found, ["id", "text_key"], "left").select("text", "doc_id", "runs")
     return joined.mapInArrow(digests(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
