@@ -125,8 +125,9 @@ class Vocabulary:
         self.own = len(different) + 1
         symbol[~own] = self.own + shape[~own]
         self.symbols = self.own + CLASSES
+        one, two = one.view(np.uint64), two.view(np.uint64)
         order = np.lexsort((two, one))
-        self.one, self.two, self.n, self.symbol = one[order].view(np.uint64), two[order].view(np.uint64), n[order], symbol[order].astype(np.int32)
+        self.one, self.two, self.n, self.symbol = one[order], two[order], n[order], symbol[order].astype(np.int32)
         class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
         for r in sums:
             class_n[r["shape"]], class_v[r["shape"]] = r["n"], r["v"]
