@@ -109,9 +109,10 @@ class Vocabulary:
     def __init__(self, counts: DataFrame, head: int, own_symbols: int):
         sums = counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
         self.total, self.distinct = sum(r["n"] for r in sums), sum(r["v"] for r in sums)
-        rows = frequent(counts, head).toPandas()
-        rows = rows.sort_values(["n", "one", "two"], ascending=[False, True, True])
-        one, two, n, shape = (rows[c].to_numpy(dtype=np.int64) for c in ("one", "two", "n", "shape"))
+        rows = frequent(counts, head).toArrow()
+        one, two, n, shape = (rows[c].to_numpy().astype(np.int64) for c in ("one", "two", "n", "shape"))
+        by_count = np.lexsort((two, one, -n))
+        one, two, n, shape = one[by_count], two[by_count], n[by_count], shape[by_count]
         end = (one == 0) & (two == 0)
         own = np.zeros(len(n), dtype=bool)
         own[:own_symbols] = True
@@ -233,11 +234,11 @@ def expected(model: Hmm, grid: np.ndarray, is_first: np.ndarray) -> np.ndarray:
     return np.concatenate([start, middle, moved.ravel(), emitted[:, :pad].ravel()])
 
 
-def expectation(shared):
+def expectation(words, shared):
     """(place, value) of a partition's expected counts."""
 
     def run(batches):
-        vocabulary, model = shared.value
+        vocabulary, model = words.value, shared.value
         tokens, total = Tokens(), None
         for _, data, offsets in buffers.byte_groups(batches):
             one, two, shape, first = tokens.of(data, offsets)
@@ -251,20 +252,19 @@ def expectation(shared):
     return run
 
 
-def train(training: DataFrame, vocabulary: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
-    """Baum-Welch over all training texts. Long texts count as segments; only their first segment
-    says how texts start."""
+def train(training: DataFrame, words, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
+    """Baum-Welch over all training texts; ``words`` is the vocabulary as the tasks have it. Long texts
+    count as segments; only their first segment says how texts start."""
     context = training.sparkSession.sparkContext
-    model = Hmm.first(vocabulary.symbol_n, states)
+    model = Hmm.first(words.value.symbol_n, states)
     for _ in range(rounds):
-        shared = context.broadcast((vocabulary, model))  # at most HEAD tokens and the model
-        sums = training.select("text").mapInArrow(expectation(shared), "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).toPandas()
-        if not len(sums):
+        shared = context.broadcast(model)  # states x symbols numbers
+        sums = training.select("text").mapInArrow(expectation(words, shared), "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+        if not sums.num_rows:
             return model
-        counts = np.zeros(int(sums["place"].max()) + 1)
+        counts = np.zeros(sums.num_rows)
         counts[sums["place"].to_numpy()] = sums["value"].to_numpy()
         model = model.trained(counts)
-        shared.unpersist()
     return model
 
 
@@ -312,13 +312,13 @@ def likelihoods(model: Hmm, symbol: np.ndarray, first: np.ndarray) -> np.ndarray
     return out
 
 
-def score_batches(shared):
+def score_batches(words, shared):
     """Per text one row with what is known here, and one row per rare token to be joined.
 
     ``row`` names a text among those of its partition; the rows of a text meet again by it."""
 
     def run(batches):
-        vocabulary, model = shared.value
+        vocabulary, model = words.value, shared.value
         tokens, row = Tokens(), TaskContext.get().partitionId() << 40
         plus = np.log10(vocabulary.n + 1.0)
 
@@ -375,9 +375,10 @@ def scores(documents: DataFrame, folds: int = 7, held: int = 2, states: int = ST
     training = docs.filter("not held_out")
     counts = checkpointed(token_counts(training))
     vocabulary = Vocabulary(counts, head, OWN_SYMBOLS)
-    model = train(training, vocabulary, states, rounds)
-    shared = documents.sparkSession.sparkContext.broadcast((vocabulary, model))  # at most HEAD tokens and the model
-    found = docs.mapInArrow(score_batches(shared), SCORED)
+    context = documents.sparkSession.sparkContext
+    words = context.broadcast(vocabulary)  # at most ``head`` tokens
+    shared = context.broadcast(train(training, words, states, rounds))
+    found = docs.mapInArrow(score_batches(words, shared), SCORED)
     rare = counts.select("one", "two", F.col("n").alias("c"))
     joined = found.join(rare, ["one", "two"], "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("c", F.lit(0))).otherwise(0))
     gain = F.sum(F.col("n") * F.log10(F.col("c") + 1))
