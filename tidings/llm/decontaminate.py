@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidings.llm import buffers
-from tidings.llm.tables import documents_of
+from tidings.llm.tables import documents_of, free_name
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -232,7 +232,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def _through_blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
     """``docs`` with packed hit spans and items as their last two columns."""
-    state = docs.select("*", F.lit(None).cast("binary").alias("_hits"), F.lit(None).cast("array<string>").alias("_items"))
+    state = docs.select("*", F.lit(None).cast("binary").alias(free_name(docs, "_hits")), F.lit(None).cast("array<string>").alias(free_name(docs, "_items")))
     context = docs.sparkSession.sparkContext
     for tests in blocks_of(benchmark, window, block_bytes):
         state = state.mapInArrow(through_block(context.broadcast(tests)), state.schema)

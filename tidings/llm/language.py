@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidings.llm import buffers
+from tidings.llm.tables import free_name
 
 PER_LANGUAGE = 300
 PIECES = 4
@@ -262,7 +263,7 @@ def in_known_language(documents: DataFrame, least: float, folds: int = 5, per_la
             keep = [n != "und" and s >= least for n, s in zip(names, score.tolist())]
             yield pa.RecordBatch.from_arrays(rows.columns[:kept], names=rows.schema.names[:kept]).filter(pa.array(keep, pa.bool_()))
 
-    return documents.select("*", _letters(documents).alias("_letters")).mapInArrow(run, documents.schema)
+    return documents.select("*", _letters(documents).alias(free_name(documents, "_letters"))).mapInArrow(run, documents.schema)
 
 
 def op2_recurrent_language(spark: SparkSession, sf_dir: str) -> DataFrame:

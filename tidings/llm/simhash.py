@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
 from tidings.llm import buffers
 from tidings.llm.graph import components
-from tidings.llm.tables import checkpointed, documents_of
+from tidings.llm.tables import checkpointed, documents_of, free_name
 
 SHINGLE = 3
 DISTANCE = 2
@@ -109,11 +109,12 @@ def one_of_each(documents: DataFrame, shingle: int = SHINGLE, distance: int = DI
     """The documents, all columns as they came, with one document of each group: the one with the
     smallest doc_id (a null doc_id only if the group has no other; then the smallest text hash)."""
     groups = near_groups(documents, shingle, distance)
-    order = F.struct(F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max.item())).alias("at"), F.col("text_key"), F.col("doc_id").alias("id"))
-    keep = groups.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.text_key").alias("_key"))
-    same = documents["doc_id"].cast("bigint").eqNullSafe(keep["_id"]) & (F.xxhash64(documents["text"].cast("string")) == keep["_key"])
+    order = F.struct(F.coalesce("doc_id", F.lit(int(np.iinfo(np.int64).max))).alias("at"), F.col("text_key"), F.col("doc_id").alias("id"))
+    one, key = free_name(documents, "_id"), free_name(documents, "_key")
+    keep = groups.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.id").alias(one), F.col("k.text_key").alias(key))
+    same = documents["doc_id"].cast("bigint").eqNullSafe(keep[one]) & (F.xxhash64(documents["text"].cast("string")) == keep[key])
     # Rows that repeat the chosen one as a whole are the same document.
-    return documents.join(keep, same, "inner").dropDuplicates(["_id", "_key"]).select(*[documents[c] for c in documents.columns])
+    return documents.join(keep, same, "inner").dropDuplicates([one, key]).select(*documents.columns)
 
 
 def op1_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:

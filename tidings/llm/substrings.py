@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidings.llm import buffers, repeats
+from tidings.llm.tables import free_name
 
 WORDS = 50
 PICK = 25
@@ -113,8 +114,9 @@ def without_repeats(documents: DataFrame, words: int = WORDS, pick: int = PICK,
     A text that loses words becomes its kept words joined by a space (``n_chars``, where present,
     follows); other texts stay as they are. A document that loses all its words goes.
     """
-    found = _found(documents, words, pick, cells).select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("runs").alias("_runs"))
     names = documents.columns
+    one, key, runs = (free_name(documents, n) for n in ("_id", "_key", "_runs"))
+    found = _found(documents, words, pick, cells).select(F.col("id").alias(one), F.col("text_key").alias(key), F.col("runs").alias(runs))
     def cut(batches):
         for batch in batches:
             at = names.index("text")
@@ -137,8 +139,8 @@ def without_repeats(documents: DataFrame, words: int = WORDS, pick: int = PICK,
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
     number = F.coalesce(documents["doc_id"].cast("bigint"), F.lit(int(repeats.LAST)))
-    same = (number == found["_id"]) & (F.xxhash64(documents["text"].cast("string")) == found["_key"])
-    return documents.join(found, same, "left").select(*[documents[c] for c in names], found["_runs"]).mapInArrow(cut, documents.schema)
+    same = (number == found[one]) & (F.xxhash64(documents["text"].cast("string")) == found[key])
+    return documents.join(found, same, "left").select(*[documents[c] for c in names], found[runs]).mapInArrow(cut, documents.schema)
 
 
 def op9_countmin_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

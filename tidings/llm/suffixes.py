@@ -35,6 +35,8 @@ class Buckets:
     """Bucket identifiers of all suffixes in a group of texts, and the stretches that pick them."""
 
     def __init__(self, length: int, q: int):
+        if not q <= length <= 2 * q:
+            raise ValueError("two bucket identifiers must cover a string")
         self.length, self.q, self.reach = length, q, length - q + 1
         self.first, self.second = buffers.Rolling(1), buffers.Rolling(2)
 

@@ -12,6 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the caller's table does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def documents_of(df: DataFrame) -> DataFrame:
     """Only (doc_id, text, text_key): whatever other columns the caller has, none can clash.
 

@@ -37,7 +37,7 @@ def rotation(dims: int) -> np.ndarray:
 
 
 def block_edges(dims: int) -> list[tuple[int, int]]:
-    count = max(1, round(dims / BLOCK_DIMS))
+    count = max(1, (dims + BLOCK_DIMS // 2) // BLOCK_DIMS)
     edges = [i * dims // count for i in range(count + 1)]
     return list(zip(edges[:-1], edges[1:]))
 
@@ -103,7 +103,7 @@ def candidates(classes: DataFrame, cosine: float) -> DataFrame:
     apart = reduce(lambda s, t: s + t, [(F.col(x).cast("double") - F.col(f"o{x}")) * (F.col(x).cast("double") - F.col(f"o{x}")) for x in xs])
     share = F.lit((2 - 2 * cosine) * (1 + 1e-4)) / F.col("dims")
     # A block's dimensions: an even split, so their number follows from the block's number.
-    count = F.greatest(F.lit(1), F.round(F.col("dims") / BLOCK_DIMS)).cast("int")
+    count = F.greatest(F.lit(1), F.floor((F.col("dims") + BLOCK_DIMS // 2) / BLOCK_DIMS)).cast("int")
     own_dims = F.floor((F.col("block") + 1) * F.col("dims") / count) - F.floor(F.col("block") * F.col("dims") / count)
     near = apart <= share * own_dims + 1e-5
     once = (~F.col("own") & (F.col("id") != F.col("other"))) | (F.col("other") > F.col("id"))
