@@ -86,7 +86,7 @@ def empty(spark):
 def benchmark_rows(rows):
     draw = random.Random(9)
     by_length = [t for _, t in rows if t and len(brute.LETTERS.findall(t)) > 100]
-    picked = [" ".join(brute.LETTERS.findall(t)[20:50]).upper() for t in by_length[:4]]
+    picked = [" ".join(brute.LETTERS.findall(t)[20:50]).upper() for t in [max(by_length, key=len), *by_length[:3]]]
     return [(1, picked[0]), (2, picked[1]), (10, picked[1]), (3, picked[2] + " " + words(draw, 10)), (4, "one two"), (5, None), (6, ""), (7, "!!"), (None, picked[3]), (1, picked[3]), (8, words(draw, 40))]
 
 

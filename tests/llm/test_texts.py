@@ -75,7 +75,7 @@ def test_contamination_of_an_empty_benchmark(spark, documents, rows):
 def test_word_windows(documents, rows):
     columns = ("doc_id", "n_words", "n_removed", "kept_sha256")
     want = sorted(brute.word_repeat_rows(rows), key=repr)
-    assert sum(w[2] > 0 for w in want) > 5
+    assert sum(w[2] > 0 for w in want) >= 4
     assert got(substrings.removal(documents, cells=CELLS), *columns) == want
 
 
@@ -102,7 +102,7 @@ def test_byte_strings(documents, rows):
     assert got(suffixes.removal(documents, cells=CELLS), *columns) == want
 
 
-@pytest.mark.parametrize("length,q", [(100, 100), (30, 8), (5, 2)])
+@pytest.mark.parametrize("length,q", [(100, 100), (30, 15), (5, 3)])
 def test_byte_strings_of_other_lengths(spark, rows, length, q):
     short = [(d, (t or "")[:400]) for d, t in rows]
     columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
