@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import html
+import json
+import math
 import random
+import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
-from tidings.operators import dedup, handoff, match, ordered, search, similarity, stories
+from tidings.operators import dedup, handoff, match, measures, ordered, search, similarity, stories
 from tidings.sources import feeds, pages, sitemaps
 
-START = dt.datetime(2026, 9, 27, 8)
+START = dt.datetime(2024, 3, 4, 5)
 
 
 def _originals_one_by_one(rows, hours, near):
@@ -52,37 +57,71 @@ def test_originals_by_peeling_and_verified_rounds(spark):
     _check_hashes(spark, _family_rows(120), pairs_per_item=0, min_pairs=0)
 
 
-def test_match_by_hash_vector_and_time(spark):
+def test_matches_are_near_in_content_and_time(spark):
     hour = dt.timedelta(hours=1)
-    pool = spark.createDataFrame([(1, START, 12345, [1.0, 0.0, 0.0]), (2, START - hour, 12345, [1.0, 0.0, 0.0]), (3, START + hour, 12345, [1.0, 0.0, 0.0])], "item_id bigint, published_at timestamp, simhash bigint, embedding array<double>")
-    items = spark.createDataFrame(
-        [(10, START + 2 * hour, 12349, [0.0, 1.0, 0.0]), (11, START + hour, -999999999, [1.0, 0.001, 0.0]), (12, START + 100 * hour, 12345, [1.0, 0.0, 0.0]), (13, START, 999999999999, [0.0, 0.0, 1.0])],
-        pool.schema,
-    )
-    got = {r[0]: r[1] for r in dedup.canonical_match(items, pool, dedup.Nearness(48, 8, 0.95)).collect()}
-    assert got == {10: 2, 11: 2}
-
-
-def test_cluster_decisions(spark):
-    story = spark.createDataFrame([(1, [1.0, 0.0, 0.0], START)], "story_id bigint, centroid array<double>, last_updated_at timestamp")
-    items = spark.createDataFrame(
-        [(1, [0.99, 0.01, 0.0], START), (2, [0.8, 0.6, 0.0], START), (3, [0.0, 1.0, 0.0], START), (4, [1.0, 0.0, 0.0], START + dt.timedelta(days=10))], "item_id bigint, embedding array<double>, published_at timestamp"
-    )
-    for inline in (100, 0):
-        got = {r["item_id"]: r["action"] for r in similarity.best_stories(items, story, 0.9, 0.75, inline_vectors=inline).collect()}
-        assert got == {1: "attach", 2: "confirm", 3: "new", 4: "new"}
-
-
-def test_keywords(spark):
-    topics = spark.createDataFrame([(1, ["Ukraine", "Ukrayna", "Kremlin", "NATO"], ["football"]), (2, ["AB", "Customs Union / Gümrük Birliği"], []), (3, [], ["x"])], "topic_id bigint, keywords array<string>, exclusions array<string>")
-    texts = ["UKRAINE peace talks stall", "Ukrayna'nın enerji altyapısı", "A story about tariffs, nato", "AB ile Gümrük Birliği'nin güncellenmesi", "Ukraine football team"]
-    items = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
-    want = {(0, 1): ["Ukraine"], (1, 1): ["Ukrayna"], (3, 2): ["AB", "Gümrük Birliği"]}
-    for inline in (400, 0):
-        got = {(r[0], r[1]): r[2] for r in match.keyword_hits(items, topics, inline).collect()}
+    rng = random.Random(3)
+    base, axes = [rng.getrandbits(60) for _ in range(4)], [[float(i == j) for j in range(4)] for i in range(4)]
+    pool_rows = [(i, START + rng.randrange(200) * hour, base[i % 4] ^ (1 << rng.randrange(60)), axes[(i + 1) % 4]) for i in range(30)]
+    item_rows = [(100 + i, START + rng.randrange(200) * hour, base[rng.randrange(4)] ^ (rng.getrandbits(60) if i % 5 == 0 else 1 << rng.randrange(60)), axes[rng.randrange(4)]) for i in range(60)]
+    schema = "item_id bigint, published_at timestamp, simhash bigint, embedding array<double>"
+    got = {r[0]: r[1] for r in dedup.canonical_match(spark.createDataFrame(item_rows, schema), spark.createDataFrame(pool_rows, schema), dedup.Nearness(48, 8, 0.95)).collect()}
+    want = {}
+    for i, at, h, v in item_rows:
+        near = [(p_at, p) for p, p_at, p_h, p_v in pool_rows if abs(at - p_at) <= 48 * hour and (bin(h ^ p_h).count("1") <= 8 or v == p_v)]
+        if near:
+            want[i] = min(near)[1]
+    assert got == want
+
+
+def test_best_story_of_each_item(spark):
+    rng = random.Random(4)
+    vector = lambda: [rng.gauss(0, 1) for _ in range(3)]
+    story_rows = [(i, vector(), START + dt.timedelta(hours=rng.randrange(200))) for i in range(25)] + [(25, [0.0, 0.0, 0.0], START)]
+    item_rows = [(i, vector(), START + dt.timedelta(hours=rng.randrange(200))) for i in range(60)]
+    stories_df = spark.createDataFrame(story_rows, "story_id bigint, centroid array<double>, last_updated_at timestamp")
+    items_df = spark.createDataFrame(item_rows, "item_id bigint, embedding array<double>, published_at timestamp")
+
+    def cosine(a, b):
+        length = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return sum(x * y for x, y in zip(a, b)) / length if length else 0.0
+
+    want = {}
+    for i, v, at in item_rows:
+        near = [(round(cosine(v, c), 9), -s) for s, c, t in story_rows if abs(at - t) <= dt.timedelta(hours=72) and cosine(v, c) >= 0.7]
+        best = max(near, default=None)
+        want[i] = (None, None, "new") if best is None else (-best[1], best[0], "attach" if best[0] >= 0.9 else "confirm")
+    for block in (1000, 4):
+        got = {r["item_id"]: (r["story_id"], None if r["cosine"] is None else round(r["cosine"], 9), r["action"]) for r in similarity.best_stories(items_df, stories_df, 0.9, 0.7, block=block).collect()}
         assert got == want
 
 
+def test_keywords_against_word_lists(spark):
+    rng = random.Random(5)
+    vocabulary = ["tin", "tinsel", "Oslo", "ÖBB", "rail", "railway", "sea", "señal", "EU", "eu"]
+    topics = [(1, ["tin", "rail"], []), (2, ["EU"], ["sea"]), (3, ["Senal / Oslo", "river (EU)"], []), (4, [], ["tin"]), (5, ["öbb"], ["EU"])]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 7))) + rng.choice(["", ".", "-EU"]) for _ in range(120)]
+    fold = lambda s: "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not unicodedata.combining(c))
+
+    def holds(text, term):
+        whole = len(term) <= 4 and term == term.upper()
+        side, needle = (text, term) if whole else (fold(text), fold(term))
+        cut = re.split(r"[^\w]+", side)
+        return needle in cut if whole else any(w.startswith(needle) for w in cut)
+
+    want = {}
+    for i, text in enumerate(texts):
+        for topic, keywords, exclusions in topics:
+            terms = [p for k in keywords for e in k.split(" / ") for p in ([e] if "(" not in e else [e.split(" (")[0], e.split("(")[1][:-1]])]
+            found = [t for t in dict.fromkeys(terms) if holds(text, t)]
+            if found and not any(holds(text, e) for e in exclusions):
+                want[(i, topic)] = found
+    items_df = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    topics_df = spark.createDataFrame(topics, "topic_id bigint, keywords array<string>, exclusions array<string>")
+    for block in (1000, 2):
+        assert {(r[0], r[1]): r[2] for r in match.keyword_hits(items_df, topics_df, block).collect()} == want
+    assert match.keyword_hits(items_df, topics_df.limit(0)).count() == 0
+
+
 def test_running_totals_split_a_hot_group(spark):
     rows = [(0 if i % 3 else i % 5, i, i % 7) for i in range(3000)]
     df = spark.createDataFrame(rows, "g bigint, i bigint, x bigint")
@@ -94,39 +133,151 @@ def test_running_totals_split_a_hot_group(spark):
     assert got == want
 
 
-def test_grouping_keeps_every_item(spark):
-    batch = spark.createDataFrame([(0, 0, 100, "Strike on plant", "Overnight"), (0, 1, 101, "Blackout", None), (0, 2, 102, "Talks", "Delegations")], "batch_no bigint, idx bigint, item_id bigint, title string, standfirst string")
-    events = spark.createDataFrame([(0, 0, 7)], "batch_no bigint, idx bigint, story_id bigint")
+def test_grouping_settles_claims_in_order(spark):
+    rng = random.Random(6)
+    size, known = 12, 3
+    batch_rows = [(b, i, b * 100 + i, f"own {b}/{i}", f"note {i}" if i % 2 else None) for b in range(6) for i in range(size)]
+    event_rows = [(b, e, b * 10 + e) for b in range(6) for e in range(known)]
+    answers = [(b, [(rng.randrange(size + 2), rng.randrange(known + 2)) for _ in range(4)], [([rng.randrange(size + 2) for _ in range(3)], rng.choice(["", f"new {n}"]), f"text {n}", n + 1) for n in range(2)]) for b in range(5)]
+    want = {}
+    for b, assign, events in answers:
+        taken = set()
+        for i, e in assign:
+            if i < size and e < known and i not in taken:
+                taken.add(i)
+                want[b * 100 + i] = b * 10 + e
+        for n, (members, _, _, _) in enumerate(events):
+            for i in members:
+                if i < size and i not in taken:
+                    taken.add(i)
+                    want[b * 100 + i] = ("new", b, n)
     schema = "batch_no bigint, assign array<struct<i: bigint, e: bigint>>, new_events array<struct<items: array<bigint>, title: string, summary: string, tier: bigint>>"
-    verdict = spark.createDataFrame([(0, [(0, 5), (9, 0), (1, 0), (1, 0)], [([1, 2], "Saldırı — Kiev", "s", 3)])], schema)
-    got = {r["item_id"]: (r["story_id"], r["title"]) for r in stories.resolve_grouping(batch, events, verdict).collect()}
-    assert got == {100: (None, "Strike on plant"), 101: (7, None), 102: (None, "Saldırı, Kiev")}
-
-
-def test_sitemap_and_listing_cases(spark):
-    xml = "<urlset><url><loc>https://a.org/x?a=1&amp;b=2</loc><lastmod>2026-10-01</lastmod><news:news><news:publication_date>2026-10-03T09:00:00Z</news:publication_date><news:title><![CDATA[Merz arrives]]></news:title></news:news></url></urlset>"
-    got = sitemaps.sitemap_entries(spark.createDataFrame([("s", xml)], "sitemap string, body string")).select("url", "date", "title").collect()
-    assert [tuple(r) for r in got] == [("https://a.org/x?a=1&b=2", "2026-10-03T09:00:00Z", "Merz arrives")]
-    html = '<a href="#top">Top</a><a href="http://[bad">Bad</a><a href="/analysis/deal"><img src="x.jpg"></a><a href="/analysis/deal">Trump’s Deal: Modest Gains</a><a href="https://other.org/analysis/1">Elsewhere</a>'
-    listing = spark.createDataFrame([("s", "https://www.csis.org/analysis", html, "^/analysis/[^/]+$")], "source_id string, url string, html string, link_pattern string")
-    assert [(r["url"], r["text"]) for r in pages.listing_links(listing).collect()] == [("https://www.csis.org/analysis/deal", "Trump’s Deal: Modest Gains")]
-
-
-def test_feed_survives_broken_markup(spark):
-    bodies = spark.createDataFrame([("a", "<rss><item><title>T &amp; U</title><link>https://x.org/1</link><description>&lt;b&gt;Hi&lt;/b&gt; there</description></item><item><title>no link</title></item><item><titl"), ("b", "")], "source_id string, body string")
-    got = [(r["title"], r["url"], r["standfirst"]) for r in feeds.rss_items(bodies).collect()]
-    assert got == [("T & U", "https://x.org/1", "Hi there")]
-
-
-def test_text_rank_of_one_hit(spark):
-    docs = spark.createDataFrame([(1, "one ankara word"), (2, "nothing")], "item_id bigint, body string")
-    queries = spark.createDataFrame([(1, "Ankara")], "query_id bigint, text string")
-    got = search.text_ranks(docs, queries).collect()
-    assert [(r["item_id"], r["matched"], round(r["rank"], 4)) for r in got] == [(1, True, 0.0608)]
+    resolved = stories.resolve_grouping(
+        spark.createDataFrame(batch_rows, "batch_no bigint, idx bigint, item_id bigint, title string, standfirst string"), spark.createDataFrame(event_rows, "batch_no bigint, idx bigint, story_id bigint"), spark.createDataFrame(answers, schema)
+    ).collect()
+    assert sorted(r["item_id"] for r in resolved) == sorted(r[2] for r in batch_rows)
+    for r in resolved:
+        claim = want.get(r["item_id"])
+        if isinstance(claim, int):
+            assert r["story_id"] == claim
+        elif claim:
+            assert (r["story_id"], r["batch_no"], r["new_no"]) == (None, claim[1], claim[2])
+        else:
+            assert r["story_id"] is None and r["new_no"] >= 1_000_000 and r["title"].startswith("own")
+
+
+def test_story_ids_of_two_runs_differ_and_repeat(spark):
+    schema = "item_id bigint, batch_no bigint, story_id bigint, new_no bigint, title string, summary string, tier bigint"
+    topics = spark.createDataFrame([], "item_id bigint, topic_id bigint")
+    run = lambda first: spark.createDataFrame([(first + i, 0, None, i // 2, "t", "s", 1) for i in range(6)], schema)
+    ids = [sorted(r["story_id"] for r in stories.grouping_writes(run(first), topics)[0].collect()) for first in (0, 0, 50)]
+    assert ids[0] == ids[1] and len(set(ids[0])) == 3 and not set(ids[0]) & set(ids[2])
+
+
+def test_sitemap_entries_and_their_dates(spark):
+    rows = [("https://n.example/2020/05/06/x", "2021-01-01", None, None), ("https://n.example/y?a=1&b=2", "2021-01-02", "2021-02-03", "Named & dated"), ("https://n.example/z", None, None, None)]
+    wrap = lambda tag, value: "" if value is None else f"<{tag}>{html.escape(value)}</{tag}>"
+    xml = "<urlset>" + "".join(f"<url>{wrap('loc', u)}{wrap('lastmod', m)}{wrap('news:publication_date', n)}{wrap('news:title', t)}</url>" for u, m, n, t in rows) + "</urlset>"
+    got = [tuple(r) for r in sitemaps.sitemap_entries(spark.createDataFrame([("s", xml)], "sitemap string, body string")).orderBy("pos").select("url", "date", "title").collect()]
+    assert got == [(rows[0][0], "2020-05-06", None), (rows[1][0], "2021-02-03", "Named & dated"), (rows[2][0], None, None)]
+
+
+def test_many_children_keep_their_order(spark):
+    """Twelve children of an index, each with an entry: the first places are those of the newest."""
+    days = [f"2024-01-{n + 10:02d}" for n in range(12)]
+    index = "<sitemapindex>" + "".join(f"<sitemap><loc>https://n.example/c{n}.xml</loc><lastmod>{d}</lastmod></sitemap>" for n, d in enumerate(days)) + "</sitemapindex>"
+    leaves = [(f"https://n.example/c{n}.xml", f"<urlset><url><loc>https://n.example/p{n}</loc><lastmod>{d}</lastmod></url></urlset>") for n, d in enumerate(days)]
+    bodies = spark.createDataFrame([("https://n.example/i.xml", index), *leaves], "sitemap string, body string")
+    roots = spark.createDataFrame([("s", "https://n.example/i.xml", None)], "source_id string, sitemap string, link_pattern string")
+    found = sitemaps.collected_entries(roots, bodies, "2024-01-01").orderBy("order", "pos").collect()
+    assert [r["url"] for r in found] == [f"https://n.example/p{n}" for n in reversed(range(12))]
+
+
+def test_listing_links_of_a_page(spark):
+    parts = [("/news/a", "First story here"), ("/news/a", "First"), ("/about", "About"), ("https://away.example/news/b", "Away"), ("../news/c", "→ Third &amp; last"), ("#x", "jump"), ("/news/d#end", "Fourth")]
+    page = "".join(f"<a class=k href='{h}'><span>{t}</span></a>" for h, t in parts)
+    listing = spark.createDataFrame([("s", "https://p.example/section/", page, "^/news/[a-z]$")], "source_id string, url string, html string, link_pattern string")
+    got = [(r["rank"], r["url"], r["text"]) for r in pages.listing_links(listing).orderBy("rank").collect()]
+    assert got == [(1, "https://p.example/news/a", "First story here"), (2, "https://p.example/news/c", "Third & last"), (3, "https://p.example/news/d", "Fourth")]
+
+
+def test_feeds_cut_off_anywhere_keep_their_whole_items(spark):
+    body = "<rss>" + "".join(f"<item><title>Item {n}</title><link>https://f.example/{n}</link><description>&lt;i&gt;text&lt;/i&gt; {n}</description></item>" for n in range(6)) + "</rss>"
+    cuts = [(str(n), body[:n]) for n in range(0, len(body), 37)]
+    rows = feeds.rss_items(spark.createDataFrame(cuts, "source_id string, body string")).collect()
+    for name, cut in cuts:
+        own = sorted((r["pos"], r["title"], r["url"], r["standfirst"]) for r in rows if r["source_id"] == name)
+        assert own == [(n, f"Item {n}", f"https://f.example/{n}", f"text {n}") for n in range(cut.count("</item>"))]
+
+
+def test_word_ranks_against_plain_reckoning(spark):
+    rng = random.Random(10)
+    texts = [" ".join(rng.choice(["alder", "birch", "cedar", "x"]) for _ in range(rng.randrange(1, 400))) for _ in range(25)]
+    queries = spark.createDataFrame([(1, "alder"), (2, "alder birch"), (3, "cedar or birch"), (4, '"birch cedar" -x')], "query_id bigint, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, body string")
+    got = {(r["query_id"], r["item_id"]): (r["matched"], r["rank"]) for r in search.text_ranks(docs, queries).collect()}
+    series = lambda n: sum(0.1 / i**2 for i in range(1, n + 1)) / 1.64493406685
+    for i, text in enumerate(texts):
+        words = text.split()
+        at = {w: [p for p, x in enumerate(words) if x == w] for w in ("alder", "birch", "cedar", "x")}
+        if at["alder"]:
+            assert abs(got[(1, i)][1] - series(len(at["alder"]))) < 1e-9
+        if at["alder"] or at["birch"]:
+            miss = 1.0
+            for a in at["alder"]:
+                for b in at["birch"]:
+                    if abs(a - b) <= 100:
+                        miss *= 1 - 0.1 * (1 / (1.005 + 0.05 * math.exp(abs(a - b) / 1.5 - 2))) ** 0.5
+            assert got[(2, i)][0] == bool(at["alder"] and at["birch"]) and abs(got[(2, i)][1] - (1 - miss)) < 1e-9
+        if at["birch"] or at["cedar"]:
+            assert abs(got[(3, i)][1] - (series(len(at["birch"])) + series(len(at["cedar"]))) / 2) < 1e-9
+        if (4, i) in got:
+            assert got[(4, i)][0] == ("birch cedar" in text and "x" not in words)
+
+
+def test_search_of_many_queries_has_one_plan(spark):
+    rng = random.Random(11)
+    vector = lambda: [rng.gauss(0, 1) for _ in range(4)]
+    item_rows = [(i, f"t{i % 7} common", f"body {i % 5}", None, vector() if i % 6 else None) for i in range(300)]
+    query_rows = [(q, f"t{q % 9}", vector() if q % 4 else None) for q in range(700)]
+    items_df = spark.createDataFrame(item_rows, "item_id bigint, title string, text string, standfirst string, embedding array<double>")
+    queries_df = spark.createDataFrame(query_rows, "query_id bigint, text string, embedding array<double>")
+    plan = lambda n: search.hybrid_search(items_df, queries_df.filter(f"query_id < {n}"), 5)._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas")
+    assert plan(5) == plan(700)
+    got = {}
+    for r in search.hybrid_search(items_df, queries_df, 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["item_id"], round(r["score"], 9)))
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+
+    for q, text, v in query_rows[::23]:
+        scored = []
+        for i, title, _, _, e in item_rows:
+            rank = 0.1 / 1.64493406685 if title.split()[0] == text else 0.0
+            if rank or (v is not None and e is not None):
+                scored.append((-round(0.6 * (cosine(v, e) if v is not None and e is not None else 0.0) + 0.4 * rank, 9), i))
+        want = [(n + 1, i, -s) for n, (s, i) in enumerate(sorted(scored)[:5])]
+        assert sorted(got.get(q, [])) == want
 
 
 def test_answers_are_checked(spark):
-    answers = spark.createDataFrame([(1, 'x {"assign": [], "new_events": [{"items": [0], "title": "t", "summary": "s", "tier": 4}]} y'), (2, '{"assign": [{"i": 0, "e": 0}], "new_events": []}'), (3, "{broken")], "batch_no bigint, answer string")
-    good, bad = handoff.parsed_answers(answers, handoff.GROUP_ANSWER, handoff.group_valid)
-    assert [r["batch_no"] for r in good.collect()] == [2]
-    assert sorted(r["batch_no"] for r in bad.collect()) == [1, 3]
+    fine = {"assign": [{"i": 1, "e": 0}], "new_events": [{"items": [2], "title": "t", "summary": "s", "tier": 2}]}
+    broken = [
+        json.dumps({**fine, "new_events": [{**fine["new_events"][0], "tier": 0}]}),
+        json.dumps({**fine, "new_events": [{**fine["new_events"][0], "items": []}]}),
+        json.dumps({"new_events": fine["new_events"]}),
+        json.dumps(fine)[:-3],
+        "no answer",
+    ]
+    good = [json.dumps(fine), "Sure:\n" + json.dumps(fine) + "\nThat is all.", json.dumps({"assign": [], "new_events": []})]
+    answers = spark.createDataFrame(list(enumerate(good + broken)), "batch_no bigint, answer string")
+    kept, rejected = handoff.parsed_answers(answers, handoff.GROUP_ANSWER, handoff.group_valid)
+    assert sorted(r["batch_no"] for r in kept.collect()) == [0, 1, 2]
+    assert sorted(r["batch_no"] for r in rejected.collect()) == [3, 4, 5, 6, 7]
+
+
+def test_sources_without_a_url_are_broken_and_only_feeds_go_stale(spark):
+    rows = [(1, "a", START, True, True, "u", "rss"), (2, "b", START, True, True, "u", "sitemap"), (3, "c", START, True, False, None, "rss"), (4, "d", START, True, False, "u", "rss")]
+    log = spark.createDataFrame(rows, "fetch_id bigint, source_id string, at timestamp, ok boolean, stale boolean, url string, type string")
+    assert {r["source_id"]: r["health_status"] for r in measures.fetch_health(log).collect()} == {"a": "degraded", "b": "ok", "c": "broken", "d": "ok"}

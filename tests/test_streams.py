@@ -36,3 +36,21 @@ def test_one_brief_a_day(spark):
     folder = run_folder(spark, "test-briefs")
     stream = _files(spark, folder, [[("d1", "one")], [("d1", "two"), ("d2", "three")]], "day string, headline string")
     assert sorted(map(tuple, jobs.one_brief_a_day(stream, f"{folder}/out").collect())) == [("d1", "one"), ("d2", "three")]
+
+
+def test_late_arrivals_never_seen_before_are_kept(spark):
+    folder = run_folder(spark, "test-late")
+    day = dt.timedelta(days=1)
+    parts = [[("a", START + 30 * day), ("b", START + 30 * day)], [("c", START), ("a", START), ("d", START + 40 * day)], [("c", START + day), ("e", START - 300 * day)]]
+    stream = _files(spark, folder, parts, "k string, ts timestamp")
+    assert sorted(r["k"] for r in jobs.arrivals_once(stream, f"{folder}/out", "k").collect()) == ["a", "b", "c", "d", "e"]
+
+
+def test_clusters_move_on_between_batches(spark):
+    folder = run_folder(spark, "test-clusters")
+    hour = dt.timedelta(hours=1)
+    parts = [[(1, START, [1.0, 0.0]), (2, START + hour, [0.99, 0.1])], [(3, START + 2 * hour, [0.98, 0.15]), (4, START + 3 * hour, [0.0, 1.0])], [(5, START + 200 * hour, [1.0, 0.0])]]
+    stream = _files(spark, folder, parts, "item_id bigint, published_at timestamp, embedding array<double>")
+    none = spark.createDataFrame([], "item_id bigint, story_id bigint, same boolean")
+    got = {r["item_id"]: r["story_id"] for r in jobs.clustered_stream(stream, f"{folder}/out", none, 0.9, 0.8).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}

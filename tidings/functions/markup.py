@@ -6,8 +6,6 @@ from pyspark.sql import Column, functions as F
 
 from tidings.functions import text as tx, urls
 
-MAX_HTML, MAX_TEXT = 2_000_000, 100_000
-
 
 def found(column: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match, null without a match."""
@@ -25,12 +23,37 @@ def strip_tags(column: Column) -> Column:
 
 def strip_stylesheets(html: Column) -> Column:
     """Drop style elements and stylesheet links."""
-    return F.regexp_replace(F.regexp_replace(html, r"(?is)<style[^>]*>.*?</style>", ""), r"(?i)<link[^>]+rel=[\"']?stylesheet[\"']?[^>]*>", "")
+    kept = F.regexp_replace(html, r"(?is)<style\b.*?</style\s*>", "")
+    sheets = F.filter(tags(html, "link"), lambda tag: F.contains(F.lower(attribute(tag, "rel")), F.lit("stylesheet")))
+    return F.aggregate(sheets, kept, lambda text, tag: F.replace(text, tag))
+
+
+def tags(html: Column, name: str) -> Column:
+    """The opening tags of that name, in page order. A quoted value may hold a '>'."""
+    return F.regexp_extract_all(html, F.lit(rf"""(?i)<{name}\b(?:[^>"']|"[^"]*"|'[^']*')*>"""), F.lit(0))
+
+
+def attributes(tag: Column) -> Column:
+    """Array of (name, value) of a tag: names in lower case, values decoded, quoted or not."""
+    pair = F.lit(r"""([\w:.-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+    names, values = F.regexp_extract_all(tag, pair, F.lit(1)), F.regexp_extract_all(tag, pair, F.lit(2))
+    plain = lambda v: tx.decode_entities(F.when(F.substring(v, 1, 1).isin('"', "'"), F.substring(v, F.lit(2), F.char_length(v) - 2)).otherwise(v))
+    return F.zip_with(names, values, lambda n, v: F.struct(F.lower(n).alias("name"), plain(v).alias("value")))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of the tag's first attribute of that name; null without one."""
+    return F.get(F.filter(attributes(tag), lambda a: a["name"] == name), F.lit(0))["value"]
+
+
+def first_value(values: Column) -> Column:
+    return F.get(F.array_compact(values), F.lit(0))
 
 
-def meta_content(html: Column, attribute: str, value: str) -> Column:
-    whole = found(html, rf"(?i)<meta[^>]+{attribute}=[\"']{value}[\"'][^>]*>", 0)
-    return tx.decode_entities(tx.let(whole, lambda tag: found(tag, r"(?i)content=[\"']([^\"']*)[\"']")))
+def meta_content(html: Column, name: str, value: str) -> Column:
+    """Content of the first meta tag whose attribute ``name`` is ``value``."""
+    fitting = F.filter(tags(html, "meta"), lambda tag: F.lower(attribute(tag, name)) == value)
+    return first_value(F.transform(fitting, lambda tag: attribute(tag, "content")))
 
 
 def page_title(html: Column) -> Column:
@@ -43,12 +66,12 @@ def page_description(html: Column) -> Column:
 
 
 def page_published(html: Column) -> Column:
-    """Publication date as written, null when it is not a date."""
-    written = F.coalesce(
-        meta_content(html, "property", "article:published_time"),
-        found(html, r'"datePublished"\s*:\s*"([^"]+)"'),
-        found(html, r"(?i)<time[^>]+datetime=[\"']([^\"']+)[\"']"),
-    )
+    """Publication date as written, null when it is not a date. Linked data names it as a JSON key,
+    wherever in the page that stands."""
+    after_key = F.try_element_at(F.split(html, '"datePublished"', 2), F.lit(2))
+    linked = F.when(F.ltrim(after_key).startswith(":"), F.try_element_at(F.split(after_key, '"', 3), F.lit(2)))
+    timed = first_value(F.transform(tags(html, "time"), lambda tag: attribute(tag, "datetime")))
+    written = F.coalesce(meta_content(html, "property", "article:published_time"), F.nullif(linked, F.lit("")), timed)
     return tx.let(written, lambda text: F.when(tx.parse_date(text).isNotNull(), text))
 
 
@@ -60,8 +83,7 @@ BLOCK_ENDS = r"(?i)<br\s*/?>|</(p|div|h[1-6]|li|ul|ol|table|tr|td|section|blockq
 def page_text(html: Column) -> Column:
     """Readable text of a page: the article element, else main, else body, without furniture.
 
-    Blocks made mostly of link text are dropped. Pages over two million characters give null, and
-    so do texts over a hundred thousand.
+    Blocks made mostly of link text are dropped. A page without readable text gives null.
     """
     clean = F.regexp_replace(strip_stylesheets(html), r"(?s)<!--.*?-->", " ")
     for name in FURNITURE:
@@ -79,52 +101,70 @@ def page_text(html: Column) -> Column:
 
     kept = F.filter(F.transform(blocks, lambda b: own(b)), lambda b: b != "")
     whole = tx.sanitize_text(F.array_join(kept, "\n"))
-    text = tx.let(whole, lambda t: F.when((F.char_length(t) <= MAX_TEXT) & (t != ""), t))
-    return F.when(F.char_length(html) <= MAX_HTML, text)
+    return F.nullif(whole, F.lit(""))
 
 
 def link_text(inner: Column) -> Column:
-    """Visible text of a link without leading arrows and bullets."""
+    """Visible text of a link without the arrows, dashes and bullets it begins with."""
     plain = tx.decode_entities(strip_tags(inner))
-    return tx.one_space(F.regexp_replace(plain, r"(?U)^[\s➔→»›>•·\-–]+", ""))
+    return tx.one_space(F.regexp_replace(plain, r"(?U)^[\s\p{S}\p{Pd}»›•·]+", ""))
 
 
 def page_links(html: Column, base: Column) -> Column:
-    """Array of (url, text) of the links of a page, in page order."""
-    pattern = r"(?is)<a\b[^>]*?href=[\"']([^\"'#]+)[\"'][^>]*>(.*?)</a>"
-    hrefs, inner = (F.regexp_extract_all(html, F.lit(pattern), F.lit(g)) for g in (1, 2))
-    return F.zip_with(hrefs, inner, lambda h, t: F.struct(urls.absolute_url(tx.decode_entities(h), base).alias("url"), link_text(t).alias("text")))
+    """Array of (url, text) of the links of a page, in page order. A link loses its fragment; one that
+    is only a fragment points into the page and is left out."""
+    element = F.lit(r"""(?is)(<a\b(?:[^>"']|"[^"]*"|'[^']*')*>)(.*?)</a\s*>""")
+    opened, inner = (F.regexp_extract_all(html, element, F.lit(g)) for g in (1, 2))
+    found = F.zip_with(opened, inner, lambda tag, text: F.struct(F.split(attribute(tag, "href"), "#", 2)[0].alias("href"), text.alias("text")))
+    linking = F.filter(found, lambda x: F.coalesce(F.trim(x["href"]), F.lit("")) != "")
+    return F.transform(linking, lambda x: F.struct(urls.absolute_url(x["href"], base).alias("url"), link_text(x["text"]).alias("text")))
 
 
 def feed_link_list(html: Column, base: Column) -> Column:
     """Distinct advertised feed urls of a page; comment feeds are not publications."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?i)<link\b[^>]*>"), F.lit(0))
-    feeds = F.filter(tags, lambda t: t.rlike("(?i)rel=[\"']?alternate") & t.rlike(r"(?i)type=[\"']?application/(rss|atom)\+xml"))
-    hrefs = F.transform(feeds, lambda t: F.regexp_extract(t, "(?i)href=[\"']([^\"']+)[\"']", 1))
-    kept = F.filter(hrefs, lambda h: (h != "") & ~h.rlike("(?i)comments"))
-    return F.array_distinct(F.array_compact(F.transform(kept, lambda h: urls.absolute_url(tx.decode_entities(h), base))))
+
+    def feed_url(tag: Column) -> Column:
+        kind, relation, href = F.lower(attribute(tag, "type")), F.lower(attribute(tag, "rel")), attribute(tag, "href")
+        offered = F.array_contains(F.split(relation, r"\s+"), F.lit("alternate")) & kind.isin("application/rss+xml", "application/atom+xml")
+        return F.when(offered & (href != "") & ~F.contains(F.lower(href), F.lit("comments")), urls.absolute_url(href, base))
+
+    return F.array_distinct(F.array_compact(F.transform(tags(html, "link"), feed_url)))
+
+
+def robots_lines(robots: Column) -> Column:
+    """Array of (key, value) of a robots file, without comments and lines that are no rule."""
+
+    def rule(line: Column) -> Column:
+        parts = F.split(F.split(line, "#", 2)[0], ":", 2)
+        return F.struct(F.lower(F.trim(parts[0])).alias("key"), F.trim(F.get(parts, F.lit(1))).alias("value"))
+
+    return F.filter(F.transform(F.split(F.translate(robots, "\r\t", "\n "), "\n"), rule), lambda r: r["value"].isNotNull() & (r["key"] != ""))
 
 
 def robots_sitemap_list(robots: Column) -> Column:
     """Distinct sitemap urls of a robots file, those with 'news' first."""
-    listed = F.array_distinct(F.regexp_extract_all(robots, F.lit(r"(?im)^\s*sitemap\s*:\s*(\S+)"), F.lit(1)))
-    is_news = lambda u: u.rlike("(?i)news")
+    maps = F.filter(robots_lines(robots), lambda r: (r["key"] == "sitemap") & (r["value"] != ""))
+    listed = F.array_distinct(F.transform(maps, lambda r: r["value"]))
+    is_news = lambda u: F.contains(F.lower(u), F.lit("news"))
     return F.concat(F.filter(listed, is_news), F.filter(listed, lambda u: ~is_news(u)))
 
 
 def robots_rules(robots: Column) -> Column:
-    """Disallow rules of the generic group, in file order. Agent lines in a row form one group."""
-    lines = F.split(robots, r"\r?\n")
-    pattern = r"^([A-Za-z-]+)\s*:\s*(.*)$"
-    start = F.struct(F.lit(False).alias("applies"), F.lit(False).alias("ruled"), F.array().cast("array<string>").alias("rules"))
-
-    def step(state: Column, raw: Column) -> Column:
-        line = F.trim(F.regexp_replace(raw, "#.*", ""))
-        key, value = F.lower(F.regexp_extract(line, pattern, 1)), F.trim(F.regexp_extract(line, pattern, 2))
-        agent = key == "user-agent"
-        applies = F.when(agent, (state["applies"] & ~state["ruled"]) | (value == "*")).otherwise(state["applies"])
-        ruled = F.when(agent, F.lit(False)).when(key != "", F.lit(True)).otherwise(state["ruled"])
-        rules = F.when((key == "disallow") & state["applies"] & (value != ""), F.array_append(state["rules"], value)).otherwise(state["rules"])
-        return F.struct(applies.alias("applies"), ruled.alias("ruled"), rules.alias("rules"))
-
-    return F.aggregate(lines, start, step, lambda s: s["rules"])
+    """Disallow rules of the generic group, in file order.
+
+    A group begins with an agent line that follows another kind of line; the file is cut there, and
+    the groups that name the generic agent are kept. Sitemap lines belong to no group.
+    """
+
+    def cut(lines: Column) -> Column:
+        agent = lambda r: r["key"] == "user-agent"
+        starts = F.transform(lines, lambda r, i: agent(r) & ((i == 0) | ~agent(F.get(lines, i - 1))))
+        begins = F.filter(F.transform(starts, lambda s, i: F.when(s, i)), lambda i: i.isNotNull())
+        ends = F.concat(F.slice(begins, 2, F.size(begins)), F.array(F.size(lines)))
+        groups = F.zip_with(begins, ends, lambda b, e: F.slice(lines, b + 1, F.greatest(F.coalesce(e - b, F.lit(0)), F.lit(0))))
+        generic = F.filter(groups, lambda g: F.exists(g, lambda r: agent(r) & (r["value"] == "*")))
+        barred = F.filter(F.flatten(generic), lambda r: (r["key"] == "disallow") & (r["value"] != ""))
+        return F.transform(barred, lambda r: r["value"])
+
+    grouped = F.filter(robots_lines(robots), lambda r: r["key"] != "sitemap")
+    return tx.let(grouped, lambda lines: F.when(F.exists(lines, lambda r: r["key"] == "user-agent"), cut(lines)).otherwise(F.array().cast("array<string>")))

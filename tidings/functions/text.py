@@ -98,16 +98,25 @@ def content_hash(column: Column) -> Column:
 
 
 def dash_clean(column: Column) -> Column:
-    """Replace em and en dashes by a comma."""
-    return F.trim(F.regexp_replace(column, r"(?U)\s*[—–]\s*", ", "))
+    """Replace em and en dashes, and the blanks around them, by a comma."""
+    return F.trim(F.array_join(F.transform(F.split(column, "[—–]"), lambda part: stripped(part)), ", "))
+
+
+def stripped(column: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
 
 
 def clean_title(column: Column) -> Column:
-    """Drop a trailing site name after ' | ' or ' – '."""
+    """Drop a site name after the last ' | ' or ' – ': at most fifty characters behind a headline of
+    at least twenty."""
 
     def cleaned(title: Column) -> Column:
-        head = F.regexp_extract(title, r"^(.{20,}?)\s+[|–]\s+([^|–]{1,50})$", 1)
-        return F.when(head != "", F.trim(head)).otherwise(title)
+        site = F.element_at(F.split(title, "[|–]"), -1)
+        head = F.substring(title, F.lit(1), F.char_length(title) - F.char_length(site) - 1)
+        apart = (F.char_length(site) < F.char_length(title)) & (F.ltrim(site) != site) & (F.rtrim(head) != head)
+        fits = F.char_length(F.trim(site)).between(1, 50) & (F.char_length(F.rtrim(head)) >= 20)
+        return F.when(apart & fits, F.trim(head)).otherwise(title)
 
     return let(F.trim(column), cleaned)
 
@@ -148,16 +157,12 @@ NAMED_ENTITIES = (
 )
 
 
-def embedding_input(title: Column, text: Column, words: int = 500, limit: int = 10_000) -> Column:
-    """Title and the first words of the text, as one embedding request."""
-    first = F.array_join(F.slice(F.split(F.trim(text), r"(?U)\s+"), 1, words), " ")
-    body = F.when(F.coalesce(text, F.lit("")) == "", title).otherwise(F.concat(title, F.lit("\n\n"), first))
-    return F.substring(body, 1, limit)
-
-
-def simhash_input(title: Column, text: Column, repetitions: int = 25) -> Column:
-    """Title repeated so that shared page furniture cannot outweigh it."""
-    return F.concat(F.repeat(F.concat(title, F.lit("\n")), repetitions), F.lit("\n"), text)
+def embedding_input(title: Column, text: Column, words: int | None = None, limit: int | None = None) -> Column:
+    """Title and text as one embedding request; ``words`` and ``limit`` are for models that read only
+    so many words or characters."""
+    split = F.split(F.trim(text), r"(?U)\s+")
+    body = F.when(F.coalesce(text, F.lit("")) == "", title).otherwise(F.concat(title, F.lit("\n\n"), F.array_join(split if words is None else F.slice(split, 1, words), " ")))
+    return body if limit is None else F.substring(body, 1, limit)
 
 
 def parse_date(column: Column) -> Column:
@@ -178,14 +183,16 @@ def parse_date(column: Column) -> Column:
 
 def expand_keyword(column: Column) -> Column:
     """Array of the separate terms in a list entry such as 'Name (ABBR) / Other name'."""
-    pattern = r"^(.*?)\s*\(([^)]+)\)\s*$"
 
     def parts(entry: Column) -> Column:
-        entry = F.trim(entry)
-        head, short = F.regexp_extract(entry, pattern, 1), F.regexp_extract(entry, pattern, 2)
-        return F.when(short != "", F.array(F.trim(head), F.trim(short))).otherwise(F.array(entry))
+        """The entry, or what stands before and inside brackets at its end."""
+        inside = F.substring_index(F.rtrim(entry), "(", -1)
+        before = F.substring(entry, F.lit(1), F.char_length(F.rtrim(entry)) - F.char_length(inside) - 1)
+        bracketed = F.endswith(inside, F.lit(")")) & (F.locate(")", inside) == F.char_length(inside)) & (F.char_length(inside) > 1) & F.contains(entry, F.lit("("))
+        return F.when(bracketed, F.array(before, F.translate(inside, ")", ""))).otherwise(F.array(entry))
 
-    return F.filter(F.flatten(F.transform(F.split(column, r"\s+/\s+"), parts)), lambda t: t != "")
+    entries = F.flatten(F.transform(F.split(column, r"\s/\s"), parts))
+    return F.filter(F.transform(entries, lambda t: F.trim(t)), lambda t: t != "")
 
 
 def is_acronym(term: Column) -> Column:
@@ -193,18 +200,6 @@ def is_acronym(term: Column) -> Column:
     return (F.char_length(term) <= 4) & (term == F.upper(term)) & term.rlike("[A-Z]")
 
 
-def escape_regex(term: Column) -> Column:
-    return F.regexp_replace(term, r"([.*+?^${}()|\[\]\\])", r"\\$1")
-
-
-def term_pattern(term: Column) -> Column:
-    """Regular expression of a term: a whole word for acronyms, else a word start."""
-    start, end = r"(^|[^\p{L}\p{N}])", r"($|[^\p{L}\p{N}])"
-    return F.when(is_acronym(term), F.concat(F.lit(start), escape_regex(term), F.lit(end))).otherwise(
-        F.concat(F.lit(start), escape_regex(fold_text(term)))
-    )
-
-
 def contains_term(text: Column, term: Column) -> Column:
     """Lower-case text holds the term, or the term with a decimal comma."""
     lowered = F.lower(term)
@@ -214,7 +209,8 @@ def contains_term(text: Column, term: Column) -> Column:
 
 def keywords_from_reason(reason: Column) -> Column:
     """Keyword list inside a match reason; empty array when there is none."""
-    listed = F.regexp_extract(reason, r"keywords[^:]*:\s*(.+)$", 1)
+    after = F.try_element_at(F.split(reason, "keywords", 2), F.lit(2))
+    listed = F.coalesce(F.trim(F.try_element_at(F.split(after, ":", 2), F.lit(2))), F.lit(""))
     words = F.transform(F.split(listed, ","), lambda w: F.trim(w))
     return (
         F.when(listed != "", words)
@@ -242,19 +238,28 @@ LANGUAGE_WORDS = {
 }
 
 
-def detect_language(column: Column, fallback: str = "en", min_length: int = 20) -> Column:
-    """Language with the most profile words in the text; ``fallback`` for short or unknown text.
+# Writing systems that stand for one language here.
+SCRIPT_LANGUAGES = {"ar": "Arabic", "el": "Greek", "he": "Hebrew", "hi": "Devanagari", "ja": "Hiragana}\\p{IsKatakana", "ko": "Hangul", "ru": "Cyrillic", "th": "Thai", "zh": "Han"}
 
-    Ties go to the language first in alphabetical order.
+
+def detect_language(column: Column, fallback: str | None = None) -> Column:
+    """Language of a text: by its writing system where at least half of its letters are of one that
+    stands for a language, else the one with the most profile words; ``fallback`` (null if not asked
+    for) where nothing tells. Ties go to the language first in alphabetical order.
     """
-    words = F.split(F.lower(column), r"[^\p{L}]+")
 
-    def score(profile: tuple[str, ...]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(*profile)))
+    def letters(text: Column, pattern: str) -> Column:
+        return F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))
+
+    def by_script(text: Column) -> Column:
+        return F.coalesce(*[F.when(letters(text, f"[\\p{{Is{script}}}]") * 2 >= letters(text, r"\p{L}"), F.lit(lang)) for lang, script in SCRIPT_LANGUAGES.items()])
+
+    def by_words(text: Column) -> Column:
+        words = F.split(F.lower(text), r"[^\p{L}]+")
+        score = lambda profile: F.size(F.filter(words, lambda w: w.isin(*profile)))
+        scores = [F.struct(score(p).alias("score"), F.lit(-n).alias("rank"), F.lit(lang).alias("lang")) for n, (lang, p) in enumerate(sorted(LANGUAGE_WORDS.items()))]
+        return let(F.array_max(F.array(*scores)), lambda best: F.when(best["score"] > 0, best["lang"]))
 
-    scores = [
-        F.struct(score(profile).alias("score"), F.lit(-rank).alias("rank"), F.lit(lang).alias("lang"))
-        for rank, (lang, profile) in enumerate(sorted(LANGUAGE_WORDS.items()))
-    ]
-    best = F.array_max(F.array(*scores))
-    return F.when((F.char_length(column) >= min_length) & (best["score"] > 0), best["lang"]).otherwise(F.lit(fallback))
+    # Latin texts skip the look at other writing systems.
+    other = column.rlike(r"[\p{L}&&[^\p{IsLatin}]]")
+    return F.coalesce(F.when(other, by_script(column)), by_words(column), F.lit(fallback).cast("string"))

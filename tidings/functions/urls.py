@@ -8,6 +8,9 @@ from tidings.functions.text import let
 
 _URL = r"^\s*([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]\s]+)(?::(\d*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
+# Fixed value: characters that stand percent-encoded in a path.
+OUTSIDE_PATH = r"[\x00-\x20\x22<>^`{}\x7f]|[^\x00-\x7f]"
+
 # Query parameters that only track the visitor, matched on the lower-cased name.
 TRACKING_PARAMETERS = r"^(utm_.*|fbclid|gclid|mc_cid|mc_eid|ref|ref_src|ref_url|igshid|spm|si|cmpid|icid)$"
 
@@ -30,7 +33,32 @@ def scheme(url: Column) -> Column:
 
 def path(url: Column) -> Column:
     raw = _part(url, 4)
-    return F.when(is_url(url), F.when(raw == "", F.lit("/")).otherwise(raw))
+    return F.when(is_url(url), normal_path(F.when(raw == "", F.lit("/")).otherwise(raw)))
+
+
+def normal_path(raw: Column) -> Column:
+    """A path without ``.`` and ``..`` steps, with blanks and other characters that a path cannot hold
+    percent-encoded, as browsers write it."""
+
+    def encoded(text: Column) -> Column:
+        hexed = lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")
+        return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(OUTSIDE_PATH), hexed(c)).otherwise(c)), "")
+
+    def stepped(text: Column) -> Column:
+        steps = F.slice(F.split(text, "/"), 2, F.greatest(F.size(F.split(text, "/")), F.lit(1)))
+        numbered = F.transform(steps, lambda s, i: F.struct(F.replace(F.lower(s), F.lit("%2e"), F.lit(".")).alias("dots"), s.alias("s"), (i == F.size(steps) - 1).alias("last")))
+
+        def walk(held: Column, step: Column) -> Column:
+            up = F.when(F.size(held) > 0, F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(held)
+            here = F.when(step["dots"] == "..", up).otherwise(held)
+            # A path that ends in a step ends in a folder.
+            folder = F.when(step["last"], F.array_append(here, F.lit(""))).otherwise(here)
+            return F.when(step["dots"].isin(".", ".."), folder).otherwise(F.array_append(held, step["s"]))
+
+        return F.concat(F.lit("/"), F.array_join(F.aggregate(numbered, F.array().cast("array<string>"), walk), "/"))
+
+    clean = let(raw, lambda text: F.when(text.rlike(OUTSIDE_PATH), encoded(text)).otherwise(text))
+    return let(clean, lambda text: F.when(text.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), stepped(text)).otherwise(text))
 
 
 def query(url: Column) -> Column:
@@ -93,13 +121,16 @@ def absolute_url(href: Column, base: Column) -> Column:
     """Resolve a link against the page it stands on."""
     href = F.trim(href)
     folder = F.regexp_replace(path(base), "[^/]*$", "")
+    # A relative link: its path, put behind the base's folder, then its query; the fragment goes.
+    plain = F.split(href, "#", 2)[0]
+    own, asked = F.split(plain, r"\?", 2)[0], F.try_element_at(F.split(plain, r"\?", 2), F.lit(2))
+    behind = F.when(asked.isNotNull(), F.concat(F.lit("?"), asked)).otherwise(F.lit(""))
+    target = F.when(own == "", path(base)).when(F.startswith(own, F.lit("/")), normal_path(own)).otherwise(normal_path(F.concat(folder, own)))
     return (
         F.when(is_url(href), F.concat(origin(href), path(href), F.when(query(href) != "", F.concat(F.lit("?"), query(href))).otherwise(F.lit(""))))
         .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
         .when(F.startswith(href, F.lit("//")), F.concat(scheme(base), F.lit(":"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(origin(base), href))
-        .when(F.startswith(href, F.lit("?")), F.concat(origin(base), path(base), href))
-        .otherwise(F.concat(origin(base), folder, href))
+        .otherwise(F.concat(origin(base), target, behind))
     )
 
 
@@ -136,23 +167,27 @@ def is_public_url(url: Column) -> Column:
 
 def path_date(url: Column, lastmod: Column) -> Column:
     """Publication date held in the path. A month-only path keeps a lastmod of that month."""
-    pattern = r"/(20\d{2})/(0[1-9]|1[0-2])(?:/(0[1-9]|[12]\d|3[01]))?/"
-
-    def dated(text: Column) -> Column:
-        year, month, day = (F.regexp_extract(text, pattern, g) for g in (1, 2, 3))
-        year_month = F.concat(year, F.lit("-"), month)
-        return (
-            F.when(F.coalesce(year, F.lit("")) == "", F.lit(None).cast("string"))
-            .when(day != "", F.concat(year_month, F.lit("-"), day))
-            .when(F.substring(lastmod, 1, 7) == year_month, lastmod)
-            .otherwise(F.concat(year_month, F.lit("-01")))
+    def number(part: Column, digits: int, low: int, high: int) -> Column:
+        value = part.try_cast("int")
+        return (F.char_length(part) == digits) & part.rlike("^[0-9]+$") & value.between(low, high)
+
+    def dated(steps: Column) -> Column:
+        """Of the steps the first that is a year and is followed by a month."""
+        at = F.transform(steps, lambda s, i: F.struct(s.alias("y"), F.get(steps, i + 1).alias("m"), F.get(steps, i + 2).alias("d")))
+        first = F.get(F.filter(at, lambda x: F.coalesce(number(x["y"], 4, 2000, 2099) & number(x["m"], 2, 1, 12), F.lit(False))), F.lit(0))
+        return let(
+            first,
+            lambda x: F.when(F.coalesce(number(x["d"], 2, 1, 31), F.lit(False)), F.concat_ws("-", x["y"], x["m"], x["d"]))
+            .when(F.substring(lastmod, 1, 7) == F.concat_ws("-", x["y"], x["m"]), lastmod)
+            .when(x["y"].isNotNull(), F.concat_ws("-", x["y"], x["m"], F.lit("01"))),
         )
 
-    return let(F.concat(path(url), F.lit("/")), dated)
+    return let(F.split(path(url), "/"), dated)
 
 
 def rule_pattern(rule: Column) -> Column:
     """Regular expression of a robots rule: ``*`` is a wildcard, a final ``$`` anchors the end."""
-    escaped = F.regexp_replace(rule, r"([.+?^${}()|\[\]\\])", r"\\$1")
-    wild = F.regexp_replace(escaped, r"\*", ".*")
-    return F.concat(F.lit("^"), F.regexp_replace(wild, r"\\\$$", r"\$"))
+    anchored = F.endswith(rule, F.lit("$"))
+    body = F.when(anchored, F.substring(rule, F.lit(1), F.char_length(rule) - 1)).otherwise(rule)
+    parts = F.transform(F.split(body, r"\*"), lambda part: F.concat(F.lit(r"\Q"), F.replace(part, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    return F.concat(F.lit("^"), F.array_join(parts, ".*"), F.when(anchored, F.lit("$")).otherwise(F.lit("")))

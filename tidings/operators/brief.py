@@ -6,10 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from tidings.functions import scoring, urls
-from tidings.operators.ordered import top_rows
+from tidings.operators.ordered import newest_rows, running_totals, top_rows
 
-# The sections' caps and texts of an edition.
-SECTION_CAPS = {"critical": 6, "follow_up": 10, "worth_reading": 10}
+# The texts of an edition.
 EMPTY_HEADLINE = "Son 24 saatte takip ettiğin konularda yeni bir gelişme yok."
 LIVE_HEADLINE = "Son 24 saatte {} gelişme."
 DEFAULT_NOTE = "No new evidence was linked to this edition yet."
@@ -35,16 +34,18 @@ def brief_stories(stories: DataFrame, story_items: DataFrame) -> DataFrame:
     )
 
 
-def brief_sections(ranked: DataFrame, caps: dict[str, int] = SECTION_CAPS) -> DataFrame:
+def brief_sections(ranked: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
     """(day, section, position, story_id, title, summary): each section's stories with most items
-    first, up to its cap, numbered through the edition from 0."""
+    first, numbered through the edition from 0. ``caps`` names the most stories a section takes."""
     section = scoring.lookup(F.col("tier"), scoring.SECTION_BY_TIER)
     placed = ranked.withColumn("section", section).filter(F.col("section").isNotNull())
-    widest = top_rows(placed, max(caps.values()), ["day", "section"], [F.col("source_count").desc(), F.col("story_id")])
-    kept = widest.filter(F.col("rank") <= scoring.lookup(F.col("section"), caps, 0))
+    if caps is not None:
+        widest = top_rows(placed, max(caps.values()), ["day", "section"], [F.col("source_count").desc(), F.col("story_id")])
+        placed = widest.filter(F.col("rank") <= scoring.lookup(F.col("section"), caps, 0))
     order = scoring.lookup(F.col("section"), scoring.SECTION_ORDER)
-    running = Window.partitionBy("day").orderBy(order, "rank")
-    return kept.withColumn("position", (F.row_number().over(running) - 1).cast("bigint")).select("day", "section", "position", "story_id", "title", "summary")
+    keyed = placed.select("day", "section", "story_id", "title", "summary", order.alias("_section"), (-F.col("source_count")).alias("_fewer"))
+    numbered = running_totals(keyed, ["day"], ["_section", "_fewer", "story_id"], {"_n": F.lit(1).cast("bigint")})
+    return numbered.select("day", "section", (F.col("_n") - 1).alias("position"), "story_id", "title", "summary")
 
 
 def topic_counts(ranked: DataFrame, story_topics: DataFrame, topics: DataFrame) -> DataFrame:
@@ -89,19 +90,20 @@ def headlines(days: DataFrame, lines: DataFrame) -> DataFrame:
     return days.join(first, "day", "left").select("day", F.coalesce(F.array_join(F.col("l.t"), " · "), F.lit(EMPTY_HEADLINE)).alias("headline"))
 
 
-def unused_research(research: DataFrame, shown: DataFrame, newest: int = 20, most: int = 5) -> DataFrame:
-    """The newest summarised research not shown before. The newest are taken before the shown ones
-    are left out, as an edition never reaches further back."""
-    recent = research.filter(F.col("argument").isNotNull()).orderBy(F.col("created_at").desc(), "item_id").limit(newest)
-    return recent.join(shown.select("item_id"), "item_id", "left_anti").orderBy(F.col("created_at").desc(), "item_id").limit(most)
+def unused_research(research: DataFrame, shown: DataFrame, newest: int | None = None, most: int | None = None) -> DataFrame:
+    """Summarised research not shown before. ``newest`` looks only at so many of the newest, before
+    the shown ones are left out; ``most`` takes the newest of what is left."""
+    order = [F.col("created_at").desc(), F.col("item_id")]
+    recent = newest_rows(research.filter(F.col("argument").isNotNull()), newest, order)
+    return newest_rows(recent.join(shown.select("item_id"), "item_id", "left_anti"), most, order)
 
 
-def watch_feed(watch_items: DataFrame, items: DataFrame, newest: int, since=None) -> DataFrame:
-    """(watch_id, item_id, title, url, source, created_at): newest watch items with their
-    publication, or the host of the link."""
+def watch_feed(watch_items: DataFrame, items: DataFrame, newest: int | None = None, since=None) -> DataFrame:
+    """(watch_id, item_id, title, url, source, created_at): watch items with their publication, or the
+    host of the link; with ``newest`` the newest that still exist."""
     rows = watch_items if since is None else watch_items.filter(F.col("created_at") >= F.lit(since).cast("timestamp"))
-    recent = rows.orderBy(F.col("created_at").desc(), "item_id", "watch_id").limit(newest)
-    return recent.join(items.select("item_id", "title", "url", "source_id"), "item_id").select(
+    known = rows.join(items.select("item_id", "title", "url", "source_id"), "item_id")
+    return newest_rows(known, newest, [F.col("created_at").desc(), F.col("item_id"), F.col("watch_id")]).select(
         "watch_id", "item_id", "title", "url", F.coalesce("source_id", urls.host_label(F.col("url"))).alias("source"), "created_at"
     )
 
@@ -114,8 +116,8 @@ def content_refs(research: DataFrame, watched: DataFrame) -> DataFrame:
 
 
 def brief_documents(sections: DataFrame, lines: DataFrame, counts: DataFrame, heads: DataFrame, existing: DataFrame) -> DataFrame:
-    """(day, content): one JSON document per day that has no edition yet. Capped sections and one
-    line per topic keep each document small."""
+    """(day, content): one JSON document per day that has no edition yet, as long as the day's
+    sections; cap those for a short one."""
     parts = sections.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("position", "section", "story_id", "title", "summary"))).alias("stories"))
     shown = lines.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("line", "topic", "story_id", "title", "events"))).alias("topicLines"))
     per_topic = counts.groupBy("day").agg(F.array_sort(F.collect_list(F.struct((-F.col("stories")).alias("order"), "topic", "stories"))).alias("topicCounts"))
@@ -145,11 +147,11 @@ def validate_briefs(headline: DataFrame, references: DataFrame, story_ids: DataF
     return banned.unionByName(unknown).unionByName(repeated)
 
 
-def live_stories(stories: DataFrame, counts: DataFrame, as_of, hours: int = 24, newest: int = 1000) -> DataFrame:
+def live_stories(stories: DataFrame, counts: DataFrame, as_of, hours: int = 24, newest: int | None = None) -> DataFrame:
     """Open, tiered, summarised stories of the last day in page order, with distinct sources."""
     since = F.lit(as_of).cast("timestamp") - F.expr(f"interval {hours} hours")
     ready = stories.filter((F.col("status") == "open") & F.col("tier").isNotNull() & F.col("summary").isNotNull() & (F.col("last_updated_at") >= since))
-    recent = ready.orderBy(F.col("last_updated_at").desc(), "story_id").limit(newest)
+    recent = newest_rows(ready, newest, [F.col("last_updated_at").desc(), F.col("story_id")])
     n = F.coalesce("sources", F.lit(0))
     return recent.join(counts, "story_id", "left").withColumn("sources", n).orderBy("tier", F.col("sources").desc(), "story_id")
 

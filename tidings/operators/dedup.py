@@ -35,19 +35,24 @@ class Nearness:
         self.distance, self.cosine, self.intact, self.pivots = distance, cosine, intact, pivots
 
     def prepare(self, items: DataFrame) -> DataFrame:
-        """(item_id, at, simhash, unit, slot, keys): time in microseconds, its window slot, keys."""
+        """(item_id, at, simhash, unit, slot, keys, probes): time in microseconds, its window slot, keys.
+
+        ``probes`` are the keys an item looks under: all of its fingerprint's, but of its vector only
+        that of its own cell, where all vectors near it have a key. So a pair of vectors meets once.
+        """
         has_hash, has_vector = self.distance is not None and "simhash" in items.columns, self.cosine is not None and "embedding" in items.columns
         hash_col = F.col("simhash") if has_hash else F.lit(None).cast("bigint")
         unit = vx.unit_vector(F.col("embedding")) if has_vector else F.lit(None).cast("array<float>")
         base = items.select("item_id", F.unix_micros(F.col("published_at").cast("timestamp")).alias("at"), hash_col.alias("simhash"), unit.alias("unit"))
         base = base.withColumn("slot", F.floor(F.col("at") / self.window).cast("bigint"))
-        parts = []
-        if has_hash:
-            parts.append(neighbours.simhash_keys(F.col("simhash"), self.distance, self.intact))
+        none = F.array().cast("array<bigint>")
+        by_hash = neighbours.simhash_keys(F.col("simhash"), self.distance, self.intact) if has_hash else none
+        base = base.withColumn("_cells", none)
         if has_vector:
-            base = checkpointed(base)
-            parts.append(neighbours.pivot_keys(neighbours.choose_pivots(base, "item_id", "unit", self.pivots), self.cosine)(F.col("unit")))
-        return base.withColumn("keys", F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<bigint>"))
+            base = checkpointed(base.drop("_cells"))
+            base = base.withColumn("_cells", neighbours.pivot_keys(neighbours.choose_pivots(base, "item_id", "unit", self.pivots), self.cosine)(F.col("unit")))
+        keyed = base.withColumn("keys", F.array_distinct(F.concat(by_hash, "_cells")))
+        return keyed.withColumn("probes", F.array_distinct(F.concat(by_hash, F.slice("_cells", 1, 1)))).drop("_cells")
 
     def near(self, a: str, b: str) -> Column:
         tests = []
@@ -59,8 +64,8 @@ class Nearness:
         return reduce(lambda x, y: x | y, [F.coalesce(t, F.lit(False)) for t in tests])
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    return rows.select("item_id", "at", "simhash", "unit", "slot", F.size("keys").alias("n_keys"), F.explode("keys").alias("key"))
+def _keyed(rows: DataFrame, keys: str = "keys") -> DataFrame:
+    return rows.select("item_id", "at", "simhash", "unit", "slot", F.size("keys").alias("n_keys"), F.explode(keys).alias("key"))
 
 
 def _reach(rows: DataFrame) -> DataFrame:
@@ -85,7 +90,7 @@ def _unblocked(buckets: DataFrame, window: int) -> DataFrame:
 
 def _covered(rows: DataFrame, originals: DataFrame, rule: Nearness) -> DataFrame:
     """(copy, original, original time) of rows that a given original covers."""
-    left, right = _keyed(rows).alias("c"), _reach(_keyed(originals)).alias("o")
+    left, right = _keyed(rows, "probes").alias("c"), _reach(_keyed(originals)).alias("o")
     later = F.struct("c.at", "c.item_id") > F.struct("o.at", "o.item_id")
     return (
         left.join(right, ["key", "slot"])
@@ -177,7 +182,7 @@ def canonical_match(items: DataFrame, pool: DataFrame, rule: Nearness) -> DataFr
     queries = prepared.filter(~F.col("item_id._pool")).withColumn("item_id", F.col("item_id.item_id"))
     members = prepared.filter("item_id._pool").withColumn("item_id", F.col("item_id.item_id"))
     around = F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1))
-    left, right = _keyed(queries).alias("c"), _keyed(members).withColumn("slot", around).alias("o")
+    left, right = _keyed(queries, "probes").alias("c"), _keyed(members).withColumn("slot", around).alias("o")
     return (
         left.join(right, ["key", "slot"])
         .filter((F.col("c.item_id") != F.col("o.item_id")) & (F.abs(F.col("c.at") - F.col("o.at")) <= rule.window) & rule.near("c", "o"))

@@ -8,47 +8,56 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidings.functions import text as tx
 
+ROWS = 200
+
 
 def token_hash(token: Column) -> Column:
     """First eight bytes of SHA-256 as a signed 64-bit number."""
     return F.conv(F.substring(F.sha2(token, 256), 1, 16), 16, -10).cast("bigint")
 
 
-def _bit_votes(hashes: np.ndarray) -> np.ndarray:
-    """How many of the hashes have each bit set, highest bit first."""
-    return np.unpackbits(hashes.astype(">i8").view("uint8").reshape(-1, 8), axis=1).sum(axis=0, dtype="int64")
+def _block_votes(bags: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(votes per row and bit, hashes per row) of a batch: all hashes unpacked at once."""
+    sizes = np.array([0 if b is None else len(b) for b in bags], dtype="int64")
+    votes = np.zeros((len(sizes), 64), dtype="int64")
+    if sizes.sum():
+        hashes = np.concatenate([np.asarray(b, dtype="int64") for b in bags if b is not None and len(b)])
+        filled = np.flatnonzero(sizes)
+        starts = np.cumsum(sizes[filled]) - sizes[filled]
+        for a in range(0, len(filled), ROWS):
+            own = slice(starts[a], starts[a + ROWS] if a + ROWS < len(filled) else len(hashes))
+            bits = np.unpackbits(hashes[own].astype(">i8").view("uint8").reshape(-1, 8), axis=1)
+            votes[filled[a : a + ROWS]] = np.add.reduceat(bits, starts[a : a + ROWS] - starts[a], axis=0, dtype="int64")
+    return votes, sizes
 
 
-def simhash(df: DataFrame, key: str, weighted: list[tuple[Column, int]], name: str = "simhash") -> DataFrame:
-    """(key, fingerprint) of each row's weighted texts.
+def simhash(df: DataFrame, key: str, weighted: list[tuple[Column, int]], name: str = "simhash", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *keep, fingerprint) of each row's weighted texts.
 
     A bit is set when the weight of the tokens whose hash has it outweighs the rest. Tokens and
-    their hashes stay in the JVM; only the bit votes of a row are counted in numpy, an Arrow batch
-    at a time. Rows never move, so no shuffle is needed however long or skewed the texts are. A
-    null text gives a null fingerprint, a text without tokens gives 0.
+    their hashes stay in the JVM; only the bit votes are counted in numpy, a block of rows at a time.
+    Rows never move, so no shuffle is needed however long or skewed the texts are. A null text gives a
+    null fingerprint, a text without tokens gives 0.
     """
     weights = [w for _, w in weighted]
 
     @F.pandas_udf("bigint")
     def vote(bags: pd.DataFrame) -> pd.Series:
-        out = []
-        for bag in bags.itertuples(index=False):
-            if any(hashes is None for hashes in bag):
-                out.append(None)
-                continue
-            votes, total = np.zeros(64, dtype="int64"), 0
-            for hashes, weight in zip(bag, weights):
-                if len(hashes):
-                    votes += weight * _bit_votes(np.asarray(hashes))
-                    total += weight * len(hashes)
-            out.append(int(np.packbits(votes * 2 > total).view(">i8")[0]))
-        return pd.Series(out, dtype="Int64")
+        votes, total = np.zeros((len(bags), 64), dtype="int64"), np.zeros(len(bags), dtype="int64")
+        missing = np.zeros(len(bags), dtype=bool)
+        for column, weight in zip(bags, weights):
+            own, sizes = _block_votes(bags[column])
+            votes += weight * own
+            total += weight * sizes
+            missing |= np.array([b is None for b in bags[column]], dtype=bool)
+        prints = np.packbits(votes * 2 > total[:, None], axis=1).view(">i8").astype("int64").ravel()
+        return pd.Series(prints, dtype="Int64").mask(missing)
 
     bags = [F.transform(tx.tokens(column), lambda t: token_hash(t)).alias(f"b{n}") for n, (column, _) in enumerate(weighted)]
-    return df.select(key, F.struct(*bags).alias("bags")).select(key, vote(F.col("bags")).alias(name))
+    return df.select(key, *keep, F.struct(*bags).alias("bags")).select(key, *keep, vote(F.col("bags")).alias(name))
 
 
-def item_fingerprints(items: DataFrame) -> DataFrame:
+def item_fingerprints(items: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Fingerprint per item with the title counted 25 times, so page furniture shared by a site
-    does not make its articles look alike."""
-    return simhash(items, "item_id", [(F.col("title"), 25), (F.col("text"), 1)])
+    does not make its articles look alike. ``keep`` names further columns to carry along."""
+    return simhash(items, "item_id", [(F.col("title"), 25), (F.col("text"), 1)], keep=keep)

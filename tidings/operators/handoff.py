@@ -13,7 +13,7 @@ RELEVANCE_ANSWER = "struct<results: array<struct<id: string, score: double, reas
 
 def item_lines(batch: DataFrame, source: str | None = None) -> DataFrame:
     """(batch_no, items): one numbered line per article, in batch order. Batches are of fixed size."""
-    summary = F.when(F.coalesce("standfirst", F.lit("")) != "", F.concat(F.lit(" | "), F.substring("standfirst", 1, 300))).otherwise(F.lit(""))
+    summary = F.when(F.coalesce("standfirst", F.lit("")) != "", F.concat(F.lit(" | "), "standfirst")).otherwise(F.lit(""))
     label = F.lit("") if source is None else F.concat(F.lit("["), F.coalesce(source, F.lit("?")), F.lit("] "))
     line = F.concat(F.col("idx").cast("string"), F.lit(". "), label, "title", summary)
     rows = batch.select("batch_no", F.struct(F.col("idx"), line.alias("line")).alias("l"))
@@ -21,10 +21,14 @@ def item_lines(batch: DataFrame, source: str | None = None) -> DataFrame:
 
 
 def match_requests(batch: DataFrame, topics: DataFrame) -> DataFrame:
-    """(batch_no, request): topics and articles of a matching batch as text."""
+    """(batch_no, request): topics and articles of a matching batch as text.
+
+    Every request lists all topics, so they are folded once, on the driver, into a constant.
+    """
     line = F.concat(F.lit("T"), F.col("idx").cast("string"), F.lit(": "), "name")
     listed = topics.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", line.alias("line")))), lambda x: x["line"]), "\n").alias("topics"))
-    return item_lines(batch).join(F.broadcast(listed)).select("batch_no", F.concat(F.lit("Topics:\n"), "topics", F.lit("\n\nArticles:\n"), "items").alias("request"))
+    head = F.lit("Topics:\n" + listed.first()["topics"] + "\n\nArticles:\n")
+    return item_lines(batch).select("batch_no", F.concat(head, "items").alias("request"))
 
 
 def group_requests(batch: DataFrame, events: DataFrame) -> DataFrame:
@@ -74,10 +78,10 @@ def relevance_valid(value: Column) -> Column:
     return value["results"].isNotNull() & F.forall(value["results"], lambda r: r["id"].isNotNull() & r["score"].between(0, 10) & r["reason"].isNotNull())
 
 
-def few_shot(feedback: DataFrame, story_topics: DataFrame, story_items: DataFrame, items: DataFrame, signals: tuple, newest: int = 100, most: int = 20) -> DataFrame:
-    """(topic_id, titles): titles of the stories behind the newest signals of one polarity, first
-    those of the topic, one title per story (its item with the lowest id)."""
-    recent = feedback.filter((F.col("target_type") == "story") & F.col("signal").isin(*signals)).orderBy(F.col("created_at").desc(), "feedback_id").limit(newest)
+def few_shot(feedback: DataFrame, story_topics: DataFrame, story_items: DataFrame, items: DataFrame, signals: tuple, most: int) -> DataFrame:
+    """(topic_id, titles): titles of the stories behind the ``most`` newest signals of one polarity on
+    each topic, one title per story (its item with the lowest id)."""
+    recent = feedback.filter((F.col("target_type") == "story") & F.col("signal").isin(*signals))
     of_topic = recent.select(F.col("target_id").alias("story_id"), "created_at", "feedback_id").join(story_topics, "story_id")
     from tidings.operators.ordered import top_rows
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidings.functions import scoring, urls
-from tidings.operators.ordered import top_rows
+from tidings.operators.ordered import most_rows
 
 
 def known_urls(found: DataFrame, stored: DataFrame) -> DataFrame:
@@ -31,15 +31,14 @@ def first_wins(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 
 def new_items(
-    arrived: DataFrame, stored: DataFrame, as_of, per_source: int = 100, age_filter: bool = True
+    arrived: DataFrame, stored: DataFrame, as_of, per_source: int | None = None, age_filter: bool = True
 ) -> DataFrame:
     """Rows to insert from one run's arrivals (source_id, pos, url, title, published_at).
 
-    At most ``per_source`` entries of a fetch are taken in feed order. Links that do not parse and
-    untitled entries are dropped; the first row of a canonical url wins, in the batch and against
-    the stored rows.
+    Links that do not parse and untitled entries are dropped; the first row of a canonical url wins,
+    in the batch and against the stored rows. ``per_source`` takes only the first entries of a fetch.
     """
-    taken = top_rows(arrived, per_source, ["source_id"], [F.col("pos")], "_taken").drop("_taken")
+    taken = most_rows(arrived, per_source, ["source_id"], [F.col("pos")])
     usable = _with_canonical(taken).filter(F.col("canonical_url").isNotNull() & (F.coalesce(F.col("title"), F.lit("")) != ""))
     status = scoring.initial_status(F.col("published_at"), as_of) if age_filter else F.lit("new")
     single = first_wins(usable, ["canonical_url"], F.struct("source_id", "pos"))

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from tidings.functions import text as tx
-from tidings.session import small_rows
+from tidings.session import row_blocks
 
-INLINE_TERMS = 400
+BLOCK_TERMS = 50_000
 KEYWORD_SCORE, VERDICT_SCORE = 10, 7
 
 
 def topic_terms(topics: DataFrame) -> DataFrame:
-    """(topic_id, pos, term, folded, pattern, original, exclude) of every keyword and exclusion."""
+    """(topic_id, pos, term, folded, original, exclude) of every keyword and exclusion."""
     raw = topics.select("topic_id", F.posexplode("keywords").alias("at", "entry"), F.lit(False).alias("exclude")).unionByName(
         topics.select("topic_id", F.posexplode("exclusions").alias("at", "entry"), F.lit(True).alias("exclude"))
     )
@@ -25,65 +24,69 @@ def topic_terms(topics: DataFrame) -> DataFrame:
         F.struct("at", "part").alias("pos"),
         "term",
         tx.fold_text(F.col("term")).alias("folded"),
-        tx.term_pattern(F.col("term")).alias("pattern"),
         tx.is_acronym(F.col("term")).alias("original"),
     )
 
 
-def keyword_hits(items: DataFrame, topics: DataFrame, inline_terms: int = INLINE_TERMS) -> DataFrame:
+def keyword_hits(items: DataFrame, topics: DataFrame, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """(item_id, topic_id, words): the distinct keywords of a topic found in ``text``, in list order.
 
-    An exclusion found in the text empties the topic. Up to ``inline_terms`` terms become part of
-    the projection, so the items are read once and never shuffled; a longer list is joined to the
-    items' word beginnings instead.
+    An exclusion found in the text empties the topic. All terms of a block are looked for in one pass
+    over a text; texts pass through the blocks one after the other and only hits are shuffled, so the
+    number of terms and the commonness of a word make no difference to the plan's joins.
     """
-    terms = topic_terms(topics)
-    rows = small_rows(terms, inline_terms)
-    return _joined_hits(items, terms) if rows is None else _inline_hits(items, rows)
-
-
-def _inline_hits(items: DataFrame, rows: list) -> DataFrame:
-    schema = "array<struct<topic_id: bigint, words: array<string>>>"
-    prepared = items.select("item_id", "text", tx.fold_text(F.col("text")).alias("folded"))
-
-    def hit(row) -> Column:
-        side, needle = (F.col("text"), row["term"]) if row["original"] else (F.col("folded"), row["folded"])
-        return F.contains(side, F.lit(needle)) & side.rlike(row["pattern"])
-
-    found = []
-    for topic in sorted({r["topic_id"] for r in rows}):
-        own = sorted((r for r in rows if r["topic_id"] == topic), key=lambda r: (r["pos"]["at"], r["pos"]["part"]))
-        include, exclude = [r for r in own if not r["exclude"]], [r for r in own if r["exclude"]]
-        if not include:
-            continue
-        words = F.array_distinct(F.array_compact(F.array(*[F.when(hit(r), F.lit(r["term"])) for r in include])))
-        if exclude:
-            blocked = reduce(lambda a, b: a | b, [hit(r) for r in exclude])
-            words = F.when(blocked, F.array().cast("array<string>")).otherwise(words)
-        found.append(F.struct(F.lit(topic).cast("bigint").alias("topic_id"), words.alias("words")))
-    if not found:
-        return items.select("item_id", F.explode(F.array().cast(schema)).alias("m")).select("item_id", "m.*")
-    matched = F.filter(F.array(*found), lambda m: F.size(m["words"]) > 0)
-    return prepared.select("item_id", F.explode(matched).alias("m")).select("item_id", "m.*")
-
-
-def _joined_hits(items: DataFrame, terms: DataFrame, width: int = 3) -> DataFrame:
-    """The same result by an equi-join on word beginnings; used for long term lists."""
-    lead = r"^[\p{L}\p{N}]*"
-    keyed_terms = terms.withColumn("key", F.substring(F.regexp_extract(F.when(F.col("original"), F.col("term")).otherwise(F.col("folded")), lead, 0), 1, width))
-    sides = items.select("item_id", F.explode(F.array(F.struct(F.lit(True).alias("original"), F.col("text").alias("t")), F.struct(F.lit(False).alias("original"), tx.fold_text(F.col("text")).alias("t")))).alias("s"))
-    words = F.array_distinct(F.split(F.col("s.t"), r"[^\p{L}\p{N}]+"))
-    starts = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(F.lit(""), *[F.substring(w, 1, n) for n in range(1, width + 1)]))))
-    keys = sides.select("item_id", "s.original", F.explode(starts).alias("key"))
-    candidates = keys.join(keyed_terms, ["original", "key"]).drop("key")
-    side = F.when(F.col("original"), F.col("text")).otherwise(tx.fold_text(F.col("text")))
-    checked = candidates.join(items.select("item_id", "text"), "item_id").filter(F.regexp_like(side, F.col("pattern")))
-    per_topic = checked.groupBy("item_id", "topic_id").agg(
-        F.max("exclude").alias("blocked"), F.array_sort(F.collect_set(F.struct("pos", "term"))).alias("found")
-    )
+    terms = topic_terms(topics).select("topic_id", "exclude", F.col("pos.at").alias("at"), F.col("pos.part").alias("part"), "term", "folded", "original")
+    hit = "array<struct<topic_id: bigint, exclude: boolean, at: int, part: int, term: string>>"
+    state = items.select("item_id", "text", tx.fold_text(F.col("text")).alias("folded"), F.lit(None).cast(hit).alias("found"))
+    for rows in row_blocks(terms, "term", block_terms):
+        state = state.mapInArrow(_finder(rows), state.schema)
+    hits = state.select("item_id", F.explode("found").alias("h")).select("item_id", "h.*")
+    pos = F.struct("at", "part")
+    per_topic = hits.groupBy("item_id", "topic_id").agg(F.max("exclude").alias("blocked"), F.array_sort(F.collect_set(F.when(~F.col("exclude"), F.struct(pos.alias("pos"), "term")))).alias("found"))
     return per_topic.filter(~F.col("blocked")).select("item_id", "topic_id", F.array_distinct(F.col("found.term")).alias("words"))
 
 
+def _finder(rows: list):
+    """Adds the terms of one block found in each text to its hits."""
+    by_text: list[dict] = [{}, {}]
+    for r in rows:
+        by_text[0 if r["original"] else 1].setdefault(r["term"] if r["original"] else r["folded"], []).append({k: r[k] for k in ("topic_id", "exclude", "at", "part", "term")})
+
+    def find(batches):
+        import ahocorasick
+
+        machines = []
+        for own in by_text:
+            machine = ahocorasick.Automaton()
+            for needle, terms in own.items():
+                if needle:
+                    machine.add_word(needle, (needle, terms))
+            if len(machine):
+                machine.make_automaton()
+            machines.append(machine if len(machine) else None)
+
+        def found(text: str, machine, whole: bool) -> dict:
+            hits = {}
+            for end, (needle, terms) in machine.iter(text):
+                start = end - len(needle) + 1
+                # A term begins a word; a term in its original spelling also ends one.
+                if needle not in hits and not (start and text[start - 1].isalnum()) and not (whole and end + 1 < len(text) and text[end + 1].isalnum()):
+                    hits[needle] = terms
+            return hits
+
+        for batch in batches:
+            out = []
+            for text, folded, held in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                hits = list(held or [])
+                for side, machine, whole in ((text, machines[0], True), (folded, machines[1], False)):
+                    if side and machine is not None:
+                        hits.extend(x for terms in found(side, machine, whole).values() for x in terms)
+                out.append(hits)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, batch.schema.field(3).type)], names=batch.schema.names)
+
+    return find
+
+
 def decode_verdicts(answers: DataFrame, item_index: DataFrame, topic_index: DataFrame) -> DataFrame:
     """(item_id, topic_id) from answers (batch_no, i, t array) by position in the batch.
 
@@ -153,11 +156,8 @@ def topic_keyword_list(topics: DataFrame) -> DataFrame:
     return topics.withColumn("keywords", F.when(F.size(F.coalesce("generated", F.array().cast("array<string>"))) > 0, F.array_distinct(cleaned)).otherwise(kept))
 
 
-def search_queries(topics: DataFrame, sources: DataFrame) -> DataFrame:
-    """(topic_id, query, source_id): the distinct queries of a topic for each search source.
-
-    The registry's search sources travel as one row.
-    """
-    every = sources.agg(F.array_sort(F.collect_list("source_id")).alias("source_ids"))
+def search_queries(topics: DataFrame, source_id) -> DataFrame:
+    """(topic_id, query, source_id): the distinct queries of each topic for one search source. Work is
+    handed out per source, so the pairs of all topics and sources are never listed."""
     queries = topics.select("topic_id", F.explode(F.array_union("queries_a", "queries_b")).alias("query"))
-    return queries.join(F.broadcast(every)).select("topic_id", "query", F.explode("source_ids").alias("source_id"))
+    return queries.select("topic_id", "query", F.lit(source_id).alias("source_id"))

@@ -114,20 +114,16 @@ def call_costs(calls: DataFrame, prices: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def call_log(calls: DataFrame) -> DataFrame:
-    """Log rows: a failed call has no tokens or cost, and its error is cut at 500 characters."""
+    """Log rows: a failed call has an error and no tokens or cost."""
     zero = lambda c: F.when(F.col("ok"), F.col(c)).otherwise(F.lit(0)).alias(c)
-    return calls.select("call_id", "stage", "prompt_name", "model", zero("input_tokens"), zero("output_tokens"), zero("cost_usd"), "latency_ms", "ok", F.when(~F.col("ok"), F.substring("error", 1, 500)).alias("error"), "created_at")
+    return calls.select("call_id", "stage", "prompt_name", "model", zero("input_tokens"), zero("output_tokens"), zero("cost_usd"), "latency_ms", "ok", F.when(~F.col("ok"), F.col("error")).alias("error"), "created_at")
 
 
 def rate_windows(requests: DataFrame, window_seconds: int, most: int) -> DataFrame:
-    """Each request with its hit number in the fixed window and whether it is allowed.
-
-    Window and limit are clamped to 1..3600 seconds and 1..1000 hits; keys to 256 characters.
-    """
-    seconds, limit = max(1, min(3600, window_seconds)), max(1, min(1000, most))
-    keyed = requests.withColumn("bucket", F.substring("bucket", 1, 256)).withColumn("window_epoch", F.floor(F.unix_micros("ts") / (seconds * 1_000_000)).cast("bigint"))
+    """Each request with its hit number in the fixed window and whether it is allowed."""
+    keyed = requests.withColumn("window_epoch", F.floor(F.unix_micros("ts") / (window_seconds * 1_000_000)).cast("bigint"))
     counted = running_totals(keyed, ["owner", "bucket", "window_epoch"], ["ts", "request_id"], {"hit_count": F.lit(1).cast("bigint")})
-    return counted.withColumn("allowed", F.col("hit_count") <= limit)
+    return counted.withColumn("allowed", F.col("hit_count") <= most)
 
 
 def source_health_summary(sources: DataFrame) -> DataFrame:
@@ -141,9 +137,11 @@ def failing_sources(sources: DataFrame) -> DataFrame:
 
 
 def fetch_health(log: DataFrame) -> DataFrame:
-    """(source_id, error_count, health_status) after an ordered fetch log (source_id, at, ok, stale).
+    """(source_id, error_count, health_status) after an ordered fetch log (source_id, at, ok, stale),
+    and, where the log has them, (url, type).
 
-    Errors are those after the last success, so no ordered pass is needed: one aggregate finds the
+    A source that has no url to fetch is broken. Staleness is a property of feeds: a log row of
+    another type is never stale. Errors are those after the last success, so no ordered pass is needed: one aggregate finds the
     last success, a second counts what follows.
     """
     success = F.when(F.col("ok"), F.struct("at", "fetch_id"))
@@ -151,8 +149,12 @@ def fetch_health(log: DataFrame) -> DataFrame:
     joined = log.join(last, "source_id")
     after = F.col("last_ok").isNull() | (F.struct("at", "fetch_id") > F.col("last_ok"))
     at_last = F.struct("at", "fetch_id") == F.col("last_ok")
-    found = joined.groupBy("source_id").agg(F.count_if(~F.col("ok") & after).alias("error_count"), F.bool_or(at_last & F.col("stale")).alias("stale"))
-    status = F.when(F.col("error_count") >= 3, F.lit("broken")).when((F.col("error_count") > 0) | F.coalesce("stale", F.lit(False)), F.lit("degraded")).otherwise(F.lit("ok"))
+    is_feed = F.col("type") == "rss" if "type" in log.columns else F.lit(True)
+    no_url = F.coalesce(F.col("url"), F.lit("")) == "" if "url" in log.columns else F.lit(False)
+    found = joined.groupBy("source_id").agg(
+        F.count_if(~F.col("ok") & after).alias("error_count"), F.bool_or(at_last & F.col("stale") & is_feed).alias("stale"), F.max_by(no_url, F.struct("at", "fetch_id")).alias("no_url")
+    )
+    status = F.when(F.col("no_url") | (F.col("error_count") >= 3), F.lit("broken")).when((F.col("error_count") > 0) | F.coalesce("stale", F.lit(False)), F.lit("degraded")).otherwise(F.lit("ok"))
     return found.select("source_id", "error_count", status.alias("health_status"))
 
 

@@ -47,7 +47,8 @@ def pivot_keys(pivots: np.ndarray, cosine: float):
     """Expression builder for the cell numbers a unit vector belongs to.
 
     A vector lies in the cell of its nearest pivot, and in every cell whose boundary is no farther
-    than the chord length that belongs to ``cosine``. Two vectors that close share a cell.
+    than the chord length that belongs to ``cosine``; its nearest pivot's cell comes first. Of two
+    vectors that close, each lies in the other's first cell.
     """
     if len(pivots) == 0:
         return lambda vector: F.array().cast("array<bigint>")
@@ -68,8 +69,9 @@ def pivot_keys(pivots: np.ndarray, cosine: float):
                 margin = np.where(spread > 0, (squared - own) / (2 * spread), np.inf)
             reached = margin <= radius
             reached[np.arange(len(filled)), home] = True
+            reached[np.arange(len(filled)), home] = False
             for row, i in enumerate(filled):
-                out[i] = np.flatnonzero(reached[row]).tolist()
+                out[i] = [int(home[row]), *np.flatnonzero(reached[row]).tolist()]
         return pd.Series(out)
 
     def keys(vector: Column) -> Column:

@@ -41,9 +41,19 @@ def batches(df: DataFrame, size: int, order: list[str], group: list[str] | None
 
 
 def top_rows(df: DataFrame, k: int, group: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
-    """The first ``k`` rows of each group, ranked from 1.
+    """The first ``k`` rows of each group, ranked from 1, where the first k are what is asked for.
 
     Spark limits each group inside every map task first, so a hot group sends k rows per task.
     """
     window = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("bigint"))
+
+
+def most_rows(df: DataFrame, most: int | None, group: list[str], order: list[Column]) -> DataFrame:
+    """All rows, or, for a caller that wants no more, the first ``most`` of each group."""
+    return df if most is None else top_rows(df, most, group, order, "_n").drop("_n")
+
+
+def newest_rows(df: DataFrame, most: int | None, order: list[Column]) -> DataFrame:
+    """All rows, or the first ``most`` in order for a caller that wants no more."""
+    return df if most is None else df.orderBy(*order).limit(most)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidings.functions import urls
 from tidings.operators.brief import DEFAULT_NOTE
-from tidings.operators.ordered import top_rows
+from tidings.operators.ordered import newest_rows, top_rows
 
 # Fixed value: the text of a week without evidence.
 NO_EVIDENCE = "Bu hafta bu soruyla ilgili yeni kanıt kaydedilmedi. Soru aktif olarak izlenmeye devam ediyor."
@@ -74,10 +74,11 @@ def question_history(questions: DataFrame, evidence: DataFrame, stories: DataFra
     return ordered.select("question_id", "pos", "stance", "note", "story_title")
 
 
-def question_widget(questions: DataFrame, evidence: DataFrame, stories: DataFrame, newest: int = 5) -> DataFrame:
-    """(question_id, text, note, story_id): among the newest active questions the first with noted
-    evidence, shown with its latest note; otherwise the newest question with the fixed note."""
-    recent = questions.filter("active").select("question_id", "text", "updated_at").orderBy(F.col("updated_at").desc(), "question_id").limit(newest)
+def question_widget(questions: DataFrame, evidence: DataFrame, stories: DataFrame, newest: int | None = None) -> DataFrame:
+    """(question_id, text, note, story_id): of the active questions the newest with noted evidence,
+    shown with its latest note; otherwise the newest question with the fixed note. ``newest`` looks at
+    so many of them only."""
+    recent = newest_rows(questions.filter("active").select("question_id", "text", "updated_at"), newest, [F.col("updated_at").desc(), F.col("question_id")])
     noted = evidence.filter(F.col("note").isNotNull()).join(recent.select("question_id"), "question_id", "left_semi")
     last = noted.groupBy("question_id").agg(F.max_by(F.struct("note", "story_id"), F.struct("created_at", "turn")).alias("e"))
     shown = last.join(stories.select(F.col("story_id").alias("e_story")), F.col("e.story_id") == F.col("e_story"), "left_semi")

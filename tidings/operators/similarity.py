@@ -8,11 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidings.functions import scoring, vectors as vx
-from tidings.operators import neighbours
-from tidings.session import checkpointed, small_rows
+from tidings.functions import scoring
+from tidings.session import checkpointed, row_blocks
 
-INLINE_VECTORS = 2_000
+BLOCK_VECTORS = 2_000
 
 
 def _unit_rows(vectors) -> np.ndarray:
@@ -22,41 +21,34 @@ def _unit_rows(vectors) -> np.ndarray:
     return block / length[:, None]
 
 
-def similar_pairs(items: DataFrame, topics: DataFrame, threshold: float, inline_vectors: int = INLINE_VECTORS) -> DataFrame:
+def similar_pairs(items: DataFrame, topics: DataFrame, threshold: float, block: int = BLOCK_VECTORS) -> DataFrame:
     """(item_id, topic_id, cosine) of items and topics at least ``threshold`` alike.
 
-    A topic list of checked size is held in every task and only matches leave it. A longer list
-    meets the items in shared vector cells.
+    Items pass through the topics in matrix blocks; no row is repeated and only matches leave a task.
+    At the low thresholds asked for here vectors have no cells that would spare comparisons.
     """
-    usable = items.filter(F.col("embedding").isNotNull()).select("item_id", "embedding")
-    wanted = topics.filter(F.col("embedding").isNotNull()).select("topic_id", "embedding")
-    rows = small_rows(wanted, inline_vectors)
-    if rows is None:
-        return _cell_pairs(usable, wanted, threshold)
-    schema = usable.select("item_id").schema.add("topic_id", wanted.schema["topic_id"].dataType).add("cosine", T.DoubleType())
-    if not rows:
-        return usable.sparkSession.createDataFrame([], schema)
-    ids = np.array([r["topic_id"] for r in rows])
-    matrix = _unit_rows([r["embedding"] for r in rows])
+    topic_type = topics.schema["topic_id"].dataType
+    state = items.filter(F.col("embedding").isNotNull()).select("item_id", "embedding", F.lit(None).cast(T.ArrayType(topic_type)).alias("topics"), F.lit(None).cast("array<double>").alias("cosines"))
+    for rows in row_blocks(topics.filter(F.col("embedding").isNotNull()).select("topic_id", "embedding"), "topic_id", block):
+        if rows:
+            state = state.mapInPandas(_compare(rows, threshold), state.schema)
+    return state.select("item_id", F.explode(F.arrays_zip("topics", "cosines")).alias("m")).select("item_id", F.col("m.topics").alias("topic_id"), F.col("m.cosines").alias("cosine"))
+
+
+def _compare(rows: list, threshold: float):
+    ids, matrix = np.array([r["topic_id"] for r in rows]), _unit_rows([r["embedding"] for r in rows])
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             if len(part):
                 scores = _unit_rows(part["embedding"]) @ matrix.T
-                row, col = np.nonzero(scores >= threshold)
-                yield pd.DataFrame({"item_id": part["item_id"].to_numpy()[row], "topic_id": ids[col], "cosine": scores[row, col]})
-
-    return usable.mapInPandas(compare, schema)
-
+                near = [np.flatnonzero(s >= threshold) for s in scores]
+                held = [[] if x is None else list(x) for x in part["topics"]], [[] if x is None else list(x) for x in part["cosines"]]
+                topics = [h + ids[n].tolist() for h, n in zip(held[0], near)]
+                cosines = [h + s[n].tolist() for h, s, n in zip(held[1], scores, near)]
+                yield part.assign(topics=pd.Series(topics, index=part.index), cosines=pd.Series(cosines, index=part.index))
 
-def _cell_pairs(items: DataFrame, topics: DataFrame, threshold: float) -> DataFrame:
-    left = items.withColumn("unit", vx.unit_vector(F.col("embedding"))).filter(F.col("unit").isNotNull())
-    right = topics.withColumn("unit_t", vx.unit_vector(F.col("embedding"))).filter(F.col("unit_t").isNotNull())
-    keys = neighbours.pivot_keys(neighbours.choose_pivots(right, "topic_id", "unit_t"), threshold)
-    a = left.select("item_id", "embedding", F.explode(keys(F.col("unit"))).alias("key"))
-    b = right.select("topic_id", F.col("embedding").alias("topic_vector"), F.explode(keys(F.col("unit_t"))).alias("key"))
-    close = a.join(b, "key").withColumn("cosine", vx.cosine(F.col("embedding"), F.col("topic_vector"))).filter(F.col("cosine") >= threshold)
-    return close.groupBy("item_id", "topic_id").agg(F.max("cosine").alias("cosine"))
+    return compare
 
 
 def relevance_scores(batch_items: DataFrame, verdicts: DataFrame, topics: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -79,28 +71,27 @@ def relevance_scores(batch_items: DataFrame, verdicts: DataFrame, topics: DataFr
     return scores, outcome.select("item_id", scoring.relevance_outcome(F.col("cleared"), F.col("failed")).alias("outcome"))
 
 
-def best_stories(items: DataFrame, stories: DataFrame, high: float, low: float, window_hours: int = 72, inline_vectors: int = INLINE_VECTORS) -> DataFrame:
+def best_stories(items: DataFrame, stories: DataFrame, high: float, low: float, window_hours: int = 72, block: int = BLOCK_VECTORS) -> DataFrame:
     """(item_id, story_id, cosine, action): the most alike story last touched within the window.
 
     'attach' from ``high`` up, 'confirm' from ``low`` up, else 'new' with no story. Equal
-    similarities go to the lower story id.
+    similarities go to the lower story id. Items pass through the stories in matrix blocks and carry
+    their best one along.
     """
     usable = items.filter(F.col("embedding").isNotNull()).select("item_id", "embedding", F.unix_micros(F.col("published_at").cast("timestamp")).alias("at"))
     held = stories.filter(F.col("centroid").isNotNull()).select("story_id", "centroid", F.unix_micros(F.col("last_updated_at").cast("timestamp")).alias("at"))
     window = window_hours * 3600 * 1_000_000
-    rows = small_rows(held, inline_vectors)
-    best = _best_by_cell(usable, held, low, window) if rows is None else _best_inline(usable, rows, low, window)
+    state = usable.select("*", F.lit(None).cast("bigint").alias("story_id"), F.lit(None).cast("double").alias("cosine"))
+    for rows in row_blocks(held, "story_id", block):
+        if rows:
+            state = state.mapInPandas(_best(rows, low, window), state.schema)
     action = F.when(F.col("cosine") >= high, F.lit("attach")).when(F.col("cosine") >= low, F.lit("confirm")).otherwise(F.lit("new"))
-    return usable.select("item_id").join(best, "item_id", "left").withColumn("action", action)
+    return state.select("item_id", "story_id", "cosine", action.alias("action"))
 
 
-def _best_inline(items: DataFrame, rows: list, low: float, window: int) -> DataFrame:
-    schema = items.select("item_id").schema.add("story_id", T.LongType()).add("cosine", T.DoubleType())
-    if not rows:
-        return items.sparkSession.createDataFrame([], schema)
+def _best(rows: list, low: float, window: int):
     rows = sorted(rows, key=lambda r: r["story_id"])
-    ids, times = np.array([r["story_id"] for r in rows]), np.array([r["at"] for r in rows])
-    matrix = _unit_rows([r["centroid"] for r in rows])
+    ids, times, matrix = np.array([r["story_id"] for r in rows]), np.array([r["at"] for r in rows]), _unit_rows([r["centroid"] for r in rows])
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -108,26 +99,14 @@ def _best_inline(items: DataFrame, rows: list, low: float, window: int) -> DataF
                 scores = _unit_rows(part["embedding"]) @ matrix.T
                 scores[np.abs(part["at"].to_numpy()[:, None] - times[None, :]) > window] = -np.inf
                 first = scores.argmax(axis=1)
-                top = scores[np.arange(len(part)), first]
-                keep = top >= low
-                yield pd.DataFrame({"item_id": part["item_id"].to_numpy()[keep], "story_id": ids[first][keep], "cosine": top[keep]})
-
-    return items.mapInPandas(compare, schema)
-
-
-def _best_by_cell(items: DataFrame, stories: DataFrame, low: float, window: int) -> DataFrame:
-    """Stories beyond the size check: time slot and vector cell form the join key."""
-    left = items.withColumn("unit", vx.unit_vector(F.col("embedding"))).filter(F.col("unit").isNotNull())
-    right = stories.withColumn("unit", vx.unit_vector(F.col("centroid"))).filter(F.col("unit").isNotNull())
-    keys = neighbours.pivot_keys(neighbours.choose_pivots(right, "story_id", "unit"), low)
-    slot = F.floor(F.col("at") / window).cast("bigint")
-    a = left.select("item_id", "embedding", "at", slot.alias("slot"), F.explode(keys(F.col("unit"))).alias("key"))
-    b = right.select("story_id", "centroid", F.col("at").alias("story_at"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"), keys(F.col("unit")).alias("ks"))
-    b = b.select("story_id", "centroid", "story_at", "slot", F.explode("ks").alias("key"))
-    close = a.join(b, ["key", "slot"]).filter(F.abs(F.col("at") - F.col("story_at")) <= window)
-    scored = close.withColumn("cosine", vx.cosine(F.col("embedding"), F.col("centroid"))).filter(F.col("cosine") >= low)
-    best = scored.groupBy("item_id").agg(F.max(F.struct("cosine", (-F.col("story_id")).alias("rank"))).alias("b"))
-    return best.select("item_id", (-F.col("b.rank")).alias("story_id"), F.col("b.cosine").alias("cosine"))
+                top, found = scores[np.arange(len(part)), first], ids[first]
+                so_far = part["cosine"].to_numpy(dtype="float64", na_value=np.nan)
+                mine = part["story_id"].astype("Int64")
+                better = (top >= low) & (np.isnan(so_far) | (top > so_far) | ((top == so_far) & (found < mine.fillna(0).to_numpy(dtype="int64"))))
+                cosine = pd.Series(np.where(better, top, so_far), index=part.index)
+                yield part.assign(story_id=mine.where(~better, pd.Series(found, index=part.index, dtype="Int64")), cosine=cosine.astype("Float64").where(cosine.notna(), pd.NA))
+
+    return compare
 
 
 def updated_centroids(stories: DataFrame, joined: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F, Window
 
 from tidings.functions import scoring, text as tx
 from tidings.operators.items import first_wins
-from tidings.operators.ordered import top_rows
+from tidings.operators.ordered import most_rows, running_totals, top_rows
 
 
 def primary_topic(item_topics: DataFrame, topics: DataFrame) -> DataFrame:
@@ -22,14 +22,16 @@ def orphan_items(scored: DataFrame, item_topics: DataFrame, topics: DataFrame) -
     return scored.join(alive.select("item_id"), "item_id", "left_anti")
 
 
-def recent_events(story_topics: DataFrame, stories: DataFrame, as_of, window_hours: int = 48, most: int = 80) -> DataFrame:
+def recent_events(story_topics: DataFrame, stories: DataFrame, as_of, window_hours: int = 48, most: int | None = None) -> DataFrame:
     """(topic_id, idx, story_id, title): the open stories of a topic touched in the window, newest
-    first, numbered from 0. The prompt lists at most ``most`` of them."""
+    first, numbered from 0; with ``most`` the first of them."""
     since = F.lit(as_of).cast("timestamp") - F.expr(f"interval {window_hours} hours")
     live = stories.filter((F.col("status") == "open") & (F.col("last_updated_at") >= since))
     joined = story_topics.join(live.select("story_id", "title", "last_updated_at"), "story_id")
-    ranked = top_rows(joined, most, ["topic_id"], [F.col("last_updated_at").desc(), F.col("story_id")])
-    return ranked.select("topic_id", (F.col("rank") - 1).alias("idx"), "story_id", "title", "last_updated_at")
+    taken = most_rows(joined, most, ["topic_id"], [F.col("last_updated_at").desc(), F.col("story_id")])
+    aged = taken.select("topic_id", "story_id", "title", "last_updated_at", (-F.unix_micros("last_updated_at")).alias("_age"))
+    numbered = running_totals(aged, ["topic_id"], ["_age", "story_id"], {"_n": F.lit(1).cast("bigint")})
+    return numbered.select("topic_id", (F.col("_n") - 1).alias("idx"), "story_id", "title", "last_updated_at")
 
 
 def sample_titles(story_items: DataFrame, items: DataFrame, n: int = 3) -> DataFrame:
@@ -68,18 +70,21 @@ def resolve_grouping(batch: DataFrame, events: DataFrame, verdicts: DataFrame) -
     settled = settled.withColumn("new_no", F.when(F.col("claim.kind") == 1, F.col("claim.at").cast("bigint")))
     rest = batch.join(settled.select("batch_no", "idx"), ["batch_no", "idx"], "left_anti").select(
         "item_id", "batch_no", F.lit(None).cast("bigint").alias("story_id"), (F.col("idx") + 1_000_000).cast("bigint").alias("new_no"), "title",
-        F.coalesce(F.substring("standfirst", 1, 280), F.col("title")).alias("summary"), F.lit(3).cast("bigint").alias("tier"),
+        F.coalesce("standfirst", F.col("title")).alias("summary"), F.lit(3).cast("bigint").alias("tier"),
     )
     return settled.select("item_id", "batch_no", "story_id", "new_no", "title", "summary", "tier").unionByName(rest)
 
 
 def grouping_writes(resolved: DataFrame, item_topics: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(new stories, story items, story topics, touched story ids) of a resolved batch.
+    """(new stories, story items, story topics, touched story ids) of a run's resolved batches.
 
-    New ids are a digest of batch and number, so a repeated run writes the same rows.
+    A new story's id is a digest of its smallest item, which belongs to one story only: a repeated
+    run writes the same rows, and another run never the same id.
     """
-    new_id = F.concat(F.lit("s"), F.substring(F.sha2(F.concat_ws(":", "batch_no", "new_no"), 256), 1, 16))
-    named = resolved.withColumn("sid", F.coalesce(F.col("story_id").cast("string"), new_id))
+    first = resolved.filter("story_id is null").groupBy("batch_no", "new_no").agg(F.min("item_id").alias("_first"))
+    new_id = F.concat(F.lit("s"), F.substring(F.sha2(F.col("_first").cast("string"), 256), 1, 16))
+    joined = resolved.join(first, ["batch_no", "new_no"], "left")
+    named = joined.withColumn("sid", F.coalesce(F.col("story_id").cast("string"), new_id)).drop("_first")
     stories = named.filter("story_id is null").groupBy("sid").agg(F.min("title").alias("title"), F.min("summary").alias("summary"), F.min("tier").alias("tier"))
     links = named.select(F.col("sid").alias("story_id"), "item_id").distinct()
     return stories.withColumnRenamed("sid", "story_id"), links, attach_topics(links, item_topics), named.filter("story_id is not null").select("story_id").distinct()
@@ -145,18 +150,17 @@ def framing_gate(counts: DataFrame, framing: DataFrame) -> DataFrame:
     return counts.join(framing, "story_id", "left").select("story_id", ((F.col("perspectives") >= 2) & (n > 0)).alias("show"))
 
 
-def why_matched(story_items: DataFrame, scores: DataFrame, topics: DataFrame, most: int = 6) -> DataFrame:
+def why_matched(story_items: DataFrame, scores: DataFrame, topics: DataFrame, most: int | None = None) -> DataFrame:
     """(story_id, topic, articles, verdicts, keywords): why a story sits under each topic.
 
-    Keywords are distinct over the story's articles; the page shows the first ``most`` in
-    alphabetical order.
+    Keywords are distinct over the story's articles, in alphabetical order; with ``most`` the first.
     """
     joined = story_items.join(scores, "item_id").join(topics.select("topic_id", "name"), "topic_id")
     counted = joined.groupBy("story_id", F.col("name").alias("topic")).agg(
         F.count("*").alias("articles"), F.count_if(F.startswith("reason", F.lit("ai"))).alias("verdicts")
     )
     words = joined.select("story_id", F.col("name").alias("topic"), F.explode(tx.keywords_from_reason(F.coalesce("reason", F.lit("")))).alias("word")).distinct()
-    first = top_rows(words, most, ["story_id", "topic"], [F.col("word")]).groupBy("story_id", "topic").agg(F.array_sort(F.collect_list("word")).alias("keywords"))
+    first = most_rows(words, most, ["story_id", "topic"], [F.col("word")]).groupBy("story_id", "topic").agg(F.array_sort(F.collect_list("word")).alias("keywords"))
     return counted.join(first, ["story_id", "topic"], "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
 
 

@@ -17,8 +17,7 @@ BRIEF_VIEWS = {
     "ranked": """SELECT strftime(last_updated_at, '%Y-%m-%d') AS day, story_id, title, coalesce(summary, '') AS summary, tier, coalesce(n, 0) AS source_count FROM stories
         LEFT JOIN (SELECT story_id, count(*) AS n FROM story_items GROUP BY 1) USING (story_id) WHERE status = 'open' AND tier IS NOT NULL""",
     "sections": """SELECT day, section, row_number() OVER (PARTITION BY day ORDER BY tier, rank) - 1 AS position, story_id, title, summary FROM (
-        SELECT *, ['critical', 'follow_up', 'worth_reading'][tier] AS section, row_number() OVER (PARTITION BY day, tier ORDER BY source_count DESC, story_id) AS rank FROM ranked)
-        WHERE rank <= [6, 10, 10][tier]""",
+        SELECT *, ['critical', 'follow_up', 'worth_reading'][tier] AS section, row_number() OVER (PARTITION BY day, tier ORDER BY source_count DESC, story_id) AS rank FROM ranked)""",
     "named": "SELECT day, name AS topic, r.* EXCLUDE (day) FROM ranked r JOIN story_topics USING (story_id) JOIN topics USING (topic_id)",
     "busy": "SELECT day, topic, events, row_number() OVER (PARTITION BY day ORDER BY events DESC, best, topic) AS line FROM (SELECT day, topic, count(*) AS events, min((tier, -source_count, story_id)) AS best FROM named GROUP BY day, topic)",
     "options": "MATERIALIZED SELECT day, line, topic, events, list(story_id ORDER BY tier, source_count DESC, story_id) AS ids FROM named JOIN busy USING (day, topic) GROUP BY day, line, topic, events",
@@ -107,8 +106,7 @@ def brief_faults(v):
 
 @query(
     "unused_research",
-    """SELECT item_id FROM (SELECT item_id FROM (SELECT item_id, created_at FROM items WHERE language = 'en' ORDER BY created_at DESC, item_id LIMIT 20)
-    WHERE item_id NOT IN (SELECT item_id FROM reading_list WHERE item_id IS NOT NULL)) JOIN items USING (item_id) ORDER BY created_at DESC, item_id LIMIT 5""",
+    """SELECT item_id FROM items WHERE language = 'en' AND item_id NOT IN (SELECT item_id FROM reading_list WHERE item_id IS NOT NULL)""",
 )
 def unused_research(v):
     research = v.items().select("item_id", "created_at", F.when(F.col("language") == "en", F.col("title")).alias("argument"))
@@ -116,17 +114,17 @@ def unused_research(v):
 
 
 _FEED_SQL = """SELECT watch_id, item_id, title, url, coalesce(source_id, regexp_extract(url, '^https://www[.]([^/]+)', 1)) AS source, {stamp} AS created_at FROM (
-    SELECT * FROM watch_items {where} ORDER BY created_at DESC, item_id, watch_id LIMIT {n}) w JOIN linked_items USING (item_id)"""
+    SELECT * FROM watch_items {where}) w JOIN linked_items USING (item_id)"""
 
 
-@query("watch_page", _FEED_SQL.format(stamp=sql_stamp("created_at"), where="", n=20))
+@query("watch_page", _FEED_SQL.format(stamp=sql_stamp("created_at"), where=""))
 def watch_page(v):
-    return brief.watch_feed(v.watch_items(), v.linked_items(), 20).withColumn("created_at", stamp("created_at"))
+    return brief.watch_feed(v.watch_items(), v.linked_items()).withColumn("created_at", stamp("created_at"))
 
 
-@query("watch_brief", _FEED_SQL.format(stamp=sql_stamp("created_at"), where="WHERE created_at >= TIMESTAMP '2024-01-29 12:00:00'", n=10))
+@query("watch_brief", _FEED_SQL.format(stamp=sql_stamp("created_at"), where="WHERE created_at >= TIMESTAMP '2024-01-29 12:00:00'"))
 def watch_brief(v):
-    return brief.watch_feed(v.watch_items(), v.linked_items(), 10, "2024-01-29 12:00:00").withColumn("created_at", stamp("created_at"))
+    return brief.watch_feed(v.watch_items(), v.linked_items(), since="2024-01-29 12:00:00").withColumn("created_at", stamp("created_at"))
 
 
 @query("content_refs", "SELECT 'research_item' AS content_type, item_id AS ref_id FROM items WHERE language = 'en' UNION ALL SELECT 'watchlist_item', item_id FROM watch_items")
@@ -136,8 +134,7 @@ def content_refs(v):
 
 LIVE_VIEWS = {
     "counts": "SELECT story_id, count(DISTINCT source_id) AS sources FROM story_items JOIN items USING (item_id) GROUP BY 1",
-    "live": f"""SELECT s.story_id, tier, coalesce(sources, 0) AS sources FROM (SELECT * FROM stories WHERE status = 'open' AND summary IS NOT NULL AND last_updated_at >= TIMESTAMP '{AS_OF}' - INTERVAL 72 HOUR
-        ORDER BY last_updated_at DESC, story_id LIMIT 1000) s LEFT JOIN counts USING (story_id)""",
+    "live": f"""SELECT s.story_id, tier, coalesce(sources, 0) AS sources FROM (SELECT * FROM stories WHERE status = 'open' AND summary IS NOT NULL AND last_updated_at >= TIMESTAMP '{AS_OF}' - INTERVAL 72 HOUR) s LEFT JOIN counts USING (story_id)""",
 }
 
 
@@ -356,7 +353,7 @@ def _costed(v):
 
 @query(
     "call_log",
-    "SELECT call_id, CASE WHEN ok THEN call_id % 5000 ELSE 0 END AS input_tokens, round(CASE WHEN ok THEN cost_usd ELSE 0 END, 6) AS cost_usd, CASE WHEN NOT ok THEN 500 END::BIGINT AS error_chars FROM calls",
+    "SELECT call_id, CASE WHEN ok THEN call_id % 5000 ELSE 0 END AS input_tokens, round(CASE WHEN ok THEN cost_usd ELSE 0 END, 6) AS cost_usd, CASE WHEN NOT ok THEN 630 END::BIGINT AS error_chars FROM calls",
 )
 def call_log(v):
     calls = v.calls().select(
@@ -367,7 +364,7 @@ def call_log(v):
 
 @query(
     "rate_windows",
-    "SELECT event_id AS request_id, n AS hit_count, n <= 3 AS allowed FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type, floor(epoch(ts) / 3600) ORDER BY ts, event_id) AS n FROM events)",
+    "SELECT event_id AS request_id, n AS hit_count, n <= 3 AS allowed FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type, floor(epoch(ts) / 9999) ORDER BY ts, event_id) AS n FROM events)",
 )
 def rate_windows(v):
     requests = v.events().select(F.col("event_id").alias("request_id"), F.col("user_id").alias("owner"), F.col("event_type").alias("bucket"), "ts")
@@ -375,16 +372,17 @@ def rate_windows(v):
 
 
 HEALTH_VIEWS = {
-    "fetch_log": "SELECT event_id AS fetch_id, 'src' || user_id % 50 AS source_id, ts AS fetched_at, event_type NOT IN ('error', 'click') AS ok, event_type = 'view' AS stale FROM events",
-    "health": """SELECT source_id, errors AS error_count, CASE WHEN errors >= 3 THEN 'broken' WHEN errors > 0 OR coalesce(stale, false) THEN 'degraded' ELSE 'ok' END AS health_status FROM (
-        SELECT f.source_id, count(*) FILTER (NOT f.ok AND (l.last IS NULL OR (f.fetched_at, f.fetch_id) > l.last)) AS errors, bool_or(f.stale) FILTER ((f.fetched_at, f.fetch_id) = l.last) AS stale
+    "fetch_log": "SELECT event_id AS fetch_id, 'src' || user_id % 50 AS source_id, ts AS fetched_at, event_type NOT IN ('error', 'click') AS ok, event_type = 'view' AS stale, CASE WHEN user_id % 50 <> 7 THEN 'https://x' END AS url, CASE WHEN user_id % 50 % 3 = 0 THEN 'sitemap' ELSE 'rss' END AS type FROM events",
+    "health": """SELECT source_id, errors AS error_count, CASE WHEN source_id = 'src7' OR errors >= 3 THEN 'broken' WHEN errors > 0 OR coalesce(stale, false) THEN 'degraded' ELSE 'ok' END AS health_status FROM (
+        SELECT f.source_id, count(*) FILTER (NOT f.ok AND (l.last IS NULL OR (f.fetched_at, f.fetch_id) > l.last)) AS errors, bool_or(f.stale AND f.type = 'rss') FILTER ((f.fetched_at, f.fetch_id) = l.last) AS stale
         FROM fetch_log f LEFT JOIN (SELECT source_id, max((fetched_at, fetch_id)) AS last FROM fetch_log WHERE ok GROUP BY 1) l USING (source_id) GROUP BY 1)""",
 }
 
 
 def _log(v):
     return v.events().select(
-        F.col("event_id").alias("fetch_id"), F.concat(F.lit("src"), (F.col("user_id") % 50).cast("string")).alias("source_id"), F.col("ts").alias("at"), (~F.col("event_type").isin("error", "click")).alias("ok"), (F.col("event_type") == "view").alias("stale")
+        F.col("event_id").alias("fetch_id"), F.concat(F.lit("src"), (F.col("user_id") % 50).cast("string")).alias("source_id"), F.col("ts").alias("at"), (~F.col("event_type").isin("error", "click")).alias("ok"), (F.col("event_type") == "view").alias("stale"),
+        F.when(F.col("user_id") % 50 != 7, F.lit("https://x")).alias("url"), F.when(F.col("user_id") % 50 % 3 == 0, F.lit("sitemap")).otherwise(F.lit("rss")).alias("type"),
     )
 
 
@@ -574,7 +572,7 @@ def question_histories(v):
 
 @query(
     "question_widget",
-    """SELECT question_id, q.text, coalesce(note, 'No new evidence was linked to this edition yet.') AS note, story_id FROM (SELECT * FROM questions WHERE active ORDER BY updated_at DESC, question_id LIMIT 5) q
+    """SELECT question_id, q.text, coalesce(note, 'No new evidence was linked to this edition yet.') AS note, story_id FROM (SELECT * FROM questions WHERE active) q
     LEFT JOIN (SELECT * FROM (SELECT * FROM evidence WHERE note IS NOT NULL QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY created_at DESC, turn DESC) = 1) WHERE story_id IN (SELECT story_id FROM stories)) e USING (question_id)
     ORDER BY note IS NULL, updated_at DESC, question_id LIMIT 1""",
 )
@@ -611,7 +609,7 @@ def known_urls(v):
 @query(
     "new_items",
     f"""SELECT canonical_url, min(page_id) AS page_id, CASE WHEN min(page_id) * 7 % 30 >= 7 THEN 'not_relevant' ELSE 'new' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY page_id) AS n
-    FROM (SELECT *, split_part(canonical_url, '/', 3)[-4:] AS h FROM page_urls)) WHERE n <= 100 AND page_id % 13 <> 0 AND canonical_url NOT IN (SELECT canonical_url FROM page_stored) GROUP BY 1""",
+    FROM (SELECT *, split_part(canonical_url, '/', 3)[-4:] AS h FROM page_urls)) WHERE page_id % 13 <> 0 AND canonical_url NOT IN (SELECT canonical_url FROM page_stored) GROUP BY 1""",
     PAGE_VIEWS,
 )
 def new_items(v):

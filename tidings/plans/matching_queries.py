@@ -43,8 +43,7 @@ HASH_VIEWS = {**SIMHASH_VIEWS, **_greedy_views("BIGINT", HASH_NEAR, 48, "SELECT
     HASH_VIEWS,
 )
 def canonical_items(v):
-    prints = fingerprint.item_fingerprints(v.items())
-    items = v.items().select("item_id", "published_at").join(prints, "item_id")
+    items = fingerprint.item_fingerprints(v.items(), keep=("published_at",))
     return dedup.canonical_items(items, dedup.Nearness(48, 3, None))
 
 
@@ -52,12 +51,11 @@ VECTOR_NEAR = "list_dot_product(c.sig, o.sig) >= 0.35"
 VECTOR_VIEWS = _greedy_views("DOUBLE[]", VECTOR_NEAR, 48, "SELECT item_id, published_at, embedding::DOUBLE[] AS sig FROM vectors")
 
 
-@query(
-    "canonical_vectors",
-    f"""SELECT t.item_id, arg_min(c.id, (c.tm, c.id)) AS canonical_item_id FROM timeline t LEFT JOIN originals c
-    ON t.item_id NOT IN (SELECT id FROM originals) AND (t.tm, t.item_id) > (c.tm, c.id) AND t.tm - c.tm <= 172800 AND {VECTOR_NEAR.replace('o.sig', 't.sig')} GROUP BY t.item_id""",
-    VECTOR_VIEWS,
-)
+CANONICAL_VECTORS_SQL = f"""SELECT t.item_id, arg_min(c.id, (c.tm, c.id)) AS canonical_item_id FROM timeline t LEFT JOIN originals c
+    ON t.item_id NOT IN (SELECT id FROM originals) AND (t.tm, t.item_id) > (c.tm, c.id) AND t.tm - c.tm <= 172800 AND {VECTOR_NEAR.replace('o.sig', 't.sig')} GROUP BY t.item_id"""
+
+
+@query("canonical_vectors", CANONICAL_VECTORS_SQL, VECTOR_VIEWS)
 def canonical_vectors(v):
     return dedup.canonical_items(v.vectors().select("item_id", "published_at", "embedding"), dedup.Nearness(48, None, 0.35))
 
@@ -71,7 +69,7 @@ def canonical_vectors(v):
 def canonical_matches(v):
     """Every item against the pool of originals, before and after it."""
     rule = dedup.Nearness(48, 3, None)
-    prints = checkpointed(v.items().select("item_id", "published_at").join(fingerprint.item_fingerprints(v.items()), "item_id"))
+    prints = checkpointed(fingerprint.item_fingerprints(v.items(), keep=("published_at",)))
     copies = dedup.canonical_items(prints, rule).filter("canonical_item_id is not null").select("item_id")
     return dedup.canonical_match(prints, prints.join(copies, "item_id", "left_anti"), rule)
 
@@ -119,8 +117,8 @@ def keyword_hits(v):
 
 @query("keyword_hits_by_word", "SELECT item_id, topic_id, words FROM hits", HIT_VIEWS)
 def keyword_hits_by_word(v):
-    """The same hits by the join that serves long term lists."""
-    hits = match.keyword_hits(_texts(v), v.topics().filter("active"), inline_terms=0)
+    """The same hits with the terms in many blocks, as a long list has them."""
+    hits = match.keyword_hits(_texts(v), v.topics().filter("active"), block_terms=4)
     return hits.select("item_id", "topic_id", F.array_join("words", ", ").alias("words"))
 
 
@@ -213,13 +211,12 @@ def keyword_lists(v):
 
 @query(
     "search_queries",
-    """SELECT topic_id, query, s.source_id FROM (SELECT item_id AS topic_id, unnest(list_distinct(w[1:3] || w[2:4])) AS query FROM (
-    SELECT item_id, regexp_split_to_array(title, ' ') AS w FROM items)), (SELECT source_id FROM sources WHERE type = 'sitemap') s""",
+    """SELECT item_id AS topic_id, unnest(list_distinct(w[1:3] || w[2:4])) AS query, 'src3' AS source_id FROM (SELECT item_id, regexp_split_to_array(title, ' ') AS w FROM items)""",
 )
 def search_queries(v):
     words = F.split("title", " ")
     topics = v.items().select(F.col("item_id").alias("topic_id"), F.slice(words, 1, 3).alias("queries_a"), F.slice(words, 2, 3).alias("queries_b"))
-    return match.search_queries(topics, v.sources().filter("type = 'sitemap'"))
+    return match.search_queries(topics, "src3")
 
 
 # --- vectors ---------------------------------------------------------------------------------
@@ -237,8 +234,8 @@ def relevance_prefilter(v):
 
 @query("relevance_prefilter_by_cell", "SELECT item_id, topic_id, round(cosine, 6) AS cosine FROM close_pairs", PAIR_VIEWS)
 def relevance_prefilter_by_cell(v):
-    """The same pairs by the join that serves long topic lists."""
-    return similarity.similar_pairs(v.vectors(), v.topic_vectors(), 0.2, inline_vectors=0).withColumn("cosine", six("cosine"))
+    """The same pairs with the topics in many blocks, as a long list has them."""
+    return similarity.similar_pairs(v.vectors(), v.topic_vectors(), 0.2, block=3).withColumn("cosine", six("cosine"))
 
 
 RELEVANCE_VIEWS = {
@@ -290,8 +287,8 @@ def cluster_decisions(v):
 
 @query("cluster_decisions_by_cell", "SELECT item_id, story_id, round(cosine, 6) AS cosine, action FROM decided", CLUSTER_VIEWS)
 def cluster_decisions_by_cell(v):
-    """The same decisions by the join that serves many open stories."""
-    return similarity.best_stories(v.vectors(), _snapshot(v), 0.30, 0.20, inline_vectors=0).withColumn("cosine", six("cosine"))
+    """The same decisions with the stories in many blocks."""
+    return similarity.best_stories(v.vectors(), _snapshot(v), 0.30, 0.20, block=3).withColumn("cosine", six("cosine"))
 
 
 LEADER_NEAR = "list_dot_product(c.sig, o.sig) >= 0.30"
@@ -353,7 +350,7 @@ def orphan_items(v):
 @query(
     "recent_events",
     f"""SELECT topic_id, n - 1 AS idx, story_id, title FROM (SELECT topic_id, story_id, title, row_number() OVER (PARTITION BY topic_id ORDER BY last_updated_at DESC, story_id) AS n
-    FROM story_topics JOIN stories USING (story_id) WHERE status = 'open' AND last_updated_at >= TIMESTAMP '{AS_OF}' - INTERVAL 240 HOUR) WHERE n <= 80""",
+    FROM story_topics JOIN stories USING (story_id) WHERE status = 'open' AND last_updated_at >= TIMESTAMP '{AS_OF}' - INTERVAL 240 HOUR)""",
 )
 def recent_events(v):
     return st.recent_events(v.story_topics(), v.stories(), AS_OF, window_hours=240).drop("last_updated_at")
@@ -411,17 +408,28 @@ def resolved_grouping(v):
     return _resolved(v)
 
 
-_SID = "coalesce(story_id::VARCHAR, 's' || sha256(batch_no || ':' || new_no)[1:16])"
+_SID = "coalesce(story_id::VARCHAR, 's' || sha256((min(item_id) OVER (PARTITION BY batch_no, new_no))::VARCHAR)[1:16])"
+_NAMED = f"SELECT *, {_SID} AS sid FROM resolved"
 
 
-@query("grouping_stories", f"SELECT {_SID} AS story_id, min(title) AS title, min(summary) AS summary, min(tier) AS tier FROM resolved WHERE story_id IS NULL GROUP BY 1", {**_GROUP_VIEWS, "resolved": RESOLVED_SQL})
+@query("grouping_stories", f"SELECT sid AS story_id, min(title) AS title, min(summary) AS summary, min(tier) AS tier FROM ({_NAMED}) WHERE story_id IS NULL GROUP BY 1", {**_GROUP_VIEWS, "resolved": RESOLVED_SQL})
 def grouping_stories(v):
     return st.grouping_writes(_resolved(v), v.scores())[0]
 
 
+@query("grouping_links", f"SELECT DISTINCT sid AS story_id, item_id FROM ({_NAMED})", {**_GROUP_VIEWS, "resolved": RESOLVED_SQL})
+def grouping_links(v):
+    return st.grouping_writes(_resolved(v), v.scores())[1]
+
+
+@query("grouping_touched", "SELECT DISTINCT story_id FROM resolved WHERE story_id IS NOT NULL", {**_GROUP_VIEWS, "resolved": RESOLVED_SQL})
+def grouping_touched(v):
+    return st.grouping_writes(_resolved(v), v.scores())[3]
+
+
 @query(
     "grouping_topics",
-    f"SELECT DISTINCT sid AS story_id, topic_id FROM (SELECT {_SID} AS sid, item_id FROM resolved) JOIN scores USING (item_id)",
+    f"SELECT DISTINCT sid AS story_id, topic_id FROM (SELECT sid, item_id FROM ({_NAMED})) JOIN scores USING (item_id)",
     {**_GROUP_VIEWS, "resolved": RESOLVED_SQL},
 )
 def grouping_topics(v):
@@ -483,7 +491,7 @@ def framing_shown(v):
 @query(
     "why_matched",
     """SELECT story_id, name AS topic, count(DISTINCT item_id) AS articles, count(DISTINCT CASE WHEN reason LIKE 'ai%' THEN item_id END) AS verdicts,
-    coalesce(array_to_string((list_sort(list_distinct(list(word) FILTER (word IS NOT NULL))))[1:6], ', '), '') AS keywords FROM (
+    coalesce(array_to_string(list_sort(list_distinct(list(word) FILTER (word IS NOT NULL))), ', '), '') AS keywords FROM (
     SELECT story_id, item_id, topic_id, reason, unnest(CASE WHEN contains(reason, ': ') THEN string_split(split_part(reason, ': ', 2), ', ') WHEN reason = 'keyword' THEN ['(keyword match, earlier rule)'] ELSE [NULL] END) AS word
     FROM story_items JOIN scores USING (item_id)) JOIN topics USING (topic_id) GROUP BY story_id, name""",
 )
@@ -628,7 +636,7 @@ def checked_answers(v):
 
 _SHOT_SQL = """SELECT topic_id, array_to_string(list(title ORDER BY n), '|') AS titles FROM (
     SELECT topic_id, story_id, row_number() OVER (PARTITION BY topic_id ORDER BY created_at DESC, feedback_id) AS n FROM (
-    SELECT * FROM feedback WHERE signal IN ('relevant', 'saved') ORDER BY created_at DESC, feedback_id LIMIT 100) f JOIN story_topics t ON t.story_id = f.target_id) r
+    SELECT * FROM feedback WHERE signal IN ('relevant', 'saved')) f JOIN story_topics t ON t.story_id = f.target_id) r
     JOIN (SELECT story_id, arg_min(title, item_id) AS title FROM story_items JOIN items USING (item_id) WHERE title <> '' GROUP BY story_id) USING (story_id) WHERE n <= 20 GROUP BY topic_id"""
 
 
@@ -636,7 +644,7 @@ _SHOT_SQL = """SELECT topic_id, array_to_string(list(title ORDER BY n), '|') AS
 def few_shot_titles(v):
     from tidings.functions.scoring import TOPIC_POSITIVE
 
-    return handoff.few_shot(v.feedback(), v.story_topics(), v.story_items(), v.items(), TOPIC_POSITIVE).withColumn("titles", F.array_join("titles", "|"))
+    return handoff.few_shot(v.feedback(), v.story_topics(), v.story_items(), v.items(), TOPIC_POSITIVE, 20).withColumn("titles", F.array_join("titles", "|"))
 
 
 @query(

@@ -72,12 +72,10 @@ def path_dates(v):
 
 @query(
     "clean_titles",
-    """SELECT item_id, CASE WHEN length(trim(title)) >= 20 AND NOT contains(title, '|') AND NOT contains(title, '–') THEN trim(title) ELSE trim(title) || ' | ' || source_id END AS title
-    FROM items WHERE NOT contains(title, '|') AND NOT contains(title, '–')""",
+    """SELECT item_id, CASE WHEN length(rtrim(title)) >= 20 THEN trim(title) ELSE trim(title || ' | ' || source_id) END AS title FROM items""",
 )
 def clean_titles(v):
-    plain = v.items().filter(~F.contains("title", F.lit("|")) & ~F.contains("title", F.lit("–")))
-    return plain.select("item_id", tx.clean_title(F.concat(F.trim("title"), F.lit(" | "), "source_id")).alias("title"))
+    return v.items().select("item_id", tx.clean_title(F.concat("title", F.lit(" | "), "source_id")).alias("title"))
 
 
 @query(
@@ -100,7 +98,7 @@ def _language_sql() -> str:
         f"{{'score': len(list_filter(w, lambda x: x IN ({', '.join(repr(word) for word in words)}))), 'rank': -{n}, 'lang': '{lang}'}}"
         for n, (lang, words) in enumerate(sorted(tx.LANGUAGE_WORDS.items()))
     )
-    return f"""SELECT item_id, CASE WHEN length(text) >= 20 AND best.score > 0 THEN best.lang ELSE 'en' END AS detected, language FROM (
+    return f"""SELECT item_id, CASE WHEN best.score > 0 THEN best.lang END AS detected, language FROM (
         SELECT item_id, text, language, list_max([{scores}]) AS best FROM (SELECT *, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS w FROM items))"""
 
 
@@ -200,7 +198,7 @@ def parsed_embeddings(v):
 @query(
     "embedding_inputs",
     """SELECT item_id, length(b) AS chars, sha256(b) AS digest FROM (SELECT item_id, substr(title || chr(10) || chr(10) ||
-    array_to_string(regexp_split_to_array(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+')[1:500], ' '), 1, 10000) AS b FROM items)""",
+    array_to_string(regexp_split_to_array(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+'), ' '), 1) AS b FROM items)""",
 )
 def embedding_inputs(v):
     body = tx.embedding_input(F.col("title"), F.col("text"))
@@ -233,13 +231,20 @@ def research_windows(v):
     """SELECT stage, count(*) AS due FROM (
     SELECT unnest(CASE status WHEN 'new' THEN ['extract'] WHEN 'extracted' THEN ['embed'] WHEN 'embedded' THEN ['dedup', 'relevance'] WHEN 'scored' THEN ['cluster', 'group'] ELSE [] END) AS stage, status, original
     FROM (SELECT ['new', 'extracted', 'embedded', 'scored', 'grouped'][CAST(doc_id % 5 + 1 AS BIGINT)] AS status, doc_id % 7 <> 0 AS original FROM documents))
-    WHERE original OR stage = 'group' GROUP BY stage""",
+    WHERE original OR stage = 'group' GROUP BY stage
+    UNION ALL SELECT 'score', count(*) FILTER (status = 'open' AND story_id % 4 = 0) FROM stories
+    UNION ALL SELECT 'enrich', count(*) FILTER (status = 'open' AND story_id % 4 <> 0 AND summary IS NULL) FROM stories
+    UNION ALL SELECT 'research', count(*) FILTER (language <> 'en') FROM items""",
 )
 def stage_backlogs(v):
     status = F.element_at(F.array(*[F.lit(s) for s in ("new", "extracted", "embedded", "scored", "grouped")]), (F.col("doc_id") % 5 + 1).cast("int"))
     rows = v.table("documents").select("doc_id", status.alias("status"), F.when(F.col("doc_id") % 7 == 0, F.lit(1)).alias("canonical_item_id"))
     flags = F.array_compact(F.array(*[F.when(scoring.stage_due(s), F.lit(s)) for s in ("extract", "embed", "dedup", "relevance", "cluster", "group")]))
-    return rows.select(F.explode(flags).alias("stage")).groupBy("stage").agg(F.count("*").alias("due"))
+    by_item = rows.select(F.explode(flags).alias("stage"))
+    stories = v.stories().withColumn("tier", F.when(F.col("story_id") % 4 != 0, F.col("tier")))
+    by_story = stories.select(F.explode(F.array_compact(F.array(*[F.when(scoring.stage_due(s), F.lit(s)) for s in ("score", "enrich")]))).alias("stage"))
+    research = v.items().select(F.when(F.col("language") == "en", F.lit("a")).alias("argument")).filter(scoring.stage_due("research")).select(F.lit("research").alias("stage"))
+    return by_item.unionByName(by_story).unionByName(research).groupBy("stage").agg(F.count("*").alias("due"))
 
 
 @query(

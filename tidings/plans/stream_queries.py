@@ -4,20 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidings.operators import dedup
+from tidings.operators import brief, dedup, ordered
+from tidings.plans.matching_queries import CANONICAL_VECTORS_SQL, VECTOR_VIEWS
 from tidings.plans.registry import query, sql_stamp, stamp
 from tidings.streaming import jobs
 from tidings.streaming.store import run_folder
 
 
-def _stream(v, name: str):
-    """A table's file as a stream."""
-    schema = v.spark.read.parquet(f"{v.folder}/{name}.parquet").schema
-    return v.spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{v.folder}/{name}*.parquet")
+PARTS = 3
+
+
+def _stream(v, table, part):
+    """A table as a stream of ``PARTS`` files, a micro-batch each. ``part`` numbers the file of a row."""
+    folder = run_folder(v.spark, "arriving")
+    for n in range(PARTS):
+        table.filter(part == n).coalesce(1).write.mode("append").parquet(folder)
+    return v.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _in_turn(at):
+    """Files in the order of time, ten days each."""
+    return F.least(F.lit(PARTS - 1), F.floor(F.datediff(at.cast("date"), F.lit("2024-01-01").cast("date")) / 10))
 
 
 def _events(v):
-    return _stream(v, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    """Events in the order of their time."""
+    return _stream(v, v.events(), _in_turn(F.col("ts")))
+
+
+def _late_events(v):
+    """Events dealt out by number, so that most come weeks after later ones, and every hundredth
+    comes twice."""
+    events = v.events().withColumn("file", F.col("event_id") % PARTS)
+    again = events.filter(F.col("event_id") % 100 == 0).withColumn("file", F.lit(PARTS - 1).cast("bigint"))
+    return _stream(v, events.unionByName(again), F.col("file"))
 
 
 @query(
@@ -47,7 +67,7 @@ def stream_late_days(v):
 
 @query("stream_arrivals_once", "SELECT DISTINCT user_id * 100 + length(event_type) AS arrival FROM events")
 def stream_arrivals_once(v):
-    arrivals = _events(v).select((F.col("user_id") * 100 + F.char_length("event_type")).alias("arrival"), "ts")
+    arrivals = _late_events(v).select((F.col("user_id") * 100 + F.char_length("event_type")).alias("arrival"), "ts")
     return jobs.arrivals_once(arrivals, run_folder(v.spark, "arrivals"), "arrival").select("arrival")
 
 
@@ -66,19 +86,17 @@ def stream_feedback_once(v):
     return jobs.feedback_once(named.select(*static.fieldNames()), run_folder(v.spark, "feedback"), v.story_items(), v.items())
 
 
-@query("stream_daily_briefs", "SELECT strftime(ts, '%Y-%m-%d') AS day, min('edition ' || lpad(event_id::VARCHAR, 12, '0')) AS headline FROM events GROUP BY 1")
+@query("stream_daily_briefs", "SELECT strftime(ts, '%Y-%m-%d') AS day, arg_min('edition ' || lpad(event_id::VARCHAR, 12, '0'), (event_id % 3, event_id)) AS headline FROM events GROUP BY 1")
 def stream_daily_briefs(v):
-    editions = _events(v).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.concat(F.lit("edition "), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("headline"))
+    editions = _late_events(v).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.concat(F.lit("edition "), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("headline"))
     return jobs.one_brief_a_day(editions, run_folder(v.spark, "briefs"))
 
 
 def _vectors(v):
-    from tidings.plans.views import hours_after
+    return _stream(v, v.vectors().select("item_id", "published_at", "embedding"), _in_turn(F.col("published_at")))
 
-    return _stream(v, "embeddings").select(F.col("vec_id").alias("item_id"), hours_after(F.col("vec_id") * 13 % 720).alias("published_at"), "embedding")
 
-
-@query("stream_canonical_vectors")
+@query("stream_canonical_vectors", CANONICAL_VECTORS_SQL, VECTOR_VIEWS)
 def stream_canonical_vectors(v):
     return jobs.linked_stream(_vectors(v), run_folder(v.spark, "links"), dedup.Nearness(48, None, 0.35))
 
@@ -87,3 +105,34 @@ def stream_canonical_vectors(v):
 def stream_clusters(v):
     none = v.spark.createDataFrame([], "item_id bigint, story_id bigint, same boolean")
     return jobs.clustered_stream(_vectors(v), run_folder(v.spark, "clusters"), none, 0.30, 0.20)
+
+
+@query(
+    "pending_retries",
+    """SELECT item_id, CASE WHEN status = 'new' THEN 'waited' ELSE 'arrived' END AS origin FROM statuses WHERE status = 'new' OR item_id % 2 = 0""",
+)
+def pending_retries(v):
+    """Every other item arrives again while items of a failed batch still wait."""
+    waiting = v.statuses().select("item_id", F.lit("waited").alias("origin"), "status")
+    arrived = v.items().filter("item_id % 2 = 0").select("item_id", F.lit("arrived").alias("origin"))
+    return jobs.with_pending(arrived, waiting)
+
+
+@query("written_briefs", "SELECT strftime(published_at, '%Y-%m-%d') AS day, 'items ' || count(*) AS content FROM items GROUP BY 1")
+def written_briefs(v):
+    """Editions written twice and read back: the second run replaces the days it has."""
+    day = F.date_format("published_at", "yyyy-MM-dd").alias("day")
+    folder = run_folder(v.spark, "editions")
+    first = v.items().filter("item_id % 2 = 0").groupBy(day).agg(F.lit("draft").alias("content"))
+    brief.write_briefs(first, folder)
+    brief.write_briefs(v.items().groupBy(day).agg(F.concat(F.lit("items "), F.count("*").cast("string")).alias("content")), folder)
+    return v.spark.read.schema("content string, day string").parquet(folder).select("day", "content")
+
+
+@query("written_reading_list", "SELECT row_number() OVER (ORDER BY created_at DESC, entry_id) AS line, 'entry ' || entry_id AS block FROM reading_list")
+def written_reading_list(v):
+    """The exported list, read file by file in name order."""
+    folder = run_folder(v.spark, "export")
+    brief.write_reading_list(v.reading_list().select("entry_id", "created_at", F.concat(F.lit("entry "), F.col("entry_id").cast("string")).alias("block")), folder)
+    lines = v.spark.read.option("wholetext", True).text(folder).select(F.input_file_name().alias("file"), F.posexplode(F.split(F.rtrim(F.col("value"), F.lit("\n")), "\n")).alias("pos", "block")).filter("block <> ''")
+    return ordered.running_totals(lines, [], ["file", "pos"], {"line": F.lit(1).cast("bigint")}).select("line", "block")

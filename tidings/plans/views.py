@@ -32,16 +32,6 @@ def hours_after(hours: Column) -> Column:
     return F.timestamp_add("HOUR", hours.cast("int"), F.lit(START).cast("timestamp"))
 
 
-# Tables with long texts, where work per row is high.
-TEXT_TABLES = ("documents", "pages", "conversations")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of an input with few splits to all cores; larger inputs keep their own splits."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _story_of(doc: Column) -> Column:
     return F.floor(doc / 3).cast("bigint")
 
@@ -51,8 +41,7 @@ class Views:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(df) if name in TEXT_TABLES else df
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def items(self) -> DataFrame:
         published = hours_after(F.col("doc_id") * 37 % 720)
@@ -60,7 +49,7 @@ class Views:
             F.col("doc_id").alias("item_id"),
             F.col("source").alias("source_id"),
             F.col("lang").alias("language"),
-            F.substring(F.regexp_extract("text", r"^[^.\n]*", 0), 1, 120).alias("title"),
+            F.regexp_extract("text", r"^[^.\n]*", 0).alias("title"),
             "text",
             published.alias("published_at"),
             F.timestamp_add("HOUR", F.lit(1), published).alias("created_at"),
@@ -259,7 +248,7 @@ def _array(words) -> str:
 
 VIEW_SQL = {
     "items": f"""SELECT doc_id AS item_id, source AS source_id, lang AS language,
-        substr(regexp_extract(text, '^[^.\\n]*'), 1, 120) AS title, text,
+        regexp_extract(text, '^[^.\\n]*') AS title, text,
         {_hour('doc_id * 37 % 720')} AS published_at, {_hour('doc_id * 37 % 720 + 1')} AS created_at FROM documents""",
     "sources": """SELECT source_id, n, CAST((n % 9 + 1) / 10.0 AS DECIMAL(3,2)) AS weight, n % 7 = 0 AS weight_locked, n <> 13 AS active,
         'g' || CAST(n % 5 AS VARCHAR) AS perspective_group, CASE WHEN n % 4 = 3 THEN 'sitemap' ELSE 'rss' END AS type

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(app: str = "tidings", cpus: str = "*") -> SparkSession:
@@ -56,11 +58,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def small_rows(df: DataFrame, limit: int) -> list | None:
-    """The rows of a parameter table, or None when it holds more than ``limit`` rows.
+def row_blocks(df: DataFrame, key: str, size: int) -> Iterator[list]:
+    """The rows of a table in blocks of about ``size`` rows, one on the driver at a time.
 
-    At most ``limit + 1`` rows ever reach the driver, so callers can choose a distributed
-    form for the larger case.
+    A table that fits is one block; a longer one is dealt out by the hash of ``key``. The rows that
+    meet the blocks pass from one to the next, so any length works the same way.
     """
-    rows = df.limit(limit + 1).collect()
-    return None if len(rows) > limit else rows
+    count = max(1, math.ceil(df.count() / size))
+    for n in range(count):
+        block = df if count == 1 else df.filter(F.pmod(F.xxhash64(key), F.lit(count)) == n)
+        yield block.collect()

@@ -48,7 +48,7 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
     return robots.select("host", F.posexplode(mk.robots_sitemap_list(F.col("body"))).alias("pos", "sitemap_url"))
 
 
-def discover_sources(homepages: DataFrame, feed_entries: DataFrame, robots: DataFrame, sitemap_counts: DataFrame, as_of, fresh_days: int = 14, candidates: int = 4) -> DataFrame:
+def discover_sources(homepages: DataFrame, feed_entries: DataFrame, robots: DataFrame, sitemap_counts: DataFrame, as_of, fresh_days: int = 14, candidates: int | None = None) -> DataFrame:
     """(homepage, status, source_type, feed_url, recent_items) by the first candidate that works.
 
     ``homepages`` (homepage, html, error); ``feed_entries`` (feed_url, published_at) of the feeds
@@ -59,8 +59,9 @@ def discover_sources(homepages: DataFrame, feed_entries: DataFrame, robots: Data
     pages = homepages.withColumn("refused", refused).withColumn("host", urls.authority(F.col("homepage")))
     open_pages = pages.filter(~F.col("refused"))
     advertised = mk.feed_link_list(F.coalesce("html", F.lit("")), F.col("homepage"))
+    first = lambda listed: listed if candidates is None else F.slice(listed, 1, candidates)
     usual = F.transform(F.array(*[F.lit(p) for p in CONVENTIONAL_PATHS]), lambda p: urls.absolute_url(p, F.col("homepage")))
-    tried = open_pages.select("homepage", F.posexplode(F.slice(F.when(F.size(advertised) > 0, advertised).otherwise(usual), 1, candidates)).alias("pos", "url"))
+    tried = open_pages.select("homepage", F.posexplode(first(F.when(F.size(advertised) > 0, advertised).otherwise(usual))).alias("pos", "url"))
     permitted = allowed_urls(tried.select("url").distinct(), robots).select("url", F.lit(True).alias("permitted"))
     since = F.lit(as_of).cast("timestamp") - F.expr(f"interval {fresh_days} days")
     counts = feed_entries.groupBy(F.col("feed_url").alias("url")).agg(F.count("*").alias("entries"), F.count_if(F.col("published_at") >= since).alias("recent"))
@@ -73,7 +74,7 @@ def discover_sources(homepages: DataFrame, feed_entries: DataFrame, robots: Data
     )
     by_feed = facts.select("homepage", state.alias("status"), F.lit("rss").alias("source_type"), F.col("url").alias("feed_url"), F.coalesce("recent", F.lit(0)).alias("recent_items"), "pos")
     maps = open_pages.select("homepage", "host").join(robots.select("host", F.col("body").alias("robots")), "host")
-    listed = maps.select("homepage", F.posexplode(F.slice(mk.robots_sitemap_list(F.col("robots")), 1, 2)).alias("pos", "sitemap_url"))
+    listed = maps.select("homepage", F.posexplode(first(mk.robots_sitemap_list(F.col("robots")))).alias("pos", "sitemap_url"))
     by_map = listed.join(sitemap_counts.filter("recent > 0"), "sitemap_url").select(
         "homepage", F.lit("ok").alias("status"), F.lit("sitemap").alias("source_type"), F.col("sitemap_url").alias("feed_url"), F.col("recent").alias("recent_items"), "pos"
     )

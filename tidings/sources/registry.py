@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidings.functions import urls
 from tidings.operators.items import first_wins, insert_absent
-from tidings.operators.ordered import top_rows
+from tidings.operators.ordered import most_rows, newest_rows
 
 _CONTENT = ["type", "url_or_query", "language", "perspective_group", "paywalled", "link_pattern"]
 
@@ -34,27 +34,28 @@ def watch_queries(watches: DataFrame) -> DataFrame:
     return watches.filter("active").select("watch_id", F.coalesce(F.get_json_object("identifiers", "$.query"), "name").alias("query"))
 
 
-def watch_arrivals(results: DataFrame, items: DataFrame, per_watch: int = 100) -> tuple[DataFrame, DataFrame]:
+def watch_arrivals(results: DataFrame, items: DataFrame, per_watch: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(new items, links) of watch results (watch_id, pos, url, title) against items
     (item_id, canonical_url). A link is (watch_id, canonical_url)."""
-    taken = top_rows(results, per_watch, ["watch_id"], [F.col("pos")], "_n").drop("_n")
+    taken = most_rows(results, per_watch, ["watch_id"], [F.col("pos")])
     usable = taken.withColumn("canonical_url", urls.canonical_url(F.col("url"))).filter(F.col("canonical_url").isNotNull())
     single = first_wins(usable.select("canonical_url", "watch_id", "pos", "url", "title"), ["canonical_url"], F.struct("watch_id", "pos"))
     fresh = single.join(items.select("canonical_url"), "canonical_url", "left_anti").select("canonical_url", "url", "title", F.lit("new").alias("status"))
     return fresh, usable.select("watch_id", "canonical_url").distinct()
 
 
-def fresh_suggestions(suggestions: DataFrame, sources: DataFrame, decided: DataFrame, most: int = 8) -> DataFrame:
-    """Suggested sources (topic_id, pos, name, homepage) not followed by name or host, the first
-    ``most`` per topic; a name already suggested for the topic keeps its earlier row."""
+def fresh_suggestions(suggestions: DataFrame, sources: DataFrame, decided: DataFrame, most: int | None = None) -> DataFrame:
+    """Suggested sources (topic_id, pos, name, homepage) not followed by name or host; a name already
+    suggested for the topic keeps its earlier row. ``most`` takes the first of each topic only."""
     hosted = suggestions.withColumn("host", urls.host_key(F.col("homepage"))).filter(F.col("host").isNotNull()).withColumn("_lower", F.lower("name"))
     names = sources.select(F.lower("name").alias("_lower"))
     hosts = sources.select(urls.host_key(F.col("url_or_query")).alias("host")).filter("host is not null")
     unknown = hosted.join(names, "_lower", "left_anti").join(hosts, "host", "left_anti").drop("_lower")
-    first = top_rows(unknown, most, ["topic_id"], [F.col("pos")]).drop("rank")
+    first = most_rows(unknown, most, ["topic_id"], [F.col("pos")])
     return insert_absent(decided, first_wins(first, ["topic_id", "name"], F.col("pos")), ["topic_id", "name"])
 
 
-def topics_due(topics: DataFrame, most: int = 3) -> DataFrame:
-    """Active topics without suggestions, newest first, a few per run."""
-    return topics.filter(F.col("active") & F.col("sources_suggested_at").isNull()).orderBy(F.col("created_at").desc(), "topic_id").limit(most)
+def topics_due(topics: DataFrame, most: int | None = None) -> DataFrame:
+    """Active topics without suggestions; with ``most`` the newest of them."""
+    due = topics.filter(F.col("active") & F.col("sources_suggested_at").isNull())
+    return newest_rows(due, most, [F.col("created_at").desc(), F.col("topic_id")])

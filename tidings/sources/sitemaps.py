@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from tidings.functions import markup as mk, text as tx, urls
 from tidings.operators.items import first_wins, unknown_urls
-from tidings.operators.ordered import top_rows
+from tidings.operators.ordered import most_rows
 from tidings.session import checkpointed
 
 # Fixed value: children that list site furniture rather than publications.
@@ -31,43 +31,48 @@ def sitemap_entries(sitemaps: DataFrame) -> DataFrame:
     return children.unionByName(entries).filter(F.coalesce("url", F.lit("")) != "")
 
 
-def picked_children(entries: DataFrame, since, most: int = 6) -> DataFrame:
-    """(sitemap, url): the children of an index to read next: recent ones newest first, or, when
-    none is recent, undated ones by highest page number."""
+def picked_children(entries: DataFrame, since, most: int | None = None) -> DataFrame:
+    """(sitemap, url, rank): the children of an index to read next: recent ones newest first, or, when
+    none is recent, undated ones by highest page number; with ``most`` the first of them."""
     content = entries.filter((F.col("kind") == "child") & ~urls.path(F.col("url")).rlike(FURNITURE)).withColumn("at", tx.parse_date(F.col("date")))
     recent = F.coalesce(F.col("at") >= F.lit(since).cast("timestamp"), F.lit(False))
     undated = F.col("date").isNull()
     page = F.coalesce(mk.found(F.col("url"), r"(?i)(\d+)\.xml$").cast("bigint"), F.lit(0))
     usable = content.withColumn("recent", recent).filter(F.col("recent") | undated).withColumn("page", page)
     number = F.when(~F.col("recent"), F.col("page"))
-    first = top_rows(usable, most, ["sitemap"], [F.col("recent").desc(), F.col("at").desc(), number.desc(), F.col("pos")])
+    # An index file is one row, so its children fit one task.
+    order = Window.partitionBy("sitemap").orderBy(F.col("recent").desc(), F.col("at").desc(), number.desc(), F.col("pos"))
+    ranked = usable.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    first = ranked if most is None else ranked.filter(F.col("rank") <= most)
     has_recent = first.groupBy("sitemap").agg(F.max("recent").alias("any_recent"))
     return first.join(has_recent, "sitemap").filter(F.col("recent") | ~F.col("any_recent")).select("sitemap", "url", "rank")
 
 
-def recent_entries(entries: DataFrame, since, undated: int = 30) -> DataFrame:
-    """Entries dated inside the window; in a sitemap without any date, its first ``undated``."""
+def recent_entries(entries: DataFrame, since, undated: int | None = None) -> DataFrame:
+    """Entries dated inside the window, and those of a sitemap without any date; ``undated`` takes only
+    its first ones."""
     rows = entries.filter(F.col("kind") == "entry").withColumn("at", tx.parse_date(F.col("date")))
     dated = rows.filter(F.col("at") >= F.lit(since).cast("timestamp"))
     datable = rows.filter(F.col("at").isNotNull()).select("sitemap").distinct()
-    plain = top_rows(rows.filter(F.col("at").isNull()).join(datable, "sitemap", "left_anti"), undated, ["sitemap"], [F.col("pos")], "_n").drop("_n")
+    plain = most_rows(rows.filter(F.col("at").isNull()).join(datable, "sitemap", "left_anti"), undated, ["sitemap"], [F.col("pos")])
     return dated.unionByName(plain).drop("at")
 
 
 def collected_entries(roots: DataFrame, sitemaps: DataFrame, since) -> DataFrame:
-    """(source_id, url, date, title, level, pos) over a source's sitemap and two levels of
+    """(source_id, url, date, title, order, pos) over a source's sitemap and two levels of
     children. ``roots`` (source_id, sitemap, link_pattern); ``sitemaps`` (sitemap, body).
 
-    The source's pattern, when set, is tested on the entry's path.
+    The source's pattern, when set, is tested on the entry's path. ``order`` holds the ranks on the
+    way down to the entry's sitemap.
     """
     parsed = checkpointed(sitemap_entries(sitemaps))
     is_index = parsed.filter("kind = 'child'").select("sitemap").distinct()
     leaves = parsed.filter("kind = 'entry'").join(is_index, "sitemap", "left_anti")
     nexts = picked_children(parsed, since).select("sitemap", F.col("url").alias("child"), "rank")
-    level = roots.select("source_id", "sitemap", "link_pattern", F.lit(0).cast("bigint").alias("order"))
+    level = roots.select("source_id", "sitemap", "link_pattern", F.array().cast("array<bigint>").alias("order"))
     reached = level
     for _ in range(2):
-        level = level.join(nexts, "sitemap").select("source_id", F.col("child").alias("sitemap"), "link_pattern", (F.col("order") * 10 + F.col("rank")).alias("order"))
+        level = level.join(nexts, "sitemap").select("source_id", F.col("child").alias("sitemap"), "link_pattern", F.array_append("order", F.col("rank")).alias("order"))
         reached = reached.unionByName(level)
     wanted = F.col("link_pattern").isNull() | F.regexp_like(urls.path(F.col("url")), F.coalesce("link_pattern", F.lit("")))
     fitting = reached.join(leaves, "sitemap").filter(wanted)
@@ -80,7 +85,7 @@ def recent_count(entries: DataFrame) -> DataFrame:
     return entries.groupBy("source_id").agg(F.countDistinct("url").alias("recent"))
 
 
-def new_entries(entries: DataFrame, stored: DataFrame, pages: DataFrame, most: int = 25) -> DataFrame:
+def new_entries(entries: DataFrame, stored: DataFrame, pages: DataFrame, most: int | None = None) -> DataFrame:
     """(source_id, url, title, standfirst, published) of entries not stored yet.
 
     A url listed twice keeps its first place and its last values. An entry without a title takes
@@ -88,7 +93,7 @@ def new_entries(entries: DataFrame, stored: DataFrame, pages: DataFrame, most: i
     """
     place = F.struct("order", "pos")
     single = entries.groupBy("source_id", "url").agg(F.min(place).alias("place"), F.max_by(F.struct("date", "title"), place).alias("v")).select("source_id", "url", "place", "v.*")
-    fresh = top_rows(unknown_urls(single, stored), most, ["source_id"], [F.col("place")])
+    fresh = most_rows(unknown_urls(single, stored), most, ["source_id"], [F.col("place")])
     page = first_wins(pages, ["url"], F.col("title")).select("url", F.col("title").alias("page_title"), F.col("description").alias("page_description"), F.col("published").alias("page_published"))
     joined = fresh.join(page, "url", "left")
     own = F.coalesce("title", F.lit("")) != ""

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidings.operators import dedup, measures as ms, similarity
 from tidings.operators.items import first_wins
 from tidings.session import checkpointed
-from tidings.streaming.store import latest_rows, read_batches, run_available, write_batch
+from tidings.streaming.store import latest_rows, open_table, read_batches, run_available, write_batch
 
 
 def request_counts(requests: DataFrame, seconds: int, lateness: str = "10 minutes") -> DataFrame:
@@ -31,22 +32,24 @@ def late_day_counts(arrivals: DataFrame, key: str, overlap: str = "3 days") -> D
 def collect_counts(counts: DataFrame, folder: str, keys: list[str]) -> DataFrame:
     """Run a windowed count to the end of its input and return each window's last value."""
     spark = counts.sparkSession
+    open_table(spark, f"{folder}/rows", counts.schema)
     run_available(counts, folder, lambda rows, batch_id: write_batch(rows, f"{folder}/rows", batch_id), "update")
-    return latest_rows(read_batches(spark, f"{folder}/rows", counts.schema.add("batch_id", "long")), keys)
+    return latest_rows(read_batches(spark, f"{folder}/rows", StructType([*counts.schema, StructField("batch_id", LongType())])), keys)
 
 
-def arrivals_once(arrivals: DataFrame, folder: str, key: str, lateness: str = "3 days") -> DataFrame:
-    """Each key once, first arrival wins. Repeats inside the watermark are dropped from state;
-    older ones are found in the rows already written."""
+def arrivals_once(arrivals: DataFrame, folder: str, key: str) -> DataFrame:
+    """Each key once, first arrival wins, however late it comes: repeats are found in the rows already
+    written, of which only the keys are read. A batch that runs again gives the same rows."""
     spark, schema = arrivals.sparkSession, arrivals.schema
-    wide = schema.add("batch_id", "long")
+    wide = StructType([*schema, StructField("batch_id", LongType())])
+    open_table(spark, f"{folder}/rows", schema)
 
     def insert(rows: DataFrame, batch_id: int) -> None:
         held = read_batches(spark, f"{folder}/rows", wide, batch_id)
         fresh = first_wins(rows, [key], F.struct("ts", *[c for c in rows.columns if c not in (key, "ts")]))
         write_batch(fresh.join(held.select(key), key, "left_anti").select(*rows.columns), f"{folder}/rows", batch_id)
 
-    run_available(arrivals.withWatermark("ts", lateness).dropDuplicatesWithinWatermark([key]), folder, insert)
+    run_available(arrivals, folder, insert)
     return read_batches(spark, f"{folder}/rows", wide).drop("batch_id")
 
 
@@ -57,7 +60,9 @@ def linked_stream(items: DataFrame, folder: str, rule: dedup.Nearness) -> DataFr
     settle among themselves. Older originals are never looked at again.
     """
     spark, schema = items.sparkSession, items.schema
-    wide = schema.add("canonical_item_id", schema["item_id"].dataType).add("batch_id", "long")
+    linked = StructType([*schema, StructField("canonical_item_id", schema["item_id"].dataType)])
+    wide = StructType([*linked, StructField("batch_id", LongType())])
+    open_table(spark, f"{folder}/rows", linked)
 
     def link(rows: DataFrame, batch_id: int) -> None:
         batch = checkpointed(rows)
@@ -82,16 +87,21 @@ def clustered_stream(items: DataFrame, folder: str, same_story: DataFrame, high:
     batches. A story silent for the whole window takes no more items.
     """
     spark = items.sparkSession
-    members = items.schema.add("story_id", "long").add("batch_id", "long")
-    story_schema = "story_id bigint, centroid array<double>, n bigint, last_updated_at timestamp, batch_id bigint"
+    joined_schema = StructType([*items.schema, StructField("story_id", LongType())])
+    members = StructType([*joined_schema, StructField("batch_id", LongType())])
+    story_schema = "story_id bigint, centroid array<double>, n bigint, last_updated_at timestamp"
+    open_table(spark, f"{folder}/stories", story_schema)
+    open_table(spark, f"{folder}/rows", joined_schema)
 
     def join_stories(rows: DataFrame, batch_id: int) -> None:
         batch = checkpointed(rows)
         start = batch.agg(F.min("published_at").alias("start")).first()["start"]
         if start is None:
             return
-        held = latest_rows(read_batches(spark, f"{folder}/stories", story_schema, batch_id), ["story_id"])
-        still_open = checkpointed(held.filter(F.col("last_updated_at") >= F.lit(start) - F.expr(f"interval {window_hours} hours")))
+        # A story's last update only grows, so older rows can go before the latest are sought.
+        held = read_batches(spark, f"{folder}/stories", story_schema + ", batch_id bigint", batch_id)
+        recent = held.filter(F.col("last_updated_at") >= F.lit(start) - F.expr(f"interval {window_hours} hours"))
+        still_open = checkpointed(latest_rows(recent, ["story_id"]))
         placed = checkpointed(similarity.cluster_batch(batch, still_open, same_story, high, low, window_hours))
         joined = batch.join(placed.select("item_id", "story_id"), "item_id")
         times = joined.groupBy("story_id").agg(F.max("published_at").alias("t"))
@@ -110,15 +120,18 @@ def clustered_stream(items: DataFrame, folder: str, same_story: DataFrame, high:
 def feedback_once(feedback: DataFrame, folder: str, story_items: DataFrame, items: DataFrame) -> DataFrame:
     """(source_id, net): each feedback row counted once, however often a batch is run."""
     spark = feedback.sparkSession
+    net = StructType([items.schema["source_id"], StructField("net", LongType())])
+    open_table(spark, f"{folder}/rows", net)
     run_available(feedback, folder, lambda rows, batch_id: write_batch(ms.feedback_to_sources(rows, story_items, items), f"{folder}/rows", batch_id))
-    schema = items.select("source_id").schema.add("net", "long").add("batch_id", "long")
+    schema = StructType([*net, StructField("batch_id", LongType())])
     return read_batches(spark, f"{folder}/rows", schema).groupBy("source_id").agg(F.sum("net").alias("net"))
 
 
 def one_brief_a_day(editions: DataFrame, folder: str) -> DataFrame:
     """(day, headline): the first edition of each day; later ones for the same day are ignored."""
     spark, schema = editions.sparkSession, editions.schema
-    wide = schema.add("batch_id", "long")
+    wide = StructType([*schema, StructField("batch_id", LongType())])
+    open_table(spark, f"{folder}/rows", schema)
 
     def publish(rows: DataFrame, batch_id: int) -> None:
         held = read_batches(spark, f"{folder}/rows", wide, batch_id)
@@ -130,5 +143,9 @@ def one_brief_a_day(editions: DataFrame, folder: str) -> DataFrame:
 
 
 def with_pending(arrived: DataFrame, earlier: DataFrame) -> DataFrame:
-    """A batch's new rows together with those an earlier, failed batch left at status 'new'."""
-    return arrived.unionByName(earlier.filter("status = 'new'").select(*arrived.columns)).dropDuplicates(["item_id"])
+    """A batch's new rows together with those an earlier, failed batch left at status 'new';
+    the row that waited counts."""
+    waiting = earlier.filter("status = 'new'").select(*arrived.columns, F.lit(0).alias("_turn"))
+    both = waiting.unionByName(arrived.withColumn("_turn", F.lit(1)))
+    rest = F.struct("_turn", *[c for c in arrived.columns if c != "item_id"])
+    return first_wins(both, ["item_id"], rest).select(*arrived.columns)

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidings.session import ensure_checkpoint_dir
 
 
+EMPTY = -1
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
     """A new folder for one run under the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
@@ -19,12 +22,13 @@ def write_batch(rows: DataFrame, folder: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
 
 
+def open_table(spark: SparkSession, folder: str, schema) -> None:
+    """An empty first batch, so that the table can be read before any other is written."""
+    write_batch(spark.createDataFrame([], schema), folder, EMPTY)
+
+
 def read_batches(spark: SparkSession, folder: str, schema, before: int | None = None) -> DataFrame:
-    """Rows of all finished batches, or of those before one batch; empty when there is none."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    present = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    if not present:
-        return spark.createDataFrame([], schema).withColumn("batch_id", F.lit(0))
+    """Rows of all finished batches, or of those before one batch."""
     rows = spark.read.schema(schema).parquet(folder)
     return rows if before is None else rows.filter(F.col("batch_id") < before)
 
