@@ -28,7 +28,7 @@ HEAD = 1 << 19
 ROUNDS = 3
 SEGMENT = 64
 RESCALE = 8
-FLUSH = 4 << 20
+FLUSH = 2 << 20
 STEPS_PER_DOUBLING = 8
 
 
