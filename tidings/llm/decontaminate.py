@@ -127,8 +127,9 @@ def found_in(words: np.ndarray, tests: TestSuffixes):
     return order[buffers.repeat_ranges(low, count)], np.repeat(np.arange(len(count)), count)
 
 
-def through_block(tests):
-    """One block of test items: adds its hits and items to the state of each document."""
+def through_block(tests, then=None):
+    """One block of test items: adds its hits and items to the state of each document. ``then`` goes
+    on with the result in the same worker."""
 
     def run(batches):
         block, rolling, lower, separator = tests.value, buffers.Rolling(7), buffers.lower_table(), buffers.separators("letters")
@@ -158,7 +159,7 @@ def through_block(tests):
                 items.append(sorted({*(old_items[d] or []), *(x for w in np.unique(which[mine]).tolist() for x in block.items[w])}))
             yield pa.RecordBatch.from_arrays([*rows.columns[:kept], pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=rows.schema.names)
 
-    return run
+    return run if then is None else lambda batches: then(run(batches))
 
 
 def spans_hit(n_words: int, packed: bytes | None) -> np.ndarray:
@@ -227,21 +228,24 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     items with null or wordless text have no window. Rows that repeat an item_id are one item. An
     empty benchmark leaves every document clean. No shuffle: a document is judged where it is read.
     """
-    return _through_blocks(documents_of(documents), benchmark, window, block_bytes).mapInArrow(judged, RESULT)
+    return _through_blocks(documents_of(documents), benchmark, window, block_bytes, judged, RESULT)
 
 
-def _through_blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
-    """``docs`` with packed hit spans and items as their last two columns."""
+def _through_blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, then, schema) -> DataFrame:
+    """``docs``, with packed hit spans and items as their last two columns, through all blocks, and
+    behind the last one through ``then``."""
     state = docs.select("*", F.lit(None).cast("binary").alias(free_name(docs, "_hits")), F.lit(None).cast("array<string>").alias(free_name(docs, "_items")))
-    context = docs.sparkSession.sparkContext
+    context, last = docs.sparkSession.sparkContext, None
     for tests in blocks_of(benchmark, window, block_bytes):
-        state = state.mapInArrow(through_block(context.broadcast(tests)), state.schema)
-    return state
+        if last is not None:
+            state = state.mapInArrow(through_block(last), state.schema)
+        last = context.broadcast(tests)  # at most a block
+    return state.mapInArrow(through_block(last, then), schema)
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, all columns as they came, less the contaminated ones. No shuffle."""
-    return _through_blocks(documents, benchmark, window, block_bytes).mapInArrow(clean_only, documents.schema)
+    return _through_blocks(documents, benchmark, window, block_bytes, clean_only, documents.schema)
 
 
 def op7_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

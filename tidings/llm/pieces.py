@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SPACE = "▁"
 NONE = np.int64(1) << 40
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 ROUND_WORDS = 20_000
 
 
@@ -159,8 +159,9 @@ WORD = re.compile(" +[^ \n]*|\n|[^ \n]+")
 class Encoder:
     """Words of texts to ids, with the words met so far kept up to a bound."""
 
-    def __init__(self, model: Model):
-        self.model, self.ids, self.digits = model, {}, {}
+    def __init__(self, model: Model, written: bool = False):
+        """``written`` also keeps the ids as decimal digits."""
+        self.model, self.written, self.ids, self.digits = model, written, {}, {}
 
     def learn(self, texts: list[list[str]]) -> None:
         fresh = list({w for words in texts for w in words if w not in self.ids})
@@ -171,7 +172,8 @@ class Encoder:
             part = fresh[a : a + ROUND_WORDS]
             for w, ids in zip(part, self.model.encode_words([w.replace(" ", SPACE) for w in part])):
                 self.ids[w] = ids
-                self.digits[w] = " ".join(map(str, ids)).encode()
+                if self.written:
+                    self.digits[w] = " ".join(map(str, ids)).encode()
 
 
 def words_of(text: str) -> list[str]:
@@ -197,7 +199,7 @@ def encoded(model, with_ids: bool):
     """Per document: number of ids, the ids or their digest, and the digest of the decoded text."""
 
     def run(batches):
-        encoder = Encoder(model.value)
+        encoder = Encoder(model.value, not with_ids)
         for rows, texts in text_groups(batches):
             cuts = [words_of(t) for t in texts]
             encoder.learn(cuts)

@@ -12,6 +12,7 @@ from tidings.llm.shards import op4_virtual_slots
 from tidings.llm.simhash import op1_simhash_balls
 from tidings.llm.substrings import op9_countmin_substrings
 from tidings.llm.suffixes import op8_bucket_suffixes
+from tidings.llm.tables import in_short_batches
 from tidings.llm.vectors import op5_subspace_vectors
 
 PLANS = (
@@ -26,5 +27,5 @@ PLANS = (
     op9_countmin_substrings,
     op10_hidden_markov,
 )
-QUERIES = {plan.__name__: plan for plan in PLANS}
+QUERIES = {plan.__name__: in_short_batches(plan) for plan in PLANS}
 ORACLES: dict[str, str] = {"op3_licence_scan": licences.ORACLE}

@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import functools
+
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidings.session import checkpointed  # noqa: F401  written table in the shared folder
 
 
+BATCH_ROWS = 1_000
+
+
+def in_short_batches(plan):
+    """A query or stage whose documents travel to Python in batches of ``BATCH_ROWS``.
+
+    The setting holds when the plan runs, so it stays in the session. Spark's own 10,000 rows would
+    hold tens of megabytes of text in the executor and again in each of its workers.
+    """
+
+    @functools.wraps(plan)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return plan(spark, *args)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
