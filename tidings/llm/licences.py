@@ -61,14 +61,21 @@ def notices(files: DataFrame, templates: dict[str, str], threshold: float) -> Da
     counted = template_words(templates)
     vocabulary = sorted({w for own in counted.values() for w in own})
     weight, unknown = word_weights(files, vocabulary)
-    lines = files.select("file", F.posexplode(F.split("text", "\n")).alias("line", "content")).withColumn("words", words(F.col("content")))
-    reach = F.lit(False)
-    for own in counted.values():
-        mass = {w: (n * weight[w]) ** 2 for w, n in own.items()}
-        shares = F.create_map(*[F.lit(x) for pair in mass.items() for x in pair])
-        shared = F.aggregate(F.array_intersect("words", F.array(*[F.lit(w) for w in mass])), F.lit(0.0), lambda s, w: s + F.element_at(shares, w))
-        reach = reach | (shared >= threshold**2 * sum(mass.values()) - 1e-9)
-    close = lines.filter(F.arrays_overlap("words", F.array(*[F.lit(w) for w in vocabulary])) & reach)
+    lines = files.select("file", F.posexplode(F.split("text", "\n")).alias("line", "content"))
+
+    def within_reach(shared: Column) -> Column:
+        """Whether the words that a line shares with the vocabulary can bring it to the threshold."""
+        reach = F.lit(False)
+        for own in counted.values():
+            mass = {w: (n * weight[w]) ** 2 for w, n in own.items()}
+            shares = F.create_map(*[F.lit(x) for pair in mass.items() for x in pair])
+            held = F.aggregate(shared, F.lit(0.0), lambda s, w: s + F.coalesce(F.element_at(shares, w), F.lit(0.0)))  # noqa: B023
+            reach = reach | (held >= threshold**2 * sum(mass.values()) - 1e-9)
+        return reach
+
+    # One expression, so that a line is split into words once for all templates.
+    shared = F.array_intersect(words(F.col("content")), F.array(*[F.lit(w) for w in vocabulary]))
+    close = lines.filter(F.exists(F.array(shared), within_reach)).withColumn("words", words(F.col("content")))
     weights = F.create_map(*[F.lit(x) for pair in weight.items() for x in pair])
     counts = close.select("file", "line", F.size("words").alias("n_words"), F.explode("words").alias("word")).groupBy("file", "line", "n_words", "word").agg(F.count("*").alias("tf"))
     weighted = counts.withColumn("w", F.col("tf") * F.coalesce(F.element_at(weights, F.col("word")), F.lit(unknown)))
