@@ -34,16 +34,21 @@ def tags(html: Column, name: str) -> Column:
 
 
 def attributes(tag: Column) -> Column:
-    """Array of (name, value) of a tag: names in lower case, values decoded, quoted or not."""
+    """Array of (name, value) of a tag: names in lower case, values as written, quoted or not."""
     pair = F.lit(r"""([\w:.-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
     names, values = F.regexp_extract_all(tag, pair, F.lit(1)), F.regexp_extract_all(tag, pair, F.lit(2))
-    plain = lambda v: tx.decode_entities(F.when(F.substring(v, 1, 1).isin('"', "'"), F.substring(v, F.lit(2), F.char_length(v) - 2)).otherwise(v))
-    return F.zip_with(names, values, lambda n, v: F.struct(F.lower(n).alias("name"), plain(v).alias("value")))
+    return F.zip_with(names, values, lambda n, v: F.struct(F.lower(n).alias("name"), v.alias("value")))
+
+
+def value_of(pairs: Column, name: str) -> Column:
+    """Decoded value of the first attribute of that name; null without one."""
+    raw = F.get(F.filter(pairs, lambda a: a["name"] == name), F.lit(0))["value"]
+    plain = lambda v: F.when(F.substring(v, 1, 1).isin('"', "'"), F.substring(v, F.lit(2), F.char_length(v) - 2)).otherwise(v)
+    return tx.decode_entities(tx.let(raw, plain))
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Value of the tag's first attribute of that name; null without one."""
-    return F.get(F.filter(attributes(tag), lambda a: a["name"] == name), F.lit(0))["value"]
+    return value_of(attributes(tag), name)
 
 
 def first_value(values: Column) -> Column:
@@ -124,11 +129,13 @@ def feed_link_list(html: Column, base: Column) -> Column:
     """Distinct advertised feed urls of a page; comment feeds are not publications."""
 
     def feed_url(tag: Column) -> Column:
-        kind, relation, href = F.lower(attribute(tag, "type")), F.lower(attribute(tag, "rel")), attribute(tag, "href")
+        pairs = attributes(tag)
+        kind, relation = F.lower(value_of(pairs, "type")), F.lower(value_of(pairs, "rel"))
         offered = F.array_contains(F.split(relation, r"\s+"), F.lit("alternate")) & kind.isin("application/rss+xml", "application/atom+xml")
-        return F.when(offered & (href != "") & ~F.contains(F.lower(href), F.lit("comments")), urls.absolute_url(href, base))
+        return F.when(offered, value_of(pairs, "href"))
 
-    return F.array_distinct(F.array_compact(F.transform(tags(html, "link"), feed_url)))
+    hrefs = F.filter(F.transform(tags(html, "link"), feed_url), lambda h: (h != "") & ~F.contains(F.lower(h), F.lit("comments")))
+    return F.array_distinct(F.array_compact(F.transform(hrefs, lambda h: urls.absolute_url(h, base))))
 
 
 def robots_lines(robots: Column) -> Column:

@@ -100,7 +100,7 @@ def canonical_url(url: Column) -> Column:
     text = F.array_join(
         F.transform(F.array_sort(numbered), lambda p: F.concat(F.url_encode(p["name"]), F.lit("="), F.url_encode(p["value"]))), "&"
     )
-    trimmed = F.when(F.char_length(path(url)) > 1, F.regexp_replace(path(url), "/$", "")).otherwise(path(url))
+    trimmed = let(path(url), lambda p: F.when(F.char_length(p) > 1, F.regexp_replace(p, "/$", "")).otherwise(p))
     return F.concat(origin(url), trimmed, F.when(text != "", F.concat(F.lit("?"), text)).otherwise(F.lit("")))
 
 
@@ -120,12 +120,12 @@ def safe_url(url: Column) -> Column:
 def absolute_url(href: Column, base: Column) -> Column:
     """Resolve a link against the page it stands on."""
     href = F.trim(href)
-    folder = F.regexp_replace(path(base), "[^/]*$", "")
     # A relative link: its path, put behind the base's folder, then its query; the fragment goes.
     plain = F.split(href, "#", 2)[0]
     own, asked = F.split(plain, r"\?", 2)[0], F.try_element_at(F.split(plain, r"\?", 2), F.lit(2))
     behind = F.when(asked.isNotNull(), F.concat(F.lit("?"), asked)).otherwise(F.lit(""))
-    target = F.when(own == "", path(base)).when(F.startswith(own, F.lit("/")), normal_path(own)).otherwise(normal_path(F.concat(folder, own)))
+    on_page = F.coalesce(F.nullif(_part(base, 4), F.lit("")), F.lit("/"))
+    target = normal_path(F.when(own == "", on_page).when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(F.regexp_replace(on_page, "[^/]*$", ""), own)))
     return (
         F.when(is_url(href), F.concat(origin(href), path(href), F.when(query(href) != "", F.concat(F.lit("?"), query(href))).otherwise(F.lit(""))))
         .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))

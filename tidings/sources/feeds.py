@@ -61,7 +61,7 @@ def discover_sources(homepages: DataFrame, feed_entries: DataFrame, robots: Data
     advertised = mk.feed_link_list(F.coalesce("html", F.lit("")), F.col("homepage"))
     first = lambda listed: listed if candidates is None else F.slice(listed, 1, candidates)
     usual = F.transform(F.array(*[F.lit(p) for p in CONVENTIONAL_PATHS]), lambda p: urls.absolute_url(p, F.col("homepage")))
-    tried = open_pages.select("homepage", F.posexplode(first(F.when(F.size(advertised) > 0, advertised).otherwise(usual))).alias("pos", "url"))
+    tried = open_pages.select("homepage", F.posexplode(first(tx.let(advertised, lambda found: F.when(F.size(found) > 0, found).otherwise(usual)))).alias("pos", "url"))
     permitted = allowed_urls(tried.select("url").distinct(), robots).select("url", F.lit(True).alias("permitted"))
     since = F.lit(as_of).cast("timestamp") - F.expr(f"interval {fresh_days} days")
     counts = feed_entries.groupBy(F.col("feed_url").alias("url")).agg(F.count("*").alias("entries"), F.count_if(F.col("published_at") >= since).alias("recent"))
