@@ -237,7 +237,7 @@ def listing_items(v):
 
 @query(
     "page_links",
-    """SELECT page_id, pos, 'http' || CASE WHEN url LIKE 'https%' THEN 's' ELSE '' END || '://' || lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) || array_to_string(list_transform(string_split(split_part(href, '?', 1), '/'), lambda s: url_encode(s)), '/') || CASE WHEN contains(href, '?') THEN '?' || split_part(href, '?', 2) ELSE '' END AS link_url FROM (
+    """SELECT page_id, pos, 'http' || CASE WHEN url LIKE 'https%' THEN 's' ELSE '' END || '://' || lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) || array_to_string(list_transform(string_split(split_part(href, '?', 1), '/'), lambda s: replace(url_encode(s), '%2C', ',')), '/') || CASE WHEN contains(href, '?') THEN '?' || split_part(href, '?', 2) ELSE '' END AS link_url FROM (
     SELECT page_id, url, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS pos FROM (SELECT page_id, url, list_filter(list_transform(
     regexp_extract_all(html, '(?is)<a\\b[^>]*?href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 1), lambda x: split_part(x, '#', 1)), lambda x: x <> '') AS h FROM pages)) WHERE href LIKE '/%'""",
 )
