@@ -105,10 +105,10 @@ def near_groups(documents: DataFrame, shingle: int = SHINGLE, distance: int = DI
     return marked.join(by_print, "simhash").select("doc_id", "text_key", "simhash", "root", "component_id")
 
 
-def one_of_each(documents: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The documents, all columns as they came, with one document of each group: the one with the
-    smallest doc_id (a null doc_id only if the group has no other; then the smallest text hash)."""
-    groups = near_groups(documents, shingle, distance)
+def first_of_groups(documents: DataFrame, groups: DataFrame) -> DataFrame:
+    """The documents, all columns as they came, with one document of each root in ``groups`` (doc_id,
+    text_key, root): the one with the smallest doc_id (a null doc_id only if the group has no other;
+    then the smallest text hash)."""
     order = F.struct(F.coalesce("doc_id", F.lit(int(np.iinfo(np.int64).max))).alias("at"), F.col("text_key"), F.col("doc_id").alias("id"))
     one, key = free_name(documents, "_id"), free_name(documents, "_key")
     keep = groups.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.id").alias(one), F.col("k.text_key").alias(key))
@@ -117,6 +117,11 @@ def one_of_each(documents: DataFrame, shingle: int = SHINGLE, distance: int = DI
     return documents.join(keep, same, "inner").dropDuplicates([one, key]).select(*documents.columns)
 
 
+def one_of_each(documents: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The documents, all columns as they came, with one document of each group."""
+    return first_of_groups(documents, near_groups(documents, shingle, distance))
+
+
 def op1_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
