@@ -140,3 +140,57 @@ def vector_rows(vectors, cosine=0.98):
     component = roots([v for v, _, _ in vectors], links)
     n = Counter(x for link in links for x in link)
     return {(v, n[v], component[v], component[v] == v) for v, _, _ in vectors}
+
+
+def floors(vector):
+    """The vector in 256ths, or None if it is null or holds a null or a non-finite component."""
+    if vector is None or any(x is None or not math.isfinite(x) for x in vector):
+        return None
+    return [max(-(1 << 24), min(1 << 24, math.floor(float(np.float32(x)) * 256))) for x in vector]
+
+
+def apart(a, b):
+    return sum((x - y) ** 2 for x, y in zip(a, b))
+
+
+def integer_clusters(rows, clusters, rounds, salt):
+    """([(vec_id, cluster, distance)], centroids) of rows (vec_id, vector)."""
+    kept = [(i, v) for i, v in ((i, floors(v)) for i, v in rows) if v is not None and len(v) == 64]
+    named = sorted(kept, key=lambda r: (r[0] is None, sha(f"{salt}{r[0]}"), r[1]))
+    centroids = [v for _, v in named[:clusters]]
+
+    def nearest(v):
+        return min((apart(v, c), n) for n, c in enumerate(centroids))
+
+    for _ in range(rounds):
+        members = defaultdict(list)
+        for _, v in kept:
+            members[nearest(v)[1]].append(v)
+        for n, own in members.items():
+            centroids[n] = [sum(x) // len(own) for x in zip(*own)]
+    return [(i, nearest(v)[1], nearest(v)[0]) for i, v in kept], centroids
+
+
+def part_codes(rows, parts, entries, rounds):
+    """([(vec_id, label, code, error)], codebooks) of rows (vec_id, vector, label)."""
+    kept = sorted(((i, floors(v), label) for i, v, label in rows if floors(v) is not None), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    fit = [r for r in kept if r[1] and len(r[1]) % parts == 0]
+    dims = len(fit[0][1]) if fit else 0
+    fit, width = [r for r in fit if len(r[1]) == dims], dims // parts
+    cut = [[v[p * width : (p + 1) * width] for p in range(parts)] for _, v, _ in fit]
+    books = [[c[p] for c in cut[:entries]] for p in range(parts)]
+
+    def nearest(part, p):
+        return min((apart(part, e), n) for n, e in enumerate(books[p]))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            members = defaultdict(list)
+            for c in cut:
+                members[nearest(c[p], p)[1]].append(c[p])
+            books[p] = [[sum(x) // len(members[n]) for x in zip(*members[n])] if n in members else e for n, e in enumerate(books[p])]
+    out = []
+    for (i, _, label), c in zip(fit, cut):
+        found = [nearest(part, p) for p, part in enumerate(c)]
+        out.append((i, label, "".join(f"{n:02x}" for _, n in found), sum(d for d, _ in found)))
+    return out + [(i, label, None, None) for i, v, label in kept if len(v) != dims], books
