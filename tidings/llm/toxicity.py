@@ -1,7 +1,9 @@
 """Toxicity of texts by their nearest labelled examples.
 
-Terms are words and beginnings of words that the labelled rows tell apart (a log-likelihood ratio of
-their document counts); all other words of a text together are one more term. Texts are TF-IDF vectors
+Terms are words and beginnings of words that the labelled rows tell apart: surely (a log-likelihood
+ratio of their document counts) and clearly (the odds of the label with and without the term differ by a
+factor, or larger samples would let in ever weaker terms); all other words of a text together are one
+more term. Texts are TF-IDF vectors
 over them, with inverse document frequencies of all documents. The examples with the highest cosine are
 found exactly, over an inverted index whose examples lie in blocks: the largest weight of every term in
 every block bounds the cosines in it, blocks are read from the highest bound down, and reading stops
@@ -26,6 +28,7 @@ from tidings.llm.tables import checkpointed
 EXAMPLES = 8192
 TERMS = 8192
 LEAST_RATIO = 30.0
+LEAST_ODDS = 4.0
 BEGINNINGS = (4, 6, 8)
 NEIGHBOURS = 16
 BLOCK = 64
@@ -84,6 +87,13 @@ def told_apart(toxic: Column, clean: Column, all_toxic: int, all_clean: int) ->
     return 2 * sum((part(a, b) for a, b in cells[1:]), part(*cells[0]))
 
 
+def odds_apart(toxic: Column, clean: Column, all_toxic: int, all_clean: int) -> Column:
+    """Factor, 1 or more, between the odds of the label with and without a term; half a text is added
+    to every count."""
+    log = F.log((toxic + 0.5) * (all_clean - clean + 0.5) / ((clean + 0.5) * (all_toxic - toxic + 0.5)))
+    return F.exp(F.abs(log))
+
+
 class Vocabulary:
     """Numbers of the chosen terms by their hashes."""
 
@@ -361,8 +371,9 @@ def toxicity(documents: DataFrame, labels: DataFrame, folds: int = 4, left: int
     if clean and toxic:
         counted = learnt.select("doc_id", "text", "toxic").mapInArrow(counted_terms, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         # A doc_id with more than one row counts more than once, but never for more texts than there are.
-        ratio = told_apart(F.least("toxic", F.lit(toxic)), F.least("clean", F.lit(clean)), toxic, clean)
-        terms = [r["term"] for r in counted.select("term", ratio.alias("ratio")).filter(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(TERMS).collect()]
+        counts = F.least("toxic", F.lit(toxic)), F.least("clean", F.lit(clean)), toxic, clean
+        apart = counted.select("term", told_apart(*counts).alias("ratio"), odds_apart(*counts).alias("odds"))
+        terms = [r["term"] for r in apart.filter((F.col("ratio") >= LEAST_RATIO) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("ratio"), "term").limit(TERMS).collect()]
     shape = "doc_id long, held_out boolean, terms array<int>, counts array<int>, others long"
     found = checkpointed(rows.select("doc_id", "text", "held_out").mapInArrow(Vocabulary(terms), shape))
     held = {r["term"]: r["n"] for r in found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
