@@ -10,9 +10,11 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tidings.operators import dedup, handoff, match, measures, ordered, search, similarity, stories
+from tidings.operators import dedup, handoff, match, measures, neighbours, ordered, search, similarity, stories
+from tidings.session import checkpointed
 from tidings.sources import feeds, pages, sitemaps
 
 START = dt.datetime(2024, 3, 4, 5)
@@ -29,10 +31,10 @@ def _originals_one_by_one(rows, hours, near):
     return links
 
 
-def _check_hashes(spark, rows, **sizes):
+def _check_hashes(spark, rows):
     made = [(i, START + dt.timedelta(seconds=at), h) for at, i, h in rows]
     df = spark.createDataFrame(made, "item_id bigint, published_at timestamp, simhash bigint")
-    got = {r[0]: r[1] for r in dedup.canonical_items(df, dedup.Nearness(48, 3, None), **sizes).collect() if r[1] is not None}
+    got = {r[0]: r[1] for r in dedup.canonical_items(df, dedup.Nearness(48, 3, None)).collect() if r[1] is not None}
     near = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") <= 3
     assert got == _originals_one_by_one(rows, 48, near)
 
@@ -49,12 +51,72 @@ def _family_rows(count):
     return rows
 
 
-def test_originals_from_listed_pairs(spark):
+def test_originals_in_rounds(spark):
     _check_hashes(spark, _family_rows(250))
 
 
-def test_originals_by_peeling_and_verified_rounds(spark):
-    _check_hashes(spark, _family_rows(120), pairs_per_item=0, min_pairs=0)
+def test_originals_of_a_long_chain_and_a_hot_group(spark):
+    hot = [(i * 7919 % (9 * 24 * 3600), i, 12345) for i in range(400)]
+    chain = [(1000 + i, 1000 + i, (1 << 2 * i) - 1) for i in range(20)]
+    _check_hashes(spark, hot + chain)
+
+
+def _unit(v):
+    length = math.sqrt(sum(x * x for x in v))
+    return [x / length for x in v]
+
+
+def test_vectors_meet_in_cells_without_loss(spark):
+    """Clustered vectors on a tree of many cells, few of which a vector reaches."""
+    rng = random.Random(8)
+    centers = [_unit([rng.gauss(0, 1) for _ in range(16)]) for _ in range(40)]
+    rows = []
+    for i in range(1200):
+        v = _unit([x + rng.gauss(0, 0.05) for x in rng.choice(centers)])
+        rows.append((rng.randrange(6 * 24 * 3600), i, [float(np.float32(x)) for x in v]))
+    made = [(i, START + dt.timedelta(seconds=at), v) for at, i, v in rows]
+    df = spark.createDataFrame(made, "item_id bigint, published_at timestamp, embedding array<float>")
+    got = {r[0]: r[1] for r in dedup.canonical_items(df, dedup.Nearness(48, None, 0.97)).collect() if r[1] is not None}
+    assert got == _originals_one_by_one(rows, 48, lambda a, b: sum(x * y for x, y in zip(a, b)) >= 0.97)
+    radius = neighbours.chord(0.97)
+    placed = neighbours.place(checkpointed(df.withColumnRenamed("embedding", "unit")), "item_id", "unit", radius)
+    assert len(placed.tree.lower) == math.ceil(math.sqrt(1200)) and placed.share < 0.2
+    cells = placed.rows.select(placed.reach(F.col("unit"), radius).alias("c"), "home").collect()
+    assert all(r["home"] in r["c"] for r in cells) and sum(len(r["c"]) for r in cells) / len(cells) < 0.25 * len(placed.tree.lower)
+
+
+def test_tree_reaches_every_near_vector():
+    draw = np.random.default_rng(4)
+    block = draw.normal(size=(600, 5))
+    block[100:160] = block[100]
+    block /= np.sqrt((block**2).sum(axis=1))[:, None]
+    tree = neighbours.PivotTree(np.unique(block[:120], axis=0))
+    home, apart = tree.homes(block)
+    tree.rings = np.array([[apart[home == c].min() - 1e-6, apart[home == c].max() + 1e-6] if (home == c).any() else [np.inf, -np.inf] for c in range(len(tree.lower))])
+    for radius in (0.05, 0.3, 1.0):
+        row, cell = tree.reached(block, radius)
+        reached = set(zip(row.tolist(), cell.tolist()))
+        near = np.sqrt(((block[:, None] - block[None]) ** 2).sum(axis=2)) <= radius
+        assert all((i, home[j]) in reached for i, j in zip(*np.nonzero(near)))
+
+
+def test_without_structure_all_share_one_cell(spark):
+    draw = np.random.default_rng(4)
+    rows = [(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(draw.normal(size=(300, 64)))] + [(300, None)]
+    placed = neighbours.place(checkpointed(spark.createDataFrame(rows, "item_id bigint, unit array<double>")), "item_id", "unit", neighbours.chord(0.2))
+    assert placed.tree is None and placed.rows.select("home").distinct().count() == 2
+
+
+def test_new_stories_take_no_id_in_use(spark):
+    """Item 6 joins the open story 5; the unlike item 5 opens another story."""
+    items = spark.createDataFrame([(5, START, [1.0, 0.0]), (6, START, [0.0, 1.0])], "item_id bigint, published_at timestamp, embedding array<double>")
+    open_stories = spark.createDataFrame([(5, [0.0, 1.0], START)], "story_id bigint, centroid array<double>, last_updated_at timestamp")
+    none = spark.createDataFrame([], "item_id bigint, story_id bigint, same boolean")
+    got = {r["item_id"]: (r["story_id"], r["is_new"]) for r in similarity.cluster_batch(items, open_stories, none, 0.9, 0.8).collect()}
+    assert got[6] == (5, False) and got[5][1] and got[5][0] != 5
+    named = open_stories.selectExpr("'a' as story_id", "centroid", "last_updated_at")
+    got = {r["item_id"]: r["story_id"] for r in similarity.cluster_batch(items, named, none.selectExpr("item_id", "'a' as story_id", "same"), 0.9, 0.8).collect()}
+    assert got[6] == "a" and got[5].startswith("s")
 
 
 def test_matches_are_near_in_content_and_time(spark):

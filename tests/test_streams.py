@@ -53,4 +53,4 @@ def test_clusters_move_on_between_batches(spark):
     stream = _files(spark, folder, parts, "item_id bigint, published_at timestamp, embedding array<double>")
     none = spark.createDataFrame([], "item_id bigint, story_id bigint, same boolean")
     got = {r["item_id"]: r["story_id"] for r in jobs.clustered_stream(stream, f"{folder}/out", none, 0.9, 0.8).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    assert got[1] == got[2] == got[3] and len({got[1], got[4], got[5]}) == 3

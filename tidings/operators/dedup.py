@@ -1,15 +1,11 @@
 """Near-duplicate linking: within a time window, every copy points at the earliest original.
 
 An item is a duplicate only of an item that is itself an original, so the originals are the set a
-single pass in (time, id) order would keep. The same set is found here in parallel rounds, of three
-kinds, chosen by counting first:
-
-* ``peel``: the earliest undecided item of all its key buckets is an original. A bucket has at most
-  one such item, so removing its copies joins one row per bucket: a group of copies goes in one
-  round without a pair being compared.
-* ``verified``: when peeling no longer helps, an item without any earlier close item is an original.
-  Each item keeps only a count of its close items, so the output stays one row per item.
-* ``listed``: once there are few close pairs, they are written down and settled on that graph.
+single pass in (time, id) order would keep. The same set is found here in parallel rounds: an undecided
+item without an earlier undecided item near it is an original, and what an original covers is a copy.
+Both questions are semi-joins on keys, which stop at the first match, so a group of copies costs rows,
+not pairs, and the first round already decides all but the items whose earlier neighbours are copies.
+The number of rounds is the longest chain of such items, whatever the number of items.
 """
 
 from __future__ import annotations
@@ -22,23 +18,20 @@ from tidings.functions import vectors as vx
 from tidings.operators import neighbours
 from tidings.session import checkpointed
 
-PAIRS_PER_ITEM = 20
-MIN_PAIRS = 1_000_000
-PATIENCE = 2
-
 
 class Nearness:
     """What counts as near: fingerprint distance, or cosine of unit vectors, inside a window."""
 
-    def __init__(self, window_hours: int = 48, distance: int | None = 3, cosine: float | None = 0.95, intact: int = 2, pivots: int = 64):
+    def __init__(self, window_hours: int = 48, distance: int | None = 3, cosine: float | None = 0.95, intact: int = 2):
         self.window = window_hours * 3600 * 1_000_000
-        self.distance, self.cosine, self.intact, self.pivots = distance, cosine, intact, pivots
+        self.distance, self.cosine, self.intact = distance, cosine, intact
 
     def prepare(self, items: DataFrame) -> DataFrame:
         """(item_id, at, simhash, unit, slot, keys, probes): time in microseconds, its window slot, keys.
 
-        ``probes`` are the keys an item looks under: all of its fingerprint's, but of its vector only
-        that of its own cell, where all vectors near it have a key. So a pair of vectors meets once.
+        ``keys`` are where an item lies: all keys of its fingerprint and the cell of its vector.
+        ``probes`` are where it looks: the same fingerprint keys, and every cell that may hold a vector
+        near its own. So of two items either finds the other, and only the looking side is repeated.
         """
         has_hash, has_vector = self.distance is not None and "simhash" in items.columns, self.cosine is not None and "embedding" in items.columns
         hash_col = F.col("simhash") if has_hash else F.lit(None).cast("bigint")
@@ -47,12 +40,13 @@ class Nearness:
         base = base.withColumn("slot", F.floor(F.col("at") / self.window).cast("bigint"))
         none = F.array().cast("array<bigint>")
         by_hash = neighbours.simhash_keys(F.col("simhash"), self.distance, self.intact) if has_hash else none
-        base = base.withColumn("_cells", none)
-        if has_vector:
-            base = checkpointed(base.drop("_cells"))
-            base = base.withColumn("_cells", neighbours.pivot_keys(neighbours.choose_pivots(base, "item_id", "unit", self.pivots), self.cosine)(F.col("unit")))
-        keyed = base.withColumn("keys", F.array_distinct(F.concat(by_hash, "_cells")))
-        return keyed.withColumn("probes", F.array_distinct(F.concat(by_hash, F.slice("_cells", 1, 1)))).drop("_cells")
+        if not has_vector:
+            return base.withColumn("keys", F.array_distinct(by_hash)).withColumn("probes", F.col("keys"))
+        radius = neighbours.chord(self.cosine)
+        placed = neighbours.place(checkpointed(base), "item_id", "unit", radius)
+        own = F.when(F.col("home").isNotNull(), F.array("home")).otherwise(none)
+        keyed = placed.rows.withColumn("keys", F.array_distinct(F.concat(by_hash, own)))
+        return keyed.withColumn("probes", F.array_distinct(F.concat(by_hash, placed.reach(F.col("unit"), radius)))).drop("home")
 
     def near(self, a: str, b: str) -> Column:
         tests = []
@@ -64,109 +58,51 @@ class Nearness:
         return reduce(lambda x, y: x | y, [F.coalesce(t, F.lit(False)) for t in tests])
 
 
-def _keyed(rows: DataFrame, keys: str = "keys") -> DataFrame:
-    return rows.select("item_id", "at", "simhash", "unit", "slot", F.size("keys").alias("n_keys"), F.explode(keys).alias("key"))
-
-
-def _reach(rows: DataFrame) -> DataFrame:
-    """Key rows repeated for the slot after their own, where the rest of their window lies."""
-    return rows.withColumn("slot", F.explode(F.array(F.col("slot"), F.col("slot") + 1)))
-
-
-def _buckets(keyed: DataFrame) -> DataFrame:
-    found = keyed.groupBy("key", "slot").agg(
-        F.min(F.struct("at", "item_id", "n_keys")).alias("head"), F.max("at").alias("last"), F.count("*").alias("n")
-    )
-    earlier = found.select("key", (F.col("slot") + 1).alias("slot"), F.col("last").alias("earlier_last"), F.col("n").alias("earlier_n"))
-    return found.join(earlier, ["key", "slot"], "left")
+def _lying(rows: DataFrame) -> DataFrame:
+    return rows.select("item_id", "at", "simhash", "unit", "slot", F.explode("keys").alias("key"))
 
 
-def _unblocked(buckets: DataFrame, window: int) -> DataFrame:
-    """Items that head all their buckets with nothing undecided before them inside the window."""
-    clear = F.col("earlier_last").isNull() | (F.col("earlier_last") < F.col("head.at") - window)
-    heads = buckets.filter(clear).select("head.item_id", "head.n_keys")
-    return heads.groupBy("item_id", "n_keys").count().filter("count = n_keys").select("item_id")
+def _looking(rows: DataFrame, slots: tuple[int, ...]) -> DataFrame:
+    """A row per key and slot in which the item looks."""
+    spread = rows.select("item_id", "at", "simhash", "unit", F.explode(F.array(*[F.col("slot") + s for s in slots])).alias("slot"), "probes")
+    return spread.select("item_id", "at", "simhash", "unit", "slot", F.explode("probes").alias("key"))
 
 
-def _covered(rows: DataFrame, originals: DataFrame, rule: Nearness) -> DataFrame:
-    """(copy, original, original time) of rows that a given original covers."""
-    left, right = _keyed(rows, "probes").alias("c"), _reach(_keyed(originals)).alias("o")
+def _covered(late: DataFrame, early: DataFrame, rule: Nearness, how: str) -> DataFrame:
+    """Rows of ``late`` joined with the earlier rows of ``early`` that are near them in the window."""
+    left, right = _looking(late, (-1, 0)).alias("c"), _lying(early).alias("o")
     later = F.struct("c.at", "c.item_id") > F.struct("o.at", "o.item_id")
-    return (
-        left.join(right, ["key", "slot"])
-        .filter(later & (F.col("c.at") - F.col("o.at") <= rule.window) & rule.near("c", "o"))
-        .select(F.col("c.item_id").alias("item_id"), F.col("o.item_id").alias("original_id"), F.col("o.at").alias("original_at"))
-    )
-
+    same = (F.col("c.key") == F.col("o.key")) & (F.col("c.slot") == F.col("o.slot"))
+    return left.join(right, same & later & (F.col("c.at") - F.col("o.at") <= rule.window) & rule.near("c", "o"), how)
 
-def _pairs(rows: DataFrame, rule: Nearness) -> DataFrame:
-    return _covered(rows, rows, rule).select("item_id", "original_id").distinct()
 
+def _with_earlier(late: DataFrame, early: DataFrame, rule: Nearness) -> DataFrame:
+    """Item ids of ``late`` that have an earlier near item in ``early``."""
+    return _covered(late, early, rule, "left_semi").select("item_id")
 
-def _settle_pairs(undecided: DataFrame, rule: Nearness) -> DataFrame:
-    """Originals among ``undecided`` from the listed close pairs: what no original precedes.
 
-    Each round writes one table: the pairs still open, and the copies it found.
-    """
-    open_pairs = checkpointed(_pairs(undecided, rule))
-    copies = None
-    while not open_pairs.isEmpty():
-        later = open_pairs.select(F.col("item_id").alias("original_id"))
-        found = open_pairs.join(later, "original_id", "left_anti").select("item_id").distinct()
-        left = open_pairs.join(found, "item_id", "left_anti").join(found.select(F.col("item_id").alias("original_id")), "original_id", "left_anti")
-        both = left.select("item_id", "original_id", F.lit(False).alias("copy")).union(found.select("item_id", F.col("item_id").alias("original_id"), F.lit(True)))
-        state = checkpointed(both)
-        settled = state.filter("copy").select("item_id")
-        copies = settled if copies is None else copies.union(settled)
-        open_pairs = state.filter("not copy").select("item_id", "original_id")
-    ids = undecided.select("item_id")
-    return ids if copies is None else ids.join(copies, "item_id", "left_anti")
-
-
-def originals(prepared: DataFrame, rule: Nearness, pairs_per_item: int = PAIRS_PER_ITEM, min_pairs: int = MIN_PAIRS) -> DataFrame:
-    """Item ids of the originals. ``prepared`` must be materialised.
-
-    Pairs are only listed while there are at most ``pairs_per_item`` per item, or ``min_pairs``.
-    """
-    keyless = prepared.filter(F.size("keys") == 0).select("item_id")
-    undecided = prepared.filter(F.size("keys") > 0)
-    found, idle, rows = [keyless], 0, undecided.count()
-    while rows:
-        limit = max(min_pairs, pairs_per_item * rows)
-        buckets = checkpointed(_buckets(_keyed(undecided)))
-        each = F.col("n") * (F.col("n") - 1) / 2 + F.col("n") * F.coalesce(F.col("earlier_n"), F.lit(0))
-        listed = buckets.agg(F.sum(each).alias("pairs")).first()["pairs"] <= limit
-        if not listed and idle >= PATIENCE:
-            close = checkpointed(_pairs_per_item(undecided, rule))
-            listed = (close.agg(F.sum("n").alias("n")).first()["n"] or 0) <= limit
-            free = undecided.select("item_id").join(close, "item_id", "left_anti")
-        elif not listed:
-            free = _unblocked(buckets, rule.window)
-        if listed:
-            found.append(_settle_pairs(undecided, rule))
+def originals(prepared: DataFrame, rule: Nearness) -> DataFrame:
+    """Item ids of the originals. ``prepared`` must be a written table."""
+    undecided, found = prepared, []
+    while True:
+        rest = checkpointed(undecided.join(_with_earlier(undecided, undecided, rule), "item_id", "left_semi"))
+        free = undecided.join(rest.select("item_id"), "item_id", "left_anti")
+        found.append(free.select("item_id"))
+        if rest.isEmpty():
+            break
+        undecided = checkpointed(rest.join(_with_earlier(rest, free, rule), "item_id", "left_anti"))
+        if undecided.isEmpty():
             break
-        chosen = checkpointed(undecided.join(free, "item_id", "left_semi"))
-        found.append(chosen.select("item_id"))
-        copies = _covered(undecided, chosen, rule).select("item_id").distinct()
-        undecided = checkpointed(undecided.join(chosen.select("item_id"), "item_id", "left_anti").join(copies, "item_id", "left_anti"))
-        left = undecided.count()
-        idle = idle + 1 if left > 0.9 * rows else idle
-        rows = left
     return reduce(DataFrame.union, found)
 
 
-def _pairs_per_item(rows: DataFrame, rule: Nearness) -> DataFrame:
-    """(item_id, n) for items with close earlier items; counted per key, so n is an upper bound."""
-    return _covered(rows, rows, rule).groupBy("item_id").agg(F.count("*").alias("n"))
-
-
-def canonical_items(items: DataFrame, rule: Nearness, pairs_per_item: int = PAIRS_PER_ITEM, min_pairs: int = MIN_PAIRS) -> DataFrame:
+def canonical_items(items: DataFrame, rule: Nearness) -> DataFrame:
     """(item_id, canonical_item_id): null for originals, else the earliest original it copies."""
     prepared = checkpointed(rule.prepare(items))
-    keep = checkpointed(originals(prepared, rule, pairs_per_item, min_pairs))
+    keep = checkpointed(originals(prepared, rule))
     kept = prepared.join(keep, "item_id", "left_semi")
     rest = prepared.join(keep, "item_id", "left_anti")
-    links = _covered(rest, kept, rule).groupBy("item_id").agg(F.min(F.struct("original_at", "original_id"))["original_id"].alias("canonical_item_id"))
+    links = _covered(rest, kept, rule, "inner").groupBy(F.col("c.item_id").alias("item_id")).agg(F.min(F.struct("o.at", "o.item_id"))["item_id"].alias("canonical_item_id"))
     return prepared.select("item_id").join(links, "item_id", "left")
 
 
@@ -181,8 +117,7 @@ def canonical_match(items: DataFrame, pool: DataFrame, rule: Nearness) -> DataFr
     prepared = checkpointed(rule.prepare(ids))
     queries = prepared.filter(~F.col("item_id._pool")).withColumn("item_id", F.col("item_id.item_id"))
     members = prepared.filter("item_id._pool").withColumn("item_id", F.col("item_id.item_id"))
-    around = F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1))
-    left, right = _keyed(queries, "probes").alias("c"), _keyed(members).withColumn("slot", around).alias("o")
+    left, right = _looking(queries, (-1, 0, 1)).alias("c"), _lying(members).alias("o")
     return (
         left.join(right, ["key", "slot"])
         .filter((F.col("c.item_id") != F.col("o.item_id")) & (F.abs(F.col("c.at") - F.col("o.at")) <= rule.window) & rule.near("c", "o"))

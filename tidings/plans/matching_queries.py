@@ -297,7 +297,7 @@ LEADER_NEAR = "list_dot_product(c.sig, o.sig) >= 0.30"
 @query(
     "clustered_batch",
     f"""SELECT item_id, story_id, false AS is_new FROM placed WHERE attached UNION ALL
-    SELECT t.item_id, coalesce(arg_min(c.id, (c.tm, c.id)), t.item_id), true FROM timeline t LEFT JOIN originals c
+    SELECT t.item_id, ('0x' || substr(sha256('story ' || coalesce(arg_min(c.id, (c.tm, c.id)), t.item_id)), 1, 15))::BIGINT, true FROM timeline t LEFT JOIN originals c
     ON t.item_id NOT IN (SELECT id FROM originals) AND (t.tm, t.item_id) > (c.tm, c.id) AND t.tm - c.tm <= 259200 AND {LEADER_NEAR.replace('o.sig', 't.sig')} GROUP BY t.item_id""",
     {
         **CLUSTER_VIEWS,
