@@ -84,8 +84,10 @@ def tokens(column: Column) -> Column:
     for letter in ligatures:
         expanded = F.replace(expanded, F.lit(letter), F.lit(longer[letter]))
     plain = F.when(plain.rlike(f"[{''.join(ligatures)}]"), expanded).otherwise(plain)
-    cleaned = F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " ")
-    return F.filter(F.split(cleaned, " "), lambda t: F.char_length(t) > 2)
+    # Plain texts need none of this.
+    marked = F.split(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "), " ")
+    cut = F.when(lowered.rlike(r"[^\x00-\x7F]"), marked).otherwise(F.split(lowered, r"[^a-z0-9]+"))
+    return F.filter(cut, lambda t: F.char_length(t) > 2)
 
 
 def sanitize_text(column: Column) -> Column:
