@@ -47,7 +47,7 @@ class PivotTree:
     """Two levels of pivots that cut the unit vectors into cells.
 
     A vector lives in the cell of the nearest lower pivot under the nearest upper pivot. ``rings`` holds
-    per cell how near and how far its members are from its pivot. A cell can hold a vector within a
+    per cell how near and how far its members are from its pivot, once that is known. A cell can hold a vector within a
     radius of another one only if neither the plane between two sibling pivots nor the ring is farther
     away than that.
     """
@@ -58,7 +58,7 @@ class PivotTree:
         order = np.argsort(owner, kind="stable")
         self.upper, self.lower = upper, pivots[order]
         self.first = np.searchsorted(owner[order], np.arange(len(upper) + 1))
-        self.rings: np.ndarray | None = None
+        self.rings = np.tile([-np.inf, np.inf], (len(pivots), 1))
 
     def homes(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(cell, distance to its pivot) of every vector."""
@@ -112,6 +112,12 @@ class Placed(NamedTuple):
     tree: PivotTree | None
     share: float
 
+    def home(self, vector: Column) -> Column:
+        """The key of the vector's cell as an array; empty for null."""
+        if self.tree is None:
+            return F.transform(_cells(None, 0.0)(vector), _key)
+        return F.when(vector.isNotNull(), F.array(_key(_homes(self.tree)(vector)["cell"]))).otherwise(F.array().cast("array<bigint>"))
+
     def reach(self, vector: Column, radius: float) -> Column:
         """Keys of all cells that may hold a row within ``radius`` of the vector; empty for null."""
         return F.transform(_cells(self.tree, radius)(vector), _key)

@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 from tidings.operators import brief, dedup, ordered
 from tidings.plans.matching_queries import CANONICAL_VECTORS_SQL, VECTOR_VIEWS
 from tidings.plans.registry import query, sql_stamp, stamp
-from tidings.streaming import jobs
+from tidings.streaming import jobs, linking
 from tidings.streaming.store import run_folder
 
 
 PARTS = 3
+WRITERS = 4
 
 
 def _stream(v, table, part):
-    """A table as a stream of ``PARTS`` files, a micro-batch each. ``part`` numbers the file of a row."""
+    """A table as a stream of ``PARTS`` micro-batches of ``WRITERS`` files. ``part`` numbers a row's batch."""
     folder = run_folder(v.spark, "arriving")
     for n in range(PARTS):
-        table.filter(part == n).coalesce(1).write.mode("append").parquet(folder)
-    return v.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        table.filter(part == n).repartition(WRITERS).write.mode("append").parquet(folder)
+    return v.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", WRITERS).parquet(folder)
 
 
 def _in_turn(at):
@@ -93,12 +94,55 @@ def stream_daily_briefs(v):
 
 
 def _vectors(v):
+    """Items with vectors in the order of their time."""
     return _stream(v, v.vectors().select("item_id", "published_at", "embedding"), _in_turn(F.col("published_at")))
 
 
 @query("stream_canonical_vectors", CANONICAL_VECTORS_SQL, VECTOR_VIEWS)
 def stream_canonical_vectors(v):
-    return jobs.linked_stream(_vectors(v), run_folder(v.spark, "links"), dedup.Nearness(48, None, 0.35))
+    return linking.linked_stream(_vectors(v), run_folder(v.spark, "links"), dedup.Nearness(48, None, 0.35), keep_hours=24 * 365)
+
+
+LATE_VECTORS = {
+    # Files by number; what is in one file is taken in the order of time, near in both directions.
+    "timeline": """MATERIALIZED SELECT row_number() OVER (ORDER BY item_id % 3, published_at, item_id) AS rn, item_id, epoch(published_at)::BIGINT AS tm, embedding::DOUBLE[] AS sig FROM vectors""",
+    "kept_list": """SELECT 0::BIGINT AS rn, []::STRUCT(id BIGINT, tm BIGINT, sig DOUBLE[])[] AS kept UNION ALL
+        SELECT o.rn, CASE WHEN len(list_filter(kept, lambda c: abs(o.tm - c.tm) <= 172800 AND list_dot_product(c.sig, o.sig) >= 0.35)) > 0 THEN kept
+        ELSE list_append(kept, {'id': o.item_id, 'tm': o.tm, 'sig': o.sig}) END FROM kept_list JOIN timeline o ON o.rn = kept_list.rn + 1""",
+    "originals": "SELECT unnest(kept, recursive := true) FROM (SELECT kept FROM kept_list ORDER BY rn DESC LIMIT 1)",
+}
+
+
+@query(
+    "stream_late_links",
+    """SELECT t.item_id, arg_min(c.id, (c.id % 3 = t.item_id % 3, c.tm, c.id)) AS canonical_item_id FROM timeline t LEFT JOIN originals c
+    ON t.item_id NOT IN (SELECT id FROM originals) AND (t.item_id % 3, t.tm, t.item_id) > (c.id % 3, c.tm, c.id) AND abs(t.tm - c.tm) <= 172800
+    AND list_dot_product(c.sig, t.sig) >= 0.35 AND (c.id % 3 < t.item_id % 3 OR c.tm <= t.tm) GROUP BY t.item_id""",
+    LATE_VECTORS,
+)
+def stream_late_links(v):
+    """Files dealt out by number, so that most items come after later ones; every tenth comes twice."""
+    vectors = v.vectors().select("item_id", "published_at", "embedding").withColumn("file", F.col("item_id") % PARTS)
+    again = vectors.filter(F.col("item_id") % 10 == 0).withColumn("file", F.lit(PARTS - 1).cast("bigint"))
+    stream = _stream(v, vectors.unionByName(again), F.col("file")).select("item_id", "published_at", "embedding")
+    return linking.linked_stream(stream, run_folder(v.spark, "links"), dedup.Nearness(48, None, 0.35), keep_hours=24 * 365)
+
+
+@query(
+    "stream_closed_stories",
+    f"""SELECT label AS story_id, {sql_stamp('min(published_at)')} AS first_seen_at, {sql_stamp('max(published_at)')} AS last_updated_at, count(*) AS n, round(list_sum(any_value(centroid)), 6) AS centroid_sum FROM (
+        SELECT *, list_transform([1], lambda x: sum(s) OVER (PARTITION BY label, episode) / count(*) OVER (PARTITION BY label, episode)) AS centroid FROM (
+        SELECT *, sum(fresh) OVER (PARTITION BY label ORDER BY published_at, item_id) AS episode FROM (
+        SELECT label, item_id, published_at, list_sum(embedding::DOUBLE[]) AS s,
+        CASE WHEN published_at > lag(published_at) OVER (PARTITION BY label ORDER BY published_at, item_id) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM vectors)))
+    GROUP BY label, episode HAVING max(published_at) + INTERVAL 6 HOUR < (SELECT max(published_at) FROM vectors) - INTERVAL 24 HOUR""",
+)
+def stream_closed_stories(v):
+    """Labels as stories that close after six silent hours."""
+    vectors = v.vectors().select(F.col("label").alias("story_id"), "item_id", "published_at", "embedding")
+    closed = linking.closed_stories(_stream(v, vectors, _in_turn(F.col("published_at"))), run_folder(v.spark, "closed"), 6)
+    total = F.round(F.aggregate("centroid", F.lit(0.0), lambda t, x: t + x), 6)
+    return closed.select("story_id", stamp("first_seen_at").alias("first_seen_at"), stamp("last_updated_at").alias("last_updated_at"), "n", total.alias("centroid_sum"))
 
 
 @query("stream_clusters")

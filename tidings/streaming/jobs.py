@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidings.operators import dedup, measures as ms, similarity
+from tidings.operators import measures as ms, similarity
 from tidings.operators.items import first_wins
 from tidings.session import checkpointed
 from tidings.streaming.store import latest_rows, open_table, read_batches, run_available, write_batch
@@ -53,33 +53,6 @@ def arrivals_once(arrivals: DataFrame, folder: str, key: str) -> DataFrame:
     return read_batches(spark, f"{folder}/rows", wide).drop("batch_id")
 
 
-def linked_stream(items: DataFrame, folder: str, rule: dedup.Nearness) -> DataFrame:
-    """(item_id, canonical_item_id) of arriving items (item_id, published_at, simhash).
-
-    A batch is matched against the originals of earlier batches inside the window first; the rest
-    settle among themselves. Older originals are never looked at again.
-    """
-    spark, schema = items.sparkSession, items.schema
-    linked = StructType([*schema, StructField("canonical_item_id", schema["item_id"].dataType)])
-    wide = StructType([*linked, StructField("batch_id", LongType())])
-    open_table(spark, f"{folder}/rows", linked)
-
-    def link(rows: DataFrame, batch_id: int) -> None:
-        batch = checkpointed(rows)
-        start = batch.agg(F.min("published_at").alias("start")).first()["start"]
-        if start is None:
-            return
-        hours = rule.window // 3_600_000_000
-        held = read_batches(spark, f"{folder}/rows", wide, batch_id).filter(F.col("canonical_item_id").isNull() & (F.col("published_at") >= F.lit(start) - F.expr(f"interval {hours} hours")))
-        matched = checkpointed(dedup.canonical_match(batch, held.select(*batch.columns), rule))
-        rest = checkpointed(batch.join(matched.select("item_id"), "item_id", "left_anti"))
-        links = checkpointed(matched.unionByName(checkpointed(dedup.canonical_items(rest, rule))))
-        write_batch(batch.join(links, "item_id"), f"{folder}/rows", batch_id)
-
-    run_available(items, folder, link)
-    return read_batches(spark, f"{folder}/rows", wide).select("item_id", "canonical_item_id")
-
-
 def clustered_stream(items: DataFrame, folder: str, same_story: DataFrame, high: float, low: float, window_hours: int = 72) -> DataFrame:
     """(item_id, story_id) of arriving items (item_id, published_at, embedding).
 
