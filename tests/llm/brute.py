@@ -194,3 +194,17 @@ def part_codes(rows, parts, entries, rounds):
         found = [nearest(part, p) for p, part in enumerate(c)]
         out.append((i, label, "".join(f"{n:02x}" for _, n in found), sum(d for d, _ in found)))
     return out + [(i, label, None, None) for i, v, label in kept if len(v) != dims], books
+
+
+def five_words(text):
+    """Sets of five words, lower case; fewer words are one shingle, none is the empty set."""
+    own = SPACE.findall(lower(text))
+    return {tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))} if own else set()
+
+
+def near_kept(rows):
+    """The smallest doc_id of every group that links of similarity 4/5 or more, or equal sets, make."""
+    sets = {d: five_words(t) for d, t in rows}
+    ids = sorted(sets)
+    links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    return sorted(set(roots(ids, links).values()))

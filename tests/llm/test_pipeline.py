@@ -19,7 +19,7 @@ def test_pipeline(spark):
     verdicts = {r["doc_id"]: r["lang_pred"] != "und" and r["score"] >= corpus_pipeline.LEAST_LANGUAGE_SCORE for r in language.languages(documents).collect()}
     rows = [(r["doc_id"], r["text"]) for r in documents.collect() if verdicts[r["doc_id"]]]
     assert len(rows) >= 0.95 * len(verdicts)
-    first = {c for _, _, c in brute.simhash_rows(rows)}
+    first = set(brute.near_kept(rows))
     rows = [(d, t) for d, t in rows if d in first]
     texts = dict(rows)
     rows = [(d, " ".join(kept) if gone else texts[d]) for d, n, gone, kept in brute.word_repeats(rows) if not n or gone < n]
