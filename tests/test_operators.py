@@ -13,7 +13,7 @@ import unicodedata
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidings.operators import dedup, handoff, match, measures, neighbours, ordered, search, similarity, stories
+from tidings.operators import dedup, handoff, languages, match, measures, neighbours, ordered, search, similarity, stories
 from tidings.session import checkpointed
 from tidings.sources import feeds, pages, sitemaps
 
@@ -157,6 +157,41 @@ def test_best_story_of_each_item(spark):
         assert got == want
 
 
+def test_languages_by_trigrams(spark):
+    rng = random.Random(6)
+    parts = {"aa": ["kat", "mol", "tiv", "ros"], "bb": ["schu", "lung", "weg", "ich"], "cc": ["éa", "oui", "çon", "ment"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    rows = [(i, lang, text(lang, 40)) for i, lang in enumerate("aa bb cc".split() * 30)]
+    odd = [(900, None, text("aa", 10)), (901, "aa", None), (902, "aa", ""), (903, "aa", "12 !"), (904, "bb", text("bb", 30_000)), (None, "cc", text("cc", 9))]
+    schema = "item_id bigint, language string, text string"
+    items = spark.createDataFrame(rows + odd, schema)
+    names, profiles = languages.language_profiles(items.filter("item_id % 3 <> 1 or item_id < 60"), 15)
+    assert names == ["aa", "bb", "cc"] and profiles.filter("odds[0] < 0 and odds[1] < 0 and odds[2] < 0").count() == 0
+    judged = languages.by_trigrams(items, names, profiles, "xx")
+    got = {r["item_id"]: r["detected"] for r in judged.collect()}
+    assert all(got[i] == lang for i, lang, _ in rows) and got[900] == "aa" and got[904] == "bb"
+    assert got[901] == got[902] == got[903] == "xx" and len(got) == 96
+    found = {r["language"]: (r["texts"], r["agreeing"]) for r in languages.agreement(judged, items).collect()}
+    assert found["bb"] == (31, 31) and found["aa"] == (33, 30)
+    assert languages.language_profiles(items.limit(0))[0] == [] and languages.by_trigrams(items, [], profiles).filter("detected is null").count() == 96
+
+
+def test_words_are_counted_by_stem(spark):
+    docs = [(1, "en", "Running runs, hopping hopped hops! parties party"), (2, "en", "run; RUNNING ran hop"), (3, "tr", "kitaplar kitap evlerde evler"), (4, None, "cats"), (5, "en", None), (6, "en", "")]
+    got = {(r["language"], r["stem"]): (r["n"], r["items"], r["words"]) for r in search.stem_counts(spark.createDataFrame(docs, "item_id bigint, language string, body string")).collect()}
+    assert got[("en", "run")] == (4, 2, 3) and got[("en", "hop")] == (4, 2, 4) and got[("en", "parti")] == (2, 1, 2)
+    assert got[("tr", "kitap")] == (2, 1, 2) and got[("tr", "ev")] == (2, 1, 2) and got[(None, "cat")] == (1, 1, 1) and got[("en", "ran")] == (1, 1, 1)
+
+
+def test_few_shot_keeps_all_stories_of_a_topic(spark):
+    signals = [(i, "story", i % 150, "relevant", START + dt.timedelta(minutes=i)) for i in range(300)]
+    feedback = spark.createDataFrame(signals, "feedback_id bigint, target_type string, target_id bigint, signal string, created_at timestamp")
+    topics, links = spark.range(150).selectExpr("id as story_id", "7 as topic_id"), spark.range(150).selectExpr("id as story_id", "id as item_id")
+    items = spark.range(150).selectExpr("id as item_id", "concat('t', id) as title")
+    assert handoff.few_shot(feedback, topics, links, items, ("relevant",)).first()["titles"] == [f"t{i}" for i in range(149, -1, -1)]
+    assert handoff.few_shot(feedback, topics, links, items, ("relevant",), 3).first()["titles"] == ["t149", "t148", "t147"]
+
+
 def test_keywords_against_word_lists(spark):
     rng = random.Random(5)
     vocabulary = ["tin", "tinsel", "Oslo", "ÖBB", "rail", "railway", "sea", "señal", "EU", "eu"]

@@ -78,14 +78,18 @@ def relevance_valid(value: Column) -> Column:
     return value["results"].isNotNull() & F.forall(value["results"], lambda r: r["id"].isNotNull() & r["score"].between(0, 10) & r["reason"].isNotNull())
 
 
-def few_shot(feedback: DataFrame, story_topics: DataFrame, story_items: DataFrame, items: DataFrame, signals: tuple, most: int) -> DataFrame:
-    """(topic_id, titles): titles of the stories behind the ``most`` newest signals of one polarity on
-    each topic, one title per story (its item with the lowest id)."""
+def few_shot(feedback: DataFrame, story_topics: DataFrame, story_items: DataFrame, items: DataFrame, signals: tuple, most: int | None = None) -> DataFrame:
+    """(topic_id, titles): titles of the stories behind the signals of one polarity on each topic, the
+    newest first, one title per story (its item with the lowest id).
+
+    Of the signals on one story the newest counts. ``most`` keeps that many stories of a topic.
+    """
     recent = feedback.filter((F.col("target_type") == "story") & F.col("signal").isin(*signals))
     of_topic = recent.select(F.col("target_id").alias("story_id"), "created_at", "feedback_id").join(story_topics, "story_id")
-    from tidings.operators.ordered import top_rows
+    from tidings.operators.ordered import most_rows
 
-    first = top_rows(of_topic, most, ["topic_id"], [F.col("created_at").desc(), F.col("feedback_id")])
+    newest = of_topic.groupBy("topic_id", "story_id").agg(F.min(F.struct((-F.unix_micros("created_at")).alias("before"), "feedback_id")).alias("rank"))
+    first = most_rows(newest, most, ["topic_id"], [F.col("rank")])
     titles = story_items.join(first.select("story_id").distinct(), "story_id", "left_semi").join(items.filter(F.coalesce("title", F.lit("")) != "").select("item_id", "title"), "item_id").groupBy("story_id").agg(F.min_by("title", "item_id").alias("title"))
     return first.join(titles, "story_id").groupBy("topic_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda t: t["title"]).alias("titles"))
 

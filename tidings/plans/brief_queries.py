@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
+from tidings.functions.stems import stem_sql
 from tidings.operators import brief, items as it, measures as ms, questions as qs, search, stories as st
 from tidings.plans.matching_queries import HIT_VIEWS, _hits
 from tidings.plans.registry import query, six, sql_stamp, stamp
@@ -714,6 +715,19 @@ def word_counts(v):
     return per_item.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("items"))
 
 
+STEMS = stem_sql("word", "language")
+
+
+@query(
+    "stem_counts",
+    f"""SELECT language, stem, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT item_id) AS items, count(DISTINCT word) AS words FROM (SELECT language, item_id, word, n, {STEMS} AS stem FROM (
+    SELECT language, item_id, word, count(*) AS n FROM (SELECT language, item_id, unnest({_words_sql("title || ' ' || text")}) AS word FROM items) GROUP BY ALL)) GROUP BY language, stem""",
+)
+def stem_counts(v):
+    """Words of title and text by their stems in the item's language."""
+    return search.stem_counts(v.items().select("item_id", "language", F.concat_ws(" ", "title", "text").alias("body")))
+
+
 @query("text_ranks", "SELECT query_id, item_id, matched, round(rank, 6) AS rank FROM long_ranks", SEARCH_VIEWS)
 def text_ranks(v):
     docs = v.items().select("item_id", F.concat_ws(" ", "title", "text").alias("body"))

@@ -635,16 +635,16 @@ def checked_answers(v):
 
 
 _SHOT_SQL = """SELECT topic_id, array_to_string(list(title ORDER BY n), '|') AS titles FROM (
-    SELECT topic_id, story_id, row_number() OVER (PARTITION BY topic_id ORDER BY created_at DESC, feedback_id) AS n FROM (
-    SELECT * FROM feedback WHERE signal IN ('relevant', 'saved')) f JOIN story_topics t ON t.story_id = f.target_id) r
-    JOIN (SELECT story_id, arg_min(title, item_id) AS title FROM story_items JOIN items USING (item_id) WHERE title <> '' GROUP BY story_id) USING (story_id) WHERE n <= 20 GROUP BY topic_id"""
+    SELECT topic_id, story_id, min((-epoch_us(created_at), feedback_id)) AS n FROM (
+    SELECT * FROM feedback WHERE signal IN ('relevant', 'saved')) f JOIN story_topics t ON t.story_id = f.target_id GROUP BY topic_id, story_id) r
+    JOIN (SELECT story_id, arg_min(title, item_id) AS title FROM story_items JOIN items USING (item_id) WHERE title <> '' GROUP BY story_id) USING (story_id) GROUP BY topic_id"""
 
 
 @query("few_shot_titles", _SHOT_SQL)
 def few_shot_titles(v):
     from tidings.functions.scoring import TOPIC_POSITIVE
 
-    return handoff.few_shot(v.feedback(), v.story_topics(), v.story_items(), v.items(), TOPIC_POSITIVE, 20).withColumn("titles", F.array_join("titles", "|"))
+    return handoff.few_shot(v.feedback(), v.story_topics(), v.story_items(), v.items(), TOPIC_POSITIVE).withColumn("titles", F.array_join("titles", "|"))
 
 
 @query(
