@@ -11,9 +11,10 @@ import re
 import unicodedata
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from tidings.operators import dedup, handoff, languages, match, measures, neighbours, ordered, search, similarity, stories
+from tidings.operators import dedup, handoff, languages, match, measures, neighbours, ordered, scorer, search, similarity, stories
 from tidings.session import checkpointed
 from tidings.sources import feeds, pages, sitemaps
 
@@ -332,6 +333,33 @@ def test_word_ranks_against_plain_reckoning(spark):
             assert got[(4, i)][0] == ("birch cedar" in text and "x" not in words)
 
 
+def test_blocks_that_cannot_hold_better_items_are_skipped(monkeypatch):
+    """Blocks in falling order of their cosines: once k are kept, the words of the others are not read."""
+    read, made = [], scorer.Postings.__init__
+    monkeypatch.setattr(scorer.Postings, "__init__", lambda self, texts, numbers: read.append(1) or made(self, texts, numbers))
+    asked = {"query_ids": [7, 8], "query_units": [1.0, 0.0, 0.0, 1.0], "query_haves": [True, True], "termss": ['[[{"negated":false,"words":["oak"]}]]', '[[{"negated":false,"words":["elm"]}]]']}
+    blocks = []
+    for b in range(20):
+        angle = 0.05 * b
+        blocks.append({"item_ids": [3 * b, 3 * b + 1, 3 * b + 2], "units": [math.cos(angle), math.cos(angle)] * 3, "haves": [True] * 3, "longs": ["oak elm", "oak", ""], "shorts": ["oak", "", ""], **asked})
+    parts = list(scorer.best_items(4)(iter([pd.DataFrame([b]) for b in blocks])))
+    got = {p["query_id"][0]: list(zip(p["item_id"], p["score"].round(9))) for p in parts}
+    word = lambda n: 0.4 * 0.1 / 1.64493406685 * n
+    assert got[7] == [(0, round(0.6 + word(1), 9)), (1, round(0.6 + word(1), 9)), (3, round(0.6 * math.cos(0.05) + word(1), 9)), (4, round(0.6 * math.cos(0.05) + word(1), 9))]
+    assert got[8][0] == (0, round(0.6 + word(1), 9)) and 2 <= len(read) // 2 < 12
+
+
+def test_searches_over_odd_items(spark):
+    items = spark.createDataFrame([(1, None, None, None, None), (2, "", "", "", [0.0, 0.0]), (3, "Oak", None, "elm", [1.0, 0.0]), (4, "elm", "oak oak", None, None)], "item_id bigint, title string, text string, standfirst string, embedding array<double>")
+    queries = spark.createDataFrame([(1, "oak", None), (2, "", [1.0, 0.0]), (3, "-oak", None), (4, '"oak oak"', None), (5, "oak elm", [0.0, 0.0])], "query_id bigint, text string, embedding array<double>")
+    rows = search.hybrid_search(items, queries, 10).collect()
+    got = {q: sorted((r["rank"], r["item_id"]) for r in rows if r["query_id"] == q) for q in range(1, 6)}
+    assert got[1] == [(1, 4), (2, 3)] and got[2] == [(1, 3), (2, 2)] and got[3] == [] and got[4] == [(1, 4)]
+    assert [i for _, i in got[5]][0] in (3, 4) and {i for _, i in got[5]} == {2, 3, 4}
+    assert search.hybrid_search(items.limit(0), queries, 3).count() == 0 and search.hybrid_search(items, queries.limit(0), 3).count() == 0
+    assert {(r["query_id"], r["item_id"], r["matched"]) for r in search.text_ranks(items.selectExpr("item_id", "title as body"), queries).collect()} == {(1, 3, True), (3, 3, False), (4, 3, False), (5, 3, False), (5, 4, False)}
+
+
 def test_search_of_many_queries_has_one_plan(spark):
     rng = random.Random(11)
     vector = lambda: [rng.gauss(0, 1) for _ in range(4)]

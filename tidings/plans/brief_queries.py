@@ -739,6 +739,38 @@ def hybrid_search(v):
     return _results(v).withColumn("score", six("score"))
 
 
+TITLE_SEARCHES = {
+    "asked": f"SELECT DISTINCT item_id AS query_id, word FROM (SELECT item_id, unnest({_words_sql('title')}) AS word FROM items WHERE item_id % 20 = 0) WHERE word <> 'or'",
+    "sizes": "SELECT query_id, count(*) AS n FROM asked GROUP BY query_id",
+    "spots": f"SELECT item_id, word, pos FROM (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT item_id, {_words_sql("title || ' ' || text")} AS w FROM items)) WHERE word IN (SELECT word FROM asked)",
+    "short_spots": f"SELECT item_id, word, pos FROM (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT item_id, {_words_sql("title || ' ' || source_id")} AS w FROM items)) WHERE word IN (SELECT word FROM asked)",
+    "both_spots": "SELECT 0 AS kind, * FROM spots UNION ALL SELECT 1, * FROM short_spots",
+    "hits": "SELECT query_id, kind, item_id, word, count(*) AS c FROM both_spots JOIN asked USING (word) GROUP BY ALL",
+    "singles": "SELECT query_id, kind, item_id, any_value(n) AS n, count(*) AS held, sum(list_sum(list_transform(range(1, c + 1), lambda i: 0.1 / (i * i)))) / 1.64493406685 / any_value(n) AS rank FROM hits JOIN sizes USING (query_id) GROUP BY query_id, kind, item_id",
+    "pairs": """SELECT query_id, kind, item_id, 1 - exp(sum(ln(1 - 0.1 * sqrt(1 / (1.005 + 0.05 * exp(gap / 1.5 - 2)))))) AS rank FROM (
+        SELECT x.query_id, a.kind, a.item_id, abs(a.pos - b.pos) AS gap FROM both_spots a JOIN both_spots b ON a.kind = b.kind AND a.item_id = b.item_id AND a.word < b.word AND abs(a.pos - b.pos) <= 100
+        JOIN asked x ON x.word = a.word JOIN asked y ON y.word = b.word AND y.query_id = x.query_id) GROUP BY query_id, kind, item_id""",
+    "word_ranks": """SELECT query_id, item_id, max(CASE WHEN n = 1 THEN s.rank ELSE coalesce(p.rank, 0) END) AS rank, bool_or(held = n) AS matched
+        FROM singles s LEFT JOIN pairs p USING (query_id, kind, item_id) GROUP BY query_id, item_id""",
+    "title_scores": """SELECT query_id, item_id, 0.6 * coalesce(cosine, 0) + 0.4 * coalesce(rank, 0) AS score FROM (SELECT q.item_id AS query_id, v.item_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS cosine
+        FROM vectors q, vectors v WHERE q.item_id % 20 = 0 AND q.item_id IN (SELECT item_id FROM items) AND v.item_id IN (SELECT item_id FROM items)) c FULL JOIN word_ranks r USING (query_id, item_id) WHERE cosine IS NOT NULL OR matched""",
+}
+
+
+@query(
+    "title_searches",
+    """SELECT query_id, rank, item_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM title_scores) WHERE rank <= 15""",
+    TITLE_SEARCHES,
+)
+def title_searches(v):
+    """Every twentieth title as a search over all items, with the source as a summary."""
+    vectors = v.vectors().select("item_id", "embedding")
+    items = v.items().select("item_id", "title", "text", F.col("source_id").alias("standfirst")).join(vectors, "item_id", "left")
+    plain = F.array_join(F.filter(search.words(F.col("title")), lambda w: w != "or"), " ")
+    asked = items.filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), plain.alias("text"), "embedding")
+    return search.hybrid_search(items, asked, 15).withColumn("score", six("score"))
+
+
 @query("ask_candidates", "SELECT query_id, rank, item_id FROM top_results WHERE score >= 0.2", SEARCH_VIEWS)
 def ask_candidates(v):
     return search.ask_candidates(_results(v), 0.2).select("query_id", "rank", "item_id")
