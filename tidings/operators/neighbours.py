@@ -204,6 +204,12 @@ def packed(df: DataFrame, columns: list[str], vector: str, by: list[str] = (), r
     return df.select(*by, *columns, vector).mapInPandas(_pack(list(columns), vector, list(by), rows), schema)
 
 
+def every_meeting(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every block of ``left`` beside every block of ``right``. Both are written first: a product reads
+    its sides more than once, and with the real size of ``right`` known it is broadcast if it is small."""
+    return checkpointed(left).crossJoin(checkpointed(right))
+
+
 def _pack(columns: list[str], vector: str, by: list[str], rows: int):
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

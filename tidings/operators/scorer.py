@@ -20,6 +20,8 @@ SERIES = 1.64493406685
 MAX_DISTANCE = 100
 VECTOR_SHARE, TEXT_SHARE = 0.6, 0.4
 
+FULL = -40.0  # the exponential of this is nothing beside 1 in double precision
+
 
 class Postings:
     """Occurrences (word, item, position) of the asked words in texts, whose words a blank parts; sorted,
@@ -54,7 +56,8 @@ def single_ranks(postings: Postings, words: list[int]) -> np.ndarray:
 
 
 def close_ranks(postings: Postings, words: list[int]) -> np.ndarray:
-    """Rank by nearness: close pairs of different words add up, nearer ones weigh more."""
+    """Rank by nearness: close pairs of different words add up, nearer ones weigh more. An item whose rank
+    is 1 to the last digit is not looked at any further."""
     held = [postings.of(w) for w in words]
     item, position = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
     word = np.repeat(np.arange(len(words)), [len(h[0]) for h in held])
@@ -62,6 +65,8 @@ def close_ranks(postings: Postings, words: list[int]) -> np.ndarray:
     item, position, word = item[order], position[order], word[order]
     miss = np.zeros(postings.items)
     for step in range(1, min(MAX_DISTANCE, len(item) - 1) + 1):
+        if step >= len(item):
+            break
         gap = position[step:] - position[:-step]
         near = (item[step:] == item[:-step]) & (gap <= MAX_DISTANCE)
         if not near.any():  # places of an item ascend: wider steps are farther still
@@ -69,11 +74,19 @@ def close_ranks(postings: Postings, words: list[int]) -> np.ndarray:
         pairs = np.flatnonzero(near & (word[step:] != word[:-step]))
         weight = WORD_WEIGHT * np.sqrt(1 / (1.005 + 0.05 * np.exp(gap[pairs] / 1.5 - 2)))
         miss += np.bincount(item[pairs], weights=np.log1p(-weight), minlength=postings.items)
+        full = miss <= FULL
+        if full.any():
+            open_rows = ~full[item]
+            item, position, word = item[open_rows], position[open_rows], word[open_rows]
     return 1 - np.exp(miss)
 
 
 def holding(postings: Postings, terms: list[list[int]]) -> np.ndarray:
     """Which items hold a run of words (a term of one or more)."""
+    if len(terms) == 1:
+        out = np.zeros(postings.items, dtype=bool)
+        out[postings.of(terms[0])[0]] = True
+        return out
     span = int(postings.position.max(initial=0)) + len(terms) + 2
     places = None
     for back, word in enumerate(terms):
@@ -130,14 +143,15 @@ class Best:
     """The best ``k`` of one search so far: higher scores first, the lower item id among equals."""
 
     def __init__(self, k: int):
-        self.k, self.scores, self.ids = k, np.zeros(0), np.zeros(0, dtype=object)
+        self.k, self.scores, self.ids = k, np.zeros(0), None
 
     @property
     def last(self) -> float:
         return self.scores[-1] if len(self.scores) == self.k else -np.inf
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        scores, ids = np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids])
+        if self.ids is not None:
+            scores, ids = np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids])
         order = np.lexsort((ids, -scores))[: self.k]
         self.scores, self.ids = scores[order], ids[order]
 
@@ -169,7 +183,7 @@ def best_items(k: int):
                     allowed = np.flatnonzero(by_vector | in_long | in_short)
                     best.add((base + TEXT_SHARE * np.maximum(long, short))[allowed], ids[allowed])
         for query, best in kept.items():
-            if len(best.ids):
+            if len(best.scores):
                 yield pd.DataFrame({"query_id": [query] * len(best.ids), "item_id": best.ids.tolist(), "score": best.scores})
 
     return run

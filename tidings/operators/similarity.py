@@ -41,7 +41,7 @@ def similar_pairs(items: DataFrame, topics: DataFrame, threshold: float, block:
                 row, column = np.nonzero(scores >= threshold)
                 yield pd.DataFrame({"item_id": np.asarray(ids)[row], "topic_id": np.asarray(topic_ids)[column], "cosine": scores[row, column]})
 
-    return left.crossJoin(right).select("item_ids", "item_units", "topic_ids", "topic_units").mapInPandas(compare, schema)
+    return neighbours.every_meeting(left, right).select("item_ids", "item_units", "topic_ids", "topic_units").mapInPandas(compare, schema)
 
 
 def relevance_scores(batch_items: DataFrame, verdicts: DataFrame, topics: DataFrame) -> tuple[DataFrame, DataFrame]:
