@@ -145,7 +145,35 @@ def stream_closed_stories(v):
     return closed.select("story_id", stamp("first_seen_at").alias("first_seen_at"), stamp("last_updated_at").alias("last_updated_at"), "n", total.alias("centroid_sum"))
 
 
-@query("stream_clusters")
+def _cluster_views() -> dict[str, str]:
+    """The batches one after the other: items join the open stories of the batch before, the others lead
+    or follow in the order of time, and stories move on."""
+    views = {
+        "arrivals": "MATERIALIZED SELECT item_id, epoch(published_at)::BIGINT AS tm, embedding::DOUBLE[] AS sig, least(2, date_diff('day', DATE '2024-01-01', published_at::DATE) // 10) AS part FROM vectors",
+        "state0": "SELECT 0::BIGINT AS story_id, []::DOUBLE[] AS centroid, 0::BIGINT AS n, 0::BIGINT AS last WHERE false",
+    }
+    for b in range(PARTS):
+        views |= {
+            f"here{b}": f"SELECT * FROM arrivals WHERE part = {b}",
+            f"found{b}": f"""MATERIALIZED SELECT item_id, arg_max(story_id, (cosine, -story_id)) AS story_id FROM (SELECT item_id, story_id, list_cosine_similarity(sig, centroid) AS cosine FROM here{b} h
+                JOIN (SELECT * FROM state{b} WHERE last >= (SELECT min(tm) FROM here{b}) - 259200) s ON abs(h.tm - s.last) <= 259200) WHERE cosine >= 0.20 GROUP BY item_id HAVING max(cosine) >= 0.30""",
+            f"line{b}": f"MATERIALIZED SELECT row_number() OVER (ORDER BY tm, item_id) AS rn, item_id, tm, sig FROM here{b} WHERE item_id NOT IN (SELECT item_id FROM found{b})",
+            f"led{b}": f"""SELECT 0::BIGINT AS rn, []::STRUCT(id BIGINT, tm BIGINT, sig DOUBLE[])[] AS kept UNION ALL
+                SELECT o.rn, CASE WHEN len(list_filter(kept, lambda c: o.tm - c.tm <= 259200 AND list_dot_product(c.sig, o.sig) >= 0.30)) > 0 THEN kept
+                ELSE list_append(kept, {{'id': o.item_id, 'tm': o.tm, 'sig': o.sig}}) END FROM led{b} JOIN line{b} o ON o.rn = led{b}.rn + 1""",
+            f"leaders{b}": f"MATERIALIZED SELECT unnest(kept, recursive := true) FROM (SELECT kept FROM led{b} ORDER BY rn DESC LIMIT 1)",
+            f"joined{b}": f"""MATERIALIZED SELECT item_id, story_id FROM found{b} UNION ALL
+                SELECT t.item_id, ('0x' || substr(sha256('story ' || coalesce(arg_min(c.id, (c.tm, c.id)), t.item_id)), 1, 15))::BIGINT FROM line{b} t LEFT JOIN leaders{b} c ON t.item_id NOT IN (SELECT id FROM leaders{b})
+                AND (t.tm, t.item_id) > (c.tm, c.id) AND t.tm - c.tm <= 259200 AND list_dot_product(c.sig, t.sig) >= 0.30 GROUP BY t.item_id""",
+            f"added{b}": f"""MATERIALIZED SELECT story_id, list(x ORDER BY pos) AS total, any_value(k) AS k, any_value(last) AS last FROM (SELECT story_id, pos, sum(x) AS x, count(*) AS k, max(tm) AS last FROM (
+                SELECT story_id, tm, unnest(sig) AS x, unnest(range(len(sig))) AS pos FROM joined{b} JOIN here{b} USING (item_id)) GROUP BY story_id, pos) GROUP BY story_id""",
+            f"state{b + 1}": f"""MATERIALIZED SELECT story_id, CASE WHEN a.k IS NULL THEN s.centroid ELSE list_transform(list_zip(coalesce(s.centroid, list_transform(a.total, lambda x: 0.0)), a.total), lambda p: (p[1] * coalesce(s.n, 0) + p[2]) / (coalesce(s.n, 0) + a.k)) END AS centroid,
+                coalesce(s.n, 0) + coalesce(a.k, 0) AS n, greatest(coalesce(s.last, 0), coalesce(a.last, 0)) AS last FROM state{b} s FULL JOIN added{b} a USING (story_id)""",
+        }
+    return views
+
+
+@query("stream_clusters", " UNION ALL ".join(f"SELECT item_id, story_id FROM joined{b}" for b in range(PARTS)), _cluster_views())
 def stream_clusters(v):
     none = v.spark.createDataFrame([], "item_id bigint, story_id bigint, same boolean")
     return jobs.clustered_stream(_vectors(v), run_folder(v.spark, "clusters"), none, 0.30, 0.20)
