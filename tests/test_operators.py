@@ -177,6 +177,20 @@ def test_languages_by_trigrams(spark):
     assert languages.language_profiles(items.limit(0))[0] == [] and languages.by_trigrams(items, [], profiles).filter("detected is null").count() == 96
 
 
+def test_cluster_agreement_against_all_pairs(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.choice([0, 0, 0, 1, 2, None]), rng.choice([0, 1, 1, None])) for i in range(120)]
+    found = spark.createDataFrame([(i, a) for i, a, _ in rows] + [(0, rows[0][1]), (500, 1)], "item_id bigint, cluster bigint")
+    truth = spark.createDataFrame([(i, b) for i, _, b in rows] + [(600, 1)], "item_id bigint, cluster bigint")
+    pairs = [(x, y) for n, x in enumerate(rows) for y in rows[n + 1 :]]
+    same = lambda x, y, k: x[k] is not None and x[k] == y[k]
+    a, b, c = (sum(t(x, y) for x, y in pairs) for t in (lambda x, y: same(x, y, 1), lambda x, y: same(x, y, 2), lambda x, y: same(x, y, 1) and same(x, y, 2)))
+    got = measures.cluster_agreement(found, truth).first()
+    assert (got["found_pairs"], got["true_pairs"], got["common_pairs"]) == (a, b, c)
+    assert abs(got["precision"] - c / a) < 1e-12 and abs(got["recall"] - c / b) < 1e-12 and abs(got["f1"] - 2 * c / (a + b)) < 1e-12
+    assert tuple(measures.cluster_agreement(found.limit(0), truth).first()) == (0, 0, 0, None, None, None)
+
+
 def test_words_are_counted_by_stem(spark):
     docs = [(1, "en", "Running runs, hopping hopped hops! parties party"), (2, "en", "run; RUNNING ran hop"), (3, "tr", "kitaplar kitap evlerde evler"), (4, None, "cats"), (5, "en", None), (6, "en", "")]
     got = {(r["language"], r["stem"]): (r["n"], r["items"], r["words"]) for r in search.stem_counts(spark.createDataFrame(docs, "item_id bigint, language string, body string")).collect()}

@@ -12,6 +12,7 @@ from tidings.plans import ORACLES, QUERIES
 SAMPLE = """canonical_urls page_texts item_simhash canonical_items keyword_hits combined_matches relevance_prefilter cluster_decisions resolved_grouping ranked_stories
 brief_sections topic_lines keyword_coverage drifted_weights budget_blocked rate_windows fetch_health weekly_evidence new_items hybrid_search rematch_items
 stream_request_counts stream_feedback_once stream_arrivals_once stream_daily_briefs page_links listing_links grouping_links grouping_touched grouping_stories pending_retries written_briefs written_reading_list
+title_searches trigram_languages cluster_agreement
 keyword_hits_by_word cluster_decisions_by_cell clean_titles stage_backlogs""".split()
 NAMES = list(QUERIES) if os.environ.get("TEST_ALL") else SAMPLE
 FOLDER = f"{DATA}/sf0.001"

@@ -228,3 +228,29 @@ def source_gaps(excluded: DataFrame, sources: DataFrame) -> DataFrame:
         .select("name", status.alias("status"), F.when(known, F.col("known_reason")).otherwise(reason).alias("reason"), F.when(known, F.col("known_option")).otherwise(option).alias("option"))
         .filter("status <> 'ok'")
     )
+
+
+def cluster_agreement(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row (found_pairs, true_pairs, common_pairs, precision, recall, f1) of two clusterings (item_id,
+    cluster) over the items that both have.
+
+    Pairs of items are counted from the sizes of the clusters and of their intersections, so none is
+    listed and a cluster with most of the items is a few rows per map task. A null cluster holds its item
+    alone. A share of no pairs is null; repeated rows count once.
+    """
+    own = lambda df, name: df.groupBy("item_id").agg(F.min("cluster").alias(name))
+    both = own(found, "found").join(own(truth, "truth"), "item_id")
+    cells = both.groupBy("found", "truth").agg(F.count("*").alias("n"))
+
+    def pairs(sizes: DataFrame, name: str) -> DataFrame:
+        n = F.col("n").cast("decimal(19,0)")
+        return sizes.agg(F.coalesce(F.sum((n * (n - 1) / 2).cast("decimal(38,0)")), F.lit(0)).cast("bigint").alias(name))
+
+    of = lambda name: cells.filter(F.col(name).isNotNull()).groupBy(name).agg(F.sum("n").alias("n"))
+    common = cells.filter(F.col("found").isNotNull() & F.col("truth").isNotNull())
+    # Three tables of one row each.
+    counts = pairs(of("found"), "found_pairs").crossJoin(pairs(of("truth"), "true_pairs")).crossJoin(pairs(common, "common_pairs"))
+    share = lambda a, b: F.when(b > 0, a / b)
+    precision, recall = share(F.col("common_pairs"), F.col("found_pairs")), share(F.col("common_pairs"), F.col("true_pairs"))
+    f1 = share(2 * F.col("common_pairs"), F.col("found_pairs") + F.col("true_pairs"))
+    return counts.select("*", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))

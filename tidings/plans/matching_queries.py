@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from tidings.functions import text as tx
-from tidings.operators import dedup, fingerprint, handoff, match, ordered, rematch, similarity, stories as st
+from tidings.operators import dedup, fingerprint, handoff, match, measures, ordered, rematch, similarity, stories as st
 from tidings.plans.registry import query, six, sql_stamp, stamp
 from tidings.plans.scalar_queries import SIMHASH_VIEWS
 from tidings.plans.views import AS_OF, TOPICS
@@ -311,6 +311,20 @@ def clustered_batch(v):
     return similarity.cluster_batch(v.vectors(), _snapshot(v), verdicts, 0.30, 0.20)
 
 
+@query(
+    "cluster_agreement",
+    """SELECT found_pairs, true_pairs, common_pairs, round(common_pairs / found_pairs, 6) AS precision, round(common_pairs / true_pairs, 6) AS recall, round(2 * common_pairs / (found_pairs + true_pairs), 6) AS f1 FROM (
+    SELECT count(*) FILTER (WHERE a.story_id = b.story_id) AS found_pairs, count(*) FILTER (WHERE a.label = b.label) AS true_pairs, count(*) FILTER (WHERE a.story_id = b.story_id AND a.label = b.label) AS common_pairs
+    FROM grouped a JOIN grouped b ON a.item_id < b.item_id)""",
+    {**CLUSTER_VIEWS, "grouped": "SELECT v.item_id, label, story_id FROM vectors v LEFT JOIN decided USING (item_id)"},
+)
+def cluster_agreement(v):
+    """The stories that items were nearest to, against their labels."""
+    found = similarity.best_stories(v.vectors(), _snapshot(v), 0.30, 0.20).select("item_id", F.col("story_id").alias("cluster"))
+    agreed = measures.cluster_agreement(found, v.vectors().select("item_id", F.col("label").alias("cluster")))
+    return agreed.withColumns({c: six(c) for c in ("precision", "recall", "f1")})
+
+
 @query(
     "updated_centroids",
     """SELECT label AS story_id, n, array_to_string(list_transform(list(x ORDER BY pos), lambda y: printf('%.4f', y + 0.00000001)), ',') AS centroid FROM (
