@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import functools
-
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidings.session import checkpointed  # noqa: F401  written table in the shared folder
+from tidings.session import checkpointed, ensure_checkpoint_dir  # noqa: F401  written table in the shared folder
 
 
 BATCH_ROWS = 1_000
@@ -28,6 +28,37 @@ def in_short_batches(plan):
     return run
 
 
+class Passing:
+    """Written tables in the shared folder that go when they are no longer read.
+
+    A table may be dropped once all that is read from it has been written itself; at the end of the
+    block the rest goes. What leaves the block must be written by ``checkpointed``.
+    """
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.folders = spark, {}
+
+    def __enter__(self):
+        return self
+
+    def write(self, df: DataFrame) -> DataFrame:
+        folder = f"{self.spark.sparkContext.getCheckpointDir()}/passing-{uuid.uuid4().hex}"
+        df.write.parquet(folder)
+        found = self.spark.read.schema(df.schema).parquet(folder)
+        self.folders[id(found)] = (folder, found)
+        return found
+
+    def drop(self, *tables: DataFrame) -> None:
+        for found in tables:
+            folder, _ = self.folders.pop(id(found))
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[found for _, found in list(self.folders.values())])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
