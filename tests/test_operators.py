@@ -108,6 +108,24 @@ def test_without_structure_all_share_one_cell(spark):
     assert placed.tree is None and placed.rows.select("home").distinct().count() == 2
 
 
+def test_crowded_vectors_are_swept_in_slices(spark):
+    """Vectors without cells: slices of the timeline, longer and shorter than the window, ids that repeat,
+    and as many steps as slices however long the chains are."""
+    rng = random.Random(5)
+    rows = [(rng.randrange(8 * 24) * 3600, i, [float(np.float32(x)) for x in _unit([rng.gauss(0, 1) for _ in range(8)])]) for i in range(900)]
+    expected = _originals_one_by_one(rows, 48, lambda a, b: sum(x * y for x, y in zip(a, b)) >= 0.6)
+    made = [(i, at * 1_000_000, v) for at, i, v in rows] + [(900, 0, None), (None, 0, rows[0][2])]
+    made += [made[7], made[8], made[8]]
+    rule = dedup.Nearness(48, None, 0.6)
+    for kind, size in (("bigint", 220), ("string", 500)):
+        name = (lambda i: i) if kind == "bigint" else (lambda i: None if i is None else f"n{i:04d}")
+        df = checkpointed(spark.createDataFrame([(name(i), at, v) for i, at, v in made], f"item_id {kind}, at bigint, unit array<float>"))
+        assert {r[0]: r[1] for r in dedup.swept(df, rule, size).collect()} == {name(a): name(b) for a, b in expected.items()}
+    stamped = [(i, None if at is None else START + dt.timedelta(microseconds=at), v) for i, at, v in made]
+    placed, crowded = rule.placed(spark.createDataFrame(stamped, "item_id bigint, published_at timestamp, embedding array<float>"))
+    assert crowded and placed.count() == len(made)
+
+
 def test_new_stories_take_no_id_in_use(spark):
     """Item 6 joins the open story 5; the unlike item 5 opens another story."""
     items = spark.createDataFrame([(5, START, [1.0, 0.0]), (6, START, [0.0, 1.0])], "item_id bigint, published_at timestamp, embedding array<double>")

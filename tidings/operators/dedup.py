@@ -6,18 +6,29 @@ item without an earlier undecided item near it is an original, and what an origi
 Both questions are semi-joins on keys, which stop at the first match, so a group of copies costs rows,
 not pairs, and the first round already decides all but the items whose earlier neighbours are copies.
 The number of rounds is the longest chain of such items, whatever the number of items.
+
+Where vectors have no cells, every item is near many others of its window and these chains are long.
+There the timeline is swept in slices instead: blocks of a slice meet blocks of the originals found so
+far, and only what these do not cover settles among itself, in one task per slice of bounded size. An
+item is compared with originals, not with all items of its window.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidings.functions import vectors as vx
 from tidings.operators import neighbours
 from tidings.session import checkpointed
 
+SLICE = 20_000
+DRAWN = 32  # rows drawn per slice to find where slices begin
+
 
 class Nearness:
     """What counts as near: fingerprint distance, or cosine of unit vectors, inside a window."""
@@ -27,7 +38,13 @@ class Nearness:
         self.distance, self.cosine, self.intact = distance, cosine, intact
 
     def prepare(self, items: DataFrame) -> DataFrame:
-        """(item_id, at, simhash, unit, slot, keys, probes): time in microseconds, its window slot, keys.
+        """The rows of ``placed``."""
+        return self.placed(items)[0]
+
+    def placed(self, items: DataFrame) -> tuple[DataFrame, bool]:
+        """(rows, crowded): crowded if the rows have vectors only, and these no cells.
+
+        Rows are (item_id, at, simhash, unit, slot, keys, probes): time in microseconds, its window slot, keys.
 
         ``keys`` are where an item lies: all keys of its fingerprint and the cell of its vector.
         ``probes`` are where it looks: the same fingerprint keys, and every cell that may hold a vector
@@ -41,12 +58,13 @@ class Nearness:
         none = F.array().cast("array<bigint>")
         by_hash = neighbours.simhash_keys(F.col("simhash"), self.distance, self.intact) if has_hash else none
         if not has_vector:
-            return base.withColumn("keys", F.array_distinct(by_hash)).withColumn("probes", F.col("keys"))
+            return base.withColumn("keys", F.array_distinct(by_hash)).withColumn("probes", F.col("keys")), False
         radius = neighbours.chord(self.cosine)
         placed = neighbours.place(checkpointed(base), "item_id", "unit", radius)
         own = F.when(F.col("home").isNotNull(), F.array("home")).otherwise(none)
         keyed = placed.rows.withColumn("keys", F.array_distinct(F.concat(by_hash, own)))
-        return keyed.withColumn("probes", F.array_distinct(F.concat(by_hash, placed.reach(F.col("unit"), radius)))).drop("home")
+        probes = F.array_distinct(F.concat(by_hash, placed.reach(F.col("unit"), radius)))
+        return keyed.withColumn("probes", probes).drop("home"), placed.tree is None and not has_hash
 
     def near(self, a: str, b: str) -> Column:
         tests = []
@@ -98,7 +116,11 @@ def originals(prepared: DataFrame, rule: Nearness) -> DataFrame:
 
 def canonical_items(items: DataFrame, rule: Nearness) -> DataFrame:
     """(item_id, canonical_item_id): null for originals, else the earliest original it copies."""
-    prepared = checkpointed(rule.prepare(items))
+    placed, crowded = rule.placed(items)
+    prepared = checkpointed(placed)
+    if crowded:
+        links = swept(prepared.select("item_id", "at", "unit"), rule)
+        return prepared.select("item_id").join(links, "item_id", "left")
     keep = checkpointed(originals(prepared, rule))
     kept = prepared.join(keep, "item_id", "left_semi")
     rest = prepared.join(keep, "item_id", "left_anti")
@@ -106,6 +128,109 @@ def canonical_items(items: DataFrame, rule: Nearness) -> DataFrame:
     return prepared.select("item_id").join(links, "item_id", "left")
 
 
+# --- the timeline in slices
+
+
+def _begins(rows: DataFrame, size: int) -> list[tuple]:
+    """(at, item_id) at which slices of about ``size`` rows begin, all but the first."""
+    slices = -(-rows.count() // size)
+    if slices < 2:
+        return []
+    drawn = rows.select("at", "item_id").orderBy(F.xxhash64("item_id"), "item_id").limit(DRAWN * slices).collect()
+    places = sorted((r["at"], r["item_id"]) for r in drawn)
+    return sorted(set(places[DRAWN::DRAWN]))
+
+
+def swept(rows: DataFrame, rule: Nearness, size: int = SLICE) -> DataFrame:
+    """(item_id, canonical_item_id) of the copies among ``rows`` (item_id, at, unit), a written table."""
+    spark, held = rows.sparkSession, rows.filter("item_id is not null and at is not null and unit is not null")
+    held = checkpointed(held.repartitionByRange("at", "item_id").sortWithinPartitions("at", "item_id"))  # a slice lies in few files
+    begins = [None, *_begins(held, size), None]
+    shape = T.StructType([rows.schema["item_id"], T.StructField("at", T.LongType()), T.StructField("original_id", rows.schema["item_id"].dataType)])
+    place = lambda b: F.struct(F.lit(b[0]).cast("bigint").alias("at"), F.lit(b[1]).cast(rows.schema["item_id"].dataType).alias("item_id"))
+    links, kept = [], []
+    for begin, end in zip(begins, begins[1:]):
+        inside = [F.col("at") >= begin[0], F.struct("at", "item_id") >= place(begin)] if begin else []
+        inside += [F.col("at") <= end[0], F.struct("at", "item_id") < place(end)] if end else []
+        slice_ = held.filter(reduce(Column.__and__, inside, F.lit(True)))
+        kept = [(k, last) for k, last in kept if begin is None or last >= begin[0] - rule.window]
+        if kept:
+            late = checkpointed(neighbours.packed(slice_.repartition(spark.sparkContext.defaultParallelism), ["item_id", "at"], "unit"))
+            early = reduce(DataFrame.union, [k for k, _ in kept]).withColumnsRenamed({"item_ids": "kept_ids", "ats": "kept_ats", "units": "kept_units"})
+            met = late.crossJoin(early).mapInPandas(_earliest(rule), shape)
+            found = checkpointed(met.groupBy("item_id").agg(F.min(F.struct("at", "original_id"))["original_id"].alias("canonical_item_id")))
+            links.append(found)
+            slice_ = slice_.join(found, "item_id", "left_anti")
+        settled = checkpointed(slice_.coalesce(1).mapInPandas(_settled(rule), T.StructType([*rows.schema.fields, T.StructField("canonical_item_id", rows.schema["item_id"].dataType)])))
+        links.append(settled.filter("canonical_item_id is not null").select("item_id", "canonical_item_id"))
+        own = settled.filter("canonical_item_id is null")
+        last = own.agg(F.max("at")).first()[0]
+        if last is not None:
+            kept.append((checkpointed(neighbours.packed(own, ["item_id", "at"], "unit")), last))
+    return reduce(DataFrame.union, links).groupBy("item_id").agg(F.min("canonical_item_id").alias("canonical_item_id"))
+
+
+def _near_blocks(a: np.ndarray, b: np.ndarray, a_at: np.ndarray, b_at: np.ndarray, rule: Nearness) -> np.ndarray:
+    """Which rows of ``b`` are near which of ``a`` and not more than the window before."""
+    gap = a_at[:, None] - b_at[None, :]
+    return ~(a @ b.T < rule.cosine) & (gap >= 0) & (gap <= rule.window)
+
+
+def _earliest(rule: Nearness):
+    """Of every row of a block the earliest row near it of a block of kept ones, which are all earlier."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for row in part.itertuples(index=False):
+                ids, kept_ids, kept_ats = np.array(list(row.item_ids)), np.array(list(row.kept_ids)), np.asarray(row.kept_ats)
+                order = np.lexsort((kept_ids, kept_ats))
+                late, early = np.reshape(row.units, (len(ids), -1)), np.reshape(row.kept_units, (len(order), -1))[order]
+                near = _near_blocks(late, early, np.asarray(row.ats), kept_ats[order], rule)
+                copies = np.flatnonzero(near.any(axis=1))
+                first = order[near[copies].argmax(axis=1)]
+                yield pd.DataFrame({"item_id": ids[copies], "at": kept_ats[first], "original_id": kept_ids[first]})
+
+    return run
+
+
+def _settled(rule: Nearness):
+    """One row after the other in the order of time: the earliest kept row near it, or it is kept. Rows of
+    one id are kept or not as a whole."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([p for p in parts if len(p)] or [pd.DataFrame({"item_id": [], "at": [], "unit": []})])
+        if not len(rows):
+            return
+        rows = rows.sort_values(["at", "item_id"], kind="stable", ignore_index=True)
+        ids, at, units = rows["item_id"].to_numpy(), rows["at"].to_numpy("int64"), np.stack(rows["unit"].to_numpy()).astype("float64")
+        heads = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (at[1:] != at[:-1])])
+        ends = np.r_[heads[1:], len(ids)]
+        kept, links = np.zeros(0, dtype="int64"), np.full(len(ids), -1)
+        for a in range(0, len(heads), neighbours.BLOCK):
+            first, last = heads[a], ends[min(a + neighbours.BLOCK, len(heads)) - 1]
+            kept = kept[at[kept] >= at[first] - rule.window]
+            before = _near_blocks(units[first:last], units[kept], at[first:last], at[kept], rule)
+            among = _near_blocks(units[first:last], units[first:last], at[first:last], at[first:last], rule)
+            fresh = np.zeros(last - first, dtype=bool)
+            for head, end in zip(heads[a : a + neighbours.BLOCK], ends[a : a + neighbours.BLOCK]):
+                own = slice(head - first, end - first)
+                near = np.flatnonzero(before[own].any(axis=0))
+                if len(near):
+                    links[head:end] = kept[near[0]]
+                    continue
+                near = np.flatnonzero(among[own].any(axis=0) & fresh)
+                if len(near):
+                    links[head:end] = first + near[0]
+                else:
+                    fresh[own] = True
+            kept = np.r_[kept, first + np.flatnonzero(fresh)]
+        rows["canonical_item_id"] = [ids[n] if n >= 0 else None for n in links]
+        rows["canonical_item_id"] = rows["canonical_item_id"].astype(object if ids.dtype == object else "Int64")
+        yield rows[["item_id", "at", "unit", "canonical_item_id"]]
+
+    return run
+
+
 def canonical_match(items: DataFrame, pool: DataFrame, rule: Nearness) -> DataFrame:
     """For each item the earliest near member of ``pool`` inside the window, before or after it.
 
