@@ -372,9 +372,10 @@ def works(v):
     """Whole texts as inverted indexes, rebuilt; every ninth body is no JSON."""
     words = F.split("text", " ")
     numbered = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.cast("bigint").alias("p")))
-    positions = v.items().select("item_id", F.explode(numbered).alias("x")).filter("x.w <> ''").groupBy("item_id", "x.w").agg(F.array_sort(F.collect_list("x.p")).alias("ps"))
+    dealt = v.items().repartition("item_id")  # words stay with their text
+    positions = dealt.select("item_id", F.explode(numbered).alias("x")).filter("x.w <> ''").groupBy("item_id", "x.w").agg(F.array_sort(F.collect_list("x.p")).alias("ps"))
     index = positions.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
-    rows = v.items().join(index, "item_id", "left").withColumn("query_id", F.floor(F.col("item_id") / 20).cast("bigint"))
+    rows = dealt.join(index, "item_id", "left").withColumn("query_id", F.floor(F.col("item_id") / 20).cast("bigint"))
     n = F.col("item_id").cast("string")
     work = F.struct(
         F.concat(F.lit("https://works.example.org/W"), n).alias("id"), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("https://doi.org/10.1/"), n)).alias("doi"), F.col("title"),
