@@ -8,6 +8,7 @@ from tidings.functions import markup as mk, scoring, text as tx, urls, vectors a
 from tidings.operators import fingerprint, languages
 from tidings.plans.registry import query, six, sql_stamp, stamp
 from tidings.plans.views import AS_OF
+from tidings.session import checkpointed
 
 _PARTS = "regexp_extract(url, '^([A-Za-z]+)://([^/?#]+)([^?#]*)(?:[?]([^#]*))?', ['s', 'h', 'p', 'q'])"
 _TRACK = "^(utm_.*|fbclid|gclid|mc_cid|mc_eid|ref|ref_src|ref_url|igshid|spm|si|cmpid|icid)$"
@@ -183,7 +184,7 @@ def item_simhash(v):
     SIMHASH_VIEWS,
 )
 def simhash_steps(v):
-    prints = fingerprint.item_fingerprints(v.items())
+    prints = checkpointed(fingerprint.item_fingerprints(v.items()))
     after = prints.select((F.col("item_id") - 1).alias("item_id"), F.col("simhash").alias("next"))
     return prints.join(after, "item_id").select("item_id", vx.hamming(F.col("simhash"), F.col("next")).cast("bigint").alias("distance"))
 
