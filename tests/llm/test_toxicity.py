@@ -176,3 +176,11 @@ def test_units_of_odd_batches():
     lists = lambda x: pa.array(x, pa.list_(pa.int32()))
     start, ids, w = weights.units(lists([[0, 1], [], [], [1]]), lists([[2, 1], [], [], [1]]), np.array([5, 7, 0, 0]))
     assert start.tolist() == [0, 3, 4, 4, 5] and ids.tolist() == [0, 1, 2, 2, 1] and w[3] == w[4] == 1.0
+
+
+def test_texts_of_a_term_are_summed_per_task():
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], ["terms"])
+    (found,) = tx.term_sums(6)(iter([batch([[0, 3], None, []]), batch([]), batch([[3], [5, 3]])]))
+    assert found.to_pydict() == {"term": [0, 3, 5], "n": [1, 3, 1]}
+    (found,) = tx.term_sums(0)(iter([batch([[], None])]))
+    assert found.num_rows == 0

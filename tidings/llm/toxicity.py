@@ -58,6 +58,19 @@ class Reader:
             yield buffers.mix(self.rolling.runs(prefix, starts[longer], starts[longer] + size)), text[longer]
 
 
+def term_sums(size: int):
+    """(term, n): in how many texts of a task each of the ``size`` terms occurs, from their lists."""
+
+    def run(batches):
+        held = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            held += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64), minlength=size)
+        own = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(held[own])], ["term", "n"])
+
+    return run
+
+
 def counted_terms(batches):
     """(term, toxic, clean): texts of each label (doc_id, text, toxic) that hold the term, summed over
     about a megabyte of text."""
@@ -376,7 +389,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, folds: int = 4, left: int
         terms = [r["term"] for r in apart.filter((F.col("ratio") >= LEAST_RATIO) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("ratio"), "term").limit(TERMS).collect()]
     shape = "doc_id long, held_out boolean, terms array<int>, counts array<int>, others long"
     found = checkpointed(rows.select("doc_id", "text", "held_out").mapInArrow(Vocabulary(terms), shape))
-    held = {r["term"]: r["n"] for r in found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
+    held = {r["term"]: r["n"] for r in found.select("terms").mapInArrow(term_sums(len(terms)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     weights = Weights(len(terms), held, found.count())
     chosen = found.join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("terms", "counts", "others")).alias("v"))
     chosen = checkpointed(chosen.select("doc_id", "toxic", "v.*"))
