@@ -381,6 +381,33 @@ def test_blocks_that_cannot_hold_better_items_are_skipped(monkeypatch):
     assert got[8][0] == (0, round(0.6 + word(1), 9)) and 2 <= len(read) // 2 < 12
 
 
+def test_searches_rank_only_items_that_could_be_among_the_best(monkeypatch):
+    """Plain words: of 1,500 items a search ranks few, and has the best ones of ranking all."""
+    rng, ranked, made = random.Random(12), [], scorer.close_ranks
+    monkeypatch.setattr(scorer, "close_ranks", lambda postings, words, *rows: ranked.append(len(rows[0]) if rows else postings.items) or made(postings, words, *rows))
+    common = [f"c{n}" for n in range(6)]
+    longs = [" ".join(rng.choice([*common, f"r{rng.randrange(400)}"]) for _ in range(rng.randrange(1, 120))) for _ in range(1500)]
+    shorts = [" ".join(t.split(" ")[:4]) for t in longs]
+    units = [(math.cos(x), math.sin(x)) if n % 3 == 0 else None for n, x in enumerate(rng.uniform(0, 6) for _ in range(1500))]
+    texts = [" ".join(rng.sample(common, 2)) if q % 2 else f"r{q} c{q % 6} r{q + 1}" for q in range(60)]
+    vectors = [(math.cos(q), math.sin(q)) if q % 4 > 1 else None for q in range(60)]
+    flat = lambda vs: [x for v in vs if v for x in v]
+    termss = [json.dumps([[{"negated": False, "words": [w]} for w in t.split(" ")]]) for t in texts]
+    asked = {"query_ids": list(range(60)), "query_units": flat(vectors), "query_haves": [v is not None for v in vectors], "termss": termss}
+    blocks = [{"item_ids": list(range(a, a + 500)), "units": flat(units[a : a + 500]), "haves": [v is not None for v in units[a : a + 500]], "longs": longs[a : a + 500], "shorts": shorts[a : a + 500], **asked} for a in (1000, 0, 500)]
+    got = {p["query_id"][0]: list(zip(p["item_id"].tolist(), p["score"].round(9))) for p in scorer.best_items(5)(iter([pd.DataFrame([b]) for b in blocks]))}
+    assert sum(ranked) < 2 * 60 * 1500 / 3
+    numbers: dict = {}
+    searches = [scorer.Search(json.loads(t), numbers) for t in termss]
+    long, short = scorer.Postings(longs, numbers), scorer.Postings(shorts, numbers)
+    for q, search in enumerate(searches):
+        (a, in_a), (b, in_b) = search.ranks(long), search.ranks(short)
+        both = [vectors[q] is not None and u is not None for u in units]
+        score = [(0.6 * (vectors[q][0] * u[0] + vectors[q][1] * u[1]) if v else 0.0) + 0.4 * max(x, y) for u, v, x, y in zip(units, both, a, b)]
+        best = sorted((-s, n) for n, s in enumerate(score) if both[n] or in_a[n] or in_b[n])[:5]
+        assert got.get(q, []) == [(n, round(-s, 9)) for s, n in best]
+
+
 def test_searches_over_odd_items(spark):
     items = spark.createDataFrame([(1, None, None, None, None), (2, "", "", "", [0.0, 0.0]), (3, "Oak", None, "elm", [1.0, 0.0]), (4, "elm", "oak oak", None, None)], "item_id bigint, title string, text string, standfirst string, embedding array<double>")
     queries = spark.createDataFrame([(1, "oak", None), (2, "", [1.0, 0.0]), (3, "-oak", None), (4, '"oak oak"', None), (5, "oak elm", [0.0, 0.0])], "query_id bigint, text string, embedding array<double>")

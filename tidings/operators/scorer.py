@@ -1,15 +1,19 @@
 """Scores of many searches over blocks of items, best first.
 
 A block holds the words and vectors of its items, a query block those of its searches. Where two meet,
-the block's words become postings of the words that are asked for, and every search is scored on them.
-The best of each search are kept over all blocks that a task sees; a search whose highest cosine in a
-block, with the most that words could add, stays below its last kept score skips the block's postings.
+the block's words become postings of the words that are asked for. A search of plain words looks at the
+items that hold all of them, from its rarest word on, and at those with a vector, if it has one. Of these
+it knows the most that words could add from how often they occur, and ranks the most promising items
+first, until no other item could be among the best. The best of each search are kept over all blocks that
+a task sees; a search whose highest cosine in a block, with the most that words could add, stays below its
+last kept score skips the block's postings.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -22,6 +26,14 @@ VECTOR_SHARE, TEXT_SHARE = 0.6, 0.4
 
 FULL = -40.0  # the exponential of this is nothing beside 1 in double precision
 
+# By distance: the logarithm of what a close pair leaves open; the sum over all distances of one side.
+LEFT_OPEN = np.log1p(-WORD_WEIGHT * np.sqrt(1 / (1.005 + 0.05 * np.exp(np.arange(MAX_DISTANCE + 1) / 1.5 - 2))))
+ONE_SIDE = -LEFT_OPEN[1:].sum()
+
+FIRST_RANKED = 32  # items that a search ranks first in a block, twice as many each time
+KEPT_BLOCKS = 16  # query blocks that a task keeps parsed
+FREQUENT = 32  # occurrences from which a word's counts are kept
+
 
 class Postings:
     """Occurrences (word, item, position) of the asked words in texts, whose words a blank parts; sorted,
@@ -30,40 +42,68 @@ class Postings:
     def __init__(self, texts: list, numbers: dict[str, int]):
         word, item, position = [], [], []
         for n, text in enumerate(texts):
-            for p, w in enumerate(text.split(" "), 1):
-                number = numbers.get(w)
-                if number is not None:
-                    word.append(number)
-                    item.append(n)
-                    position.append(p)
-        word, item, position = (np.array(x, dtype=np.int64) for x in (word, item, position))
+            found = np.array([numbers.get(w, -1) for w in text.split(" ")], dtype=np.int64)
+            places = np.flatnonzero(found >= 0)
+            word.append(found[places])
+            item.append(np.full(len(places), n))
+            position.append(places + 1)
+        word, item, position = (np.concatenate([*x, np.zeros(0, dtype=np.int64)]) for x in (word, item, position))
         order = np.argsort(word, kind="stable")
         self.items, self.item, self.position = len(texts), item[order], position[order]
         self.first = np.searchsorted(word[order], np.arange(len(numbers) + 1))
+        self.known: dict[int, np.ndarray] = {}
 
     def of(self, number: int) -> tuple[np.ndarray, np.ndarray]:
         own = slice(self.first[number], self.first[number + 1])
         return self.item[own], self.position[own]
 
-
-def single_ranks(postings: Postings, words: list[int]) -> np.ndarray:
+    def counts(self, number: int) -> np.ndarray:
+        """How often every item holds the word."""
+        if number in self.known:
+            return self.known[number]
+        n = np.bincount(self.of(number)[0], minlength=self.items)
+        if self.first[number + 1] - self.first[number] >= FREQUENT:
+            self.known[number] = n
+        return n
+
+    def holders(self, words: list[int]) -> np.ndarray:
+        """The items that hold all of the words, from the rarest word on."""
+        lists = sorted((self.of(w)[0] for w in words), key=len)
+        if not len(lists[0]):
+            return lists[0]
+        rows = np.unique(lists[0])
+        for own in lists[1:]:
+            rows = rows[own[np.minimum(np.searchsorted(own, rows), len(own) - 1)] == rows]
+        return rows
+
+    def at(self, number: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``rows``, position) of the word's occurrences in these items, which ascend."""
+        item, position = self.of(number)
+        start, end = np.searchsorted(item, rows, side="left"), np.searchsorted(item, rows, side="right")
+        sizes = end - start
+        place = np.repeat(np.arange(len(rows)), sizes)
+        return place, position[np.arange(len(place)) + np.repeat(start - (np.cumsum(sizes) - sizes), sizes)]
+
+
+def single_ranks(postings: Postings, words: list[int], rows: np.ndarray | slice = slice(None)) -> np.ndarray:
     """Rank by occurrences: of a word's occurrences in an item the n-th counts 1/n^2."""
-    total = np.zeros(postings.items)
+    total = 0.0
     for word in words:
-        n = np.bincount(postings.of(word)[0], minlength=postings.items)
-        total += np.concatenate([[0.0], np.cumsum(WORD_WEIGHT / np.arange(1, n.max() + 1) ** 2)])[n] / SERIES
+        n = postings.counts(word)[rows]
+        total += np.concatenate([[0.0], np.cumsum(WORD_WEIGHT / np.arange(1, n.max(initial=0) + 1) ** 2)])[n] / SERIES
     return total / len(words)
 
 
-def close_ranks(postings: Postings, words: list[int]) -> np.ndarray:
+def close_ranks(postings: Postings, words: list[int], rows: np.ndarray | None = None) -> np.ndarray:
     """Rank by nearness: close pairs of different words add up, nearer ones weigh more. An item whose rank
-    is 1 to the last digit is not looked at any further."""
-    held = [postings.of(w) for w in words]
+    is 1 to the last digit is not looked at any further. Of all items, or of ``rows``, which ascend."""
+    held = [postings.of(w) if rows is None else postings.at(w, rows) for w in words]
+    items = postings.items if rows is None else len(rows)
     item, position = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
     word = np.repeat(np.arange(len(words)), [len(h[0]) for h in held])
     order = np.lexsort((position, item))
     item, position, word = item[order], position[order], word[order]
-    miss = np.zeros(postings.items)
+    miss = np.zeros(items)
     for step in range(1, min(MAX_DISTANCE, len(item) - 1) + 1):
         if step >= len(item):
             break
@@ -72,8 +112,7 @@ def close_ranks(postings: Postings, words: list[int]) -> np.ndarray:
         if not near.any():  # places of an item ascend: wider steps are farther still
             break
         pairs = np.flatnonzero(near & (word[step:] != word[:-step]))
-        weight = WORD_WEIGHT * np.sqrt(1 / (1.005 + 0.05 * np.exp(gap[pairs] / 1.5 - 2)))
-        miss += np.bincount(item[pairs], weights=np.log1p(-weight), minlength=postings.items)
+        miss += np.bincount(item[pairs], weights=LEFT_OPEN[gap[pairs]], minlength=items)
         full = miss <= FULL
         if full.any():
             open_rows = ~full[item]
@@ -81,6 +120,18 @@ def close_ranks(postings: Postings, words: list[int]) -> np.ndarray:
     return 1 - np.exp(miss)
 
 
+def most_ranks(postings: Postings, words: list[int], rows: np.ndarray) -> np.ndarray:
+    """No less than ``close_ranks``: an occurrence has one other at each distance and side at most, and one
+    of a pair is not of the item's most frequent word."""
+    total, most = np.zeros(len(rows)), np.zeros(len(rows))
+    for word in words:
+        if postings.first[word] < postings.first[word + 1]:
+            n = postings.counts(word)[rows]
+            total += n
+            most = np.maximum(most, n)
+    return np.minimum(1.0, (1 - np.exp(-ONE_SIDE * np.minimum(total, 2 * (total - most)))) * (1 + 1e-9))
+
+
 def holding(postings: Postings, terms: list[list[int]]) -> np.ndarray:
     """Which items hold a run of words (a term of one or more)."""
     if len(terms) == 1:
@@ -105,6 +156,7 @@ class Search:
         self.alternatives = [[(bool(t["negated"]), [numbers.setdefault(w, len(numbers)) for w in t["words"]]) for t in a] for a in alternatives]
         self.words = list(dict.fromkeys(w for a in self.alternatives for _, words in a for w in words))
         self.close = len(self.alternatives) == 1 and len(self.words) > 1
+        self.plain = all(len(a) for a in self.alternatives) and len(self.alternatives) < 2 and all(not negated and len(words) == 1 for a in self.alternatives for negated, words in a)
         # What words can add at most to a score.
         self.most = TEXT_SHARE * (1.0 if self.close else WORD_WEIGHT) * (1 + 1e-9)
 
@@ -149,6 +201,10 @@ class Best:
     def last(self) -> float:
         return self.scores[-1] if len(self.scores) == self.k else -np.inf
 
+    def beats(self, score: float, item_id) -> bool:
+        """Whether no item of at most this score, and of the same score from this id on, is among the best."""
+        return score < self.last or (score == self.last and item_id > self.ids[-1])
+
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         if self.ids is not None:
             scores, ids = np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids])
@@ -156,32 +212,97 @@ class Best:
         self.scores, self.ids = scores[order], ids[order]
 
 
+class Asked:
+    """The parsed searches of a query block."""
+
+    def __init__(self, termss):
+        self.numbers: dict[str, int] = {}
+        self.searches = [Search(json.loads(t), self.numbers) for t in termss]
+        self.plain = np.array([s.plain for s in self.searches], dtype=bool)
+        self.worded = np.flatnonzero(self.plain & np.array([len(s.words) > 0 for s in self.searches], dtype=bool))
+        sizes = [len(self.searches[n].words) for n in self.worded]
+        self.words = np.array([w for n in self.worded for w in self.searches[n].words], dtype=np.int64)
+        self.starts = np.cumsum([0, *sizes[:-1]]) if sizes else np.zeros(0, dtype=np.int64)
+
+    def held(self, postings: Postings) -> np.ndarray:
+        """Which plain searches have all their words somewhere in the block."""
+        out = np.zeros(len(self.searches), dtype=bool)
+        if len(self.worded):
+            out[self.worded] = np.logical_and.reduceat(np.diff(postings.first)[self.words] > 0, self.starts)
+        return out
+
+
+class Meeting:
+    """A block of items beside a block of searches. Postings are made when the first search needs them."""
+
+    def __init__(self, row, asked: Asked):
+        self.asked, self.texts = asked, (row.longs, row.shorts)
+        self.ids, self.haves = np.array(row.item_ids), np.asarray(row.haves, dtype=bool)
+
+    @cached_property
+    def postings(self) -> list[Postings]:
+        return [Postings(texts, self.asked.numbers) for texts in self.texts]
+
+    @cached_property
+    def held(self) -> list[np.ndarray]:
+        return [self.asked.held(p) for p in self.postings]
+
+    def add_plain(self, n: int, base: np.ndarray, by_vector: np.ndarray, best: Best) -> None:
+        """The items that search ``n`` of plain words allows, the most promising first."""
+        search = self.asked.searches[n]
+        rows = np.flatnonzero(by_vector)
+        for postings, held in zip(self.postings, self.held):
+            if held[n]:
+                rows = np.union1d(rows, postings.holders(search.words))
+        rows = rows[~(base[rows] + search.most < best.last)]
+        if not len(rows):
+            return
+        if not search.close:  # one word or none: its rank is its count
+            ranks = [np.zeros(len(rows))] if not search.words else [single_ranks(p, search.words, rows) for p in self.postings]
+            best.add(base[rows] + TEXT_SHARE * np.maximum(ranks[0], ranks[-1]), self.ids[rows])
+            return
+        most = base[rows] + TEXT_SHARE * np.maximum(*[most_ranks(p, search.words, rows) for p in self.postings])
+        order, size = np.lexsort((self.ids[rows], -most)), FIRST_RANKED
+        while len(order) and not best.beats(most[order[0]], self.ids[rows[order[0]]]):
+            some, order, size = np.sort(rows[order[:size]]), order[size:], 2 * size
+            ranks = np.maximum(*[close_ranks(p, search.words, some) for p in self.postings])
+            best.add(base[some] + TEXT_SHARE * ranks, self.ids[some])
+
+    def add_any(self, n: int, base: np.ndarray, by_vector: np.ndarray, best: Best) -> None:
+        """All items, with alternatives, phrases and excluded words."""
+        (long, in_long), (short, in_short) = (self.asked.searches[n].ranks(p) for p in self.postings)
+        allowed = np.flatnonzero(by_vector | in_long | in_short)
+        best.add((base + TEXT_SHARE * np.maximum(long, short))[allowed], self.ids[allowed])
+
+
 def best_items(k: int):
     """(query_id, item_id, score): of every search the best ``k`` among the blocks of one task."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict = {}
-        seen: dict = {"key": None}
+        parsed: dict[tuple, Asked] = {}
         for part in parts:
             for row in part.itertuples(index=False):
                 queries = tuple(row.query_ids)
-                if seen["key"] != queries:
-                    numbers: dict[str, int] = {}
-                    seen = {"key": queries, "searches": [Search(json.loads(t), numbers) for t in row.termss], "numbers": numbers}
-                ids = np.array(row.item_ids)
-                cosines = _cosines(row.query_units, row.query_haves, row.units, row.haves, len(queries), len(ids))
-                postings = None
-                for n, (query, search) in enumerate(zip(queries, seen["searches"])):
-                    best = kept.setdefault(query, Best(k))
-                    by_vector = np.asarray(row.haves) & bool(row.query_haves[n])
-                    base = np.where(by_vector, VECTOR_SHARE * cosines[n], 0.0)
+                key = (queries, tuple(row.termss))
+                if key not in parsed:
+                    if len(parsed) == KEPT_BLOCKS:
+                        parsed.clear()
+                    parsed[key] = Asked(row.termss)
+                asked = parsed[key]
+                meeting = Meeting(row, asked)
+                cosines = _cosines(row.query_units, row.query_haves, row.units, row.haves, len(queries), len(meeting.ids))
+                by_vector = np.asarray(row.query_haves, dtype=bool) & meeting.haves.any()
+                looking = by_vector | ~asked.plain
+                if not by_vector[asked.worded].all():
+                    looking |= meeting.held[0] | meeting.held[1]
+                for n in np.flatnonzero(looking).tolist():
+                    search, best = asked.searches[n], kept.setdefault(queries[n], Best(k))
+                    own = meeting.haves & by_vector[n]
+                    base = np.where(own, VECTOR_SHARE * cosines[n], 0.0)
                     if base.max(initial=0.0) + search.most < best.last:
                         continue
-                    if postings is None:
-                        postings = [Postings(texts, seen["numbers"]) for texts in (row.longs, row.shorts)]
-                    (long, in_long), (short, in_short) = (search.ranks(p) for p in postings)
-                    allowed = np.flatnonzero(by_vector | in_long | in_short)
-                    best.add((base + TEXT_SHARE * np.maximum(long, short))[allowed], ids[allowed])
+                    (meeting.add_plain if search.plain else meeting.add_any)(n, base, own, best)
         for query, best in kept.items():
             if len(best.scores):
                 yield pd.DataFrame({"query_id": [query] * len(best.ids), "item_id": best.ids.tolist(), "score": best.scores})
