@@ -381,6 +381,31 @@ def test_blocks_that_cannot_hold_better_items_are_skipped(monkeypatch):
     assert got[8][0] == (0, round(0.6 + word(1), 9)) and 2 <= len(read) // 2 < 12
 
 
+def test_long_chains_of_fingerprints_take_few_steps(spark, monkeypatch):
+    """Copies all along the timeline, near ones of several fingerprints among them: the tables written do
+    not grow with the windows that a chain passes, and very large groups go in rounds with equal results."""
+    rng, hour, mask = random.Random(13), 3600, 2**64 - 1
+    bases = [rng.getrandbits(64) for _ in range(6)]
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    flipped = lambda x: x ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(4)))
+    rows = [(30 * n * hour, n, signed(bases[0])) for n in range(60)]
+    rows += [(rng.randrange(1800) * hour, 100 + n, signed(flipped(rng.choice(bases)))) for n in range(300)]
+    rule, written = dedup.Nearness(48, 3, None), []
+    monkeypatch.setattr(dedup, "checkpointed", lambda df: written.append(1) or checkpointed(df))
+
+    def check(rows, again=0):
+        frame = spark.createDataFrame([(i, START + dt.timedelta(seconds=at), h) for at, i, h in rows + rows[:again]], "item_id bigint, published_at timestamp, simhash bigint")
+        got = {r[0]: r[1] for r in dedup.canonical_items(frame, rule).collect() if r[1] is not None}
+        assert got == _originals_one_by_one(rows, 48, lambda a, b: ((a ^ b) & mask).bit_count() <= 3)
+
+    check(rows)
+    assert len(written) < 30
+    monkeypatch.setattr(dedup, "BUCKET", 2)
+    check(rows, 40)
+    monkeypatch.setattr(dedup, "GROUP", 10)
+    check(rows[:8] + rows[60:140])
+
+
 def test_searches_rank_only_items_that_could_be_among_the_best(monkeypatch):
     """Plain words: of 1,500 items a search ranks few, and has the best ones of ranking all."""
     rng, ranked, made = random.Random(12), [], scorer.close_ranks

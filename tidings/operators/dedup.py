@@ -7,6 +7,10 @@ Both questions are semi-joins on keys, which stop at the first match, so a group
 not pairs, and the first round already decides all but the items whose earlier neighbours are copies.
 The number of rounds is the longest chain of such items, whatever the number of items.
 
+Fingerprints need these rounds for very large groups only. Items that could be near each other, over any
+number of steps, form a group, and a group is passed once in the order of time, with only the originals of
+its window held. Groups are found on distinct fingerprints per window slot, so copies add nothing.
+
 Where vectors have no cells, every item is near many others of its window and these chains are long.
 There the timeline is swept in slices instead: blocks of a slice meet blocks of the originals found so
 far, and only what these do not cover settles among itself, in one task per slice of bounded size. An
@@ -26,6 +30,8 @@ from tidings.functions import vectors as vx
 from tidings.operators import neighbours
 from tidings.session import checkpointed
 
+GROUP = 200_000  # items of a group up to which it is passed in one go
+BUCKET = 1_000  # distinct fingerprints of a key up to which they are compared in pairs
 SLICE = 20_000
 DRAWN = 32  # rows drawn per slice to find where slices begin
 
@@ -121,11 +127,111 @@ def canonical_items(items: DataFrame, rule: Nearness) -> DataFrame:
     if crowded:
         links = swept(prepared.select("item_id", "at", "unit"), rule)
         return prepared.select("item_id").join(links, "item_id", "left")
+    links = _in_rounds(prepared, rule) if "embedding" in items.columns and rule.cosine is not None else _in_groups(prepared, rule)
+    return prepared.select("item_id").join(links, "item_id", "left")
+
+
+def _in_rounds(prepared: DataFrame, rule: Nearness) -> DataFrame:
+    """(item_id, canonical_item_id) of the copies among ``prepared``, a written table."""
     keep = checkpointed(originals(prepared, rule))
     kept = prepared.join(keep, "item_id", "left_semi")
     rest = prepared.join(keep, "item_id", "left_anti")
-    links = _covered(rest, kept, rule, "inner").groupBy(F.col("c.item_id").alias("item_id")).agg(F.min(F.struct("o.at", "o.item_id"))["item_id"].alias("canonical_item_id"))
-    return prepared.select("item_id").join(links, "item_id", "left")
+    return _covered(rest, kept, rule, "inner").groupBy(F.col("c.item_id").alias("item_id")).agg(F.min(F.struct("o.at", "o.item_id"))["item_id"].alias("canonical_item_id"))
+
+
+# --- groups of fingerprints
+
+
+def _near_prints(rows: DataFrame, rule: Nearness) -> DataFrame:
+    """(a, b): fingerprints linked so that all near ones of neighbouring slots are connected. Pairs are
+    verified where few share a key; of many, each is linked with the first, which may connect too much."""
+    nodes = rows.select("simhash", "slot", "keys").dropDuplicates(["simhash", "slot"])
+    spread = nodes.select("simhash", F.explode(F.array(F.col("slot"), F.col("slot") - 1)).alias("slot"), "keys")
+    spread = checkpointed(spread.select("simhash", "slot", F.explode("keys").alias("key")).distinct())
+    sizes = spread.groupBy("key", "slot").agg(F.count("*").alias("n"), F.min("simhash").alias("first")).filter("n > 1")
+    shared = checkpointed(spread.join(sizes, ["key", "slot"]))
+    few = shared.filter(F.col("n") <= BUCKET)
+    pairs = few.select("key", "slot", F.col("simhash").alias("a")).join(few.select("key", "slot", F.col("simhash").alias("b")), ["key", "slot"])
+    pairs = pairs.filter((F.col("a") < F.col("b")) & (vx.hamming(F.col("a"), F.col("b")) <= rule.distance)).select("a", "b")
+    stars = shared.filter((F.col("n") > BUCKET) & (F.col("simhash") != F.col("first"))).select(F.col("first").alias("a"), F.col("simhash").alias("b"))
+    return pairs.union(stars).distinct()
+
+
+def _groups(edges: DataFrame) -> DataFrame:
+    """(simhash, root): equal roots where ``edges`` (a, b) connect. In every round each node moves to the
+    neighbour, or itself, with the smallest hash of that round; the rounds grow with the logarithm."""
+    open_edges = checkpointed(edges.union(edges.select("b", "a")).toDF("a", "b").distinct())
+    moves: list[DataFrame] = []
+    while not open_edges.isEmpty():
+        hashed = lambda c: F.struct(F.xxhash64(c, F.lit(len(moves))).alias("h"), F.col(c).alias("to"))
+        nearest = open_edges.groupBy("a").agg(F.min(hashed("b")).alias("n"))
+        move = checkpointed(nearest.select(F.col("a").alias("simhash"), F.least("n", hashed("a"))["to"].alias("root")))
+        drawn = open_edges.join(move.toDF("a", "ra"), "a").join(move.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        moves.append(move)
+        open_edges = checkpointed(drawn.filter("a <> b").distinct())
+    roots = moves.pop() if moves else open_edges.toDF("simhash", "root")
+    while moves:
+        roots = moves.pop().join(roots.toDF("root", "last"), "root", "left").select("simhash", F.coalesce("last", "root").alias("root"))
+    return checkpointed(roots)
+
+
+def _in_groups(prepared: DataFrame, rule: Nearness) -> DataFrame:
+    """(item_id, canonical_item_id) of the copies among ``prepared``, a written table.
+
+    Groups that are very large, or have an id that is null or stands for different rows, go in rounds."""
+    rows = prepared.filter("simhash is not null and at is not null")
+    roots = _groups(_near_prints(rows, rule))
+    grouped = checkpointed(rows.join(roots, "simhash", "left").withColumn("root", F.coalesce("root", "simhash")))
+    sizes = grouped.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = grouped.groupBy("item_id").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.min("simhash").alias("c"), F.max("simhash").alias("d"))
+    repeated = repeated.filter("item_id is null or a < b or c < d").select(F.col("item_id").alias("_id"))
+    odd = grouped.join(repeated, F.col("item_id").eqNullSafe(F.col("_id")), "left_semi").select("root").distinct().withColumn("odd", F.lit(True))
+    kinds = checkpointed(sizes.join(odd, "root", "left").select("root", ((F.col("n") > GROUP) | F.col("odd").isNotNull()).alias("apart")))
+    plain = grouped.join(kinds.filter("not apart"), "root", "left_semi").select("root", "at", "item_id", "simhash")
+    shape = T.StructType([prepared.schema["item_id"], T.StructField("canonical_item_id", prepared.schema["item_id"].dataType)])
+    links = plain.repartition("root").sortWithinPartitions("root", "at", "item_id").mapInPandas(_passed(rule), shape).distinct()
+    if kinds.filter("apart").isEmpty():
+        return links
+    # An id of different rows may lie in several groups, one of which may have no other item.
+    single = grouped.join(odd, "root", "left_semi").select("root").union(kinds.filter("apart").select("root")).distinct()
+    apart = checkpointed(grouped.join(single, "root", "left_semi").select(*prepared.columns))
+    return links.union(_in_rounds(apart, rule))
+
+
+def _passed(rule: Nearness):
+    """Rows in the order of (root, at, item_id): each group's earliest original near a row, if any. Equal
+    rows are one. Only originals of the window are held, also from one batch to the next."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        root, last, link = None, None, None
+        prints, ats, ids, first, held = np.zeros(64, dtype="uint64"), [], [], 0, 0
+        for part in parts:
+            copies, found = [], []
+            for own, at, item, simhash in zip(part["root"].tolist(), part["at"].tolist(), part["item_id"].tolist(), part["simhash"].to_numpy("int64").view("uint64")):
+                if own != root:
+                    root, last, ats, ids, first, held = own, None, [], [], 0, 0
+                if (at, item) != last:
+                    last = (at, item)
+                    while first < held and ats[first] < at - rule.window:
+                        first += 1
+                    near = np.flatnonzero(np.bitwise_count(prints[first:held] ^ simhash) <= rule.distance) if first < held else ()
+                    link = ids[first + near[0]] if len(near) else None
+                    if link is None:
+                        if held == len(prints):  # room for as many as are in the window
+                            prints, ats, ids = prints[first:held], ats[first:], ids[first:]
+                            first, held = 0, len(ids)
+                            prints = np.r_[prints, np.zeros(held + 64, dtype="uint64")]
+                        prints[held] = simhash
+                        ats.append(at)
+                        ids.append(item)
+                        held += 1
+                if link is not None:
+                    copies.append(item)
+                    found.append(link)
+            if copies:
+                yield pd.DataFrame({"item_id": copies, "canonical_item_id": found})
+
+    return run
 
 
 # --- the timeline in slices
