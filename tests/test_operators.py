@@ -9,12 +9,14 @@ import math
 import random
 import re
 import unicodedata
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from tidings.operators import dedup, handoff, languages, match, measures, neighbours, ordered, scorer, search, similarity, stories
+from tidings.plans import matching_queries
 from tidings.session import checkpointed
 from tidings.sources import feeds, pages, sitemaps
 
@@ -406,6 +408,15 @@ def test_long_chains_of_fingerprints_take_few_steps(spark, monkeypatch):
     check(rows[:8] + rows[60:140])
 
 
+def test_matches_of_a_long_chain_take_few_steps(spark, monkeypatch):
+    """Equal texts every 30 hours: every second one is an original, the others match the one before."""
+    rows = [(n, "same title", "same text of all", START + dt.timedelta(hours=30 * n)) for n in range(60)]
+    frame, written = spark.createDataFrame(rows, "item_id bigint, title string, text string, published_at timestamp"), []
+    monkeypatch.setattr(dedup, "checkpointed", lambda df: written.append(1) or checkpointed(df))
+    got = matching_queries.canonical_matches(SimpleNamespace(items=lambda: frame)).collect()
+    assert {r[0]: r[1] for r in got} == {n: n - 1 for n in range(1, 60, 2)} and len(written) < 30
+
+
 def test_searches_rank_only_items_that_could_be_among_the_best(monkeypatch):
     """Plain words: of 1,500 items a search ranks few, and has the best ones of ranking all."""
     rng, ranked, made = random.Random(12), [], scorer.close_ranks
