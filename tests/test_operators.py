@@ -8,6 +8,7 @@ import json
 import math
 import random
 import re
+import sys
 import unicodedata
 from types import SimpleNamespace
 
@@ -444,6 +445,67 @@ def test_searches_rank_only_items_that_could_be_among_the_best(monkeypatch):
         assert got.get(q, []) == [(n, round(-s, 9)) for s, n in best]
 
 
+def _plain_searches(rng, count):
+    texts = [" ".join(rng.sample([f"c{n}" for n in range(8)], 1 + q % 3) + [f"r{rng.randrange(300)}"] * (q % 2)) for q in range(count)]
+    vectors = [(math.cos(q), math.sin(q)) if q % 4 == 0 else None for q in range(count)]
+    return texts, vectors
+
+
+def _mixed_items(rng, count):
+    words = lambda most: " ".join(rng.choice([*[f"c{n}" for n in range(8)], f"r{rng.randrange(300)}"]) for _ in range(rng.randrange(most)))
+    return [(n, words(6), words(80), words(3), [math.cos(1.37 * n), math.sin(1.37 * n)] if n % 3 else None) for n in range(count)]
+
+
+def test_searches_meet_a_block_together():
+    """One more block of items takes few calls, however many searches look at it, and ranks are those of
+    each search alone."""
+    rng = random.Random(14)
+    texts, vectors = _plain_searches(rng, 1200)
+    termss = [json.dumps([[{"negated": False, "words": [w]} for w in t.split(" ")]]) for t in texts]
+    asked = {"query_ids": list(range(1200)), "query_units": [x for v in vectors if v for x in v], "query_haves": [v is not None for v in vectors], "termss": termss}
+    items = _mixed_items(rng, 800)
+    blocks = []
+    for own in (items[:300], items[300:550], items[550:]):
+        blocks.append({"item_ids": [i[0] for i in own], "units": [x for i in own if i[4] for x in i[4]], "haves": [i[4] is not None for i in own], "longs": [f"{i[1]} {i[2]}" for i in own], "shorts": [f"{i[1]} {i[3]}" for i in own], **asked})
+    calls, found = [], []
+    for count in (1, 3):
+        made = [0]
+        sys.setprofile(lambda frame, event, _: event == "call" and frame.f_code.co_filename == scorer.__file__ and made.__setitem__(0, made[0] + 1))
+        try:
+            found = list(scorer.best_items(5)(iter([pd.DataFrame([b]) for b in blocks[:count]])))
+        finally:
+            sys.setprofile(None)
+        calls.append(made[0])
+    assert calls[1] - calls[0] < 1200
+    got: dict = {}
+    for part in found:
+        for q, i, score in part.itertuples(index=False):
+            got.setdefault(q, []).append((i, round(score, 9)))
+    numbers: dict = {}
+    searches = [scorer.Search(json.loads(t), numbers) for t in termss]
+    both = [scorer.Postings([f"{i[1]} {i[2 + n]}" for i in items], numbers) for n in (0, 1)]
+    for q in range(0, 1200, 7):
+        (long, in_long), (short, in_short) = (searches[q].ranks(p) for p in both)
+        near = [vectors[q] is not None and i[4] is not None for i in items]
+        score = [(0.6 * (vectors[q][0] * i[4][0] + vectors[q][1] * i[4][1]) if v else 0.0) + 0.4 * max(x, y) for i, v, x, y in zip(items, near, long, short)]
+        best = sorted((-s, n) for n, s in enumerate(score) if near[n] or in_long[n] or in_short[n])[:5]
+        assert got.get(q, []) == [(n, round(-s, 9)) for s, n in best]
+
+
+def test_items_drawn_first_do_not_change_the_best(spark, monkeypatch):
+    """Several draws and several blocks of searches give the rows of one pass over all items."""
+    rng = random.Random(15)
+    texts, vectors = _plain_searches(rng, 90)
+    items = spark.createDataFrame(_mixed_items(rng, 700), "item_id bigint, title string, text string, standfirst string, embedding array<double>")
+    queries = spark.createDataFrame([(q, t, list(v) if v else None) for q, (t, v) in enumerate(zip(texts, vectors))], "query_id bigint, text string, embedding array<double>")
+    rows = lambda: sorted((r["query_id"], r["rank"], r["item_id"], round(r["score"], 9)) for r in search.hybrid_search(items, queries, 6).collect())
+    whole, known, made = rows(), [], scorer.Asked.know
+    monkeypatch.setattr(scorer.Asked, "know", lambda self, floors: known.append(len(floors)) or made(self, floors))
+    monkeypatch.setattr(search, "FIRST_ITEMS", 20)
+    monkeypatch.setattr(search, "SEARCH_BLOCK", 50)
+    assert rows() == whole and len(known) == 4 and all(known)
+
+
 def test_searches_over_odd_items(spark):
     items = spark.createDataFrame([(1, None, None, None, None), (2, "", "", "", [0.0, 0.0]), (3, "Oak", None, "elm", [1.0, 0.0]), (4, "elm", "oak oak", None, None)], "item_id bigint, title string, text string, standfirst string, embedding array<double>")
     queries = spark.createDataFrame([(1, "oak", None), (2, "", [1.0, 0.0]), (3, "-oak", None), (4, '"oak oak"', None), (5, "oak elm", [0.0, 0.0])], "query_id bigint, text string, embedding array<double>")
