@@ -45,10 +45,10 @@ COSINE_SLACK = 1e-12  # and in cosines of equal vectors
 UNSEEN = 1e-15  # what is open may differ by this from its float
 FIRST_RANKED = 32  # items that a search ranks first in a block, twice as many each time
 KEPT_BLOCKS = 16  # query blocks that a task keeps parsed
-CHUNK, COSINES = 8_192, 4 << 20  # searches that meet a block at a time, and their cosines
-PAIRS = 1 << 20  # pairs looked at in one go
+CHUNK, COSINES = 8_192, 2 << 20  # searches that meet a block at a time, and their cosines
+PAIRS = 1 << 18  # pairs looked at in one go
 OCCURRENCES = 1 << 17  # and occurrences of their words
-TABLE = 32 << 20  # bytes of a block's table of frequent words
+TABLE = 16 << 20  # bytes of a block's table of frequent words
 
 
 def expanded(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -350,9 +350,8 @@ class Asked:
     def meet(self, block: Block) -> None:
         if block.items:
             self._ready(block.ids)
-            size = min(CHUNK, max(1, COSINES // max(1, block.held)))
-            for a in range(0, len(self.sizes), size):
-                Meeting(self, block, slice(a, min(a + size, len(self.sizes)))).run()
+            for own in portions(np.where(self.have, block.held, 0) + COSINES // CHUNK, COSINES):
+                Meeting(self, block, own).run()
 
     def found(self, searches: int = 1) -> Iterator[pd.DataFrame]:
         """(query_id, item_id, score) of what is kept, of so many searches at a time."""
@@ -572,6 +571,7 @@ def best_items(k: int):
                         parsed.clear()
                     parsed[key] = Asked(row.query_ids, row.query_haves, row.query_units, row.termss, k)
                 parsed[key].meet(Block(row.item_ids, row.haves, row.units, row.longs, row.shorts))
+        pa.default_memory_pool().release_unused()  # the worker stays
         for asked in parsed.values():
             yield from asked.found()
 
@@ -588,6 +588,7 @@ def best_rows(asked: Asked, size: int):
                 own = part.iloc[a : a + size]
                 units = [np.asarray(v, dtype="float64") for v, have in zip(own["unit"], own["have"]) if have]
                 asked.meet(Block(own["item_id"], own["have"], np.concatenate(units) if units else np.zeros(0), own["long"].tolist(), own["short"].tolist()))
+        pa.default_memory_pool().release_unused()  # the worker stays
         yield from asked.found(CHUNK)
 
     return run
