@@ -81,6 +81,7 @@ class Postings:
         found = pieces.flatten().dictionary_encode()
         known = np.array([numbers.get(w, -1) for w in found.dictionary.to_pylist()], dtype=np.int64)
         word = known[np.asarray(found.indices)] if len(known) else np.zeros(0, dtype=np.int64)
+        del pieces, found
         places = np.flatnonzero(word >= 0)
         bits = int(len(word)).bit_length()
         order = np.sort((word[places] << bits) | places)
@@ -265,6 +266,7 @@ class Block:
         """Of the whole texts and of the short ones, kept for the searches of the same numbers."""
         if getattr(self, "numbers", None) is not numbers:
             self.numbers, self.made = numbers, [Postings(texts, numbers) for texts in self.texts]
+            pa.default_memory_pool().release_unused()  # what cutting texts took
         return self.made
 
 
